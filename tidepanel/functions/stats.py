@@ -33,6 +33,14 @@ def pearson_floored(x, y, floor: float = 1e-3, min_pairs: int = 2) -> Column:
     return F.when(F.count(px) >= min_pairs, value)
 
 
+def pearson_over_eps(x, y, eps: float, min_pairs: int = 2) -> Column:
+    """Grouped correlation where both deviations exceed ``eps``, else NULL."""
+    px, py = paired(x, y)
+    sx, sy = F.stddev_pop(px), F.stddev_pop(py)
+    return F.when((F.count(px) >= min_pairs) & (sx > eps) & (sy > eps),
+                  ratio(F.covar_pop(px, py), sx * sy))
+
+
 def slope(x, y, min_pairs: int = 2) -> Column:
     """Grouped least-squares slope of y on x."""
     px, py = paired(x, y)

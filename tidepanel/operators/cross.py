@@ -124,6 +124,15 @@ def zscore_filled(df, x, out, by=DATE, max_group=None) -> DataFrame:
     return df.withColumn(out, F.coalesce(ratio(c(x) - mu, sd), F.lit(0.0))).drop(*temp)
 
 
+def zscores_filled(df, names, by=DATE, max_group=None) -> DataFrame:
+    """Composition z-scores of many columns in place: one pass of statistics for all."""
+    mu, sd = {n: _temp("mu") for n in names}, {n: _temp("sd") for n in names}
+    df = attach(df, by, max_group, **{mu[n]: F.avg(n) for n in names},
+                **{sd[n]: F.stddev_pop(n) for n in names})
+    return df.withColumns({n: F.coalesce(ratio(c(n) - F.col(mu[n]), sd[n]), F.lit(0.0))
+                           for n in names}).drop(*mu.values(), *sd.values())
+
+
 def zscore_scored(df, x, out, missing, eligible="eligible", eps=1e-12, by=DATE,
                   max_group=None) -> DataFrame:
     """z-score over eligible rows with a floor on the deviation, and a missing flag."""

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import stats
 from ..functions.clean import c, ratio
 from . import cross
+from .joins import every_session
 
 
-def day_quality(df: DataFrame, x: str, eligible: str = "eligible", eps: float = 1e-12) -> DataFrame:
+def day_quality(df: DataFrame, x: str, eligible: str = "eligible", eps: float = 1e-12,
+                by=("date",)) -> DataFrame:
     """Coverage and degeneracy of a factor per date, over eligible rows."""
     v = F.when(F.col(eligible), c(x))
     total, present = F.count_if(F.col(eligible)), F.count(v)
-    return df.groupBy("date").agg(
+    return df.groupBy(*by).agg(
         F.coalesce(ratio(present.cast("double"), total.cast("double")), F.lit(1.0)).alias("coverage"),
         ((total > 0) & ((present < 2) | (F.coalesce(F.stddev_pop(v), F.lit(0.0)) < eps)))
         .alias("degenerate"))
@@ -122,28 +124,32 @@ def rolling_behavior(daily: DataFrame, as_of_dates: DataFrame, horizon: int, win
     """Nine statistics of the last ``window`` mature rows for every as-of date.
 
     A label matures a fixed number of days after its date, so the mature rows of a
-    factor are a prefix of its history: roll the statistics once per row, then pick the
-    row whose number equals the count of mature rows. Daily rows of one factor are
-    bounded by the calendar.
+    factor are a prefix of its history: roll the statistics once per row and look up the
+    newest mature row. Daily rows of one factor are bounded by the calendar.
     """
     line = Window.partitionBy("factor_id").orderBy("date")
     last = line.rowsBetween(-(window - 1), 0)
-    cols = {"_n": F.row_number().over(line), "mature_sample_count": F.count(F.lit(1)).over(last)}
+    cols = {"mature_sample_count": F.count(F.lit(1)).over(last)}
     for name in names:
         mean, std = F.avg(name).over(last), F.stddev_samp(name).over(last)
         cols[f"{name}_mean"] = mean
         cols[f"{name}_std"] = F.when(F.count(name).over(last) >= 2, std)
         cols[f"{name}_ir"] = F.when(F.count(name).over(last) >= 2, ratio(mean, std))
     rolled = daily.withColumns(cols)
-    # Next time the history grows by a mature row: the answer holds in between.
-    starts = rolled.select(
-        "factor_id", (F.col("date") + F.make_dt_interval(F.lit(horizon))).alias("_after"),
-        F.lead(F.col("date") + F.make_dt_interval(F.lit(horizon))).over(line).alias("_until"),
-        "mature_sample_count", *[f"{n}_{s}" for n in names for s in ("mean", "std", "ir")])
-    dates = as_of_dates.select(F.col("date").alias("as_of_date"))
-    return (starts.join(F.broadcast(dates), (F.col("as_of_date") > F.col("_after"))
-                        & (F.col("_until").isNull() | (F.col("as_of_date") <= F.col("_until"))))
-            .drop("_after", "_until"))
+    names_out = ["mature_sample_count", *[f"{n}_{s}" for n in names for s in ("mean", "std", "ir")]]
+    # One time line per factor: statistics take effect when their newest label has
+    # matured, as-of dates look back at the latest ones strictly before them.
+    effect = rolled.select(
+        "factor_id", (F.col("date") + F.make_dt_interval(F.lit(horizon))).alias("at"),
+        F.lit(1).alias("kind"), F.struct(*names_out).alias("row"))
+    asked = every_session(daily.select("factor_id").distinct(), as_of_dates).select(
+        "factor_id", F.col("date").alias("at"), F.lit(0).alias("kind"))
+    past = (Window.partitionBy("factor_id").orderBy("at", "kind")
+            .rowsBetween(Window.unboundedPreceding, 0))
+    merged = effect.unionByName(asked, allowMissingColumns=True).withColumn(
+        "row", F.last("row", ignorenulls=True).over(past))
+    return merged.filter("kind = 0 AND row IS NOT NULL").select(
+        F.col("at").alias("as_of_date"), "factor_id", "row.*")
 
 
 def pair_daily(wide: DataFrame, factors, by=("date",), floor: float | None = None) -> DataFrame:
@@ -177,3 +183,27 @@ def pooled_spearman(wide: DataFrame, factors, max_group=None) -> DataFrame:
     ranked = with_pair_ranks(rows, "x", "y", ("f1", "f2"), max_group)
     return ranked.groupBy("f1", "f2").agg(stats.pearson("_rx", "_ry", 3).alias("spearman"),
                                           F.count(F.lit(1)).alias("pairs"))
+
+
+def parity(a: DataFrame, b: DataFrame, keys, columns) -> DataFrame:
+    """Per column: rows on one side only, missing-flag differences, largest error."""
+    left = a.select(*keys, *[F.col(x).alias(f"a_{x}") for x in columns], F.lit(True).alias("_a"))
+    right = b.select(*keys, *[F.col(x).alias(f"b_{x}") for x in columns], F.lit(True).alias("_b"))
+    both = left.join(right, list(keys), "full")
+    cells = F.explode(F.array(*[
+        F.struct(F.lit(x).alias("field"), F.col(f"a_{x}").alias("x"), F.col(f"b_{x}").alias("y"))
+        for x in columns])).alias("cell")
+    alone = F.col("_a").isNull() | F.col("_b").isNull()
+    return both.select(alone.alias("alone"), cells).select("alone", "cell.*").groupBy("field").agg(
+        F.count_if("alone").alias("unmatched"),
+        F.count_if(~F.col("alone") & (F.col("x").isNull() != F.col("y").isNull())).alias("missing_differs"),
+        F.coalesce(F.max(F.abs(F.col("x") - F.col("y"))), F.lit(0.0)).alias("max_error"))
+
+
+def ranking_parity(a: DataFrame, b: DataFrame, score: str, k: int) -> DataFrame:
+    """Per date: do both score tables select the same top k in the same order?"""
+    from .screens import top_k
+    left = top_k(a, score, k).select("date", "rank", F.col("code").alias("x"))
+    right = top_k(b, score, k).select("date", "rank", F.col("code").alias("y"))
+    return left.join(right, ["date", "rank"], "full").groupBy("date").agg(
+        F.every(F.col("x").eqNullSafe(F.col("y"))).alias("same_ranking"))

@@ -18,10 +18,9 @@ def calendar(df: DataFrame) -> DataFrame:
 
 def every_session(entities: DataFrame, dates: DataFrame) -> DataFrame:
     """Each entity at each date: the (bounded) calendar travels as one array row and is
-    unrolled next to each entity, without shuffling either side."""
-    days = dates.agg(F.sort_array(F.collect_set("date")).alias("_days"))
-    return (entities.crossJoin(F.broadcast(days))
-            .select(*entities.columns, F.explode("_days").alias("date")))
+    unrolled next to each entity, without shuffling the entities."""
+    days = dates.select("date").distinct().agg(F.sort_array(F.collect_list("date"))).scalar()
+    return entities.select(*entities.columns, F.explode(days).alias("date"))
 
 
 def pad(panel: DataFrame) -> DataFrame:
@@ -63,8 +62,8 @@ def warm_up(panel: DataFrame, lookback: int, as_of: Column | None = None) -> Dat
 
 def last_available(panel: DataFrame, as_of: Column) -> DataFrame:
     """Rows of the latest date that is not after the as-of date."""
-    day = panel.filter(F.col("date") <= as_of).agg(F.max("date").alias("date"))
-    return panel.join(F.broadcast(day), "date", "left_semi")
+    day = panel.filter(F.col("date") <= as_of).agg(F.max("date")).scalar()
+    return panel.filter(F.col("date") == day)
 
 
 def mask_by_publication(value, published: Column, date: Column) -> Column:

@@ -127,15 +127,15 @@ STATES = f"""ret AS (SELECT *, coalesce(close / nullif(lag(close) OVER {WC}, 0)
  days0 AS (SELECT date, avg(ret) AS market_return FROM ret GROUP BY date),
  days AS (SELECT *, coalesce(CASE WHEN count(*) OVER w >= 2 THEN stddev_pop(market_return) OVER w END, 0) AS market_volatility
   FROM days0 WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
- states AS (SELECT date, CASE WHEN market_volatility >= 0.09 THEN 'high_volatility' WHEN market_return >= 0.15 THEN 'bull'
-  WHEN market_return <= 0.1 THEN 'bear' ELSE 'sideways' END AS state_id FROM days)"""
+ states AS (SELECT date, CASE WHEN market_volatility >= 3.4 THEN 'high_volatility' WHEN market_return >= 4.75 THEN 'bull'
+  WHEN market_return <= 2.75 THEN 'bear' ELSE 'sideways' END AS state_id FROM days)"""
 
 
 def states(spark, sf):
     """Market states; the two-sided rule is centred on the typical weekly return."""
     days = ft.market_volatility(ft.market_features(weekly_panel(spark, sf).df))
-    centred = days.withColumn("market_return", F.col("market_return") - 0.125)
-    return ft.rule_states(centred, 0.025, 0.09).select("date", "state_id")
+    centred = days.withColumn("market_return", F.col("market_return") - 3.75)
+    return ft.rule_states(centred, 1.0, 3.4).select("date", "state_id")
 
 
 COND_OUT = f"""count(ic) AS sample_count, {rd('avg(CASE WHEN sample_count >= 3 THEN 1.0::DOUBLE ELSE 0.0 END)')} AS coverage, {rd('avg(ic)')} AS ic_mean,
@@ -209,8 +209,8 @@ def t33(spark, sf):
     return out(past.withColumn("_n", F.row_number().over(w)).filter("_n <= 40"), "date", "factor_id", ic="ic")
 
 
-@query("T34", f"""WITH {DP}, asof AS (SELECT DISTINCT date AS as_of_date FROM pw),
- m AS (SELECT as_of_date, dp.* FROM asof JOIN dp ON date < as_of_date AND label_available_date < as_of_date
+@query("T34", f"""WITH {DP}, asd AS (SELECT DISTINCT date AS as_of_date FROM pw),
+ m AS (SELECT as_of_date, dp.* FROM asd JOIN dp ON date < as_of_date AND label_available_date < as_of_date
   QUALIFY row_number() OVER (PARTITION BY as_of_date, factor_id ORDER BY date DESC) <= 40)
  SELECT as_of_date, factor_id, count(*) AS mature_sample_count, {BEHAVIOR} FROM m GROUP BY as_of_date, factor_id""")
 def t34(spark, sf):
@@ -256,7 +256,7 @@ SPEAR = f"""prs AS (SELECT 'mom4' AS f1, 'rev1' AS f2, mom4 AS x, rev1 AS y FROM
 @query("V11", f"WITH {FW}, {SPEAR} SELECT f1, f2, {rd('spearman')} AS spearman, pairs FROM spear")
 def v11(spark, sf):
     df, _ = wide(spark, sf)
-    return out(ev.pooled_spearman(df, SPEAR_NAMES), "f1", "f2", "pairs", spearman="spearman")
+    return out(ev.pooled_spearman(df, SPEAR_NAMES, weekly_panel(spark, sf).rows), "f1", "f2", "pairs", spearman="spearman")
 
 
 @query("V12", f"""{LABEL}, s AS (SELECT date, code, (high - low) / open AS x, label FROM lab WHERE Ifsuspend = 0),

@@ -17,19 +17,10 @@ from ..session import run_dir
 
 @dataclass(frozen=True)
 class Panel:
-    """A stored panel, unique on (date, code), and the measured size of its dates."""
+    """A stored panel, unique on (date, code), with its measured size."""
     df: DataFrame
-    max_group: int
-
-    @property
-    def calendar(self) -> DataFrame:
-        """One row per session with its number; bounded by MAX_SESSIONS."""
-        from pyspark.sql import Window
-        w = Window.orderBy("date")
-        return (self.df.select("date").distinct()
-                .select("date", F.row_number().over(w).alias("session"),
-                        F.lead("date").over(w).alias("next_date"),
-                        F.lag("date").over(w).alias("prev_date")))
+    max_group: int      # rows of the largest date
+    rows: int
 
 
 _STORED: dict[tuple[str, str, str], Panel] = {}
@@ -46,8 +37,8 @@ def store(spark: SparkSession, name: str, key: str, build) -> Panel:
          .write.bucketBy(buckets, "code").sortBy("code", "date")
          .option("path", path).saveAsTable(table))
         df = spark.table(table)
-        widest = df.groupBy("date").count().agg(F.max("count")).first()[0] or 0
-        _STORED[slot] = Panel(df, int(widest))
+        widest, total = df.groupBy("date").count().agg(F.max("count"), F.sum("count")).first()
+        _STORED[slot] = Panel(df, int(widest or 0), int(total or 0))
     return _STORED[slot]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import c, ratio
 from ..functions.scalar import add as add_present
+from ..session import cut
 from . import cross, joins, screens
 
 
@@ -182,7 +183,8 @@ def l1_weights(zscores: DataFrame, names, target: str, alpha: float):
     rows = VectorAssembler(inputCols=list(names), outputCol="_x").transform(rows)
     fit = LinearRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", fitIntercept=False,
                            standardization=False, elasticNetParam=1.0, regParam=alpha / 2)
-    return fit.fit(rows.select("_x", "_y", "_weight"))
+    # The solver reads the sample once per iteration.
+    return fit.fit(cut(rows.select("_x", "_y", "_weight"), "sample"))
 
 
 def pick_for_state(candidates: DataFrame, categories: dict[str, str], pairs: DataFrame, state: str,

@@ -55,3 +55,8 @@ def grid(fields=("close", "volume", "amount"), windows=(4, 8)) -> dict[str, Colu
     """Field x operator x window candidates."""
     return {f"{op}_{field}_{n}": make(field, n) for field in fields
             for op, make in GRID_OPERATORS.items() for n in windows}
+
+
+def matrix(panel: DataFrame, field: str, codes) -> DataFrame:
+    """Date x code matrix of one field; the codes are listed, which saves a pass."""
+    return panel.groupBy("date").pivot("code", list(codes)).agg(F.first(field))

@@ -34,3 +34,26 @@ def materialize_factors(panel: DataFrame, factors: dict[str, Column]) -> DataFra
     errors = spark.createDataFrame([(n, 0, 0, None, "error") for n in bad],
                                    "factor_id string, row_count long, valid_count long, coverage double, status string")
     return status.unionByName(errors)
+
+
+def export_panel(rows: DataFrame) -> DataFrame:
+    """Write selected panel rows and return their profile."""
+    from ..operators.quality import profile
+    path = run_dir(rows.sparkSession, "pool_panel")
+    rows.write.parquet(path)
+    return profile(rows.sparkSession.read.parquet(path))
+
+
+def export_snapshot(spark, tables: dict[str, DataFrame]) -> DataFrame:
+    """Write the tables of a research snapshot; the manifest lists their row counts as
+    read back from storage."""
+    root = run_dir(spark, "snapshot")
+    parts = []
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{name}")
+        parts.append(spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("row_count"))
+                     .select(F.lit(name).alias("table_name"), "row_count"))
+    manifest = parts[0]
+    for part in parts[1:]:
+        manifest = manifest.unionByName(part)
+    return manifest

@@ -49,3 +49,9 @@ def spread_rank(rank, driver: str = "gaussian", sigma: float = 1.0) -> Column:
     if driver == "cauchy":
         return F.tan(F.pi() * (r - 0.5)) * F.lit(float(sigma))
     return probit(r) * F.lit(float(sigma))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, for formulas that repeat an
+    expensive argument many times."""
+    return F.transform(F.array(value), use)[0]

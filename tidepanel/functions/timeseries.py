@@ -13,7 +13,7 @@ from operator import add as _plus
 from pyspark.sql import Column, Window, WindowSpec, functions as F
 
 from .clean import c, ratio
-from .probit import spread_rank
+from .probit import bind, spread_rank
 
 def history() -> WindowSpec:
     return Window.partitionBy("code").orderBy("date")
@@ -105,7 +105,7 @@ def ts_rank(x, n: int) -> Column:
 
 
 def ts_quantile(x, n: int, driver: str = "gaussian", sigma: float = 1.0) -> Column:
-    return spread_rank(ts_rank(x, n), driver, sigma)
+    return bind(ts_rank(x, n), lambda p: spread_rank(p, driver, sigma))
 
 
 def ts_scale(x, n: int) -> Column:

@@ -31,14 +31,14 @@ def weighted_sum(weights: dict[str, float]) -> Column:
 
 
 def frozen_score(df: DataFrame, weights: dict[str, float], eligible: str = "eligible",
-                 eps: float = 1e-12, max_group=None) -> DataFrame:
+                 eps: float = 1e-12) -> DataFrame:
     """Score of fixed weights over eligible-only z-scores, with one contribution per
     factor; ``violation`` marks eligible rows on which every factor is missing."""
     names = list(weights)
     kept = {n: cross._temp(n) for n in names}
     df = df.withColumns({kept[n]: F.when(F.col(eligible), F.col(n)) for n in names})
     mu, sd = {n: cross._temp("mu") for n in names}, {n: cross._temp("sd") for n in names}
-    df = cross.attach(df, max_group=max_group, **{mu[n]: F.avg(kept[n]) for n in names},
+    df = cross.attach(df, **{mu[n]: F.avg(kept[n]) for n in names},
                       **{sd[n]: F.stddev_pop(kept[n]) for n in names})
     parts = []
     for n in names:
@@ -54,7 +54,7 @@ def frozen_score(df: DataFrame, weights: dict[str, float], eligible: str = "elig
         *kept.values(), *mu.values(), *sd.values())
 
 
-def dated_weights_alpha(df: DataFrame, weights: DataFrame, names, max_group=None) -> DataFrame:
+def dated_weights_alpha(df: DataFrame, weights: DataFrame, names) -> DataFrame:
     """Alpha with weights that vary by date: sum(w z) / sum(w) over present factors.
 
     ``weights`` is (date, factor_id, weight); it becomes one map per date. The map is
@@ -63,7 +63,7 @@ def dated_weights_alpha(df: DataFrame, weights: DataFrame, names, max_group=None
     maps = weights.filter(F.col("factor_id").isin(list(names))).groupBy("date").agg(
         F.map_from_entries(F.collect_list(F.struct("factor_id", "weight"))).alias("_w"))
     mu, sd = {n: cross._temp("mu") for n in names}, {n: cross._temp("sd") for n in names}
-    df = cross.attach(df, max_group=max_group, **{mu[n]: F.avg(n) for n in names},
+    df = cross.attach(df, **{mu[n]: F.avg(n) for n in names},
                       **{sd[n]: F.stddev_pop(n) for n in names})
     df = df.join(maps, "date")
     z = {n: ratio(F.col(n) - F.col(mu[n]), sd[n]) for n in names}
@@ -74,12 +74,12 @@ def dated_weights_alpha(df: DataFrame, weights: DataFrame, names, max_group=None
 
 
 def asof_selection(panel_factors: DataFrame, pool: DataFrame, weights: dict[str, float], as_of: Column,
-                   top_n: int, min_coverage: float, max_group=None) -> DataFrame:
+                   top_n: int, min_coverage: float, pool_size=None) -> DataFrame:
     """Rank a pool on the last available date: score, coverage, first reason, rank."""
     day = joins.last_available(panel_factors, as_of)
     raw = {n: f"_raw_{n}" for n in weights}
     day = day.withColumns({raw[n]: F.col(n) for n in weights})
-    day = cross.zscores_filled(day, list(weights), max_group=max_group)
+    day = cross.zscores_filled(day, list(weights))
     present = reduce(add, [F.col(raw[n]).isNotNull().cast("double") for n in weights])
     day = day.select("code", "close", "Ifsuspend", weighted_sum(weights).alias("_score"),
                      (present / len(weights)).alias("_coverage"), F.lit(True).alias("_seen"))
@@ -92,7 +92,7 @@ def asof_selection(panel_factors: DataFrame, pool: DataFrame, weights: dict[str,
         ("suspended", F.col("Ifsuspend") != 0), ("all_factors_missing", F.col("coverage") <= 0),
         ("insufficient_factor_coverage", F.col("coverage") + 1e-12 < min_coverage)])
     got = got.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "")
-    return screens.ranking(got.drop("_score", "_coverage", "_seen"), "score", top_n)
+    return screens.ranking(got.drop("_score", "_coverage", "_seen"), "score", top_n, max_group=pool_size)
 
 
 def with_catalog(metrics: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Cross-sectional operators: per date, or per date and group.
 
-Two exact routes. When the caller has measured that no group exceeds
-``GROUP_ROWS_LIMIT`` rows, a window per group is used (one shuffle). Otherwise the
-statistics are aggregated map-side and joined back, and ranks are computed from
-value counts in ordered buckets, so no task ever holds a whole date.
+Statistics are aggregated map-side and joined back. Ranks have two exact routes: where
+the caller has measured that no group exceeds ``GROUP_ROWS_LIMIT`` rows, a window per
+group (one shuffle, one sort); otherwise value counts in ordered buckets, so that no
+task ever holds a whole date.
 """
 
 from __future__ import annotations
@@ -33,15 +33,12 @@ def join_groups(df: DataFrame, stats: DataFrame, by) -> DataFrame:
     return df.join(F.broadcast(stats) if tuple(by) == DATE else stats, list(by), "left")
 
 
-def attach(df: DataFrame, by=DATE, max_group: int | None = None, **aggs: Column) -> DataFrame:
-    """Add one column per aggregate of the row's group (NULL for a NULL group key)."""
-    by = tuple(by)
-    if group_fits(max_group):
-        known = F.lit(True)
-        for key in by:
-            known = known & F.col(key).isNotNull()
-        w = Window.partitionBy(*by)
-        return df.withColumns({name: F.when(known, agg.over(w)) for name, agg in aggs.items()})
+def attach(df: DataFrame, by=DATE, **aggs: Column) -> DataFrame:
+    """Add one column per aggregate of the row's group (NULL for a NULL group key).
+
+    Statistics combine map-side and come back by a join: no task holds a group, and
+    for dates the rows themselves are not shuffled at all.
+    """
     return join_groups(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
 
 
@@ -55,13 +52,19 @@ def order_sums(values: DataFrame, by, x: str, weight: str, below: str) -> DataFr
     by = list(by)
     edges, bucket, before = _temp("edges"), _temp("bucket"), _temp("before")
     value = F.col(x)
+    # The filter also makes sample and values need the same columns, so that both read
+    # one shuffle of the value table.
+    values = values.filter(F.col(weight) > 0)
     sample = (values.groupBy(*by, F.pmod(F.xxhash64(value), F.lit(SLOTS)).alias("slot"))
               .agg(F.min(value).alias("pick")))
     cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list("pick")).alias("picks"))
     cuts = cuts.select(*by, F.filter(
         "picks", lambda e, i: (i > 0) & (i % STRIDE == 0)).alias(edges))
-    placed = values.join(cuts, by).withColumn(
-        bucket, F.size(F.filter(edges, lambda e: e <= value))).drop(edges)
+    placed = values.join(cuts, by).withColumn(bucket, F.lit(0))
+    for step in (64, 32, 16, 8, 4, 2, 1):      # binary search among at most 127 edges
+        probe = F.get(edges, F.col(bucket) + (step - 1))
+        placed = placed.withColumn(bucket, F.when(probe <= value, F.col(bucket) + step).otherwise(F.col(bucket)))
+    placed = placed.drop(edges)
     ordered = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = (placed.groupBy(*by, bucket).agg(F.sum(weight).alias("w"))
               .select(*by, bucket, F.coalesce(F.sum("w").over(ordered), F.lit(0)).alias(before)))
@@ -77,10 +80,12 @@ def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True,
     """Rank with ties averaged over the non-NULL values of the group."""
     by = tuple(by)
     if group_fits(max_group):
-        group = Window.partitionBy(*by)
-        place = (F.rank().over(group.orderBy(F.col(x).asc_nulls_last()))
-                 + (F.count(x).over(Window.partitionBy(*by, x)) - 1) / F.lit(2.0))
-        value = place / F.count(x).over(group) if pct else place
+        # One sort serves all three: peers are the rows in range of the current value.
+        line = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
+        peers = F.count(x).over(line.rangeBetween(Window.currentRow, Window.currentRow))
+        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        place = F.rank().over(line) + (peers - 1) / F.lit(2.0)
+        value = place / F.count(x).over(whole) if pct else place
         known = F.col(x).isNotNull()
         for key in by:
             known = known & F.col(key).isNotNull()
@@ -106,39 +111,38 @@ def densify(df: DataFrame, x: str, out: str) -> DataFrame:
     return df.join(codes.select(x, F.col(below).cast("double").alias(out)), x, "left")
 
 
-def _moments(df, x, by, max_group):
+def _moments(df, x, by):
     mu, sd = _temp("mu"), _temp("sd")
-    out = attach(df, by, max_group, **{mu: F.avg(x), sd: F.stddev_pop(x)})
+    out = attach(df, by, **{mu: F.avg(x), sd: F.stddev_pop(x)})
     return out, F.col(mu), F.col(sd), [mu, sd]
 
 
-def zscore(df, x, out, by=DATE, max_group=None) -> DataFrame:
+def zscore(df, x, out, by=DATE) -> DataFrame:
     """(x - mean) / population deviation; NULL where the group does not vary."""
-    df, mu, sd, temp = _moments(df, x, by, max_group)
+    df, mu, sd, temp = _moments(df, x, by)
     return df.withColumn(out, ratio(c(x) - mu, sd)).drop(*temp)
 
 
-def zscore_filled(df, x, out, by=DATE, max_group=None) -> DataFrame:
+def zscore_filled(df, x, out, by=DATE) -> DataFrame:
     """z-score used in composition: no variation or a missing value gives 0."""
-    df, mu, sd, temp = _moments(df, x, by, max_group)
+    df, mu, sd, temp = _moments(df, x, by)
     return df.withColumn(out, F.coalesce(ratio(c(x) - mu, sd), F.lit(0.0))).drop(*temp)
 
 
-def zscores_filled(df, names, by=DATE, max_group=None) -> DataFrame:
+def zscores_filled(df, names, by=DATE) -> DataFrame:
     """Composition z-scores of many columns in place: one pass of statistics for all."""
     mu, sd = {n: _temp("mu") for n in names}, {n: _temp("sd") for n in names}
-    df = attach(df, by, max_group, **{mu[n]: F.avg(n) for n in names},
+    df = attach(df, by, **{mu[n]: F.avg(n) for n in names},
                 **{sd[n]: F.stddev_pop(n) for n in names})
     return df.withColumns({n: F.coalesce(ratio(c(n) - F.col(mu[n]), sd[n]), F.lit(0.0))
                            for n in names}).drop(*mu.values(), *sd.values())
 
 
-def zscore_scored(df, x, out, missing, eligible="eligible", eps=1e-12, by=DATE,
-                  max_group=None) -> DataFrame:
+def zscore_scored(df, x, out, missing, eligible="eligible", eps=1e-12, by=DATE) -> DataFrame:
     """z-score over eligible rows with a floor on the deviation, and a missing flag."""
     kept = _temp("kept")
     df = df.withColumn(kept, F.when(F.col(eligible), c(x)))
-    df, mu, sd, temp = _moments(df, kept, by, max_group)
+    df, mu, sd, temp = _moments(df, kept, by)
     z = (F.col(kept) - mu) / F.greatest(sd, F.lit(eps))
     return df.withColumns({out: F.coalesce(z, F.lit(0.0)),
                            missing: F.col(kept).isNull()}).drop(kept, *temp)
@@ -150,8 +154,8 @@ def eligible_rank(df, x, out, eligible="eligible", by=DATE, max_group=None) -> D
     return rank(df, kept, out, by, True, max_group).drop(kept)
 
 
-def normalize(df, x, out, use_std=False, limit=0.0, by=DATE, max_group=None) -> DataFrame:
-    df, mu, sd, temp = _moments(df, x, by, max_group)
+def normalize(df, x, out, use_std=False, limit=0.0, by=DATE) -> DataFrame:
+    df, mu, sd, temp = _moments(df, x, by)
     value = ratio(c(x) - mu, sd) if use_std else c(x) - mu
     if limit > 0:
         value = F.when(value.isNotNull(),
@@ -159,12 +163,11 @@ def normalize(df, x, out, use_std=False, limit=0.0, by=DATE, max_group=None) ->
     return df.withColumn(out, value).drop(*temp)
 
 
-def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE,
-          max_group=None) -> DataFrame:
+def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE) -> DataFrame:
     """Scale the group to a book of ``size``, or the two sides separately."""
     gross, longs, shorts = _temp("gross"), _temp("longs"), _temp("shorts")
     x = c(x)
-    df = attach(df, by, max_group, **{
+    df = attach(df, by, **{
         gross: F.sum(F.abs(x)), longs: F.sum(F.greatest(x, F.lit(0.0))),
         shorts: F.sum(F.abs(F.least(x, F.lit(0.0))))})
     if long_size != 1 or short_size != 1:
@@ -177,8 +180,8 @@ def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE,
     return df.withColumn(out, value).drop(gross, longs, shorts)
 
 
-def winsorize(df, x, out, std=4.0, by=DATE, max_group=None) -> DataFrame:
-    df, mu, sd, temp = _moments(df, x, by, max_group)
+def winsorize(df, x, out, std=4.0, by=DATE) -> DataFrame:
+    df, mu, sd, temp = _moments(df, x, by)
     low, high = mu - F.lit(std) * sd, mu + F.lit(std) * sd
     value = F.when(c(x).isNotNull(), F.greatest(F.least(c(x), high), low))
     return df.withColumn(out, value).drop(*temp)
@@ -190,31 +193,31 @@ def quantile(df, x, out, driver="gaussian", sigma=1.0, by=DATE, max_group=None)
     return df.withColumn(out, spread_rank(r, driver, sigma)).drop(r)
 
 
-def group_neutralize(df, x, group, out, max_group=None) -> DataFrame:
+def group_neutralize(df, x, group, out) -> DataFrame:
     mu = _temp("mu")
-    df = attach(df, ("date", group), max_group, **{mu: F.avg(x)})
+    df = attach(df, ("date", group), **{mu: F.avg(x)})
     return df.withColumn(out, c(x) - F.col(mu)).drop(mu)
 
 
-def group_scale(df, x, group, out, size=1.0, max_group=None) -> DataFrame:
+def group_scale(df, x, group, out, size=1.0) -> DataFrame:
     gross = _temp("gross")
-    df = attach(df, ("date", group), max_group, **{gross: F.sum(F.abs(c(x)))})
+    df = attach(df, ("date", group), **{gross: F.sum(F.abs(c(x)))})
     return df.withColumn(out, ratio(x, gross) * F.lit(size)).drop(gross)
 
 
-def group_mean(df, x, weight, group, out, max_group=None) -> DataFrame:
+def group_mean(df, x, weight, group, out) -> DataFrame:
     """Weighted mean of the group; the weights of missing values count too."""
     top, bottom = _temp("top"), _temp("bottom")
-    df = attach(df, ("date", group), max_group, **{
+    df = attach(df, ("date", group), **{
         top: F.sum(c(x) * c(weight)), bottom: F.sum(c(weight))})
     value = ratio(F.coalesce(F.col(top), F.lit(0.0)), bottom)
     return df.withColumn(out, F.when(F.col(group).isNotNull(), value)).drop(top, bottom)
 
 
-def group_filled(df, x, group, out, std=4.0, max_group=None) -> DataFrame:
+def group_filled(df, x, group, out, std=4.0) -> DataFrame:
     """Missing values take the mean of their group's winsorized values. A forward
     fill per code (``timeseries.ts_backfill``) completes the backfill operator."""
     w, mu = _temp("w"), _temp("mu")
-    df = winsorize(df, x, w, std, max_group=max_group)
-    df = attach(df, ("date", group), max_group, **{mu: F.avg(w)})
+    df = winsorize(df, x, w, std)
+    df = attach(df, ("date", group), **{mu: F.avg(w)})
     return df.withColumn(out, F.coalesce(c(x), F.col(mu))).drop(w, mu)

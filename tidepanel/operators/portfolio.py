@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import c, ratio
 from . import joins
-from .screens import top_k
 
 YEAR_DAYS = 252.0
 BY = ("strategy_id",)
@@ -28,56 +27,67 @@ def equity(daily: DataFrame, ret: str, by=BY) -> DataFrame:
     return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1.0)
 
 
-def executions(signals: DataFrame, panel: DataFrame, by=BY) -> DataFrame:
+def best_signals(signals: DataFrame, k: int, by=BY) -> DataFrame:
+    """Top k scores per strategy and date. A date without any score keeps placeholder
+    rows, because it still is an execution (of an empty portfolio)."""
+    w = Window.partitionBy(*by, "date").orderBy(F.col("score").desc_nulls_last(), F.col("code"))
+    return (signals.select(*by, "date", "code", "score").withColumn("_n", F.row_number().over(w))
+            .filter(F.col("_n") <= k).drop("_n"))
+
+
+def executions(best: DataFrame, panel: DataFrame, by=BY) -> DataFrame:
     """Signal dates with the session they execute on and the previous execution date
-    (the signal date itself for the first)."""
-    dates = signals.select(*by, "date").distinct()
-    moved = joins.next_session(dates, joins.calendar(panel))
+    (the signal date itself for the first): one row per strategy and session."""
+    moved = joins.next_session(best.select(*by, "date").distinct(), joins.calendar(panel))
     w = Window.partitionBy(*by).orderBy("date")
     return moved.withColumns({"prev": F.coalesce(F.lag("date").over(w), F.col("signal_date")),
                               "next": F.lead("date").over(w)})
 
 
-def target_weights(signals: DataFrame, runs: DataFrame, panel: DataFrame, k: int, by=BY,
+def target_weights(best: DataFrame, runs: DataFrame, panel: DataFrame, by=BY,
                    price: str = "close", cap: float | None = None) -> DataFrame:
     """Equal weights of the top k that can trade at execution, renormalized to 1
     (or capped per name)."""
-    best = top_k(signals, "score", k, by=(*by, "date")).select(
-        *by, F.col("date").alias("signal_date"), "code")
+    picks = best.filter("score IS NOT NULL").select(*by, F.col("date").alias("signal_date"), "code")
     market = panel.filter(F.coalesce(F.col("Ifsuspend"), F.lit(0.0)) == 0).select(
         "date", "code", F.col(price).alias("px"))
-    held = best.join(runs, [*by, "signal_date"]).join(market, ["date", "code"])
+    held = picks.join(runs, [*by, "signal_date"]).join(market, ["date", "code"])
     weight = F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(*by, "date"))
     return held.withColumn("weight", weight if cap is None else F.least(weight, F.lit(cap)))
 
 
-def gross_returns(positions: DataFrame, panel: DataFrame, by=BY, price: str = "close") -> DataFrame:
-    """Weighted return since the previous execution date; no earlier price counts as 0."""
+def position_returns(positions: DataFrame, panel: DataFrame, price: str = "close") -> DataFrame:
+    """Return of each position since the previous execution date; without an earlier
+    price it is 0."""
     old = panel.select(F.col("date").alias("prev"), "code", F.col(price).alias("old_px"))
-    r = F.coalesce(ratio("px", "old_px") - 1.0, F.lit(0.0))
-    return positions.join(old, ["prev", "code"], "left").groupBy(*by, "date").agg(
-        F.sum(F.col("weight") * r).alias("gross_return"),
-        F.count_if(F.col("weight") > 0).alias("holding_count"))
+    return positions.join(old, ["prev", "code"], "left").withColumn(
+        "ret", F.coalesce(ratio("px", "old_px") - 1.0, F.lit(0.0)))
+
 
+def daily_flows(returns: DataFrame, by=BY) -> DataFrame:
+    """Gross return, holdings and turnover per strategy and date.
 
-def turnover(positions: DataFrame, by=BY) -> DataFrame:
-    """Sum of absolute weight changes: each position counts on its own date and, with
-    opposite sign, on the next execution date. No self-join."""
-    arrive = positions.select(*by, "date", "code", F.col("weight").alias("w"))
-    leave = positions.filter(F.col("next").isNotNull()).select(
-        *by, F.col("next").alias("date"), "code", (-F.col("weight")).alias("w"))
-    moves = arrive.unionByName(leave).groupBy(*by, "date", "code").agg(F.sum("w").alias("w"))
-    return moves.groupBy(*by, "date").agg(F.sum(F.abs("w")).alias("turnover"))
+    Each position counts on its own date and, with opposite sign, on the next execution
+    date; the absolute net change per name sums to the turnover. No self-join.
+    """
+    weight = F.col("weight")
+    arrive = F.struct(F.col("date"), weight.alias("w"), (weight * F.col("ret")).alias("gain"), F.lit(1).alias("held"))
+    leave = F.struct(F.col("next").alias("date"), (-weight).alias("w"), F.lit(0.0).alias("gain"), F.lit(0).alias("held"))
+    moves = returns.select(*by, "code", F.explode(F.array(arrive, leave)).alias("m")).select(
+        *by, "code", "m.*").filter("date IS NOT NULL")
+    names = moves.groupBy(*by, "date", "code").agg(
+        F.sum("w").alias("w"), F.sum("gain").alias("gain"), F.sum("held").alias("held"))
+    return names.groupBy(*by, "date").agg(
+        F.sum("gain").alias("gross_return"), F.sum("held").alias("holding_count"), F.sum(F.abs("w")).alias("turnover"))
 
 
 def account(signals: DataFrame, panel: DataFrame, k: int, fee: float, by=BY,
             price: str = "close") -> DataFrame:
     """Daily gross and net return, turnover, cost, holdings, equity and drawdown."""
-    runs = executions(signals, panel, by)
-    held = target_weights(signals, runs, panel, k, by, price)
-    daily = (runs.join(gross_returns(held, panel, by, price), [*by, "date"], "left")
-             .join(turnover(held, by), [*by, "date"], "left"))
-    daily = daily.select(*by, "date", "signal_date", *[
+    best = best_signals(signals, k, by)
+    runs = executions(best, panel, by)
+    flows = daily_flows(position_returns(target_weights(best, runs, panel, by, price), panel, price), by)
+    daily = runs.join(flows, [*by, "date"], "left").select(*by, "date", "signal_date", *[
         F.coalesce(x, F.lit(0.0)).alias(x) for x in ("gross_return", "turnover")],
         F.coalesce("holding_count", F.lit(0)).cast("bigint").alias("holding_count"))
     daily = daily.withColumn("cost", F.col("turnover") * F.lit(float(fee)))

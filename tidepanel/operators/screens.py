@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import c, ratio
+from ..session import group_fits
 
 
 def universe(panel: DataFrame, category: str | None = None, min_amount: float | None = None,
@@ -87,21 +88,29 @@ def top_k(df: DataFrame, score: str, k: int, by=("date",), tie: str = "code", pl
             .filter(F.col(place) <= k))
 
 
-def ranking(df: DataFrame, score: str, top_n: int, by=(), tie: str = "code") -> DataFrame:
+def ranking(df: DataFrame, score: str, top_n: int, by=(), tie: str = "code",
+            max_group: int | None = None) -> DataFrame:
     """Eligible rows first by score, with rank, selected flag and outside_top_n reason.
 
-    ``eligible`` and ``reason`` are columns of ``df``. Ranked per group through bucketed
-    positions, so one as-of date with a very large universe is no single task.
+    ``eligible`` and ``reason`` are columns of ``df``. Groups of unknown or large size
+    are ranked through bucketed positions: a date with a very large universe is no
+    single task.
     """
-    from .cross import order_sums
     by = list(by)
+    if group_fits(max_group):
+        w = Window.partitionBy(*by, "eligible").orderBy(F.col(score).desc(), F.col(tie).asc())
+        return _selected(df.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(w))), top_n)
     df = df.withColumn("_all", F.lit(1))
     keys = ["_all", *by]
+    from .cross import order_sums
     good = df.filter("eligible").select(*keys, F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")).alias("_key"),
                                         F.col(tie).alias("_t")).withColumn("_one", F.lit(1))
     placed = order_sums(good, keys, "_key", "_one", "_below").select(
         *keys, F.col("_t").alias(tie), (F.col("_below") + 1).cast("int").alias("rank"))
-    out = df.join(placed, [*keys, tie], "left").drop("_all")
+    return _selected(df.join(placed, [*keys, tie], "left").drop("_all"), top_n)
+
+
+def _selected(out: DataFrame, top_n: int) -> DataFrame:
     selected = F.coalesce(F.col("eligible") & (F.col("rank") <= top_n), F.lit(False))
     return out.withColumns({"selected": selected, "reason": F.when(
         F.col("eligible") & ~selected, "outside_top_n").otherwise(F.col("reason"))})

@@ -61,8 +61,12 @@ def accounts(spark, sf):
 
 
 def positions(spark, sf, cap=None):
-    m, s = market(spark, sf), signals(spark, sf)
-    return pf.target_weights(s, pf.executions(s, m), m, K, cap=cap)
+    m, best = market(spark, sf), pf.best_signals(signals(spark, sf), K)
+    return pf.target_weights(best, pf.executions(best, m), m, cap=cap)
+
+
+def flows(spark, sf):
+    return pf.daily_flows(pf.position_returns(positions(spark, sf), market(spark, sf)))
 
 
 @query("R1", f"{AC} SELECT strategy_id, signal_date, date, code, {rd('weight')} AS weight FROM pos")
@@ -77,12 +81,12 @@ def r2(spark, sf):
 
 @query("R3", f"{AC} SELECT strategy_id, date, holding_count, {rd('gross_return')} AS gross_return FROM gr")
 def r3(spark, sf):
-    return out(pf.gross_returns(positions(spark, sf), market(spark, sf)), "strategy_id", "date", "holding_count", gross_return="gross_return")
+    return out(flows(spark, sf).filter("holding_count > 0"), "strategy_id", "date", "holding_count", gross_return="gross_return")
 
 
 @query("J11", f"{AC} SELECT strategy_id, date, {rd('turnover')} AS turnover FROM tv")
 def j11(spark, sf):
-    return out(pf.turnover(positions(spark, sf)), "strategy_id", "date", turnover="turnover")
+    return out(flows(spark, sf), "strategy_id", "date", turnover="turnover")
 
 
 def _ac(names):

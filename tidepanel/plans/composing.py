@@ -43,8 +43,8 @@ ZE = ", ".join(f"coalesce((k_{n} - avg(k_{n}) OVER d) / greatest(stddev_pop(k_{n
  SELECT date, code, {rd(dot(WEIGHTS, fmt='z_{n}'))} AS score, {rd('z_mom4 * 0.5')} AS mom4_part, k_mom4 IS NULL AS mom4_missing, 3::INT AS parts,
  eligible AND k_mom4 IS NULL AND k_rev1 IS NULL AND k_rng IS NULL AS violation FROM z""")
 def x3(spark, sf):
-    df, size = wide(spark, sf)
-    got = cp.frozen_score(df, WEIGHTS, max_group=size)
+    df, _ = wide(spark, sf)
+    got = cp.frozen_score(df, WEIGHTS)
     first = F.col("contributions")[0]
     return out(got.withColumns({"mom4_missing": first["missing"], "parts": F.size("contributions")}),
                *KEYS, "mom4_missing", "parts", "violation", score="score", mom4_part=first["contribution"])
@@ -57,13 +57,13 @@ ZN = "(({n} - avg({n}) OVER d) / nullif(stddev_pop({n}) OVER d, 0))"
  w AS (SELECT z.*, up_ratio AS wa, 1 - up_ratio AS wb, 0.5::DOUBLE AS wc FROM z JOIN days USING (date))
  SELECT date, code, {rd('CASE WHEN coalesce(mom4, rev1, rng) IS NOT NULL THEN (coalesce(mom4 * wa, 0) + coalesce(rev1 * wb, 0) + coalesce(rng * wc, 0)) / nullif((CASE WHEN mom4 IS NOT NULL THEN wa ELSE 0 END) + (CASE WHEN rev1 IS NOT NULL THEN wb ELSE 0 END) + (CASE WHEN rng IS NOT NULL THEN wc ELSE 0 END), 0) END')} AS alpha FROM w""")
 def x4(spark, sf):
-    df, size = wide(spark, sf)
+    df, _ = wide(spark, sf)
     days = ft.market_features(weekly_panel(spark, sf).df)
     weights = days.select("date", F.explode(F.array(
         F.struct(F.lit("mom4").alias("factor_id"), F.col("up_ratio").alias("weight")),
         F.struct(F.lit("rev1").alias("factor_id"), (1 - F.col("up_ratio")).alias("weight")),
         F.struct(F.lit("rng").alias("factor_id"), F.lit(0.5).alias("weight")))).alias("w")).select("date", "w.*")
-    return out(cp.dated_weights_alpha(df, weights, ("mom4", "rev1", "rng"), size), *KEYS, alpha="alpha")
+    return out(cp.dated_weights_alpha(df, weights, ("mom4", "rev1", "rng")), *KEYS, alpha="alpha")
 
 
 @query("X5", f"""WITH {FW}, pool AS (SELECT lpad((s_suppkey * 2)::VARCHAR, 6, '0') AS code FROM supplier),
@@ -76,9 +76,9 @@ def x4(spark, sf):
  k AS (SELECT *, reason = '' AS eligible, CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY reason = '' ORDER BY score DESC, code) END AS rank FROM j)
  SELECT code, {rd('score')} AS score, {rd('coverage')} AS coverage, eligible, rank, coalesce(rank <= 10, false) AS selected, CASE WHEN rank > 10 THEN 'outside_top_n' ELSE reason END AS reason FROM k""")
 def x5(spark, sf):
-    df, size = wide(spark, sf)
+    df, _ = wide(spark, sf)
     pool = read(spark, sf, "supplier").select(zero_pad((F.col("s_suppkey") * 2).cast("string")).alias("code"))
-    got = cp.asof_selection(df, pool, WEIGHTS, F.lit("2001-06-07").cast("timestamp"), 10, 0.5, size)
+    got = cp.asof_selection(df, pool, WEIGHTS, F.lit("2001-06-07").cast("timestamp"), 10, 0.5, pool.count())
     return out(got.withColumn("rank", F.col("rank").cast("bigint")), "code", "eligible", "rank", "selected", "reason", score="score", coverage="coverage")
 
 

@@ -36,9 +36,9 @@ register("C2", f"{MOM}, e AS (SELECT *, CASE WHEN eligible THEN x END AS ex FROM
                f" SELECT date, code, {rd(rank_sql('ex'))} AS z FROM e",
          lambda df, n: cross.eligible_rank(df, "x", "z", max_group=n))
 register("C3", f"{STATS} SELECT date, code, {rd('(x - mu) / nullif(sd, 0)')} AS z FROM s",
-         lambda df, n: cross.zscore(df, "x", "z", max_group=n))
+         lambda df, n: cross.zscore(df, "x", "z"))
 register("C4", f"{STATS} SELECT date, code, {rd('coalesce((x - mu) / nullif(sd, 0), 0)')} AS z FROM s",
-         lambda df, n: cross.zscore_filled(df, "x", "z", max_group=n))
+         lambda df, n: cross.zscore_filled(df, "x", "z"))
 
 
 @query("C5", f"""{MOM}, e AS (SELECT *, CASE WHEN eligible THEN x END AS ex FROM b)
@@ -46,7 +46,7 @@ register("C4", f"{STATS} SELECT date, code, {rd('coalesce((x - mu) / nullif(sd,
  ex IS NULL AS missing FROM e WINDOW d AS (PARTITION BY date)""")
 def c5(spark, sf):
     df, size = mom(spark, sf)
-    df = cross.zscore_scored(df, "x", "z", "missing", max_group=size)
+    df = cross.zscore_scored(df, "x", "z", "missing")
     return out(df, *KEYS, "missing", z="z")
 
 
@@ -54,9 +54,9 @@ def c5(spark, sf):
  {rd('CASE WHEN x IS NOT NULL THEN greatest(least(x - mu, 0.3), -0.3) END')} AS clipped FROM s""")
 def c6(spark, sf):
     df, n = mom(spark, sf)
-    df = cross.normalize(df, "x", "centered", max_group=n)
-    df = cross.normalize(df, "x", "scaled", use_std=True, max_group=n)
-    df = cross.normalize(df, "x", "clipped", limit=0.3, max_group=n)
+    df = cross.normalize(df, "x", "centered")
+    df = cross.normalize(df, "x", "scaled", use_std=True)
+    df = cross.normalize(df, "x", "clipped", limit=0.3)
     return out(df, *KEYS, centered="centered", scaled="scaled", clipped="clipped")
 
 
@@ -67,13 +67,13 @@ def c6(spark, sf):
  FROM s""")
 def c7(spark, sf):
     df, n = mom(spark, sf)
-    df = cross.scale(df, "x", "whole", max_group=n)
-    df = cross.scale(df, "x", "sides", long_size=2.0, short_size=0.5, max_group=n)
+    df = cross.scale(df, "x", "whole")
+    df = cross.scale(df, "x", "sides", long_size=2.0, short_size=0.5)
     return out(df, *KEYS, whole="whole", sides="sides")
 
 
 register("C8", f"{STATS} SELECT date, code, {rd('CASE WHEN x IS NOT NULL THEN greatest(least(x, mu + 1.5 * sd), mu - 1.5 * sd) END')} AS z FROM s",
-         lambda df, n: cross.winsorize(df, "x", "z", 1.5, max_group=n))
+         lambda df, n: cross.winsorize(df, "x", "z", 1.5))
 
 
 def _horner(t, coefficients):
@@ -124,13 +124,13 @@ def c11(spark, sf):
 register("G1", f"{MOM} SELECT date, code, {rd(rank_sql('x', 'date, sector'))} AS z FROM b",
          lambda df, n: cross.rank(df, "x", "z", by=("date", "sector"), max_group=n))
 register("G2", f"{MOM} SELECT date, code, {rd('x - avg(x) OVER (PARTITION BY date, sector)')} AS z FROM b",
-         lambda df, n: cross.group_neutralize(df, "x", "sector", "z", max_group=n))
+         lambda df, n: cross.group_neutralize(df, "x", "sector", "z"))
 register("G3", f"{MOM} SELECT date, code, {rd('(x - avg(x) OVER g) / nullif(stddev_pop(x) OVER g, 0)')} AS z FROM b WINDOW g AS (PARTITION BY date, sector)",
-         lambda df, n: cross.zscore(df, "x", "z", by=("date", "sector"), max_group=n))
+         lambda df, n: cross.zscore(df, "x", "z", by=("date", "sector")))
 register("G4", f"{MOM} SELECT date, code, {rd('x / nullif(sum(abs(x)) OVER g, 0) * 10')} AS z FROM b WINDOW g AS (PARTITION BY date, sector)",
-         lambda df, n: cross.group_scale(df, "x", "sector", "z", 10.0, max_group=n))
+         lambda df, n: cross.group_scale(df, "x", "sector", "z", 10.0))
 register("G5", f"{MOM} SELECT date, code, {rd('coalesce(sum(x * volume) OVER g, 0) / nullif(sum(volume) OVER g, 0)')} AS z FROM b WINDOW g AS (PARTITION BY date, sector)",
-         lambda df, n: cross.group_mean(df, "x", "volume", "sector", "z", max_group=n))
+         lambda df, n: cross.group_mean(df, "x", "volume", "sector", "z"))
 
 
 @query("G6", f"""{MOM}, s AS (SELECT *, CASE WHEN Ifsuspend = 0 THEN x END AS v FROM b),
@@ -141,5 +141,5 @@ register("G5", f"{MOM} SELECT date, code, {rd('coalesce(sum(x * volume) OVER g,
 def g6(spark, sf):
     df, n = mom(spark, sf)
     df = df.withColumn("v", F.when(F.col("Ifsuspend") == 0, F.col("x")))
-    df = cross.group_filled(df, "v", "industry", "f", 2.0, max_group=n)
+    df = cross.group_filled(df, "v", "industry", "f", 2.0)
     return out(df, *KEYS, z=ts.ts_backfill("f", 3))

@@ -236,7 +236,7 @@ Z = f"{FW}, zw AS (SELECT date, code, target, eligible, " + ", ".join(
 def zscores(spark, sf, names=NAMES):
     """Composition z-scores of the factor set, one statistics pass for all factors."""
     df, size = wide(spark, sf)
-    return cross.zscores_filled(df, names, max_group=size), size
+    return cross.zscores_filled(df, names), size
 
 
 @query("V10", f"""WITH {Z}, l AS (SELECT date, code, unnest([{', '.join(f"'{n}'" for n in NAMES)}]) AS f, unnest([{', '.join(NAMES)}]) AS z FROM zw),

@@ -366,7 +366,7 @@ def k2(spark, sf):
 def k3(spark, sf):
     df = weekly(spark, sf).withColumns({"eligible": F.col("Ifsuspend") == 0, "score": F.round(F.col("close") / F.col("open"), 2)})
     df = df.withColumn("reason", F.when(F.col("eligible"), "").otherwise("suspended"))
-    got = screens.ranking(df, "score", 10, by=("date",))
+    got = screens.ranking(df, "score", 10, by=("date",), max_group=weekly_panel(spark, sf).max_group)
     return got.select(*KEYS, "eligible", F.col("rank").cast("bigint").alias("rank"), "selected", "reason")
 
 

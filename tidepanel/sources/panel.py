@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clean import ratio, session_day, zero_pad
 from ..session import run_dir
@@ -26,16 +26,35 @@ class Panel:
 _STORED: dict[tuple[str, str, str], Panel] = {}
 
 
-def store(spark: SparkSession, name: str, key: str, build) -> Panel:
-    """Write the panel on first use in this application, then reuse the table."""
+ROWS_PER_BUCKET = 4_000_000     # a few hundred MB of panel columns per task
+MAX_BUCKETS = 50_000
+
+
+def bucket_count(spark: SparkSession, fact_rows: int) -> int:
+    """Buckets by input size, and enough of them to occupy the cores on small inputs."""
+    by_size = -(-fact_rows // ROWS_PER_BUCKET)
+    by_cores = min(spark.sparkContext.defaultParallelism, -(-fact_rows // 5_000))
+    return max(1, min(max(by_size, by_cores), MAX_BUCKETS))
+
+
+def store(spark: SparkSession, name: str, key: str, facts: DataFrame, build, finish=None) -> Panel:
+    """Write the panel on first use in this application, then reuse the table.
+
+    ``finish`` adds columns that need a code's whole history, after the shuffle by code.
+    """
     slot = (spark.sparkContext.applicationId, name, key)
     if slot not in _STORED:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # Counting Parquet rows reads file footers only.
+        fact_rows = facts.count()
+        buckets = bucket_count(spark, fact_rows)
+        if fact_rows < ROWS_PER_BUCKET:
+            # A small file may be a single split: spread it over the cores.
+            facts = facts.repartition(buckets, *facts.columns[:2])
         path = run_dir(spark, name)
         table = "tidepanel_" + path.rsplit("-", 1)[1]
-        (build().repartition(buckets, "code").sortWithinPartitions("code", "date")
-         .write.bucketBy(buckets, "code").sortBy("code", "date")
-         .option("path", path).saveAsTable(table))
+        rows = build(facts).repartition(buckets, "code")
+        (rows if finish is None else finish(rows)).sortWithinPartitions(
+            "code", "date").write.bucketBy(buckets, "code").sortBy("code", "date").option("path", path).saveAsTable(table)
         df = spark.table(table)
         widest, total = df.groupBy("date").count().agg(F.max("count"), F.sum("count")).first()
         _STORED[slot] = Panel(df, int(widest or 0), int(total or 0))
@@ -46,58 +65,79 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def price_panel(facts: DataFrame, day: Column, code: Column, price: Column,
-                order: Column, extra_last: dict[str, Column], aggs: dict[str, Column]) -> DataFrame:
+def order_number(*parts: tuple[Column, int]) -> Column:
+    """Columns (non-negative integers, with their number of digits) as one number that
+    sorts like the tuple. A number keeps first/last aggregates in hash aggregation,
+    where a struct key would sort all facts before they are combined."""
+    total, shift = None, 0
+    for value, digits in reversed(parts):
+        unit = F.lit("1" + "0" * shift).cast("decimal(38,0)")
+        term = (value.cast("decimal(38,0)") * unit).cast("decimal(38,0)")
+        total = term if total is None else (term + total).cast("decimal(38,0)")
+        shift += digits
+    if shift > 38:
+        raise ValueError("order key does not fit 38 digits")
+    return total
+
+
+def price_panel(facts: DataFrame, day: Column, code: Column, price: Column, order: Column,
+                last: dict[str, Column], aggs: dict[str, Column]) -> DataFrame:
     """Open, high, low and close per (date, code) from ordered facts.
 
-    ``min_by`` / ``max_by`` combine map-side, so a code with a large share of the facts
-    is reduced to one row per date before anything is shuffled.
+    All aggregates have numeric buffers and combine map-side, so a code with a large
+    share of the facts is reduced to one row per date before anything is shuffled.
     """
     rows = facts.select("*", day.alias("date"), code.alias("code"), price.alias("_price"),
-                        order.alias("_order")).filter("date IS NOT NULL")
-    last = F.struct(F.col("_price").alias("close"),
-                    *[v.alias(k) for k, v in extra_last.items()])
-    grouped = rows.groupBy("date", "code").agg(
-        F.min_by("_price", "_order").alias("open"), F.max_by(last, F.col("_order")).alias("_last"),
+                        order.alias("_order"), *[v.alias(f"_{k}") for k, v in last.items()])
+    return rows.filter("date IS NOT NULL").groupBy("date", "code").agg(
+        F.min_by("_price", "_order").alias("open"), F.max_by("_price", "_order").alias("close"),
         F.max("_price").alias("high"), F.min("_price").alias("low"),
-        *[v.alias(k) for k, v in aggs.items()])
-    return grouped.select("date", "code", "open", "_last.*", "high", "low", *aggs)
+        *[F.max_by(f"_{k}", "_order").alias(k) for k in last], *[v.alias(k) for k, v in aggs.items()])
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str) -> Panel:
     """Weekly supplier panel from line items."""
-    def build():
-        item = read(spark, sf_dir, "lineitem")
+    item = read(spark, sf_dir, "lineitem")
+
+    def build(item):
         supplier = read(spark, sf_dir, "supplier")
         nation = read(spark, sf_dir, "nation")
-        key = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+        week = F.date_trunc("week", session_day("l_shipdate"))
+        # Ship dates are whole days; the digits leave room for a trillion orders.
+        key = order_number(
+            (F.datediff("l_shipdate", week), 1), (F.col("l_orderkey"), 12), (F.col("l_linenumber"), 1),
+            (F.col("l_partkey"), 12), (F.round(F.col("l_extendedprice") * 100).cast("bigint"), 10))
         panel = price_panel(
-            item, F.date_trunc("week", session_day("l_shipdate")), F.col("l_suppkey"),
-            ratio("l_extendedprice", "l_quantity"), key,
+            item, week, F.col("l_suppkey"), ratio("l_extendedprice", "l_quantity"), key,
             {"Ifsuspend": F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0),
-             "category": F.col("l_linestatus")},
+             "status": F.ascii("l_linestatus")},
             {"volume": F.sum("l_quantity"),
              "amount": F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"),
              "first_ship": F.min("l_shipdate")})
-        listed = panel.groupBy("code").agg(F.min("first_ship").alias("ListedDate"))
         groups = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
             F.col("s_suppkey").alias("code"), F.col("s_nationkey").cast("int").alias("industry"),
             F.col("n_regionkey").cast("int").alias("sector"))
-        return (panel.drop("first_ship").join(listed, "code").join(groups, "code", "left")
+        return (panel.withColumn("category", F.char("status")).drop("status").join(groups, "code", "left")
                 .withColumn("code", zero_pad(F.col("code").cast("string"))))
-    return store(spark, "weekly", sf_dir, build)
+
+    def listed(panel):
+        first = F.min("first_ship").over(Window.partitionBy("code"))
+        return panel.withColumn("ListedDate", first).drop("first_ship")
+    return store(spark, "weekly", sf_dir, item, build, listed)
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> Panel:
     """Daily user panel from events."""
-    def build():
+    events = read(spark, sf_dir, "events")
+
+    def build(events):
         def seen(kind):
             return F.max(F.when(F.col("event_type") == kind, 1.0).otherwise(0.0))
         return price_panel(
-            read(spark, sf_dir, "events"), session_day("ts"),
+            events, session_day("ts"),
             zero_pad(F.col("user_id").cast("string")), F.col("value"),
-            F.struct("ts", "event_id"), {},
+            order_number((F.unix_micros("ts") - F.unix_micros(F.date_trunc("day", "ts")), 11), (F.col("event_id"), 18)), {},
             {"volume": F.count(F.lit(1)).cast("double"),
              "amount": F.sum(F.col("value").cast("decimal(18,2)")).cast("double"),
              "Ifsuspend": seen("error"), "if_up": seen("purchase"), "if_down": seen("signup")})
-    return store(spark, "daily", sf_dir, build)
+    return store(spark, "daily", sf_dir, events, build)

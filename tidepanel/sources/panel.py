@@ -133,10 +133,11 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> Panel:
     def build(events):
         def seen(kind):
             return F.max(F.when(F.col("event_type") == kind, 1.0).otherwise(0.0))
+        ts = F.col("ts").cast("timestamp")
         return price_panel(
             events, session_day("ts"),
             zero_pad(F.col("user_id").cast("string")), F.col("value"),
-            order_number((F.unix_micros("ts") - F.unix_micros(F.date_trunc("day", "ts")), 11), (F.col("event_id"), 18)), {},
+            order_number((F.unix_micros(ts) - F.unix_micros(F.date_trunc("day", ts)), 11), (F.col("event_id"), 18)), {},
             {"volume": F.count(F.lit(1)).cast("double"),
              "amount": F.sum(F.col("value").cast("decimal(18,2)")).cast("double"),
              "Ifsuspend": seen("error"), "if_up": seen("purchase"), "if_down": seen("signup")})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clean import c, finite
 from ..session import cut
-from .cross import order_sums
+from .cross import WIDE_LEVELS, order_sums
 from .screens import top_k
 
 
@@ -20,7 +20,7 @@ def medians(df: DataFrame, columns) -> DataFrame:
         [], list(columns), "field", "value").filter("value IS NOT NULL")
     counts = cells.groupBy("field", "value").agg(F.count(F.lit(1)).alias("k"))
     sizes = counts.groupBy("field").agg(F.sum("k").alias("n"))
-    placed = order_sums(counts, ["field"], "value", "k", "below").join(sizes, "field")
+    placed = order_sums(counts, ["field"], "value", "k", "below", WIDE_LEVELS).join(sizes, "field")
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     holds = [(F.col("below") < p) & (p <= F.col("below") + F.col("k")) for p in (low, high)]
     return placed.filter(holds[0] | holds[1]).groupBy("field").agg(

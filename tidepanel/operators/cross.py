@@ -17,8 +17,9 @@ from ..functions.probit import spread_rank
 from ..session import group_fits
 
 DATE = ("date",)
-SLOTS = 2048      # sampled values per group from which bucket edges are drawn
-STRIDE = 16       # every STRIDE-th sampled value is an edge: at most 127 edges
+STRIDE = 16       # every STRIDE-th sampled value of a group is a bucket edge
+LEVELS = 7        # up to 2^7 buckets per date
+WIDE_LEVELS = 10  # up to 2^10 buckets where there are few, larger groups
 
 
 def _temp(name: str) -> str:
@@ -42,41 +43,46 @@ def attach(df: DataFrame, by=DATE, **aggs: Column) -> DataFrame:
     return join_groups(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
 
 
-def order_sums(values: DataFrame, by, x: str, weight: str, below: str) -> DataFrame:
+def order_sums(values: DataFrame, by, x: str, weight: str, below: str,
+               levels: int = LEVELS) -> DataFrame:
     """For a table unique on (by, x): the weight of all smaller x in the group.
 
-    Groups are cut into ordered buckets. The edges come from a hash-slot sample (one
-    value per slot, so at most SLOTS per group, the same on every re-run); only the
-    small bucket totals are accumulated per group.
+    Groups are cut into at most 2^levels ordered buckets. The edges come from a sample
+    of one value per hash slot, which is bounded and the same on every re-run; only the
+    small bucket totals are accumulated per group. ``by`` empty is the whole table.
     """
-    by = list(by)
+    if not by:
+        whole = _temp("whole")
+        return order_sums(values.withColumn(whole, F.lit(0)), [whole], x, weight, below, levels).drop(whole)
+    by, slots = list(by), STRIDE << levels
+    few = F.broadcast if by[0].startswith("__whole") else (lambda t: t)   # a single group
     edges, bucket, before = _temp("edges"), _temp("bucket"), _temp("before")
     value = F.col(x)
     # The filter also makes sample and values need the same columns, so that both read
     # one shuffle of the value table.
     values = values.filter(F.col(weight) > 0)
-    sample = (values.groupBy(*by, F.pmod(F.xxhash64(value), F.lit(SLOTS)).alias("slot"))
+    sample = (values.groupBy(*by, F.pmod(F.xxhash64(value), F.lit(slots)).alias("slot"))
               .agg(F.min(value).alias("pick")))
     cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list("pick")).alias("picks"))
     cuts = cuts.select(*by, F.filter(
         "picks", lambda e, i: (i > 0) & (i % STRIDE == 0)).alias(edges))
-    placed = values.join(cuts, by).withColumn(bucket, F.lit(0))
-    for step in (64, 32, 16, 8, 4, 2, 1):      # binary search among at most 127 edges
-        probe = F.get(edges, F.col(bucket) + (step - 1))
-        placed = placed.withColumn(bucket, F.when(probe <= value, F.col(bucket) + step).otherwise(F.col(bucket)))
-    placed = placed.drop(edges)
+    # Binary search for the number of edges at or below the value.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(edges, at + step - 1) <= value, at + step).otherwise(at))
+    placed = values.join(few(cuts), by).withColumn(bucket, place).drop(edges)
     ordered = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     totals = (placed.groupBy(*by, bucket).agg(F.sum(weight).alias("w"))
               .select(*by, bucket, F.coalesce(F.sum("w").over(ordered), F.lit(0)).alias(before)))
     inside = (Window.partitionBy(*by, bucket).orderBy(x)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (placed.join(totals, [*by, bucket])
+    return (placed.join(few(totals), [*by, bucket])
             .withColumn(below, F.col(before) + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
             .drop(bucket, before))
 
 
 def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True,
-         max_group: int | None = None) -> DataFrame:
+         max_group: int | None = None, levels: int = LEVELS) -> DataFrame:
     """Rank with ties averaged over the non-NULL values of the group."""
     by = tuple(by)
     if group_fits(max_group):
@@ -93,7 +99,7 @@ def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True,
     ties, below, n = _temp("ties"), _temp("below"), _temp("n")
     values = (df.filter(F.col(x).isNotNull()).groupBy(*by, x)
               .agg(F.count(F.lit(1)).alias(ties)))
-    placed = order_sums(values, by, x, ties, below)
+    placed = order_sums(values, by, x, ties, below, levels)
     place = F.col(below) + (F.col(ties) + 1) / F.lit(2.0)
     if pct:
         sizes = values.groupBy(*by).agg(F.sum(ties).alias(n))
@@ -104,10 +110,9 @@ def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True,
 
 def densify(df: DataFrame, x: str, out: str) -> DataFrame:
     """Label number 0..k-1 in sorted order over the whole panel."""
-    whole, below = _temp("all"), _temp("below")
-    labels = (df.select(x).filter(F.col(x).isNotNull()).distinct()
-              .withColumn(whole, F.lit(1)).withColumn("one", F.lit(1)))
-    codes = order_sums(labels, [whole], x, "one", below)
+    below = _temp("below")
+    labels = df.select(x).filter(F.col(x).isNotNull()).distinct().withColumn("one", F.lit(1))
+    codes = order_sums(labels, (), x, "one", below, WIDE_LEVELS)
     return df.join(codes.select(x, F.col(below).cast("double").alias(out)), x, "left")
 
 

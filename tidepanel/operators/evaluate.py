@@ -38,12 +38,12 @@ def unpivot(wide: DataFrame, factors, keep=("date", "code"), value: str = "value
     return wide.unpivot(list(keep), list(factors), "factor_id", value)
 
 
-def with_pair_ranks(df: DataFrame, x: str, y: str, by, max_group=None) -> DataFrame:
+def with_pair_ranks(df: DataFrame, x: str, y: str, by, max_group=None, levels=cross.LEVELS) -> DataFrame:
     """Ranks of both sides among the complete pairs of each group."""
     px, py = stats.paired(x, y)
     df = df.withColumns({"_px": px, "_py": py})
-    df = cross.rank(df, "_px", "_rx", by, False, max_group)
-    return cross.rank(df, "_py", "_ry", by, False, max_group).drop("_px", "_py")
+    df = cross.rank(df, "_px", "_rx", by, False, max_group, levels)
+    return cross.rank(df, "_py", "_ry", by, False, max_group, levels).drop("_px", "_py")
 
 
 def daily_ic(values: DataFrame, by=("date", "factor_id"), x="value", y="target",
@@ -167,11 +167,23 @@ def pair_daily(wide: DataFrame, factors, by=("date",), floor: float | None = Non
     return daily.select(*by, rows).select(*by, "p.*")
 
 
-def mutual_ic(wide: DataFrame, factors) -> DataFrame:
-    """Mean daily correlation of the z-scores of each factor pair."""
-    daily = pair_daily(wide, factors, floor=1e-3)
-    return daily.groupBy("f1", "f2").agg(F.avg("ic").alias("mutual_ic"),
-                                         F.count("ic").alias("usable_dates"))
+def mutual_ic(zscores: DataFrame, factors, floor: float = 1e-3) -> DataFrame:
+    """Mean daily correlation of each pair of filled z-scores (no NULLs): one mean and
+    deviation per factor and one product per pair, all combined map-side."""
+    pairs = list(combinations(factors, 2))
+    daily = zscores.groupBy("date").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in factors],
+        *[F.stddev_pop(f).alias(f"s_{f}") for f in factors],
+        *[F.avg(F.col(a) * F.col(b)).alias(f"x_{a}_{b}") for a, b in pairs])
+
+    def corr(a, b):
+        sa, sb = F.col(f"s_{a}"), F.col(f"s_{b}")
+        value = (F.col(f"x_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / (sa * sb)
+        return F.when(F.col("n") >= 2, F.when((sa < floor) | (sb < floor), 0.0).otherwise(value))
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), corr(a, b).alias("ic"))
+                               for a, b in pairs])).alias("p")
+    return daily.select(rows).select("p.*").groupBy("f1", "f2").agg(
+        F.avg("ic").alias("mutual_ic"), F.count("ic").alias("usable_dates"))
 
 
 def pooled_spearman(wide: DataFrame, factors, max_group=None) -> DataFrame:
@@ -180,7 +192,7 @@ def pooled_spearman(wide: DataFrame, factors, max_group=None) -> DataFrame:
         F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).alias("x"), F.col(b).alias("y"))
         for a, b in combinations(factors, 2)])).alias("p")
     rows = wide.select(pairs).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    ranked = with_pair_ranks(rows, "x", "y", ("f1", "f2"), max_group)
+    ranked = with_pair_ranks(rows, "x", "y", ("f1", "f2"), max_group, cross.WIDE_LEVELS)
     return ranked.groupBy("f1", "f2").agg(stats.pearson("_rx", "_ry", 3).alias("spearman"),
                                           F.count(F.lit(1)).alias("pairs"))
 

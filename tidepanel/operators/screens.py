@@ -100,14 +100,12 @@ def ranking(df: DataFrame, score: str, top_n: int, by=(), tie: str = "code",
     if group_fits(max_group):
         w = Window.partitionBy(*by, "eligible").orderBy(F.col(score).desc(), F.col(tie).asc())
         return _selected(df.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(w))), top_n)
-    df = df.withColumn("_all", F.lit(1))
-    keys = ["_all", *by]
-    from .cross import order_sums
-    good = df.filter("eligible").select(*keys, F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")).alias("_key"),
+    from .cross import LEVELS, WIDE_LEVELS, order_sums
+    good = df.filter("eligible").select(*by, F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")).alias("_key"),
                                         F.col(tie).alias("_t")).withColumn("_one", F.lit(1))
-    placed = order_sums(good, keys, "_key", "_one", "_below").select(
-        *keys, F.col("_t").alias(tie), (F.col("_below") + 1).cast("int").alias("rank"))
-    return _selected(df.join(placed, [*keys, tie], "left").drop("_all"), top_n)
+    placed = order_sums(good, by, "_key", "_one", "_below", LEVELS if by else WIDE_LEVELS).select(
+        *by, F.col("_t").alias(tie), (F.col("_below") + 1).cast("int").alias("rank"))
+    return _selected(df.join(placed, [*by, tie], "left"), top_n)
 
 
 def _selected(out: DataFrame, top_n: int) -> DataFrame:

@@ -53,8 +53,8 @@ def store(spark: SparkSession, name: str, key: str, facts: DataFrame, build, fin
         path = run_dir(spark, name)
         table = "tidepanel_" + path.rsplit("-", 1)[1]
         rows = build(facts).repartition(buckets, "code")
-        (rows if finish is None else finish(rows)).sortWithinPartitions(
-            "code", "date").write.bucketBy(buckets, "code").sortBy("code", "date").option("path", path).saveAsTable(table)
+        (rows if finish is None else finish(rows)).write.bucketBy(buckets, "code").sortBy(
+            "code", "date").option("path", path).saveAsTable(table)
         df = spark.table(table)
         widest, total = df.groupBy("date").count().agg(F.max("count"), F.sum("count")).first()
         _STORED[slot] = Panel(df, int(widest or 0), int(total or 0))

@@ -9,12 +9,10 @@ from ..session import run_dir
 
 
 def write_partitioned(df: DataFrame, by, name: str) -> str:
-    """Hive-style directories. Rows are spread over the value of the partition columns
-    and a salt, so that a large partition is written by many tasks into several files."""
+    """Hive-style directories. The rebalance hint lets adaptive execution split a large
+    partition over several tasks and files and merge small ones, by measured size."""
     path = run_dir(df.sparkSession, name)
-    by = list(by)
-    salt = F.pmod(F.xxhash64(*[F.col(x) for x in df.columns if x not in by]), F.lit(8))
-    df.repartition(*[F.col(x) for x in by], salt).write.partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
     return path
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import timeseries as ts
-from ..operators import evaluate as ev, portfolio as pf, screens
+from ..operators import evaluate as ev, portfolio as pf
 from ..sources.panel import weekly_panel
 from . import query
 from .common import KEYS, PW, WC, out, rd

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import features as ft, stats, timeseries as ts
+from ..functions import features as ft, timeseries as ts
 from ..functions.clean import zero_pad
-from ..operators import compose as cp, cross, evaluate as ev, factors as fs, portfolio as pf
+from ..operators import compose as cp, evaluate as ev, factors as fs, portfolio as pf
 from ..sources.panel import read, weekly_panel
 from . import query
 from .accounting import FEE, K, OBJ, SUM_SQL, accounts_sql, market
-from .common import KEYS, PW, WC, out, rank_sql, rd
+from .common import KEYS, PW, out, rank_sql, rd
 from .evaluation import (DP, FL, FW, METRICS, NAMES, SPEAR, SPEAR_NAMES, STATES, Z, floored_sql,
                          performance, states, wide, zscores)
 from .history import DAYS

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as ft, stats, timeseries as ts
-from ..operators import cross, evaluate as ev, factors as fs, joins, screens
+from ..operators import cross, evaluate as ev, factors as fs, joins
 from ..sources.panel import weekly_panel
 from . import query
 from .common import KEYS, PW, WC, full_sql, out, rank_sql, rd, wn
-from .history import DAYS, LABEL, SEG_SQL, SEGMENTS, segments
+from .history import DAYS, LABEL, segments
 
 NAMES = ("mom4", "rev1", "vol8", "liq4", "rng")
 HORIZON = 28      # days until a label of four weekly sessions is known

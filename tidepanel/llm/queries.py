@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import common, pieces
+from pyspark.sql import functions as F
+
+from ..session import run_dir
+from . import common, pieces, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +28,12 @@ def op3(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), digests=True)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op6_token_files")
+def op6(spark, sf_dir):
+    """Token files of every document, read back: place, length and checksum of its ids."""
+    path = run_dir(spark, "tokens")
+    tokenfile.write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    found = tokenfile.read(spark, path, as_bytes=True)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

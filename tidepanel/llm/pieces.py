@@ -16,15 +16,18 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from .wordcache import ChunkCache
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Chunks whose pieces a worker remembers; the cache is emptied when it is full.
-CACHE_CHUNKS = 200_000
+#: Characters of text a worker encodes at a time (a longer text is taken whole).
+STEP_CHARS = 1 << 21
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -87,7 +90,8 @@ class CharacterMap:
 
 
 class PieceModel:
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, library=None):
+        self.library = library
         self.pieces, self.scores, self.kinds, charmap = [], [], [], b""
         self.dummy_prefix = self.trim = self.escape = True
         for field, value in _fields(blob):
@@ -106,12 +110,18 @@ class PieceModel:
             raise ValueError("models with user-defined or unused pieces are not supported")
         self.map = CharacterMap(charmap) if charmap else None
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
+        # Bytes that a piece stands for in unescaped text.
+        self.width = np.array([1 if k == BYTE else len(p.replace(SPACE, " ").encode())
+                               for p, k in zip(self.pieces, self.kinds)], np.int64)
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         # No piece holds a space behind another character: a chunk may end before every space.
         split = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if split else r"[\s\S]+").findall
-        self.cache: dict[str, tuple[list[int], list[int]]] = {}
+        # Without a map and trimming, normalising only writes each space as a mark.
+        # Then, and if every character has pieces, a text is encoded by its distinct chunks.
+        self.plain = self.map is None and not self.trim and self.escape and split and len(self.bytes) == 256
+        self.cache = ChunkCache(b" ", self._learn)
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text and, for each of its bytes and its end, the offset of the original byte."""
@@ -197,24 +207,50 @@ class PieceModel:
                 sizes.append(len(raw))
         return ids, sizes
 
-    def encode(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the original byte span [start, end) of each."""
         norm, origin = self.normalise(text or "")
         ids: list[int] = []
         sizes: list[int] = []
-        cache = self.cache
         for chunk in self.chunks(norm):
-            made = cache.get(chunk)
-            if made is None:
-                made = self.merged(chunk)
-                if len(cache) >= CACHE_CHUNKS:
-                    cache.clear()
-                if len(chunk) <= 64:
-                    cache[chunk] = made
+            made = self.merged(chunk)
             ids += made[0]
             sizes += made[1]
         ends = np.cumsum(np.array(sizes, np.int64))
-        return ids, origin[ends - sizes] if ids else ends, origin[ends]
+        return np.array(ids, np.int64), origin[ends - sizes] if ids else ends, origin[ends]
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of chunks of unescaped text, with their sizes in unescaped bytes.
+
+        The library merges a chunk as ``merged`` does; the space it puts in front stands for the chunk's first.
+        """
+        if self.library is not None and self.dummy_prefix:
+            front = [c[:1] == b" " and len(c) > 1 for c in chunks]
+            found = self.library.encode([c[1:].decode() if f else "" for c, f in zip(chunks, front)], num_threads=1)
+            made = [ids if f else self.merged(c.decode().replace(" ", SPACE))[0]
+                    for ids, f, c in zip(found, front, chunks)]
+        else:
+            made = [self.merged(c.decode().replace(" ", SPACE))[0] for c in chunks]
+        counts = np.fromiter(map(len, made), np.int64, len(made))
+        flat = np.fromiter(chain.from_iterable(made), np.int64, int(counts.sum()))
+        return flat, self.width[flat], counts
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``encode`` of many texts, each distinct chunk once."""
+        plain = [self.plain and SPACE not in t for t in texts]
+        lead = b" " if self.dummy_prefix else b""
+        ids, sizes, borders = self.cache.encode([lead + t.encode() if t else b"" for t, p in zip(texts, plain) if p])
+        ends = np.cumsum(sizes, dtype=np.int64)
+        out, k = [], 0
+        for text, p in zip(texts, plain):
+            if not p:
+                out.append(self.encode(text))
+                continue
+            a, b = borders[k], borders[k + 1]
+            k += 1
+            upto = ends[a:b] - (ends[a - 1] if a else 0) - len(lead)
+            out.append((ids[a:b], np.maximum(upto - sizes[a:b], 0), upto))
+        return out
 
 
 _MODELS: dict[str, tuple] = {}
@@ -226,7 +262,8 @@ def loaded(path: str) -> tuple:
         import sentencepiece
 
         with open(path, "rb") as file:
-            _MODELS[path] = PieceModel(file.read()), sentencepiece.SentencePieceProcessor(model_file=path)
+            library = sentencepiece.SentencePieceProcessor(model_file=path)
+            _MODELS[path] = PieceModel(file.read(), library), library
     return _MODELS[path]
 
 
@@ -238,6 +275,17 @@ DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("
                         T.StructField("decoded_sha256", T.StringType())])
 
 
+def steps(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about STEP_CHARS characters."""
+    at = chars = 0
+    for k, text in enumerate(texts):
+        chars += len(text)
+        if chars >= STEP_CHARS:
+            yield texts[at:k + 1]
+            at, chars = k + 1, 0
+    yield texts[at:]
+
+
 def encode(df: DataFrame, model_path: str, text_col: str = "text", digests: bool = False) -> DataFrame:
     """Add ids, byte spans (starts, ends) and the decoded text; with ``digests`` their count and SHA-256 instead.
 
@@ -253,16 +301,18 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", digests: bool
         model, library = loaded(model_path)
         for batch in batches:
             rows = [[] for _ in added.fields]
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                ids, starts, ends = model.encode(text)
-                decoded = library.decode(ids) if ids else ""
-                if digests:
-                    values = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
-                              hashlib.sha256(decoded.encode()).hexdigest())
-                else:
-                    values = ids, starts.tolist(), ends.tolist(), decoded
-                for row, value in zip(rows, values):
-                    row.append(value)
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            for step in steps(texts):
+                for ids, starts, ends in model.encode_all(step):
+                    ids = ids.tolist()
+                    decoded = library.decode(ids) if ids else ""
+                    if digests:
+                        values = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                                  hashlib.sha256(decoded.encode()).hexdigest())
+                    else:
+                        values = ids, starts, ends, decoded
+                    for row, value in zip(rows, values):
+                        row.append(value)
             kinds = ([pa.int64(), pa.string(), pa.string()] if digests
                      else [pa.list_(pa.int32())] * 3 + [pa.string()])
             yield pa.RecordBatch.from_arrays(

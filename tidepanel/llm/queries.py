@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, pieces, tokenfile
+from . import common, pieces, rules, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,11 @@ def op6(spark, sf_dir):
     tokenfile.write(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     found = tokenfile.read(spark, path, as_bytes=True)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op7_quality_rules", rules.sql())
+def op7(spark, sf_dir):
+    """Counts and verdicts of the quality rules on every document."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judge(docs, keep_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -19,7 +19,7 @@ from .common import stored
 #: Shortest document, in words, and largest share of words in repeated 3-word windows, in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Where expectation-maximisation starts: the share of good documents, a rule's accuracy on good and on bad ones.
-SHARE, ON_GOOD, ON_BAD = 0.8, 0.99, 0.2
+SHARE, ON_GOOD, ON_BAD = 0.8, 0.995, 0.1
 #: Its rounds, and the ranges of these three.
 ROUNDS, SHARE_RANGE, GOOD_RANGE, BAD_RANGE = 20, (0.01, 0.99), (0.97, 0.999), (0.05, 0.95)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper",
@@ -32,7 +32,7 @@ RULES = (
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
     ("lines", "n_lines > 1 AND 10 * n_dup_lines > 3 * n_lines", "n_lines > 1 AND n_dup_lines = 0"),
     ("repetition", "2 * n_repeat_words > n_words", "5 * n_repeat_words <= n_words"),
-    ("letters", "10 * n_letters < 6 * word_chars", "20 * n_letters >= 17 * word_chars"),
+    ("letters", "10 * n_letters < 8 * word_chars", "10 * n_letters >= 9 * word_chars"),
     ("lettered_words", "4 * n_lettered < 3 * n_words", "10 * n_lettered >= 9 * n_words"),
     ("capitals", "10 * n_upper > 4 * n_letters", "20 * n_upper <= 3 * n_letters"),
 )

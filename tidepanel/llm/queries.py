@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, pieces, rules, tokenfile
+from . import common, compressq, pieces, rules, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,12 @@ def op7(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.judge(docs, keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op10_compression_quality")
+def op10(spark, sf_dir):
+    """Compression score of every document; a fifth of the ids is held out of the fit."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = common.crc_of("doc_id") % 5 == 0
+    model = compressq.fit(docs, common.table(spark, sf_dir, "labels").where(~held_out))
+    return compressq.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, compressq, pieces, rules, tokenfile
+from . import common, compressq, langid, pieces, rules, tokenfile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,13 @@ def op10(spark, sf_dir):
     held_out = common.crc_of("doc_id") % 5 == 0
     model = compressq.fit(docs, common.table(spark, sf_dir, "labels").where(~held_out))
     return compressq.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    """Predicted language of every document; a quarter of the ids is held out of the fit."""
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc_of("doc_id") % 4 == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")

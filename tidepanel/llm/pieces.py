@@ -239,7 +239,7 @@ class PieceModel:
         """``encode`` of many texts, each distinct chunk once."""
         plain = [self.plain and SPACE not in t for t in texts]
         lead = b" " if self.dummy_prefix else b""
-        ids, sizes, borders = self.cache.encode([lead + t.encode() if t else b"" for t, p in zip(texts, plain) if p])
+        ids, sizes, borders = self.cache.encode_texts([lead + t.encode() if t else b"" for t, p in zip(texts, plain) if p])
         ends = np.cumsum(sizes, dtype=np.int64)
         out, k = [], 0
         for text, p in zip(texts, plain):

@@ -17,23 +17,26 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .wordcache import ChunkCache
 
-#: White space beyond ASCII, and separators that regular expressions disagree on.
-OTHER_WHITE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
-#: Characters of text a worker tokenises at a time (a longer text is taken whole).
-STEP_CHARS = 1 << 21
+#: UTF-8 of white space beyond ASCII, and of separators that regular expressions disagree on.
+OTHER_WHITE = (rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
+               rb"|\xef\xbb\xbf")
+LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+#: Bytes of text a worker tokenises at a time (a longer text is taken whole).
+STEP_BYTES = 1 << 22
 
 
 class WordTokens:
     """The library's ids of texts, by their distinct words.
 
-    The byte-level pre-tokeniser starts a new word at every white-space run, and merges words apart from each other.
-    So does a row of words that each begin with white space, which is how new words go to the library. Texts with
-    special tokens or white space beyond ASCII go to it whole.
+    The byte-level pre-tokeniser starts a new word at every white-space run and between a letter and a mark, and merges
+    words apart from each other. In a row of words that each begin with white space it finds the same words, so new
+    words go to the library in such rows. Texts with special tokens or white space beyond ASCII go to it whole.
     """
 
     def __init__(self, path: str):
@@ -45,8 +48,8 @@ class WordTokens:
         for piece, i in vocab.items():
             self.width[i] = len(piece)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
-        self.cache = ChunkCache(b" \t\n\x0b\x0c\r", self.learn)
+        self.odd = re.compile(b"|".join([OTHER_WHITE, *(re.escape(a.encode()) for a in added)])).search
+        self.cache = ChunkCache(b" \t\n\x0b\x0c\r", self.learn, (LETTERS, b",.!?;:"))
 
     def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks that begin with white space and end otherwise go as one text, the others one by one."""
@@ -71,12 +74,17 @@ class WordTokens:
         flat = flat[np.repeat(firsts - upto + counts, counts) + np.arange(len(flat))]
         return flat, self.width[flat], counts
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not OTHER_WHITE(t) and not self.special(t) for t in texts]
-        ids, _, borders = self.cache.encode([t.encode() for t, p in zip(texts, plain) if p])
-        made = iter(np.split(ids, borders[1:-1]))
-        return [next(made) if p else np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32)
-                for t, p in zip(texts, plain)]
+    def encode(self, data: bytes, text_at: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text; text k is data[text_at[k]:text_at[k + 1]] in UTF-8."""
+        if not self.odd(data):
+            ids, _, borders = self.cache.encode(data, text_at)
+            return np.split(ids, borders[1:-1])
+        out = []
+        for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist()):
+            text = data[a:b]
+            out.append(np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+                       if self.odd(text) else self.cache.encode(text, np.array([0, b - a]))[0])
+        return out
 
 
 def pack(ids: np.ndarray, planes: str, level: int) -> tuple[list[int], bytes]:
@@ -125,6 +133,7 @@ def write(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id",
             _CACHES[tokenizer_path] = WordTokens(tokenizer_path)
         cache = _CACHES[tokenizer_path]
         pending: list[np.ndarray] = []
+        closing = np.array([end_id], np.uint32)
         docs: list[dict] = []
         held = block = done = 0                       # ids pending, blocks and ids written
         schema = pa.schema([
@@ -156,18 +165,18 @@ def write(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id",
             pending = [ids]
 
         for batch in batches:
-            keys, texts = (batch.column(c).to_pylist() for c in (0, 1))
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            texts = pc.fill_null(texts, "").cast(pa.string())
+            raw = memoryview(texts.buffers()[2] or b"")
+            ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
             at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and chars < STEP_CHARS:
-                    chars += len(texts[end] or "")
-                    end += 1
-                for key, ids in zip(keys[at:end], cache.encode([t or "" for t in texts[at:end]])):
-                    ids = np.append(ids, np.uint32(end_id))
-                    docs.append({"doc_id": key, "start": done + held, "n_tokens": len(ids)})
-                    pending.append(ids)
-                    held += len(ids)
+            while at < len(keys):
+                end = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP_BYTES, "right")) - 1)
+                made = cache.encode(bytes(raw[ends[at]:ends[end]]), ends[at:end + 1] - ends[at])
+                for key, ids in zip(keys[at:end], made):
+                    docs.append({"doc_id": key, "start": done + held, "n_tokens": len(ids) + 1})
+                    pending += [ids, closing]
+                    held += len(ids) + 1
                 yield from blocks(False)
                 at = end
         yield from blocks(True)
@@ -189,26 +198,30 @@ def read(spark: SparkSession, path: str, as_bytes: bool = False) -> DataFrame:
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = totals.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("before"))
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids = unpack(r["payload"], r["plane_sizes"], r["n_ids"], r["planes"])
-                docs = r["docs"]
-                raw = ids.tobytes()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([r["shard"]] * len(docs), pa.int32()),
-                    *[pa.array([d[k] for d in docs], pa.int64()) for k in ("doc_id", "start", "n_tokens")],
-                    pa.array([r["block"]] * len(docs), pa.int64()),
-                    pa.array([raw[4 * d["at"]:4 * (d["at"] + d["size"])] for d in docs], pa.binary())],
-                    names=["shard", "doc_id", "start", "n_tokens", "block", "raw"])
-
-    pieces = stored.mapInArrow(run, "shard int, doc_id long, start long, n_tokens long, block long, raw binary")
-    whole = F.octet_length("raw") == 4 * F.col("n_tokens")
-    split = pieces.where(~whole).groupBy("shard", "start", "doc_id", "n_tokens").agg(
+    def pieces(whole: bool) -> DataFrame:
+        """The documents, or parts of documents, of each block that lie in it wholly, or not wholly."""
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    docs = r["docs"]
+                    if docs:
+                        raw = unpack(r["payload"], r["plane_sizes"], r["n_ids"], r["planes"]).tobytes()
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([r["shard"]] * len(docs), pa.int32()),
+                            *[pa.array([d[k] for d in docs], pa.int64()) for k in ("doc_id", "start", "n_tokens")],
+                            pa.array([r["block"]] * len(docs), pa.int64()),
+                            pa.array([raw[4 * d["at"]:4 * (d["at"] + d["size"])] for d in docs], pa.binary())],
+                            names=["shard", "doc_id", "start", "n_tokens", "block", "raw"])
+
+        inside = F.filter("docs", lambda d: (d["size"] == d["n_tokens"]) == F.lit(whole))
+        return stored.withColumn("docs", inside).mapInArrow(
+            run, "shard int, doc_id long, start long, n_tokens long, block long, raw binary")
+
+    split = pieces(False).groupBy("shard", "start", "doc_id", "n_tokens").agg(
         F.array_sort(F.collect_list(F.struct("block", "raw"))).alias("parts"))
     joined = split.select("shard", "doc_id", "start", "n_tokens", F.expr(
         "aggregate(parts, X'', (a, p) -> concat(a, p.raw))").alias("raw"))
-    found = pieces.where(whole).select("shard", "doc_id", "start", "n_tokens", "raw").unionByName(joined)
+    found = pieces(True).drop("block").unionByName(joined)
     out = found.join(before, "shard").withColumn("start", F.col("start") + F.col("before"))
     if as_bytes:
         return out.select("doc_id", "start", "n_tokens", F.col("raw").alias("ids"))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, compressq, langid, pieces, rules, tokenfile, topk
+from . import common, compressq, langid, neardup, pieces, rules, tokenfile, topk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op5(spark, sf_dir):
     """The 20 largest inner products of every twentieth vector with all others."""
     return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_near_duplicates")
+def op2(spark, sf_dir):
+    """Component of near duplicates of every document."""
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, compressq, langid, neardup, pieces, rules, tokenfile, topk
+from . import common, compressq, langid, neardup, pieces, rules, suffixes, tokenfile, topk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op5(spark, sf_dir):
 def op2(spark, sf_dir):
     """Component of near duplicates of every document."""
     return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+@query("op9_repeated_substrings")
+def op9(spark, sf_dir):
+    """Bytes of every document that are left once all repeated 200-byte strings are gone."""
+    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents"))

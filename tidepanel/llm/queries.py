@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, compressq, langid, neardup, pieces, rules, suffixes, tokenfile, topk
+from . import common, compressq, langid, neardup, pieces, rules, secretscan, suffixes, tokenfile, topk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,16 @@ def op2(spark, sf_dir):
 def op9(spark, sf_dir):
     """Bytes of every document that are left once all repeated 200-byte strings are gone."""
     return suffixes.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8(spark, sf_dir):
+    """Secrets of every document, by patterns and by the tagger."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.scan(docs, secretscan.fit(docs)).select("doc_id", "secrets")
+    joined = lambda spans: F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("secrets", lambda s: s["kind"] != "tagged")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))

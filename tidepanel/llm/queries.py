@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, compressq, langid, neardup, pieces, rules, secretscan, suffixes, tokenfile, topk
+from . import common, compressq, langid, mixing, neardup, pieces, rules, secretscan, suffixes, tokenfile, topk
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,10 @@ def op8(spark, sf_dir):
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
                         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
+@query("op4_source_mixing", mixing.sql())
+def op4(spark, sf_dir):
+    """Place of every document in a mix in which no source has more than a third."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", *mixing.ADDED)

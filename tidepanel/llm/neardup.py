@@ -32,7 +32,7 @@ from .common import WHITE, stored
 from .components import labelled
 from .wordcache import run_hashes
 
-HASHES, TREES, REGION = 128, 32, 256
+HASHES, TREES, REGION = 128, 32, 1024
 #: Common prefix lengths that a region may take.
 DEPTHS = (3, 4, 5, 6, 8, 10, 13, 16, 20, 26, 36, 52, 80, 128)
 #: Bytes of text a worker shingles at a time (a longer text is taken whole).

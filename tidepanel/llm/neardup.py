@@ -5,7 +5,8 @@
 * A tree of the forest is one sorted order of the signatures: it reads them from its own place on, in a cycle. Two
   classes with a common prefix of 3 values lie in one region. A region of more than ``REGION`` classes goes deeper,
   to longer common prefixes, until its parts are small enough; how deep differs from region to region. Where whole
-  signatures are equal, a hash of class and tree deals the rest, differently in each tree.
+  signatures are equal, a hash of class and tree deals the rest, differently in each tree. Of each part that a
+  region falls into, one class also stays, so that the parts are compared with each other, in regions of their own.
 * In a region all pairs are compared by signature, each pair in the first tree where it meets. Pairs of a promising
   estimate are then confirmed on the full sets, in the region, and the links that join something new leave it.
 * The least document id over a component of links names it.
@@ -131,47 +132,57 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def regions(nodes: DataFrame) -> DataFrame:
-    """(tree, level, key, cls) of the classes that are not alone in their region."""
+    """(tree, region, cls, own) of the classes that are not alone in their region; own regions are one for each tree."""
     def shallow(batches):
         for batch in batches:
             sig = _signatures(batch.column(1))
             for tree in range(TREES):
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(sig), tree, np.int32)), pa.array(np.zeros(len(sig), np.int32)),
-                    pa.array(tree_keys(sig, tree, DEPTHS[0])), batch.column(0)], names=["tree", "level", "key", "cls"])
+                    pa.array(np.full(len(sig), tree, np.int32)), pa.array(tree_keys(sig, tree, DEPTHS[0])),
+                    batch.column(0), pa.array(np.zeros(len(sig), np.int64))], names=["tree", "key", "cls", "parent"])
 
-    spec = "tree int, level int, key long, cls binary"
-    place = ["tree", "level", "key"]
+    spec = "tree int, key long, cls binary, parent long"
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sizes = rows.groupBy(*place).agg(F.count("*").alias("size")).where(F.col("size") > 1)
-        sized = stored(rows.join(sizes, place), "regions")
-        return (sized.where(F.col("size") <= REGION).drop("size"), sized.where(F.col("size") > REGION))
+        sizes = rows.groupBy("tree", "key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+        sized = stored(rows.join(sizes, ["tree", "key"]), "regions")
+        return sized.where(F.col("size") <= REGION).drop("size"), sized.where(F.col("size") > REGION)
+
+    def own(rows: DataFrame, level: int) -> DataFrame:
+        return rows.select("tree", F.xxhash64("tree", F.lit(level), "key").alias("region"), "cls", F.lit(True).alias("own"))
+
+    def delegates(rows: DataFrame, level: int) -> DataFrame:
+        """A class of each part, in regions of the part's parent."""
+        one = rows.groupBy("tree", "key", "parent").agg(F.min("cls").alias("cls"))
+        parts = one.groupBy("tree", "parent").agg(F.count("*").alias("parts")).where(F.col("parts") > 1)
+        share = F.when(F.col("parts") <= REGION, 0).otherwise(
+            F.pmod(F.xxhash64("cls", "tree"), F.ceil(F.col("parts") / (REGION // 2))))
+        return one.join(parts, ["tree", "parent"]).select(
+            "tree", F.xxhash64("tree", F.lit(-level), "parent", share).alias("region"), "cls", F.lit(False).alias("own"))
 
     found, dense = split(nodes.select("cls", "sig").mapInArrow(shallow, spec))
+    found = own(found, 0)
     for level in range(1, len(DEPTHS) + 1):
         if dense.isEmpty():
-            return found
-        if level < len(DEPTHS):
-            def deeper(batches, depth=DEPTHS[level], level=level):
-                for batch in batches:
-                    sig, tree = _signatures(batch.column(1)), batch.column(2).to_numpy()
-                    key = np.zeros(len(sig), np.int64)
-                    for t in np.unique(tree):
-                        key[tree == t] = tree_keys(sig[tree == t], int(t), depth)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(2), pa.array(np.full(len(sig), level, np.int32)), pa.array(key),
-                        batch.column(0)], names=["tree", "level", "key", "cls"])
-
-            rows = dense.join(nodes, "cls").select("cls", "sig", "tree").mapInArrow(deeper, spec)
-        else:
-            parts = F.ceil(F.col("size") / (REGION // 2))
-            rows = dense.select("tree", F.lit(level).alias("level"), F.xxhash64(
-                "key", F.pmod(F.xxhash64("cls", "tree"), parts)).alias("key"), "cls")
-            sizes = rows.groupBy(*place).agg(F.count("*").alias("size")).where(F.col("size") > 1)
-            return found.unionByName(rows.join(sizes, place).drop("size"))
+            break
+        if level == len(DEPTHS):
+            dealt = F.xxhash64("key", F.pmod(F.xxhash64("cls", "tree"), F.ceil(F.col("size") / (REGION // 2))))
+            rows = dense.select("tree", dealt.alias("key"), "cls", F.col("key").alias("parent"))
+            return found.unionByName(own(rows, level)).unionByName(delegates(rows, level))
+
+        def deeper(batches, depth=DEPTHS[level]):
+            for batch in batches:
+                sig, tree = _signatures(batch.column(1)), batch.column(2).to_numpy()
+                key = np.zeros(len(sig), np.int64)
+                for t in np.unique(tree):
+                    key[tree == t] = tree_keys(sig[tree == t], int(t), depth)
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(key), batch.column(0), batch.column(3)],
+                                                 names=["tree", "key", "cls", "parent"])
+
+        rows = dense.join(nodes, "cls").select("cls", "sig", "tree", F.col("key").alias("parent")).mapInArrow(deeper, spec)
+        rows = stored(rows, "deeper")
         more, dense = split(rows)
-        found = found.unionByName(more)
+        found = found.unionByName(own(more, level)).unionByName(delegates(rows, level))
     return found
 
 
@@ -220,11 +231,10 @@ def promising(sig: np.ndarray, n: np.ndarray, member: np.ndarray, tree: int, thr
 def links(nodes: DataFrame, found: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """Confirmed links (a, b) of classes, enough of them to join what is linked."""
     limit = threshold[0] / threshold[1]
-    region = F.xxhash64("tree", "level", "key")
-    mine = found.withColumn("region", F.when(region == 0, 1).otherwise(region))
-    at = mine.groupBy("cls").agg(F.map_from_entries(F.collect_list(F.struct("tree", "region"))).alias("m"))
+    at = found.groupBy("cls").agg(F.collect_set(F.struct("tree", "region", "own")).alias("regions")).withColumn(
+        "m", F.map_from_entries(F.transform(F.filter("regions", lambda x: x.own), lambda x: F.struct(x.tree, x.region))))
     full = at.join(nodes, "cls").select("cls", "n", "sig", F.expr(
-        f"transform(sequence(0, {TREES - 1}), t -> coalesce(m[t], 0L))").alias("member"), F.explode("m").alias("tree", "region"))
+        f"transform(sequence(0, {TREES - 1}), t -> coalesce(m[t], 0L))").alias("member"), F.inline("regions"))
     order = full.select("tree", "region", "cls", "n", "sig", "member") \
         .repartition("tree", "region").sortWithinPartitions("tree", "region", "cls")
 

@@ -231,11 +231,33 @@ def test_behavior_matrix_and_representatives(table):
 
 
 def test_raw_rows_to_panel(table):
-    raw = table([("1", "2024-01-02", "10", "11", "5", "55"), ("2", "bad", "10", "11", "5", "55"), ("3", "2024-01-02", "x", "11", "5", "55"),
-                 ("4", "2024-01-02", "10", "11", "0", "55"), ("5", "1500-01-01", "10", "11", "5", "55")],
-                "code string, timestamps string, open string, close string, vol string, amount string")
-    rows = ingest.normalize_panel(raw).collect()
-    assert [(r.code, r.volume, r.vwap) for r in rows] == [("000001", 5.0, 11.0)]
+    raw = table([("1", "2024-01-02", "10", "11", "12", "9", "5", "55", "0.5", "A"), ("2", "bad", "10", "11", "12", "9", "5", "55", "1", "A"),
+                 ("3", "2024-01-02", "x", "11", "12", "9", "5", "55", "1", "A"), ("4", "2024-01-02", "10", "11", "12", "9", "0", "55", "1", "A"),
+                 ("5", "1500-01-01", "10", "11", "12", "9", "5", "55", "1", "A"), ("6", "2024-01-02", "10", "11", None, "9", "5", "55", "1", "A"),
+                 ("7", "2024-01-02", "10", "11", "12", "x", "5", "55", "1", "A"), ("8", "2024-01-02", "10", "11", "12", "9", "5", "55", "n/a", None)],
+                "code string, timestamps string, open string, close string, high string, low string, vol string, amount string, ycp string, category string")
+    rows = ingest.normalize_panel(raw).orderBy("code").collect()
+    assert [(r.code, r.volume, r.vwap, r.ycp, r.category) for r in rows] == [
+        ("000001", 5.0, 11.0, 0.5, "A"), ("000008", 5.0, 11.0, None, None)]
+
+
+def test_a_missing_score_is_admitted_last(table):
+    cands = table([("s", "f1", None), ("s", "f2", 0.5)], "state_id string, factor_id string, s double")
+    pairs = table([("f1", "f2"), ("f2", "f1")], "factor_id string, other string")
+    got = {r.factor_id: (r.selected, r.reason) for r in cp.greedy_pick(cands, pairs, ("state_id",), "s", 2).collect()}
+    assert got == {"f2": (True, ""), "f1": (False, "mutual_correlation")}
+
+
+def test_incomplete_prices_are_not_complete(table):
+    from tidepanel.operators import quality as q
+    rows = [("2024-01-01", "1", 1.0, 1.0), ("2024-01-01", "2", 1.0, 1.0), ("2024-01-02", "1", 1.0, 0.0), ("2024-01-02", "2", 1.0, 1.0),
+            ("2024-01-03", "1", 1.0, 1.0)]
+    df = table(rows, "date string, code string, close double, high double").withColumns(
+        {"open": F.col("close"), "low": F.col("close"), "volume": F.col("close"), "amount": F.col("close"), "Ifsuspend": F.lit(0.0)})
+    days = [(r.present, r.complete) for r in q.session_completeness(df).orderBy("date").collect()]
+    assert days == [(2, True), (1, False), (1, False)]
+    r = q.import_quality(df).first()
+    assert (r.observed_rows, r.padded_rows, r.missing_price_rows, r.incomplete_sessions, r.complete_sessions) == (5, 1, 1, 1, 1)
 
 
 def test_first_target_and_missing_tail(table):

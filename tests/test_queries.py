@@ -46,7 +46,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql_but_the_fitted_models():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"X11", "L2"}
+    from tidepanel import plans
+    plans.load()
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {"X11", "L2"} and set(plans.QUERIES) <= set(entry.queries())
 
 
 def test_sparse_weights_find_the_signal(spark, table):

@@ -24,15 +24,17 @@ class Operator:
     kind: str
     inputs: int
     make: Callable
+    description: str = ""
 
 
 _OPERATORS: dict[str, Operator] = {}
 
 
-def register_operator(name: str, category: str, make: Callable, inputs: int = 1, kind: str = "column") -> None:
+def register_operator(name: str, category: str, make: Callable, inputs: int = 1, kind: str = "column",
+                      description: str = "") -> None:
     if not name.isidentifier() or name in RESERVED:
         raise ValueError(f"invalid operator name: {name}")
-    _OPERATORS[name] = Operator(name, category, kind, inputs, make)
+    _OPERATORS[name] = Operator(name, category, kind, inputs, make, description or (make.__doc__ or "").strip())
 
 
 def resolve(name: str) -> Operator:
@@ -74,7 +76,7 @@ def _fill() -> None:
              "winsorize": cross.winsorize, "quantile": cross.quantile}
     group = {"group_rank": lambda df, x, g, out: cross.rank(df, x, out, ("date", g)),
              "group_neutralize": cross.group_neutralize, "group_zscore": lambda df, x, g, out: cross.zscore(df, x, out, ("date", g)),
-             "group_scale": cross.group_scale, "group_mean": cross.group_mean, "group_backfill": cross.group_filled}
+             "group_scale": cross.group_scale, "group_mean": cross.group_mean, "group_backfill": cross.group_backfill}
     for table, category, inputs in ((one, "arithmetic", 1), (two, "arithmetic", 2), (logic1, "logic", 1), (logic2, "logic", 2),
                                     (logic3, "logic", 3), (roll, "time_series", 2), (pair, "time_series", 3)):
         for name, make in table.items():

@@ -75,22 +75,26 @@ def dated_weights_alpha(df: DataFrame, weights: DataFrame, names) -> DataFrame:
 
 def asof_selection(panel_factors: DataFrame, pool: DataFrame, weights: dict[str, float], as_of: Column,
                    top_n: int, min_coverage: float, pool_size=None) -> DataFrame:
-    """Rank a pool on the last available date: score, coverage, first reason, rank."""
-    day = joins.last_available(panel_factors, as_of)
+    """Rank a pool on its last available date: score, coverage, first reason, rank and
+    each factor's contribution. Only the pool's rows enter the z-scores."""
+    day = joins.last_available(panel_factors.join(pool.select("code").distinct(), "code", "left_semi"), as_of)
     raw = {n: f"_raw_{n}" for n in weights}
     day = day.withColumns({raw[n]: F.col(n) for n in weights})
     day = cross.zscores_filled(day, list(weights))
     present = reduce(add, [F.col(raw[n]).isNotNull().cast("double") for n in weights])
-    day = day.select("code", "close", "Ifsuspend", weighted_sum(weights).alias("_score"),
+    parts = {f"contribution_{n}": F.col(n) * w for n, w in weights.items()}
+    day = day.select("code", "close", "Ifsuspend", weighted_sum(weights).alias("_score"), *[v.alias(n) for n, v in parts.items()],
                      (present / len(weights)).alias("_coverage"), F.lit(True).alias("_seen"))
     got = pool.join(day, "code", "left").withColumns({
-        "score": F.coalesce("_score", F.lit(0.0)), "coverage": F.coalesce("_coverage", F.lit(0.0))})
+        "score": F.coalesce("_score", F.lit(0.0)), "coverage": F.coalesce("_coverage", F.lit(0.0)),
+        **{n: F.coalesce(n, F.lit(0.0)) for n in parts}})
     reason = screens.first_reason([
         ("missing_as_of_date", F.col("_seen").isNull()),
         ("invalid_close", F.col("close").isNull() | (F.col("close") <= 0)),
         ("suspension_status_unknown", F.col("Ifsuspend").isNull()),
         ("suspended", F.col("Ifsuspend") != 0), ("all_factors_missing", F.col("coverage") <= 0),
-        ("insufficient_factor_coverage", F.col("coverage") + 1e-12 < min_coverage)])
+        ("insufficient_factor_coverage", F.col("coverage") + 1e-12 < min_coverage),
+        ("invalid_score", F.isnan("score") | (F.abs("score") == float("inf")))])
     got = got.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "")
     return screens.ranking(got.drop("_score", "_coverage", "_seen"), "score", top_n, max_group=pool_size)
 
@@ -127,8 +131,8 @@ def greedy_pick(candidates: DataFrame, pairs: DataFrame, by, score: str, top_n:
     conflicts. Groups hold catalogue entries (factor definitions), not data rows."""
     by = list(by)
     rivals = pairs.groupBy("factor_id").agg(F.sort_array(F.collect_set("other")).alias("rivals"))
-    rows = candidates.join(rivals, "factor_id", "left").select(
-        *by, F.struct((-F.col(score)).alias("s"), "factor_id",
+    rows = candidates.join(rivals, "factor_id", "left").select(     # missing scores come last
+        *by, F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("s"), "factor_id",
                       F.coalesce("rivals", F.array().cast("array<string>")).alias("rivals")).alias("item"))
     lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list("item")).alias("items"))
     chosen = F.aggregate("items", F.array().cast("array<string>"), lambda acc, x: F.when(

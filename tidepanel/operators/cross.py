@@ -179,7 +179,8 @@ def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE) -> DataF
         up = ratio(F.greatest(x, F.lit(0.0)), longs) * F.lit(long_size)
         down = ratio(F.least(x, F.lit(0.0)), shorts) * F.lit(short_size)
         both = F.coalesce(up, F.lit(0.0)) + F.coalesce(down, F.lit(0.0))
-        value = F.when(x.isNotNull(), F.when(F.col(shorts) == 0, up).otherwise(both))
+        # With both sides present a missing value is an empty position.
+        value = F.when(F.coalesce(shorts, F.lit(0.0)) == 0, up).otherwise(both)
     else:
         value = ratio(x, gross) * F.lit(size)
     return df.withColumn(out, value).drop(gross, longs, shorts)
@@ -219,9 +220,17 @@ def group_mean(df, x, weight, group, out) -> DataFrame:
     return df.withColumn(out, F.when(F.col(group).isNotNull(), value)).drop(top, bottom)
 
 
+def group_backfill(df, x, group, out, d, std=4.0) -> DataFrame:
+    """Missing values take the mean of their group's winsorized values, then the last
+    value of their code within ``d`` rows."""
+    from ..functions import timeseries as ts
+    filled = _temp("filled")
+    df = group_filled(df, x, group, filled, std)
+    return df.withColumn(out, ts.ts_backfill(filled, d)).drop(filled)
+
+
 def group_filled(df, x, group, out, std=4.0) -> DataFrame:
-    """Missing values take the mean of their group's winsorized values. A forward
-    fill per code (``timeseries.ts_backfill``) completes the backfill operator."""
+    """Missing values take the mean of their group's winsorized values."""
     w, mu = _temp("w"), _temp("mu")
     df = winsorize(df, x, w, std)
     df = attach(df, ("date", group), **{mu: F.avg(w)})

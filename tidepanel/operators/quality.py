@@ -9,14 +9,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.clean import c
 
 
+RAW_FIELDS, PRICES = ("open", "close", "high", "low", "volume", "amount"), ("open", "close", "high", "low")
+
+
+def usable(fields=RAW_FIELDS) -> Column:
+    """All raw fields present and all prices positive."""
+    tests = [F.col(x).isNotNull() for x in fields] + [F.col(x) > 0 for x in PRICES if x in fields]
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
 def session_completeness(panel: DataFrame) -> DataFrame:
-    """Codes per session against the universe. The panel is unique on (date, code), so
-    counting rows counts codes."""
+    """Codes with a usable row per session against the universe. The panel is unique on
+    (date, code), so counting rows counts codes."""
     universe = panel.agg(F.countDistinct("code")).scalar()
-    per_day = panel.groupBy("date").agg(F.count(F.lit(1)).alias("present"))
+    per_day = panel.groupBy("date").agg(F.count_if(usable()).alias("present"))
     return per_day.withColumn("complete", F.col("present") == universe)
 
 
+def universe_check(a: DataFrame, b: DataFrame, key: str = "code", required=()) -> DataFrame:
+    """Do two tables hold the same keys, and does each have the required fields?"""
+    left, right = a.select(key).distinct(), b.select(key).distinct()
+    sides = (left.intersect(right).select(F.lit("common").alias("side"))
+             .unionByName(left.exceptAll(right).select(F.lit("left_only").alias("side")))
+             .unionByName(right.exceptAll(left).select(F.lit("right_only").alias("side"))))
+    lost = sorted({x for df in (a, b) for x in required if x not in df.columns})
+    counts = sides.agg(*[F.count_if(F.col("side") == s).alias(s) for s in ("common", "left_only", "right_only")])
+    return counts.withColumns({"same": (F.col("left_only") == 0) & (F.col("right_only") == 0),
+                               "missing_fields": F.lit(", ".join(lost))})
+
+
 def latest_complete(days: DataFrame) -> DataFrame:
     return days.agg(F.max(F.when(F.col("complete"), F.col("date"))).alias("latest_complete"),
                     F.count_if("complete").alias("complete_sessions"),
@@ -73,22 +94,24 @@ def field_catalog(df: DataFrame) -> DataFrame:
 
 def store_summary(panel: DataFrame) -> DataFrame:
     """Rows, date span and latest values per code."""
-    latest = F.max_by(F.struct("open", "close", "volume", "amount"), F.col("date")).alias("latest")
     return panel.groupBy("code").agg(
         F.count(F.lit(1)).alias("row_count"), F.min("date").alias("start_date"), F.max("date").alias("end_date"),
-        latest).select("code", "row_count", "start_date", "end_date", *[
-            F.col(f"latest.{x}").alias(f"latest_{x}") for x in ("open", "close", "volume", "amount")])
-
-
-def import_quality(padded: DataFrame, fields) -> DataFrame:
-    """Counts that an import reports, over the padded panel."""
-    seen = F.col("close").isNotNull()
-    usable = reduce(lambda a, b: a & b, [F.col(x).isNotNull() for x in fields]) & (F.col("close") > 0) & (F.col("open") > 0)
-    return padded.agg(
-        F.count_if(seen).alias("observed_rows"), F.count_if(~seen).alias("padded_rows"),
-        F.count_if(seen & ~F.coalesce(usable, F.lit(False))).alias("missing_price_rows"),
-        F.count_if((F.col("volume") == 0) & (F.col("Ifsuspend") == 0)).alias("zero_volume_without_suspend"),
-        *[F.count_if(F.col(x).isNull()).alias(f"null_{x}") for x in fields])
+        *[F.max_by(x, "date").alias(f"latest_{x}") for x in ("open", "close", "volume", "amount")])
+
+
+def import_quality(panel: DataFrame, fields=RAW_FIELDS) -> DataFrame:
+    """Counts that an import reports, over the raw rows of a panel (unique on date and code)."""
+    universe = panel.agg(F.countDistinct("code")).scalar()
+    counts = {"observed_rows": F.count(F.lit(1)), "missing_price_rows": F.count_if(~usable(fields)),
+              "zero_volume_without_suspend": F.count_if((F.col("volume") == 0) & (F.col("Ifsuspend") == 0)),
+              **{f"null_{x}": F.count_if(F.col(x).isNull()) for x in fields}}
+    days = panel.groupBy("date").agg(*[v.alias(n) for n, v in counts.items()])
+    total = {n: F.sum(n) for n in counts}
+    return days.withColumn("codes", universe).agg(
+        *[v.alias(n) for n, v in total.items()],
+        (F.count(F.lit(1)) * F.max("codes") - F.sum("observed_rows")).alias("padded_rows"),
+        F.count_if(F.col("observed_rows") < F.col("codes")).alias("incomplete_sessions"),
+        F.count_if(F.col("observed_rows") - F.col("missing_price_rows") == F.col("codes")).alias("complete_sessions"))
 
 
 def publication_audit(facts: DataFrame, published: str, date: str = "date") -> DataFrame:

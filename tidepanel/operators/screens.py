@@ -163,10 +163,11 @@ def head_tail(df: DataFrame, by, order: str, n: int) -> DataFrame:
 
 def keep_last(df: DataFrame, keys, seq: str) -> DataFrame:
     """Latest version of each key. ``max_by`` combines map-side, so a key repeated very
-    often shrinks before the shuffle (a row_number window would not)."""
+    often shrinks before the shuffle (a row_number window would not). All columns of a
+    group follow the same row; with a numeric ``seq`` and numeric columns the hash
+    aggregate needs no sort."""
     rest = [x for x in df.columns if x not in keys]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_row"))
-            .select(*keys, "_row.*"))
+    return df.groupBy(*keys).agg(*[F.max_by(x, seq).alias(x) for x in rest]).select(*keys, *rest)
 
 
 def with_fallback(left: DataFrame, extra: DataFrame, key: str, other: str, columns) -> DataFrame:

@@ -67,19 +67,22 @@ def x4(spark, sf):
 
 
 @query("X5", f"""WITH {FW}, pool AS (SELECT lpad((s_suppkey * 2)::VARCHAR, 6, '0') AS code FROM supplier),
- d0 AS (SELECT * FROM fw WHERE date = (SELECT max(date) FROM fw WHERE date <= TIMESTAMP '2001-06-07')),
+ fp AS (SELECT * FROM fw WHERE code IN (FROM pool)),
+ d0 AS (SELECT * FROM fp WHERE date = (SELECT max(date) FROM fp WHERE date <= TIMESTAMP '2001-06-07')),
  dz AS (SELECT code, close, Ifsuspend, ((mom4 IS NOT NULL)::INT + (rev1 IS NOT NULL)::INT + (rng IS NOT NULL)::INT) / 3.0::DOUBLE AS coverage,
-  {' + '.join(f'coalesce({ZN.format(n=n)}, 0) * {w!r}::DOUBLE' for n, w in WEIGHTS.items())} AS score FROM d0 WINDOW d AS (PARTITION BY date)),
- j AS (SELECT pool.code, close, coalesce(score, 0) AS score, coalesce(coverage, 0) AS coverage, CASE WHEN dz.code IS NULL THEN 'missing_as_of_date' WHEN close IS NULL OR close <= 0 THEN 'invalid_close'
+  {' + '.join(f'coalesce({ZN.format(n=n)}, 0) * {w!r}::DOUBLE' for n, w in WEIGHTS.items())} AS score,
+  {', '.join(f'coalesce({ZN.format(n=n)}, 0) * {w!r}::DOUBLE AS contribution_{n}' for n, w in WEIGHTS.items())} FROM d0 WINDOW d AS (PARTITION BY date)),
+ j AS (SELECT pool.code, close, {', '.join(f'coalesce(contribution_{n}, 0) AS contribution_{n}' for n in WEIGHTS)}, coalesce(score, 0) AS score, coalesce(coverage, 0) AS coverage, CASE WHEN dz.code IS NULL THEN 'missing_as_of_date' WHEN close IS NULL OR close <= 0 THEN 'invalid_close'
   WHEN Ifsuspend IS NULL THEN 'suspension_status_unknown' WHEN Ifsuspend <> 0 THEN 'suspended' WHEN coverage <= 0 THEN 'all_factors_missing' WHEN coverage + 1e-12 < 0.5 THEN 'insufficient_factor_coverage' ELSE '' END AS reason
   FROM pool LEFT JOIN dz ON dz.code = pool.code),
  k AS (SELECT *, reason = '' AS eligible, CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY reason = '' ORDER BY score DESC, code) END AS rank FROM j)
- SELECT code, {rd('score')} AS score, {rd('coverage')} AS coverage, eligible, rank, coalesce(rank <= 10, false) AS selected, CASE WHEN rank > 10 THEN 'outside_top_n' ELSE reason END AS reason FROM k""")
+ SELECT code, {', '.join(f"{rd(f'contribution_{n}')} AS contribution_{n}" for n in WEIGHTS)}, {rd('score')} AS score, {rd('coverage')} AS coverage, eligible, rank, coalesce(rank <= 10, false) AS selected, CASE WHEN rank > 10 THEN 'outside_top_n' ELSE reason END AS reason FROM k""")
 def x5(spark, sf):
     df, _ = wide(spark, sf)
     pool = read(spark, sf, "supplier").select(zero_pad((F.col("s_suppkey") * 2).cast("string")).alias("code"))
     got = cp.asof_selection(df, pool, WEIGHTS, F.lit("2001-06-07").cast("timestamp"), 10, 0.5, pool.count())
-    return out(got.withColumn("rank", F.col("rank").cast("bigint")), "code", "eligible", "rank", "selected", "reason", score="score", coverage="coverage")
+    return out(got.withColumn("rank", F.col("rank").cast("bigint")), "code", "eligible", "rank", "selected", "reason", score="score", coverage="coverage",
+               **{f"contribution_{n}": f"contribution_{n}" for n in WEIGHTS})
 
 
 @query("X6", f"""WITH {FL} SELECT factor_id, 'ok' AS status, count(*) AS row_count, count(value) AS valid_count, {rd('count(value)::DOUBLE / count(*)')} AS coverage FROM fl GROUP BY factor_id

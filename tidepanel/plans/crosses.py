@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import timeseries as ts
+from ..functions import registry, timeseries as ts
 from ..operators import cross
 from ..sources.panel import weekly_panel
 from . import query
@@ -63,7 +63,7 @@ def c6(spark, sf):
 @query("C7", f"""{MOM}, s AS (SELECT *, sum(abs(x)) OVER d AS gross, sum(greatest(x, 0)) OVER d AS lo,
   sum(-least(x, 0)) OVER d AS sh FROM b WINDOW d AS (PARTITION BY date))
  SELECT date, code, {rd('x / nullif(gross, 0)')} AS whole,
- {rd('CASE WHEN x IS NULL THEN NULL WHEN sh = 0 THEN greatest(x, 0) / nullif(lo, 0) * 2 ELSE coalesce(greatest(x, 0) / nullif(lo, 0) * 2, 0) + coalesce(least(x, 0) / nullif(sh, 0) * 0.5, 0) END')} AS sides
+ {rd('CASE WHEN coalesce(sh, 0) = 0 THEN greatest(x, 0) / nullif(lo, 0) * 2 ELSE coalesce(greatest(x, 0) / nullif(lo, 0) * 2, 0) + coalesce(least(x, 0) / nullif(sh, 0) * 0.5, 0) END')} AS sides
  FROM s""")
 def c7(spark, sf):
     df, n = mom(spark, sf)
@@ -141,5 +141,5 @@ register("G5", f"{MOM} SELECT date, code, {rd('coalesce(sum(x * volume) OVER g,
 def g6(spark, sf):
     df, n = mom(spark, sf)
     df = df.withColumn("v", F.when(F.col("Ifsuspend") == 0, F.col("x")))
-    df = cross.group_filled(df, "v", "industry", "f", 2.0)
-    return out(df, *KEYS, z=ts.ts_backfill("f", 3))
+    df = registry.resolve("group_backfill").make(df, "v", "industry", "f", 3, 2.0)
+    return out(df, *KEYS, z="f")

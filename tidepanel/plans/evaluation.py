@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions import features as ft, stats, timeseries as ts
@@ -247,8 +249,8 @@ def v10(spark, sf):
     return out(ev.mutual_ic(df, NAMES), "f1", "f2", "usable_dates", mutual_ic="mutual_ic")
 
 
-SPEAR_NAMES = ("mom4", "rev1", "rng")
-SPEAR = f"""prs AS (SELECT 'mom4' AS f1, 'rev1' AS f2, mom4 AS x, rev1 AS y FROM fw UNION ALL SELECT 'mom4', 'rng', mom4, rng FROM fw UNION ALL SELECT 'rev1', 'rng', rev1, rng FROM fw),
+SPEAR_NAMES = NAMES
+SPEAR = f"""prs AS ({' UNION ALL '.join(f"SELECT '{a}' AS f1, '{b}' AS f2, {a} AS x, {b} AS y FROM fw" for a, b in combinations(NAMES, 2))}),
  prr AS (SELECT f1, f2, {rank_sql('x', 'f1, f2', False)} AS rx, {rank_sql('y', 'f1, f2', False)} AS ry FROM prs WHERE x IS NOT NULL AND y IS NOT NULL),
  spear AS (SELECT f1, f2, corr(rx, ry) AS spearman, count(*) AS pairs FROM prr GROUP BY f1, f2)"""
 
@@ -272,15 +274,17 @@ def v12(spark, sf):
     return out(got, "segment", "days", segment_ic="segment_ic")
 
 
-@query("V13", f"""WITH {FW}, b AS (SELECT date, code, CASE WHEN Ifsuspend = 0 THEN floor(mom4 * 1000) / 1000 END AS mom4, floor(rng * 1000) / 1000 AS rng FROM fw),
- j AS (SELECT a.mom4 AS x1, b.mom4 AS y1, a.rng AS x2, b.rng AS y2 FROM fw a JOIN b USING (date, code))
- SELECT 'mom4' AS field, 0::BIGINT AS unmatched, count(*) FILTER ((x1 IS NULL) <> (y1 IS NULL)) AS missing_differs, {rd('max(abs(x1 - y1))')} AS max_error FROM j
- UNION ALL SELECT 'rng', 0, count(*) FILTER ((x2 IS NULL) <> (y2 IS NULL)), {rd('max(abs(x2 - y2))')} FROM j""")
+COARSE = {n: f"floor({n} * 1000) / 1000" for n in NAMES} | {"mom4": "CASE WHEN Ifsuspend = 0 THEN floor(mom4 * 1000) / 1000 END"}
+
+
+@query("V13", f"""WITH {FW}, b AS (SELECT date, code, {', '.join(f'{e} AS {n}' for n, e in COARSE.items())} FROM fw),
+ j AS (SELECT {', '.join(f'a.{n} AS x_{n}, b.{n} AS y_{n}' for n in NAMES)} FROM fw a JOIN b USING (date, code))
+ {' UNION ALL '.join(f"SELECT '{n}' AS field, 0::BIGINT AS unmatched, count(*) FILTER ((x_{n} IS NULL) <> (y_{n} IS NULL)) AS missing_differs, {rd(f'coalesce(max(abs(x_{n} - y_{n})), 0)')} AS max_error FROM j" for n in NAMES)}""")
 def v13(spark, sf):
     df, _ = wide(spark, sf)
-    coarse = df.select(*KEYS, F.when(F.col("eligible"), F.floor(F.col("mom4") * 1000) / 1000).alias("mom4"),
-                       (F.floor(F.col("rng") * 1000) / 1000).alias("rng"))
-    return out(ev.parity(df, coarse, KEYS, ("mom4", "rng")), "field", "unmatched", "missing_differs", max_error="max_error")
+    coarse = df.select(*KEYS, *[(F.when(F.col("eligible"), F.floor(F.col(n) * 1000) / 1000) if n == "mom4"
+                                 else F.floor(F.col(n) * 1000) / 1000).alias(n) for n in NAMES])
+    return out(ev.parity(df, coarse, KEYS, NAMES), "field", "unmatched", "missing_differs", max_error="max_error")
 
 
 def _grid_sql():

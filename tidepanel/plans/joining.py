@@ -413,11 +413,14 @@ def u2(spark, sf):
     return weekly(spark, sf).select("date", "industry").distinct()
 
 
-@query("U3", f"""{D}, n AS (SELECT count(DISTINCT code) AS n FROM pd) SELECT date, count(DISTINCT code) AS present,
- count(DISTINCT code) = max(n) AS complete FROM pd, n GROUP BY date""")
+@query("U3", f"""{D}, a AS (SELECT DISTINCT code FROM pd WHERE volume > 3), b AS (SELECT DISTINCT code FROM pd WHERE if_up = 1 AND close > 5),
+ s AS (SELECT count(*) FILTER (a.code IS NOT NULL AND b.code IS NOT NULL) AS common, count(*) FILTER (b.code IS NULL) AS left_only, count(*) FILTER (a.code IS NULL) AS right_only
+  FROM a FULL JOIN b ON a.code = b.code)
+ SELECT *, left_only = 0 AND right_only = 0 AS same, 'turnover' AS missing_fields FROM s""")
 def u3(spark, sf):
-    from ..operators.quality import session_completeness
-    return session_completeness(daily(spark, sf)).select("date", "present", "complete")
+    from ..operators.quality import universe_check
+    df = daily(spark, sf)
+    return universe_check(df.filter("volume > 3"), df.filter("if_up = 1 AND close > 5"), required=("close", "turnover"))
 
 
 @query("U4", f"""{P}, a AS (SELECT DISTINCT code FROM pw WHERE date >= TIMESTAMP '2001-01-01'), b AS (SELECT DISTINCT code FROM pw WHERE date >= TIMESTAMP '2001-01-01' AND volume > 140)

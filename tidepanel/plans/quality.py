@@ -9,6 +9,7 @@ from ..operators import evaluate as ev, joins, quality as q
 from ..sources.panel import daily_panel, read, weekly_panel
 from . import query
 from .common import KEYS, PD, PW, out, rd
+from .history import _feature_sql
 from .joining import ASOF, PADD, asof_facts
 
 P, D = f"WITH {PW}", f"WITH {PD}"
@@ -49,7 +50,7 @@ def q5(spark, sf):
         "amount_not_negative": F.col("amount") >= 0})
 
 
-@query("Q6", f"""{D}, n AS (SELECT count(DISTINCT code) AS n FROM pd), d AS (SELECT date, count(*) = max(n) AS complete FROM pd, n GROUP BY date)
+@query("Q6", f"""{D}, n AS (SELECT count(DISTINCT code) AS n FROM pd), d AS (SELECT date, count(*) FILTER (open > 0 AND close > 0 AND high > 0 AND low > 0 AND volume IS NOT NULL AND amount IS NOT NULL) = max(n) AS complete FROM pd, n GROUP BY date)
  SELECT max(date) FILTER (complete) AS latest_complete, count(*) FILTER (complete) AS complete_sessions, count(*) FILTER (NOT complete) AS incomplete_sessions FROM d""")
 def q6(spark, sf):
     return q.latest_complete(q.session_completeness(daily_panel(spark, sf).df))
@@ -65,7 +66,7 @@ def q7(spark, sf):
     return out(q.field_catalog(joins.pad(daily_panel(spark, sf).df)), "field", "type", null_share="null_share")
 
 
-CHECKED = ("return_5", "volatility_20", "volume_ratio_20", "ma_gap_5", "overnight_gap")
+CHECKED = tuple(_feature_sql())
 
 
 @query("Q8", f"{P}, u AS (SELECT unnest([{', '.join(f'{chr(39)}{n}{chr(39)}' for n in CHECKED)}]) AS field) SELECT field, 0::BIGINT AS unmatched, 0::BIGINT AS missing_differs, 0.0::DOUBLE AS max_error FROM u WHERE (SELECT count(*) FROM pw WHERE date <= TIMESTAMP '2000-01-03') > 0")
@@ -84,10 +85,14 @@ def a2(spark, sf):
     return q.store_summary(weekly_panel(spark, sf).df)
 
 
-@query("A6", f"""{PADD} SELECT count(close) AS observed_rows, count(*) FILTER (close IS NULL) AS padded_rows, count(*) FILTER (close IS NOT NULL AND NOT (close > 0 AND open > 0)) AS missing_price_rows,
- count(*) FILTER (volume = 0 AND Ifsuspend = 0) AS zero_volume_without_suspend, {', '.join(f'count(*) FILTER ({n} IS NULL) AS null_{n}' for n in FIELDS)} FROM padded""")
+@query("A6", f"""{D}, n AS (SELECT count(DISTINCT code) AS n FROM pd),
+ d AS (SELECT date, count(*) AS r, count(*) FILTER (open > 0 AND close > 0 AND high > 0 AND low > 0 AND volume IS NOT NULL AND amount IS NOT NULL) AS u FROM pd GROUP BY date)
+ SELECT count(*) AS observed_rows, (SELECT count(*) * max(n) - sum(r) FROM d, n)::BIGINT AS padded_rows,
+ (SELECT count(*) FILTER (r < n) FROM d, n) AS incomplete_sessions, (SELECT count(*) FILTER (u = n) FROM d, n) AS complete_sessions,
+ count(*) - count(*) FILTER (open > 0 AND close > 0 AND high > 0 AND low > 0 AND volume IS NOT NULL AND amount IS NOT NULL) AS missing_price_rows,
+ count(*) FILTER (volume = 0 AND Ifsuspend = 0) AS zero_volume_without_suspend, {', '.join(f'count(*) FILTER ({n} IS NULL) AS null_{n}' for n in FIELDS)} FROM pd""")
 def a6(spark, sf):
-    return q.import_quality(joins.pad(daily_panel(spark, sf).df), FIELDS)
+    return q.import_quality(daily_panel(spark, sf).df, FIELDS)
 
 
 @query("A7", f"{ASOF} SELECT count(published) AS known, count(*) FILTER (published > date) AS future, count(*) FILTER (published IS NULL) AS unknown FROM f")

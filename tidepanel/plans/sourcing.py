@@ -53,17 +53,23 @@ def s4(spark, sf):
     return read(spark, sf, "events").withColumnsRenamed({"ts": "date", "user_id": "code", "value": "volume"}).select("event_id", "date", "code", "volume")
 
 
-@query("S5", """SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS date, lpad(user_id::VARCHAR, 6, '0') AS code, value AS close, value AS volume, value * 2 AS amount, 2.0::DOUBLE AS vwap
- FROM events WHERE event_id % 11 <> 0 AND event_type <> 'error' AND value > 0""")
+@query("S5", """SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS date, lpad(user_id::VARCHAR, 6, '0') AS code, value AS close, value AS volume, value * 2 AS amount, 2.0::DOUBLE AS vwap,
+ CASE WHEN event_id % 3 <> 0 THEN value + 1 END AS turnover, event_type AS category
+ FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0 AND event_type <> 'error' AND value > 0""")
 def s5(spark, sf):
-    # Raw text with unreadable dates (every eleventh row) and missing closes (errors).
+    # Raw text with unreadable dates (every eleventh row), missing closes (errors), missing
+    # highs, unreadable lows, and an extra column that is no number in every third row.
     value = F.col("value").cast("string")
     raw = read(spark, sf, "events").select(
-        "event_id", F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("ts").cast("string")).alias("timestamps"),
+        "event_id", F.col("event_type").alias("category"),
+        F.when(F.col("event_id") % 13 != 0, value).alias("high"), F.when(F.col("event_id") % 17 == 0, "x").otherwise(value).alias("low"),
+        F.when(F.col("event_id") % 3 == 0, "n/a").otherwise((F.col("value") + 1).cast("string")).alias("turnover"),
+        F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("ts").cast("string")).alias("timestamps"),
         F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit(".0")).alias("code"), value.alias("open"),
         F.when(F.col("event_type") == "error", "NULL").otherwise(value).alias("close"), value.alias("vol"),
         (F.col("value") * 2).cast("string").alias("amount"))
-    return ingest.normalize_panel(raw).select("event_id", "date", "code", "close", "volume", "amount", "vwap")
+    return ingest.normalize_panel(raw).select(
+        F.col("event_id").cast("bigint"), "date", "code", "close", "volume", "amount", "vwap", "turnover", "category")
 
 
 @query("S6", f"{D} SELECT date, code, CASE WHEN volume > 2 THEN close + 1 ELSE close END AS close FROM pd UNION ALL SELECT date + INTERVAL 40 DAYS, code, close FROM pd WHERE volume > 4")

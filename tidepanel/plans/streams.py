@@ -32,12 +32,10 @@ def w1(spark, sf):
 
 @query("W2", "SELECT count(*) + count(*) FILTER (event_id % 7 = 0) AS rows_read, count(*) FILTER (value > 0) + count(*) FILTER (event_id % 7 = 0) AS rows_kept FROM events")
 def w2(spark, sf):
-    stream = st.observed(st.file_stream(spark, stage(spark, sf), SCHEMA, 4), "ingest",
-                         rows_read=F.count(F.lit(1)), rows_kept=F.count_if(F.col("value") > 0))
-    done = st.append_batches(stream.filter("value > 0"), run_dir(spark, "ingested"))
-    per_batch = spark.createDataFrame([(r["batch_id"], r["rows_read"], r["rows_kept"]) for r in st.progress_totals(done, "ingest")],
-                                      "batch_id long, rows_read long, rows_kept long")
-    return per_batch.agg(F.sum("rows_read").alias("rows_read"), F.sum("rows_kept").alias("rows_kept"))
+    target = run_dir(spark, "ingested")
+    st.append_batches(st.file_stream(spark, stage(spark, sf), SCHEMA, 4), target, keep=F.col("value") > 0,
+                      counters={"rows_read": F.count(F.lit(1)), "rows_kept": F.count_if(F.col("value") > 0)})
+    return st.batch_counters(spark, target).agg(F.sum("rows_read").alias("rows_read"), F.sum("rows_kept").alias("rows_kept"))
 
 
 @query("W3", "SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS amount_sum, count(*) AS valid_rows, sum(value::DECIMAL(18,2))::DOUBLE / count(*) AS average_amount FROM events WHERE value > 0 GROUP BY user_id")

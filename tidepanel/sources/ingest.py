@@ -16,11 +16,12 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, columns=None, delimiter: str | None = None,
-                   limit_rows: int | None = None) -> DataFrame:
-    """Delimited files with a header. Malformed rows are dropped, quoted line breaks
-    kept; every row is parsed in full so that a short projection drops the same rows."""
+                   limit_rows: int | None = None, multi_line: bool = False) -> DataFrame:
+    """Delimited files with a header. Malformed rows are dropped; every row is parsed in
+    full so that a short projection drops the same rows. Files are split among tasks
+    unless ``multi_line`` asks for quoted line breaks, which ties a file to one task."""
     df = (spark.read.schema(schema).option("header", True).option("sep", delimiter or detect_delimiter(spark, path))
-          .option("mode", "DROPMALFORMED").option("multiLine", True).option("columnPruning", False).csv(path))
+          .option("mode", "DROPMALFORMED").option("multiLine", multi_line).option("columnPruning", False).csv(path))
     if columns:
         df = df.select(*columns)
     return df if limit_rows is None else df.limit(limit_rows)
@@ -39,13 +40,20 @@ def scan(df: DataFrame, columns, start, stop, codes=None, date="date", code="cod
     return df.filter(keep).select(*columns)
 
 
-def normalize_panel(raw: DataFrame, required=("open", "close", "volume", "amount"),
-                    renames=(("timestamps", "date"), ("vol", "volume"))) -> DataFrame:
+# Columns of raw panels that are text or dates; all others are numbers.
+TEXT_COLUMNS = ("category", "industry", "name", "ChiName", "EngName", "SecuAbbr", "ChiNameAbbr", "ListedSector")
+DATE_COLUMNS = ("ListedDate", "InfoPublDate", "EndDate")
+
+
+def normalize_panel(raw: DataFrame, required=("open", "close", "high", "low", "volume", "amount"),
+                    renames=(("timestamps", "date"), ("vol", "volume")), text=TEXT_COLUMNS, dates=DATE_COLUMNS) -> DataFrame:
     """Raw text rows to panel rows: rename, parse dates and numbers, normalize codes,
     drop rows without required values or volume, add vwap."""
     df = raw.withColumnsRenamed({a: b for a, b in renames if a in raw.columns})
+    numbers = [x for x in df.columns if x not in ("date", "code", *text, *dates)]
     df = df.withColumns({"date": session_day("date"), "code": normalize_code("code"),
-                         **{x: to_number(x) for x in required}})
+                         **{x: F.col(x).try_cast("timestamp") for x in dates if x in df.columns},
+                         **{x: to_number(x) for x in numbers}})
     df = df.dropna(subset=["date", "code", *required]).filter(F.col("volume") > 0)
     return df.withColumn("vwap", ratio("amount", "volume"))
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.screens import keep_last
-from ..session import run_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 16) -> DataFrame:
@@ -18,34 +17,34 @@ def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
             .option("recursiveFileLookup", True).parquet(path))
 
 
-def append_batches(stream: DataFrame, target: str, mode: str = "append"):
-    """Run a stream to the end of its input, one folder per micro-batch."""
+def append_batches(stream: DataFrame, target: str, mode: str = "append", checkpoint: str | None = None,
+                   keep: Column | None = None, counters: dict[str, Column] | None = None):
+    """Run a stream to the end of its input, one folder per micro-batch.
+
+    The checkpoint stays beside the target, so that a later run goes on where this one
+    ended, with new batch numbers. ``keep`` filters what is stored; ``counters`` over all
+    rows of a batch are stored by batch too.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        kept = batch if keep is None else batch.filter(keep)
+        kept.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        if counters:
+            counts = batch.agg(*[v.alias(k) for k, v in counters.items()])
+            counts.write.mode("overwrite").parquet(f"{target}_counters/batch_id={batch_id}")
     query = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
-             .option("checkpointLocation", run_dir(stream.sparkSession, "stream_checkpoint"))
-             .foreachBatch(write).start())
+             .option("checkpointLocation", checkpoint or f"{target}_checkpoint").foreachBatch(write).start())
     query.awaitTermination()
     return query
 
 
 def latest_state(spark: SparkSession, target: str, keys, revision: str | None = None) -> DataFrame:
-    """Latest version of each key: the newest batch, then the newest revision."""
+    """Latest version of each key: the newest batch, then the newest revision (a
+    non-negative int)."""
     df = spark.read.parquet(target)
-    order = [F.col("batch_id"), *([F.col(revision)] if revision else [])]
-    return keep_last(df.withColumn("_seq", F.struct(*order)), list(keys), "_seq").drop("_seq", "batch_id")
-
-
-def observed(stream: DataFrame, name: str, **metrics: Column) -> DataFrame:
-    """Attach counters that every micro-batch reports in its progress."""
-    return stream.observe(name, *[v.alias(k) for k, v in metrics.items()])
+    seq = F.col("batch_id").cast("long") * (1 << 31) + (F.coalesce(F.col(revision), F.lit(0)) if revision else F.lit(0))
+    return keep_last(df.withColumn("_seq", seq), list(keys), "_seq").drop("_seq", "batch_id")
 
 
-def progress_totals(query, name: str) -> list[dict]:
-    """Counters of each reported micro-batch (a few numbers per batch)."""
-    rows = []
-    for p in query.recentProgress:
-        seen = p.observedMetrics.get(name)
-        if seen is not None:
-            rows.append({"batch_id": p.batchId, **seen.asDict()})
-    return rows
+def batch_counters(spark: SparkSession, target: str) -> DataFrame:
+    """Counters of every micro-batch of a target, over all its runs."""
+    return spark.read.parquet(f"{target}_counters")

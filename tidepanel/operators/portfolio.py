@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import c, ratio
+from ..session import cut
 from . import joins
 
 YEAR_DAYS = 252.0
@@ -84,7 +85,7 @@ def daily_flows(returns: DataFrame, by=BY) -> DataFrame:
 def account(signals: DataFrame, panel: DataFrame, k: int, fee: float, by=BY,
             price: str = "close") -> DataFrame:
     """Daily gross and net return, turnover, cost, holdings, equity and drawdown."""
-    best = best_signals(signals, k, by)
+    best = cut(best_signals(signals, k, by), "best")    # small; read twice below
     runs = executions(best, panel, by)
     flows = daily_flows(position_returns(target_weights(best, runs, panel, by, price), panel, price), by)
     daily = runs.join(flows, [*by, "date"], "left").select(*by, "date", "signal_date", *[

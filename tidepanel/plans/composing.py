@@ -10,8 +10,8 @@ from ..operators import compose as cp, evaluate as ev, factors as fs, portfolio
 from ..sources.panel import read, weekly_panel
 from . import query
 from .accounting import FEE, K, OBJ, SUM_SQL, accounts_sql, market
-from .common import KEYS, PW, out, rank_sql, rd
-from .evaluation import (DP, FL, FW, METRICS, NAMES, SPEAR, SPEAR_NAMES, STATES, Z, floored_sql,
+from .common import KEYS, PW, out, r, rank_sql, rd
+from .evaluation import (DP, FL, FW, METRICS, NAMES, SPEAR, SPEAR_NAMES, SPLITS, STATES, Z, floored_sql, tagged_daily,
                          performance, states, wide, zscores)
 from .history import DAYS
 from .joining import COND, catalog_of, conditional
@@ -116,7 +116,7 @@ def a5(spark, sf):
 
 
 # Greedy selection: candidates by state, conflicts from pooled rank correlations.
-STATE_METRICS = f"{DP}, {STATES}, sm0 AS (SELECT factor_id, state_id, avg(rank_ic) AS rank_ic_mean, CASE WHEN count(ic) >= 2 THEN avg(ic) / nullif(stddev_samp(ic), 0) END AS icir, count(ic) AS sample_count FROM dp JOIN states USING (date) GROUP BY ALL), cand0 AS (SELECT *, coalesce(rank_ic_mean, 0) * 0.7 + coalesce(icir, 0) * 0.3 AS sc FROM sm0 WHERE sample_count >= 10)"
+STATE_METRICS = f"{DP}, {STATES}, {SPLITS}, sm0 AS (SELECT factor_id, state_id, avg(rank_ic) AS rank_ic_mean, CASE WHEN count(ic) >= 2 THEN avg(ic) / nullif(stddev_samp(ic), 0) END AS icir, count(ic) AS sample_count FROM dp JOIN states USING (date) JOIN splits USING (date) WHERE split = 'train' GROUP BY ALL), cand0 AS (SELECT *, coalesce(rank_ic_mean, 0) * 0.7 + coalesce(icir, 0) * 0.3 AS sc FROM sm0 WHERE sample_count >= 10)"
 
 
 def walk_sql(candidates, by, top_n, conflict):
@@ -137,7 +137,8 @@ X8_SQL = f"WITH RECURSIVE {STATE_METRICS}, {SPEAR}, {walk_sql('SELECT * FROM can
 
 
 def state_candidates(spark, sf):
-    daily = performance(spark, sf).join(F.broadcast(states(spark, sf)), "date")
+    # Selection sees the training sessions only.
+    daily = tagged_daily(spark, sf).filter("split = 'train'")
     m = ev.conditional_metrics(daily, ["factor_id", "state_id"]).filter("sample_count >= 10")
     return m.withColumn("selection_score", cp.selection_score())
 
@@ -234,12 +235,12 @@ GRID = {f"w{i}{j}": {"mom4": i / 4, "rev1": j / 4, "rng": (4 - i - j) / 4} for i
 
 
 @query("X14", f"""WITH {Z}, {composite_sql(GRID)}, sg AS (SELECT strategy_id, date, code, score FROM ss), {ACCOUNTS}, ob AS (SELECT strategy_id, {OBJ} AS objective FROM ac GROUP BY strategy_id)
- SELECT strategy_id, {rd('objective')} AS objective, row_number() OVER (ORDER BY objective DESC, strategy_id) = 1 AS best FROM ob""")
+ SELECT strategy_id, {rd('objective')} AS objective, row_number() OVER (ORDER BY {rd('objective')} DESC, strategy_id) = 1 AS best FROM ob""")
 def x14(spark, sf):
     rows, _ = scored(spark, sf, GRID)
     daily = pf.account(rows.select("strategy_id", *KEYS, "score"), market(spark, sf), K, FEE)
     ob = daily.groupBy("strategy_id").agg(pf.growth_objective("net_return").alias("objective"))
-    place = F.row_number().over(Window.orderBy(F.col("objective").desc(), "strategy_id"))   # one row per vector
+    place = F.row_number().over(Window.orderBy(r("objective").desc(), "strategy_id"))   # one row per vector; ties on the grid
     return out(ob.withColumn("best", place == 1), "strategy_id", "best", objective="objective")
 
 

@@ -186,9 +186,15 @@ def _behavior_sql(name):
             f"{rd(f'CASE WHEN count({name}) >= 2 THEN avg({name}) / nullif(stddev_samp({name}), 0) END', 4)} AS {name}_ir")
 
 
-# Slopes depend on the scale of the factor; they are compared for scale-free factors.
-BEHAVIOR = ", ".join(_behavior_sql(n) for n in ("ic", "rank_ic"))
-BEHAVIOR_COLS = [f"{n}_{s}" for n in ("ic", "rank_ic") for s in ("mean", "std", "ir")]
+# Slopes depend on the scale of the factor: for amounts they are per million.
+PER_MILLION = "dps AS (SELECT * REPLACE (slope * CASE factor_id WHEN 'liq4' THEN 1e6::DOUBLE ELSE 1.0::DOUBLE END AS slope) FROM dp)"
+BEHAVIOR = ", ".join(_behavior_sql(n) for n in ("ic", "rank_ic", "slope"))
+BEHAVIOR_COLS = [f"{n}_{s}" for n in ("ic", "rank_ic", "slope") for s in ("mean", "std", "ir")]
+
+
+def scaled_performance(spark, sf):
+    unit = F.when(F.col("factor_id") == "liq4", 1e6).otherwise(1.0)
+    return performance(spark, sf).withColumn("slope", F.col("slope") * unit)
 
 
 def behavior_out(df, *keys):
@@ -196,9 +202,9 @@ def behavior_out(df, *keys):
     return df.select(*keys, *[r(n, 4 if n.endswith("_ir") else 6).alias(n) for n in BEHAVIOR_COLS])
 
 
-@query("V8", f"WITH {DP} SELECT factor_id, {BEHAVIOR} FROM dp WHERE date < TIMESTAMP '2000-01-03' AND label_available_date < TIMESTAMP '2000-01-03' GROUP BY factor_id")
+@query("V8", f"WITH {DP}, {PER_MILLION} SELECT factor_id, {BEHAVIOR} FROM dps WHERE date < TIMESTAMP '2000-01-03' AND label_available_date < TIMESTAMP '2000-01-03' GROUP BY factor_id")
 def v8(spark, sf):
-    past = ev.mature(performance(spark, sf), F.lit("2000-01-03").cast("timestamp"))
+    past = ev.mature(scaled_performance(spark, sf), F.lit("2000-01-03").cast("timestamp"))
     return behavior_out(ev.behavior_summary(past), "factor_id")
 
 
@@ -211,13 +217,13 @@ def t33(spark, sf):
     return out(past.withColumn("_n", F.row_number().over(w)).filter("_n <= 40"), "date", "factor_id", ic="ic")
 
 
-@query("T34", f"""WITH {DP}, asd AS (SELECT DISTINCT date AS as_of_date FROM pw),
- m AS (SELECT as_of_date, dp.* FROM asd JOIN dp ON date < as_of_date AND label_available_date < as_of_date
+@query("T34", f"""WITH {DP}, {PER_MILLION}, asd AS (SELECT DISTINCT date AS as_of_date FROM pw),
+ m AS (SELECT as_of_date, dps.* FROM asd JOIN dps ON date < as_of_date AND label_available_date < as_of_date
   QUALIFY row_number() OVER (PARTITION BY as_of_date, factor_id ORDER BY date DESC) <= 40)
  SELECT as_of_date, factor_id, count(*) AS mature_sample_count, {BEHAVIOR} FROM m GROUP BY as_of_date, factor_id""")
 def t34(spark, sf):
     dates = weekly_panel(spark, sf).df.select("date").distinct()
-    return behavior_out(ev.rolling_behavior(performance(spark, sf), dates, HORIZON, 40),
+    return behavior_out(ev.rolling_behavior(scaled_performance(spark, sf), dates, HORIZON, 40),
                         "as_of_date", "factor_id", "mature_sample_count")
 
 

@@ -46,3 +46,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = run_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application has stored: its folder and its panel tables. Call it
+    when no result is read any more."""
+    from .sources import panel
+    for key in [k for k in panel._STORED if k[0] == spark.sparkContext.applicationId]:
+        spark.sql(f"DROP TABLE IF EXISTS {panel._STORED.pop(key).table}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidepanel-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -21,20 +21,20 @@ class Panel:
     df: DataFrame
     max_group: int      # rows of the largest date
     rows: int
+    table: str
 
 
 _STORED: dict[tuple[str, str, str], Panel] = {}
 
 
 ROWS_PER_BUCKET = 4_000_000     # a few hundred MB of panel columns per task
-MAX_BUCKETS = 50_000
 
 
 def bucket_count(spark: SparkSession, fact_rows: int) -> int:
     """Buckets by input size, and enough of them to occupy the cores on small inputs."""
     by_size = -(-fact_rows // ROWS_PER_BUCKET)
     by_cores = min(spark.sparkContext.defaultParallelism, -(-fact_rows // 5_000))
-    return max(1, min(max(by_size, by_cores), MAX_BUCKETS))
+    return max(1, by_size, by_cores)
 
 
 def store(spark: SparkSession, name: str, key: str, facts: DataFrame, build, finish=None) -> Panel:
@@ -57,7 +57,7 @@ def store(spark: SparkSession, name: str, key: str, facts: DataFrame, build, fin
             "code", "date").option("path", path).saveAsTable(table)
         df = spark.table(table)
         widest, total = df.groupBy("date").count().agg(F.max("count"), F.sum("count")).first()
-        _STORED[slot] = Panel(df, int(widest or 0), int(total or 0))
+        _STORED[slot] = Panel(df, int(widest or 0), int(total or 0), table)
     return _STORED[slot]
 
 
@@ -68,10 +68,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def order_number(*parts: tuple[Column, int]) -> Column:
     """Columns (non-negative integers, with their number of digits) as one number that
     sorts like the tuple. A number keeps first/last aggregates in hash aggregation,
-    where a struct key would sort all facts before they are combined."""
+    where a struct key would sort all facts before they are combined. A value outside
+    its digits fails the job, as it would change the order silently."""
     total, shift = None, 0
     for value, digits in reversed(parts):
         unit = F.lit("1" + "0" * shift).cast("decimal(38,0)")
+        fits = value.isNull() | value.between(0, 10 ** digits - 1)
+        value = F.when(fits, value).otherwise(F.raise_error(F.lit(f"an order value needs more than {digits} digits")))
         term = (value.cast("decimal(38,0)") * unit).cast("decimal(38,0)")
         total = term if total is None else (term + total).cast("decimal(38,0)")
         shift += digits

@@ -81,3 +81,28 @@ def test_future_rows_change_nothing(spark):
     from tidepanel import plans
     plans.load()
     assert all(r.max_error == 0 and r.missing_differs == 0 for r in plans.QUERIES["Q8"](spark, "/root/testdata/sf0.001").collect())
+
+
+def test_nested_cross_sections_grow_linearly(spark):
+    """The plan of a level reads its stored table a fixed number of times, whatever the depth."""
+    from tidepanel.operators import factors as fs
+    panel = spark.range(60).selectExpr("timestamp'2024-01-01' + make_dt_interval(int(id / 6)) AS date", "cast(id % 6 AS string) AS code",
+                                       "cast((id * 7) % 11 AS double) AS close")
+    def nested(n):
+        x = F.col("close")
+        for _ in range(n):
+            x = fs.Step("zscore", (x,))
+        return x
+    plans = [fs.composed(panel, {"z": nested(n)})._jdf.queryExecution().optimizedPlan().toString().count("Relation") for n in (1, 2, 4, 6)]
+    assert plans == [1, 1, 1, 1]
+    values = fs.composed(panel, {"z": nested(3), "again": nested(1)}).toPandas()
+    assert (values.z - values.again).abs().max() < 1e-9
+
+
+def test_many_cross_sections_of_one_level_read_it_once_each(spark):
+    from tidepanel.operators import cross
+    base = spark.range(20).selectExpr("timestamp'2024-01-01' AS date", "id AS code", "cast(id AS double) AS x")
+    df = base
+    for k in range(6):
+        df = cross.zscore(df, "x", f"z{k}", source=base)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 7

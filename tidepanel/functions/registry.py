@@ -74,8 +74,8 @@ def _fill() -> None:
     pair = {"ts_corr": ts.ts_corr, "ts_covariance": ts.ts_covariance, "ts_regression": ts.ts_regression}
     frame = {"rank": cross.rank, "zscore": cross.zscore, "normalize": cross.normalize, "scale": cross.scale,
              "winsorize": cross.winsorize, "quantile": cross.quantile}
-    group = {"group_rank": lambda df, x, g, out: cross.rank(df, x, out, ("date", g)),
-             "group_neutralize": cross.group_neutralize, "group_zscore": lambda df, x, g, out: cross.zscore(df, x, out, ("date", g)),
+    group = {"group_rank": lambda df, x, g, out, **how: cross.rank(df, x, out, ("date", g), **how),
+             "group_neutralize": cross.group_neutralize, "group_zscore": lambda df, x, g, out, **how: cross.zscore(df, x, out, ("date", g), **how),
              "group_scale": cross.group_scale, "group_mean": cross.group_mean, "group_backfill": cross.group_backfill}
     for table, category, inputs in ((one, "arithmetic", 1), (two, "arithmetic", 2), (logic1, "logic", 1), (logic2, "logic", 2),
                                     (logic3, "logic", 3), (roll, "time_series", 2), (pair, "time_series", 3)):

@@ -34,13 +34,17 @@ def join_groups(df: DataFrame, stats: DataFrame, by) -> DataFrame:
     return df.join(F.broadcast(stats) if tuple(by) == DATE else stats, list(by), "left")
 
 
-def attach(df: DataFrame, by=DATE, **aggs: Column) -> DataFrame:
+def attach(df: DataFrame, by=DATE, source: DataFrame | None = None, **aggs: Column) -> DataFrame:
     """Add one column per aggregate of the row's group (NULL for a NULL group key).
 
+    ``source`` is a stored table with the same rows from which to aggregate; with it a
+    chain of operators reads the table once for each, instead of doubling its plan.
+
     Statistics combine map-side and come back by a join: no task holds a group, and
     for dates the rows themselves are not shuffled at all.
     """
-    return join_groups(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
+    source = df if source is None else source
+    return join_groups(df, source.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
 
 
 def order_sums(values: DataFrame, by, x: str, weight: str, below: str,
@@ -82,8 +86,9 @@ def order_sums(values: DataFrame, by, x: str, weight: str, below: str,
 
 
 def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True,
-         max_group: int | None = None, levels: int = LEVELS) -> DataFrame:
-    """Rank with ties averaged over the non-NULL values of the group."""
+         max_group: int | None = None, levels: int = LEVELS, source: DataFrame | None = None) -> DataFrame:
+    """Rank with ties averaged over the non-NULL values of the group; ``source`` as in
+    ``attach``."""
     by = tuple(by)
     if group_fits(max_group):
         # One sort serves all three: peers are the rows in range of the current value.
@@ -97,7 +102,7 @@ def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True,
             known = known & F.col(key).isNotNull()
         return df.withColumn(out, F.when(known, value))
     ties, below, n = _temp("ties"), _temp("below"), _temp("n")
-    values = (df.filter(F.col(x).isNotNull()).groupBy(*by, x)
+    values = ((df if source is None else source).filter(F.col(x).isNotNull()).groupBy(*by, x)
               .agg(F.count(F.lit(1)).alias(ties)))
     placed = order_sums(values, by, x, ties, below, levels)
     place = F.col(below) + (F.col(ties) + 1) / F.lit(2.0)
@@ -116,15 +121,15 @@ def densify(df: DataFrame, x: str, out: str) -> DataFrame:
     return df.join(codes.select(x, F.col(below).cast("double").alias(out)), x, "left")
 
 
-def _moments(df, x, by):
+def _moments(df, x, by, source=None):
     mu, sd = _temp("mu"), _temp("sd")
-    out = attach(df, by, **{mu: F.avg(x), sd: F.stddev_pop(x)})
+    out = attach(df, by, source, **{mu: F.avg(x), sd: F.stddev_pop(x)})
     return out, F.col(mu), F.col(sd), [mu, sd]
 
 
-def zscore(df, x, out, by=DATE) -> DataFrame:
+def zscore(df, x, out, by=DATE, source=None) -> DataFrame:
     """(x - mean) / population deviation; NULL where the group does not vary."""
-    df, mu, sd, temp = _moments(df, x, by)
+    df, mu, sd, temp = _moments(df, x, by, source)
     return df.withColumn(out, ratio(c(x) - mu, sd)).drop(*temp)
 
 
@@ -159,8 +164,8 @@ def eligible_rank(df, x, out, eligible="eligible", by=DATE, max_group=None) -> D
     return rank(df, kept, out, by, True, max_group).drop(kept)
 
 
-def normalize(df, x, out, use_std=False, limit=0.0, by=DATE) -> DataFrame:
-    df, mu, sd, temp = _moments(df, x, by)
+def normalize(df, x, out, use_std=False, limit=0.0, by=DATE, source=None) -> DataFrame:
+    df, mu, sd, temp = _moments(df, x, by, source)
     value = ratio(c(x) - mu, sd) if use_std else c(x) - mu
     if limit > 0:
         value = F.when(value.isNotNull(),
@@ -168,11 +173,11 @@ def normalize(df, x, out, use_std=False, limit=0.0, by=DATE) -> DataFrame:
     return df.withColumn(out, value).drop(*temp)
 
 
-def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE) -> DataFrame:
+def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE, source=None) -> DataFrame:
     """Scale the group to a book of ``size``, or the two sides separately."""
     gross, longs, shorts = _temp("gross"), _temp("longs"), _temp("shorts")
     x = c(x)
-    df = attach(df, by, **{
+    df = attach(df, by, source, **{
         gross: F.sum(F.abs(x)), longs: F.sum(F.greatest(x, F.lit(0.0))),
         shorts: F.sum(F.abs(F.least(x, F.lit(0.0))))})
     if long_size != 1 or short_size != 1:
@@ -186,52 +191,52 @@ def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE) -> DataF
     return df.withColumn(out, value).drop(gross, longs, shorts)
 
 
-def winsorize(df, x, out, std=4.0, by=DATE) -> DataFrame:
-    df, mu, sd, temp = _moments(df, x, by)
+def winsorize(df, x, out, std=4.0, by=DATE, source=None) -> DataFrame:
+    df, mu, sd, temp = _moments(df, x, by, source)
     low, high = mu - F.lit(std) * sd, mu + F.lit(std) * sd
     value = F.when(c(x).isNotNull(), F.greatest(F.least(c(x), high), low))
     return df.withColumn(out, value).drop(*temp)
 
 
-def quantile(df, x, out, driver="gaussian", sigma=1.0, by=DATE, max_group=None) -> DataFrame:
+def quantile(df, x, out, driver="gaussian", sigma=1.0, by=DATE, max_group=None, source=None) -> DataFrame:
     r = _temp("r")
-    df = rank(df, x, r, by, True, max_group)
+    df = rank(df, x, r, by, True, max_group, source=source)
     return df.withColumn(out, spread_rank(r, driver, sigma)).drop(r)
 
 
-def group_neutralize(df, x, group, out) -> DataFrame:
+def group_neutralize(df, x, group, out, source=None) -> DataFrame:
     mu = _temp("mu")
-    df = attach(df, ("date", group), **{mu: F.avg(x)})
+    df = attach(df, ("date", group), source, **{mu: F.avg(x)})
     return df.withColumn(out, c(x) - F.col(mu)).drop(mu)
 
 
-def group_scale(df, x, group, out, size=1.0) -> DataFrame:
+def group_scale(df, x, group, out, size=1.0, source=None) -> DataFrame:
     gross = _temp("gross")
-    df = attach(df, ("date", group), **{gross: F.sum(F.abs(c(x)))})
+    df = attach(df, ("date", group), source, **{gross: F.sum(F.abs(c(x)))})
     return df.withColumn(out, ratio(x, gross) * F.lit(size)).drop(gross)
 
 
-def group_mean(df, x, weight, group, out) -> DataFrame:
+def group_mean(df, x, weight, group, out, source=None) -> DataFrame:
     """Weighted mean of the group; the weights of missing values count too."""
     top, bottom = _temp("top"), _temp("bottom")
-    df = attach(df, ("date", group), **{
+    df = attach(df, ("date", group), source, **{
         top: F.sum(c(x) * c(weight)), bottom: F.sum(c(weight))})
     value = ratio(F.coalesce(F.col(top), F.lit(0.0)), bottom)
     return df.withColumn(out, F.when(F.col(group).isNotNull(), value)).drop(top, bottom)
 
 
-def group_backfill(df, x, group, out, d, std=4.0) -> DataFrame:
+def group_backfill(df, x, group, out, d, std=4.0, source=None) -> DataFrame:
     """Missing values take the mean of their group's winsorized values, then the last
     value of their code within ``d`` rows."""
     from ..functions import timeseries as ts
     filled = _temp("filled")
-    df = group_filled(df, x, group, filled, std)
+    df = group_filled(df, x, group, filled, std, source)
     return df.withColumn(out, ts.ts_backfill(filled, d)).drop(filled)
 
 
-def group_filled(df, x, group, out, std=4.0) -> DataFrame:
+def group_filled(df, x, group, out, std=4.0, source=None) -> DataFrame:
     """Missing values take the mean of their group's winsorized values."""
     w, mu = _temp("w"), _temp("mu")
-    df = winsorize(df, x, w, std)
+    df = winsorize(df, x, w, std, source=source)
     df = attach(df, ("date", group), **{mu: F.avg(w)})
     return df.withColumn(out, F.coalesce(c(x), F.col(mu))).drop(w, mu)

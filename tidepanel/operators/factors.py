@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import timeseries as ts
 from ..functions.clean import ratio
+from ..session import cut
 
 
 def wide(panel: DataFrame, factors: dict[str, Column], keep=("date", "code")) -> DataFrame:
@@ -14,13 +17,79 @@ def wide(panel: DataFrame, factors: dict[str, Column], keep=("date", "code")) ->
     return panel.select(*keep, *[v.alias(k) for k, v in factors.items()])
 
 
-def resolvable(panel: DataFrame, factors: dict[str, Column]) -> tuple[dict[str, Column], dict[str, str]]:
+@dataclass(frozen=True, eq=False)
+class Step:
+    """A registered operator over Columns, column names or other steps.
+
+    Steps compose freely: a rolling mean of a rank of a difference is
+    ``Step("ts_mean", (Step("rank", (ts.delta("close", 5),)), 4))``. ``group`` names the
+    group column of group operators, ``how`` holds further arguments.
+    """
+    operator: str
+    inputs: tuple
+    group: str | None = None
+    how: dict = field(default_factory=dict)
+
+
+def _depth(x) -> int:
+    return 1 + max(map(_depth, x.inputs)) if isinstance(x, Step) else 0
+
+
+def composed(panel: DataFrame, factors: dict[str, Column | Step], keep=("date", "code")) -> DataFrame:
+    """A factor set whose members may nest cross-sections and rolling operators.
+
+    Works level by level: all rolling operators of a level are one projection, every
+    cross-section takes its statistics from the stored table of the level before, and the
+    level is stored. So the plan of a level grows with its number of steps, and the whole
+    with the depth.
+    """
+    from ..functions.registry import resolve
+    found: dict[int, tuple[Step, str]] = {}
+
+    def collect(x) -> None:
+        if isinstance(x, Step) and id(x) not in found:
+            for y in x.inputs:
+                collect(y)
+            found[id(x)] = x, f"_step{len(found)}"
+
+    for x in factors.values():
+        collect(x)
+    plain = {k: v for k, v in factors.items() if not isinstance(v, Step)}
+    steps = sorted(found.values(), key=lambda s: _depth(s[0]))
+    # Columns below frame operators are made by name before the first level.
+    leaves = {}
+    for s, name in steps:
+        for k, y in enumerate(s.inputs):
+            if isinstance(y, Column) and resolve(s.operator).kind == "frame":
+                leaves[f"{name}_in{k}"] = y
+    df = panel.select("*", *[v.alias(k) for k, v in {**leaves, **plain}.items()])
+    named = lambda s, name, k, y: (found[id(y)][1] if isinstance(y, Step) else f"{name}_in{k}"
+                                   if isinstance(y, Column) and f"{name}_in{k}" in leaves else y)
+    for level in range(1, 1 + max((_depth(s) for s, _ in steps), default=0)):
+        here = [(s, name, resolve(s.operator)) for s, name in steps if _depth(s) == level]
+        df = df.withColumns({name: op.make(*[named(s, name, k, y) for k, y in enumerate(s.inputs)], **s.how)
+                             for s, name, op in here if op.kind == "column"})
+        base = df = cut(df, "level")
+        for s, name, op in here:
+            if op.kind == "frame":
+                groups = () if s.group is None else (s.group,)
+                df = op.make(df, *[named(s, name, k, y) for k, y in enumerate(s.inputs)], *groups, name, source=base, **s.how)
+        if any(op.kind == "frame" for _, _, op in here):
+            df = cut(df, "level")
+    return df.select(*keep, *[F.col(found[id(v)][1] if isinstance(v, Step) else k).alias(k) for k, v in factors.items()])
+
+
+def resolvable(panel: DataFrame, factors: dict[str, Column | Step]) -> tuple[dict[str, Column | Step], dict[str, str]]:
     """Split a factor set into those that the panel can compute and errors by name.
     Only the analyzer runs here; no data is read."""
     good, bad = {}, {}
+    def columns(x):
+        return [c for y in x.inputs for c in columns(y)] if isinstance(x, Step) else [
+            F.col(x) if isinstance(x, str) else x] if isinstance(x, (Column, str)) else []
+
     for name, expr in factors.items():
         try:
-            panel.select(expr.alias(name)).schema
+            panel.select(*columns(expr)).schema
             good[name] = expr
         except AnalysisException as error:
             bad[name] = error.getCondition() or "ANALYSIS_ERROR"
@@ -43,6 +112,14 @@ def demo_factors() -> dict[str, Column]:
             "rng": ratio(F.col("high") - F.col("low"), "open")}
 
 
+def demo_cross_sections() -> dict[str, Step]:
+    """Cross-sections of rolling values, in a group, and a rolling mean of a rank, standardized."""
+    change = Step("rank", (ts.delta("close", 4),))
+    return {"rank_delta": change, "z_mean": Step("zscore", (ts.ts_mean("close", 4),)),
+            "sector_gap": Step("group_neutralize", (ts.delta("close", 4),), "sector"),
+            "z_mean_rank": Step("zscore", (Step("ts_mean", (change, 3)),))}
+
+
 GRID_OPERATORS = {
     "delta": lambda x, n: ratio(ts.delta(x, n), ts.delay(x, n)),
     "ts_zscore": ts.ts_zscore,

@@ -10,7 +10,7 @@ from ..operators import compose as cp, evaluate as ev, factors as fs, portfolio
 from ..sources.panel import read, weekly_panel
 from . import query
 from .accounting import FEE, K, OBJ, SUM_SQL, accounts_sql, market
-from .common import KEYS, PW, out, r, rank_sql, rd
+from .common import KEYS, PW, WC, full_sql, out, r, rank_sql, rd, wn
 from .evaluation import (DP, FL, FW, METRICS, NAMES, SPEAR, SPEAR_NAMES, SPLITS, STATES, Z, floored_sql, tagged_daily,
                          performance, states, wide, zscores)
 from .history import DAYS
@@ -85,15 +85,30 @@ def x5(spark, sf):
                **{f"contribution_{n}": f"contribution_{n}" for n in WEIGHTS})
 
 
-@query("X6", f"""WITH {FL} SELECT factor_id, 'ok' AS status, count(*) AS row_count, count(value) AS valid_count, {rd('count(value)::DOUBLE / count(*)')} AS coverage FROM fl GROUP BY factor_id
+@query("X6", f"""WITH {FL}, dl AS (SELECT *, close - lag(close, 4) OVER {WC} AS d4, {full_sql(f'avg(close) OVER {wn(4)}', 'close', 4)} AS m4 FROM pw),
+ rk AS (SELECT *, {rank_sql('d4')} AS rank_delta, (m4 - avg(m4) OVER (PARTITION BY date)) / nullif(stddev_pop(m4) OVER (PARTITION BY date), 0) AS z_mean,
+  d4 - avg(d4) OVER (PARTITION BY date, sector) AS sector_gap FROM dl),
+ r3 AS (SELECT *, {full_sql(f'avg(rank_delta) OVER {wn(3)}', 'rank_delta', 3)} AS mr FROM rk),
+ xs AS (SELECT *, (mr - avg(mr) OVER (PARTITION BY date)) / nullif(stddev_pop(mr) OVER (PARTITION BY date), 0) AS z_mean_rank FROM r3),
+ al AS (SELECT factor_id, value FROM fl UNION ALL SELECT unnest(['rank_delta', 'z_mean', 'sector_gap', 'z_mean_rank']), unnest([rank_delta, z_mean, sector_gap, z_mean_rank]) FROM xs)
+ SELECT factor_id, 'ok' AS status, count(*) AS row_count, count(value) AS valid_count, {rd('count(value)::DOUBLE / count(*)')} AS coverage FROM al GROUP BY factor_id
  UNION ALL SELECT 'unknown_field', 'error', 0, 0, NULL""")
 def x6(spark, sf):
     from ..sources.sinks import materialize_factors
     panel = weekly_panel(spark, sf).df
-    status = materialize_factors(panel, {**fs.demo_factors(), "unknown_field": ts.ts_mean("no_such_field", 4)})
+    status = materialize_factors(panel, {**fs.demo_factors(), **fs.demo_cross_sections(), "unknown_field": ts.ts_mean("no_such_field", 4)})
     return out(status, "factor_id", "status", "row_count", "valid_count", coverage="coverage")
 
 
+@query("X16", f"""WITH {PW}, dl AS (SELECT *, close - lag(close, 4) OVER {WC} AS d4 FROM pw), rk AS (SELECT *, {rank_sql('d4')} AS rank_delta FROM dl),
+ r3 AS (SELECT *, {full_sql(f'avg(rank_delta) OVER {wn(3)}', 'rank_delta', 3)} AS mr, d4 - avg(d4) OVER (PARTITION BY date, sector) AS sector_gap FROM rk)
+ SELECT date, code, {rd('rank_delta')} AS rank_delta, {rd('sector_gap')} AS sector_gap, {rd('(mr - avg(mr) OVER (PARTITION BY date)) / nullif(stddev_pop(mr) OVER (PARTITION BY date), 0)', 4)} AS z_mean_rank FROM r3""")
+def x16(spark, sf):
+    """Values of nested cross-sections (composition across X6's operators)."""
+    got = fs.composed(weekly_panel(spark, sf).df, fs.demo_cross_sections())
+    return got.select(*KEYS, r("rank_delta").alias("rank_delta"), r("sector_gap").alias("sector_gap"), r("z_mean_rank", 4).alias("z_mean_rank"))
+
+
 @query("X7", f"""WITH {COND} SELECT category, {rd('avg(sc)')} AS score, count(DISTINCT factor_id) AS factor_count, {rd('avg(rank_ic_mean)')} AS mean_rank_ic, {rd('avg(icir)')} AS mean_icir
  FROM cmj WHERE state_id = 'A' AND split = 'train' AND sample_count >= 2 GROUP BY category""")
 def x7(spark, sf):

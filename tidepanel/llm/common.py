@@ -22,7 +22,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def crc_of(id_col: str) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary"))
+    """CRC-32 of an id as text; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
 
 
 def share_of_hash(*cols: str) -> Column:

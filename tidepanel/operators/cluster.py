@@ -40,14 +40,17 @@ def behavior_matrix(df: DataFrame, features) -> DataFrame:
         F.nullif(moments[f"s_{x}"], F.lit(0.0)), F.lit(1.0)) for x in features})
 
 
-def fit_kmeans(matrix: DataFrame, features, k: int, seed: int = 42):
-    """K-means on standardized behavior: labels, raw-space centers and the cost."""
+def fit_kmeans(matrix: DataFrame, features, k: int, seed: int = 42, starts: int = 20, max_iter: int = 300):
+    """K-means on standardized behavior, the best of several starts: labels, raw-space
+    centers and the cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     # Every iteration reads the matrix again: store it instead of recomputing it.
     rows = VectorAssembler(inputCols=[f"z_{x}" for x in features], outputCol="_x").transform(
         cut(matrix, "behavior"))
-    model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster", maxIter=50).fit(rows)
+    models = [KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster", maxIter=max_iter).fit(rows)
+              for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     labels = model.transform(rows).drop("_x")
     return labels, raw_centers(labels, features), float(model.summary.trainingCost)
 

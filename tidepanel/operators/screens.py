@@ -37,6 +37,12 @@ def tradable() -> Column:
     return (F.coalesce(F.col("Ifsuspend"), F.lit(0.0)) == 0) & (F.coalesce(F.col("open"), F.lit(0.0)) > 0)
 
 
+def unlimited(flag: str) -> Column:
+    """No limit move by that flag: a stock at its upper limit cannot be bought, one at
+    its lower limit cannot be sold. A missing flag is no limit."""
+    return F.coalesce(F.col(flag), F.lit(0.0)) != 1
+
+
 def within(bounds: dict[str, tuple], members: dict[str, list] | None = None) -> Column:
     """Inclusive ranges and member lists; NULL fails."""
     keep = F.lit(True)

@@ -89,13 +89,14 @@ def p6(spark, sf):
 
 
 @query("P7", f"""{D}, cal AS (SELECT date, lead(date) OVER (ORDER BY date) AS nd FROM (SELECT DISTINCT date FROM pd))
- SELECT pd.date AS signal_date, e.date AS date, pd.code, pd.close AS score FROM pd JOIN cal USING (date) JOIN pd e ON e.date = cal.nd AND e.code = pd.code
- WHERE e.Ifsuspend = 0 AND e.open > 0 AND e.if_up <> 1""")
+ SELECT pd.date AS signal_date, e.date AS date, pd.code, pd.close AS score, e.if_up <> 1 AS can_buy, e.if_down <> 1 AS can_sell
+ FROM pd JOIN cal USING (date) JOIN pd e ON e.date = cal.nd AND e.code = pd.code WHERE e.Ifsuspend = 0 AND e.open > 0""")
 def p7(spark, sf):
     df = daily(spark, sf)
     signals = joins.next_session(df.select(*KEYS, F.col("close").alias("score")), joins.calendar(df))
-    open_rows = df.filter(screens.tradable() & (F.coalesce(F.col("if_up"), F.lit(0.0)) != 1)).select(*KEYS)
-    return signals.join(open_rows, list(KEYS)).select("signal_date", *KEYS, "score")
+    open_rows = df.filter(screens.tradable()).select(*KEYS, screens.unlimited("if_up").alias("can_buy"),
+                                                     screens.unlimited("if_down").alias("can_sell"))
+    return signals.join(open_rows, list(KEYS)).select("signal_date", *KEYS, "score", "can_buy", "can_sell")
 
 
 @query("P8", f"""{P} SELECT date, code, amount FROM pw WHERE category IN ('F') AND amount BETWEEN 40000 AND 120000

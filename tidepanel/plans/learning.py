@@ -35,7 +35,7 @@ def l1(spark, sf):
 @query("L2")
 def l2(spark, sf):
     m = cl.behavior_matrix(behavior(spark, sf).drop("cluster"), FEATS)
-    labels, centers, cost = cl.fit_kmeans(m, FEATS, 4)
+    labels, centers, cost = cl.fit_kmeans(m, FEATS, 4, starts=4)
     return labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).join(centers, "cluster").withColumn("cost", F.lit(cost))
 
 

@@ -121,13 +121,20 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     """(id, cls, n, sig) of rows (id, text); cls is a 128-bit digest of the shingle set, null for the empty set."""
     def run(batches):
         for batch in batches:
-            sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["id", "cls", "n", "sig"])
+            texts, at = [(t or "").encode() for t in batch.column(1).to_pylist()], 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= STEP_BYTES):
+                    size += len(texts[end])
+                    end += 1
+                sets = shingle_sets(texts[at:end], width)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(at, end - at),
+                    pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                    names=["id", "cls", "n", "sig"])
+                at = end
     return docs.mapInArrow(run, "id long, cls binary, n long, sig binary")
 
 

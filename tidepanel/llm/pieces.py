@@ -299,24 +299,27 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", digests: bool
 
     def run(batches):
         model, library = loaded(model_path)
+        kinds = ([pa.int64(), pa.string(), pa.string()] if digests
+                 else [pa.list_(pa.int32())] * 3 + [pa.string()])
         for batch in batches:
-            rows = [[] for _ in added.fields]
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for step in steps(texts):
+            at = 0
+            for step in steps(texts):                   # what leaves at once is bounded by the step, not the batch
+                rows = [[] for _ in added.fields]
                 for ids, starts, ends in model.encode_all(step):
-                    ids = ids.tolist()
-                    decoded = library.decode(ids) if ids else ""
+                    plain = ids.tolist()
+                    decoded = library.decode(plain) if plain else ""
                     if digests:
-                        values = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                        values = (len(plain), hashlib.sha256(",".join(map(str, plain)).encode()).hexdigest(),
                                   hashlib.sha256(decoded.encode()).hexdigest())
                     else:
                         values = ids, starts, ends, decoded
                     for row, value in zip(rows, values):
                         row.append(value)
-            kinds = ([pa.int64(), pa.string(), pa.string()] if digests
-                     else [pa.list_(pa.int32())] * 3 + [pa.string()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                + [pa.array(r, k) for r, k in zip(rows, kinds)], names=keep + added.fieldNames())
+                part = batch.slice(at, len(step))
+                at += len(step)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(part.schema.get_field_index(c)) for c in keep]
+                    + [pa.array(r, k) for r, k in zip(rows, kinds)], names=keep + added.fieldNames())
 
     return df.mapInArrow(run, schema)

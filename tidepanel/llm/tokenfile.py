@@ -49,7 +49,7 @@ class WordTokens:
             self.width[i] = len(piece)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([OTHER_WHITE, *(re.escape(a.encode()) for a in added)])).search
-        self.cache = ChunkCache(b" \t\n\x0b\x0c\r", self.learn, (LETTERS, b",.!?;:"))
+        self.cache = ChunkCache(b" \t\n\x0b\x0c\r", self.learn, (LETTERS, b",.!?;:"), most=3_000_000)
 
     def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks that begin with white space and end otherwise go as one text, the others one by one."""

@@ -12,8 +12,8 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 
-#: Distinct chunks and ids that a worker remembers; beyond either it forgets all and starts anew.
-MOST_CHUNKS, MOST_IDS = 3_000_000, 20_000_000
+#: Distinct chunks that a worker remembers, and ids for each of them; beyond either it forgets all and starts anew.
+MOST_CHUNKS, IDS_EACH = 1_000_000, 7
 _BASE, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -31,7 +31,9 @@ class ChunkCache:
     """``learn(chunks)`` gives, for a list of chunks (bytes), their ids in a row, the byte size of each id, and the
     number of ids of each chunk."""
 
-    def __init__(self, separators: bytes, learn: Callable, cuts: tuple[bytes, bytes] = (b"", b"")):
+    def __init__(self, separators: bytes, learn: Callable, cuts: tuple[bytes, bytes] = (b"", b""),
+                 most: int = MOST_CHUNKS):
+        self.most = most
         self.separator = np.zeros(256, bool)
         self.separator[list(separators)] = True
         self.left, self.right = np.zeros(256, bool), np.zeros(256, bool)
@@ -54,7 +56,7 @@ class ChunkCache:
         """
         if not data:
             return np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(len(text_at), np.int64)
-        if len(self.keys) > MOST_CHUNKS or len(self.ids) > MOST_IDS:
+        if len(self.keys) > self.most or len(self.ids) > self.most * IDS_EACH:
             self._clear()
         raw = np.frombuffer(data, np.uint8)
         gap = self.separator[raw]

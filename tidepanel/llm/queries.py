@@ -88,7 +88,7 @@ def op2(spark, sf_dir):
 @query("op9_repeated_substrings")
 def op9(spark, sf_dir):
     """Bytes of every document that are left once all repeated 200-byte strings are gone."""
-    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents"))
+    return suffixes.remove_repeats(common.table(spark, sf_dir, "documents"), plain_files=True)
 
 
 @query("op8_secret_scan")

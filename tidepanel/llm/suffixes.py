@@ -2,10 +2,11 @@
 
 Suffix arrays are built only where repeats can be, in shards of bounded size:
 
-* Anchors: positions whose 20-byte gram has the least hash in some 200-byte string around it. Equal 200-byte strings
-  hold equal anchors, and there is about one per 90 bytes of text. An anchor's context is the 380 bytes that all
-  200-byte strings with its gram lie in.
-* Anchors are counted by gram and context hash, combined map-side. A gram seen once repeats nothing. A context seen
+* Anchors: the 200-byte strings of a text, one from each byte on, are cut into runs in which the least hash of a
+  48-byte gram stays the same. Equal strings have equal least hashes, so they lie in runs of the same anchor. A run
+  covers its context, 276 bytes on average; every string is in one run.
+* Runs are counted by gram and context hash, combined map-side. A gram seen once repeats nothing, unless its
+  run holds it twice. A context seen
   twice repeats wholly, without a look at its text: copies, however many, end here.
 * The texts of the other contexts, one for each distinct context, go to shards by gram; a gram with more contexts
   than a shard holds is dealt over several. Each shard sorts its suffixes by Larsson-Sadakane refinement (doubling,
@@ -15,7 +16,7 @@ Suffix arrays are built only where repeats can be, in shards of bounded size:
   for each range the lists of all shards of a gram are merged by binary search.
 
 Null and empty texts have no bytes and keep the hash of nothing. Matches never cross rows; repeated rows repeat each
-other. Rows with null ids take part. An empty table gives an empty table. ``length`` may be changed, at least 40.
+other. Rows with null ids take part. An empty table gives an empty table. ``length`` may be changed, at least 60.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from .common import stored
 from .neardup import by_region
 from .wordcache import _BYTES
 
-GRAM = 20
-#: Contexts in a shard, and hash ranges in which the shards of one gram are merged.
-SHARD, RANGES = 1024, 16
+GRAM = 48
+#: Contexts in a shard, about, and contexts of a gram for each hash range in which its shards are merged.
+SHARD, RANGE = 4096, 16384
 STEP_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -75,26 +76,32 @@ class Hashes:
 
 
 def anchors(texts: list[bytes], length: int):
-    """(text number, position, gram hash, context hash) of the anchors of texts."""
+    """(text number, begin, size, gram hash, context hash, whether the gram is there twice) of the runs of texts."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
     at = np.cumsum([0] + [len(t) for t in texts])
     if len(raw) < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, bool),)
     of = Hashes(raw)
     starts = np.arange(len(raw) - GRAM + 1)
     gram = of(starts, starts + GRAM)
-    least = _sliding(gram, length - GRAM + 1, np.minimum)              # for each 200-byte string
+    least = _sliding(gram, length - GRAM + 1, np.minimum)                # for each string of the length
     text = np.repeat(np.arange(len(texts)), np.diff(at))
     crossing = text[:len(least)] != text[length - 1:length - 1 + len(least)]
     least = np.where(crossing, 0, least)
+    cut = np.flatnonzero(np.diff(least)) + 1
+    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(least)]]) - 1 + length
+    real = least[begin] != 0
+    begin, end = begin[real], end[real]
+    context = of(begin, end) + _mixed((end - begin).astype(np.uint64))
+    # Places of grams that are the least of some string; a run that holds its own twice may repeat itself.
     side = np.zeros(length - GRAM, np.uint64)
-    most = _sliding(np.concatenate([side, least, side]), length - GRAM + 1, np.maximum)
-    pos = np.flatnonzero((most == gram) & (gram != 0))
-    number = text[pos]
-    lo = np.maximum(pos - (length - GRAM), at[number])
-    hi = np.minimum(pos + length, at[number + 1])
-    context = of(lo, hi) + _mixed(((pos - lo) * 1024 + hi - pos).astype(np.uint64))
-    return number, pos - at[number], gram[pos].view(np.int64), context.view(np.int64)
+    places = np.flatnonzero(_sliding(np.concatenate([side, least, side]), length - GRAM + 1, np.maximum) == gram)
+    lo, hi = np.searchsorted(places, begin), np.searchsorted(places, end - GRAM, "right")
+    run = np.repeat(np.arange(len(begin)), hi - lo)
+    near = places[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange(len(run))]
+    twice = np.bincount(run, gram[near] == least[begin][run], len(begin)) > 1
+    number = text[begin]
+    return number, begin - at[number], end - begin, least[begin].view(np.int64), context.view(np.int64), twice
 
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +115,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros(n, np.int64)
     for k in range(WORD):
         words = words << 9 | padded[k:k + n]
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     head = np.concatenate([[True], words[order[1:]] != words[order[:-1]]])
     rank = np.empty(n, np.int64)
     rank[order] = np.flatnonzero(head)[np.cumsum(head) - 1]             # a group's rank is its first place
@@ -122,7 +129,7 @@ def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ahead = members + h
         second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
         key = rank[members] * (n + 1) + second
-        inner = np.argsort(key, kind="stable")
+        inner = np.argsort(key)
         order[places], key = members[inner], key[inner]
         new = np.concatenate([[True], key[1:] != key[:-1]])
         head[places] = new
@@ -179,9 +186,15 @@ def repeated(contexts: list[bytes], place: np.ndarray, copies: np.ndarray, lengt
     run = np.cumsum(shared < length)                                     # equal strings in a row
     whole = inside[order] + length <= sizes[owner[order]]
     run, at = run[whole], order[whole]
-    spot = np.rec.fromarrays([run, place[owner[at], 0], place[owner[at], 1] + inside[at]], names="run,row,byte")
-    kinds, index = np.unique(spot, return_index=True)
-    count = np.bincount(kinds.run, weights=np.maximum(copies[owner[at[index]]], 1), minlength=int(run.max(initial=0)) + 1)
+    # Only runs of several strings can repeat; one place counts once.
+    several = np.bincount(run, minlength=1)[run] > 1
+    copied = copies[owner[at]] > 1
+    run, at, copied = run[several | copied], at[several | copied], copied[several | copied]
+    row, byte = place[owner[at], 0], place[owner[at], 1] + inside[at]
+    order = np.lexsort((byte, row, run))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = ((np.diff(run[order]) != 0) | (np.diff(row[order]) != 0) | (np.diff(byte[order]) != 0))
+    count = np.bincount(run[order][fresh], minlength=1) + 2 * np.bincount(run, copied, minlength=1) if len(run) else run
     flag = np.zeros(len(symbols), bool)
     flag[at] = count[run] > 1
     return [flag[s:s + max(0, z - length + 1)] for s, z in zip(starts, sizes)]
@@ -214,54 +227,54 @@ def find(texts: DataFrame, length: int) -> DataFrame:
                 while end < len(raws) and size + len(raws[end]) <= STEP_BYTES:
                     size += len(raws[end])
                     end += 1
-                number, pos, gram, context = anchors(raws[at:end], length)
-                sizes = np.array([len(t) for t in raws[at:end]])
+                number, pos, size, gram, context, twice = anchors(raws[at:end], length)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(gram), pa.array(context), pa.array(rows[at:end][number], pa.int64()),
-                    pa.array(pos, pa.int32()), pa.array(sizes[number], pa.int32())],
-                    names=["gram", "context", "row", "pos", "size"])
+                    pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(twice)],
+                    names=["gram", "context", "row", "pos", "size", "twice"])
                 at = end
 
-    found = stored(texts.mapInArrow(first_pass, "gram long, context long, row long, pos int, size int"), "anchors")
+    found = stored(texts.mapInArrow(first_pass, "gram long, context long, row long, pos int, size int, twice boolean"), "anchors")
     distinct = found.groupBy("gram", "context").agg(
-        F.count("*").alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"))
+        F.count("*").alias("n"), F.first("row").alias("row"), F.first("pos").alias("pos"), F.first("size").alias("size"),
+        F.max("twice").alias("twice"))
     # A gram's distinct contexts, small rows without text, are counted map-side too.
     grams = distinct.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("contexts"),
-                                         F.min("n").alias("rarest")).where(F.col("total") > 1)
-    wanted = stored(distinct.join(grams, "gram").drop("total"), "contexts")
+                                         F.min("n").alias("rarest"), F.max("twice").alias("twice")).where(
+        (F.col("total") > 1) | F.col("twice"))
+    wanted = stored(distinct.drop("twice").join(grams, "gram").drop("total"), "contexts")
 
     # Contexts seen twice or more: all their strings repeat.
     twice = found.join(wanted.where(F.col("n") > 1).select("gram", "context"), ["gram", "context"])
-    reach = length - GRAM
-    whole = twice.select("row", F.array(
-        F.greatest(F.col("pos") - reach, F.lit(0)).cast("long"),
-        F.least(F.col("pos") + length, F.col("size")).cast("long")).alias("spans"))
+    whole = twice.select("row", F.array(F.col("pos").cast("long"), (F.col("pos") + F.col("size")).cast("long")).alias("spans"))
 
     # The others' texts, by row.
-    asked = wanted.where((F.col("contexts") > 1) & (F.col("rarest") == 1))
-    shard = F.when(F.col("contexts") > SHARD, F.pmod(F.xxhash64("row", "pos"), F.ceil(F.col("contexts") / (SHARD // 2)))
+    asked = wanted.where(((F.col("contexts") > 1) | F.col("twice")) & (F.col("rarest") == 1))
+    shard = F.when(F.col("contexts") > SHARD, F.pmod(F.xxhash64("row", "pos"), F.ceil(F.col("contexts") / SHARD) + 1)
                    ).otherwise(-1)
     total = asked.count()
     shards = max(1, -(-total // SHARD))
     asked = asked.withColumn("part", shard).withColumn("shard", F.when(F.col("part") < 0, F.pmod(
         F.xxhash64("gram"), F.lit(shards))).otherwise(F.col("gram")))
-    by_row = asked.groupBy("row").agg(F.collect_list(F.struct("shard", "part", "pos", "n")).alias("asked"))
+    by_row = asked.groupBy("row").agg(F.collect_list(F.struct("shard", "part", "pos", "size", "n", F.ceil(
+        F.col("contexts") / RANGE).alias("ranges"))).alias("asked"))
 
     def cut(batches):
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(7)]
             for row, text, want in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
                 for w in want:
-                    lo = max(0, w["pos"] - reach)
-                    for column, value in zip(out, (w["shard"], w["part"], row, lo, w["n"], data[lo:w["pos"] + length])):
+                    lo = w["pos"]
+                    for column, value in zip(out, (w["shard"], w["part"], row, lo, w["n"], w["ranges"],
+                                                     data[lo:lo + w["size"]])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 5 + [pa.binary()])],
-                names=["shard", "part", "row", "lo", "n", "bytes"])
+                [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 6 + [pa.binary()])],
+                names=["shard", "part", "row", "lo", "n", "ranges", "bytes"])
 
     pieces = texts.join(by_row, "row").select("row", "text", "asked").mapInArrow(
-        cut, "shard long, part long, row long, lo long, n long, bytes binary")
+        cut, "shard long, part long, row long, lo long, n long, ranges long, bytes binary")
     sharded = pieces.repartition("shard", "part").sortWithinPartitions("shard", "part")
 
     def within(batches):
@@ -289,7 +302,8 @@ def find(texts: DataFrame, length: int) -> DataFrame:
             hashes, index = np.unique(hashes, return_index=True)
             single = ~np.concatenate(flags)[index]
             owner, byte = owner[index], lo[owner[index]] + (at[index] - begin[owner[index]])
-            band = (hashes >> np.uint64(60)).astype(np.int64) * RANGES // 16
+            ranges = np.uint64(t.column("ranges")[0].as_py())
+            band = ((hashes >> np.uint64(32)) * ranges >> np.uint64(32)).astype(np.int64)
             for r in np.unique(band):
                 k = band == r
                 yield pa.RecordBatch.from_arrays([
@@ -327,10 +341,14 @@ def find(texts: DataFrame, length: int) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                   keep_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with ``keep_text`` also the spans and the bytes left."""
-    # Row numbers follow the files' splits: the same in every pass and when a lost task is run again.
+                   keep_text: bool = False, plain_files: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with ``keep_text`` also the spans and the bytes left.
+
+    Row numbers must be the same in every pass. They follow the files' splits if ``plain_files`` promises that ``df``
+    reads files as they are; else the numbered rows are stored first."""
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not plain_files:
+        rows = stored(rows, "numbered")
     spans = find(rows.select("row", "text"), length).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def finish(batches):

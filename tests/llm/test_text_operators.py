@@ -154,6 +154,20 @@ def test_near_duplicates_in_dense_regions(spark, monkeypatch):
     assert {(r["doc_id"], r["component_id"]) for r in found} == {(i, c) for i, (_, c) in enumerate(brute.components(rows))}
 
 
+def test_near_duplicates_of_many_small_groups_in_one_template(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION", 8)
+    rng = random.Random(6)
+    fresh = lambda k: [f"w{rng.randint(0, 10 ** 9)}" for _ in range(k)]
+    template, rows = fresh(240), []
+    for _ in range(200):                               # pairs at 0.77, all others at 0.73
+        shared = template + fresh(8)
+        rows += [(len(rows) + k, " ".join(shared + fresh(36))) for k in range(2)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = {(i, c) for i, (_, c) in enumerate(brute.components(rows))}
+    assert len({c for _, c in expected}) == 200
+    assert {(r["doc_id"], r["component_id"]) for r in found} == expected
+
+
 def test_repeats(docs, rows):
     columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     rows = [r for r in rows if len(r[1] or "") < 50_000]

@@ -9,11 +9,16 @@
   region falls into, one class also stays, so that the parts are compared with each other, in regions of their own.
 * In a region all pairs are compared by signature, each pair in the first tree where it meets. Pairs of a promising
   estimate are then confirmed on the full sets, in the region, and the links that join something new leave it.
+* Longer prefixes separate pairs. The classes of regions that were split are therefore compared a second time, by a
+  join on the rarest shingles of their sets, which misses no pair of them: two sets above the threshold share one of
+  the first shingles of each, in any one order of all shingles. Only shingles of several components of the links so
+  far are read, so a group that is connected already costs nothing here; frequent ones are dealt into tiles.
 * The least document id over a component of links names it.
 
-With 32 trees and depth 3 a pair at similarity 0.75 misses all regions once in 10^7; the estimate, cut four
-deviations below the threshold, loses it once in 10^4 at the very threshold and never in practice above. In regions
-deeper than that the chance to meet falls to 0.9999 (depth 5) and 0.997 (depth 6) for a pair at the threshold.
+With 32 trees and depth 3 a pair at similarity 0.75 misses all regions once in 10^7, as pairs of larger regions meet
+in the join; the estimate, cut four deviations below the threshold, loses it once in 10^4 at the very threshold and
+never in practice above. Tiles grow with the square of a group only for a shingle that is among the rarest of very
+many classes in several components.
 
 Null texts and texts without words have the empty set and are linked with nothing; texts of fewer words than a
 shingle have one shingle of all their words. Repeated rows share a class. Rows with a null id take part; a component
@@ -36,6 +41,8 @@ from .wordcache import run_hashes
 HASHES, TREES, REGION = 128, 32, 1024
 #: Common prefix lengths that a region may take.
 DEPTHS = (3, 4, 5, 6, 8, 10, 13, 16, 20, 26, 36, 52, 80, 128)
+#: Counters of the sketch that orders shingles by how often they occur.
+BUCKETS = 1 << 20
 #: Bytes of text a worker shingles at a time (a longer text is taken whole).
 STEP_BYTES = 1 << 21
 _RANDOM = np.random.default_rng(7)
@@ -138,8 +145,9 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, cls binary, n long, sig binary")
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """(tree, region, cls, own) of the classes that are not alone in their region; own regions are one for each tree."""
+def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tree, region, cls, own) of the classes that are not alone in their region; own regions are one for each tree.
+    And the classes (cls) of regions that were split."""
     def shallow(batches):
         for batch in batches:
             sig = _signatures(batch.column(1))
@@ -168,14 +176,14 @@ def regions(nodes: DataFrame) -> DataFrame:
             "tree", F.xxhash64("tree", F.lit(-level), "parent", share).alias("region"), "cls", F.lit(False).alias("own"))
 
     found, dense = split(nodes.select("cls", "sig").mapInArrow(shallow, spec))
-    found = own(found, 0)
+    found, torn = own(found, 0), dense.select("cls").distinct()
     for level in range(1, len(DEPTHS) + 1):
         if dense.isEmpty():
             break
         if level == len(DEPTHS):
             dealt = F.xxhash64("key", F.pmod(F.xxhash64("cls", "tree"), F.ceil(F.col("size") / (REGION // 2))))
             rows = dense.select("tree", dealt.alias("key"), "cls", F.col("key").alias("parent"))
-            return found.unionByName(own(rows, level)).unionByName(delegates(rows, level))
+            return found.unionByName(own(rows, level)).unionByName(delegates(rows, level)), torn
 
         def deeper(batches, depth=DEPTHS[level]):
             for batch in batches:
@@ -190,7 +198,7 @@ def regions(nodes: DataFrame) -> DataFrame:
         rows = stored(rows, "deeper")
         more, dense = split(rows)
         found = found.unionByName(own(more, level)).unionByName(delegates(rows, level))
-    return found
+    return found, torn
 
 
 def by_region(batches, keys: int) -> Iterator[pa.Table]:
@@ -235,6 +243,20 @@ def promising(sig: np.ndarray, n: np.ndarray, member: np.ndarray, tree: int, thr
     return out
 
 
+def sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(cls, grams) of at least the classes of ``wanted`` (cls), read from their texts."""
+    def sets(batches):
+        for batch in batches:
+            made = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in made], pa.binary()),
+                pa.array([s.tobytes() for s in made], pa.binary())], names=["cls", "grams"])
+
+    ids = nodes.join(wanted, "cls").select(F.col("id").alias("wanted")).distinct()
+    return texts.join(ids, texts["id"].eqNullSafe(ids["wanted"])).select("id", "text").mapInArrow(
+        sets, "cls binary, grams binary").where("cls IS NOT NULL").groupBy("cls").agg(F.first("grams").alias("grams"))
+
+
 def links(nodes: DataFrame, found: DataFrame, texts: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """Confirmed links (a, b) of classes, enough of them to join what is linked."""
     limit = threshold[0] / threshold[1]
@@ -265,18 +287,7 @@ def links(nodes: DataFrame, found: DataFrame, texts: DataFrame, width: int, thre
                 names=["tree", "region", "row", "cls", "mates"])
 
     asked = stored(order.mapInArrow(compare, "tree int, region long, row int, cls binary, mates array<int>"), "pairs")
-
-    def sets(batches):
-        for batch in batches:
-            made = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in made], pa.binary()),
-                pa.array([s.tobytes() for s in made], pa.binary())], names=["cls", "grams"])
-
-    wanted = nodes.join(asked.select("cls").distinct(), "cls").select("id")
-    wanted = wanted.distinct().withColumnRenamed("id", "wanted")
-    full_sets = texts.join(wanted, texts["id"].eqNullSafe(wanted["wanted"])).select("id", "text").mapInArrow(
-        sets, "cls binary, grams binary").where("cls IS NOT NULL").groupBy("cls").agg(F.first("grams").alias("grams"))
+    full_sets = sets_of(asked.select("cls").distinct(), nodes, texts, width)
     rows = asked.join(full_sets, "cls").select("tree", "region", "row", "cls", "mates", "grams") \
         .repartition("tree", "region").sortWithinPartitions("tree", "region", "row")
 
@@ -308,6 +319,90 @@ def links(nodes: DataFrame, found: DataFrame, texts: DataFrame, width: int, thre
     return rows.mapInArrow(confirm, "a binary, b binary")
 
 
+def rare_links(nodes: DataFrame, torn: DataFrame, labels: DataFrame, texts: DataFrame, width: int,
+               threshold: tuple[int, int]) -> DataFrame:
+    """Confirmed links (a, b) between classes of ``torn`` (cls) that have different labels (node, label) so far.
+
+    Of two sets, the shorter has a common shingle among its first n - ceil(2t / (1 + t) n) + 1 in a common order, the
+    longer among its first n - ceil(t n) + 1. Rare shingles come first, by counts in ``BUCKETS`` buckets."""
+    over, under = threshold
+    sets = stored(torn.join(sets_of(torn, nodes, texts, width), "cls").join(
+        labels, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("label", "cls").alias("label"), "grams"), "sets")
+
+    def tally(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                np.add.at(total, (np.frombuffer(g, np.uint64) % BUCKETS).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    # A sketch of a set size, whatever the input.
+    tallied = sets.select("grams").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[tallied["bucket"].to_numpy()] = tallied["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def firsts(batches):
+        counts = shared.value
+        for batch in batches:
+            for k, g in enumerate(batch.column(2).to_pylist()):
+                grams = np.frombuffer(g, np.uint64)
+                n = len(grams)
+                long, short = n + over * n // -under + 1, n + 2 * over * n // -(over + under) + 1
+                first = grams[np.lexsort((grams, counts[(grams % BUCKETS).astype(np.int64)]))[:long]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(first.view(np.int64)), *[pa.array([batch.column(c)[k].as_py()] * long, pa.binary()) for c in (0, 1)],
+                    pa.array(np.full(long, n)), pa.array(np.arange(long) < short)], names=["gram", "cls", "label", "n", "short"])
+
+    rows = stored(sets.select("cls", "label", "grams").mapInArrow(
+        firsts, "gram long, cls binary, label binary, n long, short boolean"), "firsts")
+    half = REGION // 2
+    hot = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("longs"),
+                                   F.count_if("short").alias("shorts")).where("low <> high AND shorts > 0").select(
+        "gram", F.ceil(F.col("longs") / half).alias("longs"), F.ceil(F.col("shorts") / half).alias("shorts"))
+    hot = stored(hot, "shared")
+    if hot.isEmpty():
+        return sets.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    rows = rows.join(hot, "gram").join(nodes.select("cls", "sig"), "cls")
+
+    def tiles(rows: DataFrame, mine: str, other: str, short: bool) -> DataFrame:
+        """Each row in a tile of its own kind, against every tile of the other kind."""
+        tile = F.pmod(F.xxhash64("cls", "gram"), F.col(mine)).alias(mine)
+        return rows.select("gram", tile, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(other),
+                           F.lit(short).alias("short"), "cls", "label", "n", "sig").select(
+            "gram", "longs", "shorts", "short", "cls", "label", "n", "sig")
+
+    dealt = tiles(rows.where("short"), "shorts", "longs", True).unionByName(tiles(rows, "longs", "shorts", False))
+    dealt = dealt.repartition("gram", "longs", "shorts").sortWithinPartitions("gram", "longs", "shorts", "cls")
+    limit = over / under
+    least = limit - 4 * (limit * (1 - limit) / HASHES) ** 0.5
+
+    def compare(batches):
+        for t in by_region(batches, 3):
+            short, n, sig = t.column("short").to_numpy(zero_copy_only=False), t.column("n").to_numpy(), _signatures(t.column("sig"))
+            names, label = t.column("cls").to_pylist(), np.unique(t.column("label").to_pylist(), return_inverse=True)[1]
+            long, out = np.flatnonzero(~short), []
+            for i in np.flatnonzero(short):
+                j = long[(label[long] != label[i]) & (n[long] >= n[i]) & (n[i] >= limit * n[long])]
+                j = j[(sig[j] == sig[i]).mean(1) >= least] if len(j) else j
+                out += [(min(names[i], names[k]), max(names[i], names[k])) for k in j]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+
+    pairs = stored(dealt.mapInArrow(compare, "a binary, b binary").distinct(), "rare")
+    one, two = (sets.select(F.col("cls").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+
+    def confirm(batches):
+        for batch in batches:
+            x, y = ([np.frombuffer(g, np.uint64) for g in batch.column(c).to_pylist()] for c in (2, 3))
+            shared = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)]
+            linked = [under * s >= over * (len(p) + len(q) - s) for p, q, s in zip(x, y, shared)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in (0, 1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(confirm, "a binary, b binary")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
                     threshold: tuple[int, int] = (75, 100)) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; kept where the id is its component's least."""
@@ -316,8 +411,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Equal sets meet here once, combined map-side; what they share besides the id is a function of the class.
     nodes = stored(rows.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
-    edges = links(nodes, regions(nodes), texts, width, threshold)
-    labels = labelled(edges)
+    found, torn = regions(nodes)
+    edges = links(nodes, found, texts, width, threshold)
+    torn = stored(torn, "torn")
+    if torn.isEmpty():
+        labels = labelled(edges)
+    else:
+        edges = stored(edges, "links")
+        labels = stored(labelled(edges), "labels")
+        more = stored(rare_links(nodes, torn, labels, texts, width, threshold), "links")
+        if not more.isEmpty():
+            labels = labelled(edges.unionByName(more))
     named = nodes.select("cls", "id").join(labels, nodes["cls"] == labels["node"], "left").select(
         "cls", "id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))

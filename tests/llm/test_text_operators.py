@@ -168,6 +168,24 @@ def test_near_duplicates_of_many_small_groups_in_one_template(spark, monkeypatch
     assert {(r["doc_id"], r["component_id"]) for r in found} == expected
 
 
+def test_pipeline_keeps_unrelated_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    fresh = lambda: [f"w{rng.randint(0, 10 ** 9)}" for _ in range(80)]
+    a, b, c, d, e = (fresh() for _ in range(5))
+    near = lambda words: words[:-1] + ["other"]
+    rows = [(3, a), (7, near(a)), (7, b), (7, b), (8, c), (8, d), (None, near(c)), (None, e), (None, near(e)), (None, e),
+            (None, fresh()), (None, fresh()), (None, []), (None, []), (5, []), (5, [])]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    found = sorted(map(tuple, found), key=repr)
+    ours = [r for r in found if r[1] in (rows[7][1], rows[8][1])]
+    assert len(ours) == 1                               # of a group without ids
+    expected = [rows[k] for k in (0, 2, 4, 5, 10, 11, 12, 13, 14)]
+    assert found == sorted(expected + ours, key=repr)
+
+
 def test_repeats(docs, rows):
     columns = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     rows = [r for r in rows if len(r[1] or "") < 50_000]

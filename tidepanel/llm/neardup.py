@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import WHITE, stored
 from .components import labelled
@@ -125,7 +125,10 @@ def _signatures(column) -> np.ndarray:
 
 
 def classes(docs: DataFrame, width: int) -> DataFrame:
-    """(id, cls, n, sig) of rows (id, text); cls is a 128-bit digest of the shingle set, null for the empty set."""
+    """(id, cls, n, sig, ...) of rows (id, text, ...); cls is a 128-bit digest of the shingle set, null for the empty
+    set."""
+    more = docs.columns[2:]
+
     def run(batches):
         for batch in batches:
             texts, at = [(t or "").encode() for t in batch.column(1).to_pylist()], 0
@@ -139,10 +142,11 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
                     batch.column(0).slice(at, end - at),
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["id", "cls", "n", "sig"])
+                    pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    *[batch.column(2 + k).slice(at, end - at) for k in range(len(more))]],
+                    names=["id", "cls", "n", "sig", *more])
                 at = end
-    return docs.mapInArrow(run, "id long, cls binary, n long, sig binary")
+    return docs.mapInArrow(run, "id long, cls binary, n long, sig binary" + "".join(f", {c} string" for c in more))
 
 
 def regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -403,10 +407,8 @@ def rare_links(nodes: DataFrame, torn: DataFrame, labels: DataFrame, texts: Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(confirm, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    threshold: tuple[int, int] = (75, 100)) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; kept where the id is its component's least."""
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _named(texts: DataFrame, width: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(id, cls, n, sig, ...) of every row of (id, text, ...), and (cls, label, component_id) of every class."""
     rows = stored(classes(texts, width), "classes")
     # Equal sets meet here once, combined map-side; what they share besides the id is a function of the class.
     nodes = stored(rows.where("cls IS NOT NULL").groupBy("cls").agg(
@@ -425,8 +427,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = nodes.select("cls", "id").join(labels, nodes["cls"] == labels["node"], "left").select(
         "cls", "id", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_class = named.join(least, "label").select("cls", "component_id")
+    return rows, named.join(least, "label").select("cls", "label", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                    threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every row; kept where the id is its component's least."""
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows, of_class = _named(texts, width, threshold)
     out = rows.select("id", "n", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                 threshold: tuple[int, int] = (75, 100)) -> DataFrame:
+    """The rows of ``df``, one of each component: of those with its least id (a null id comes last), the one with the
+    least digest of its text. Texts without words are in no component: one row of each id and text stays, and all
+    with a null id."""
+    digest = F.md5(F.col(text_col).cast("binary"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest.alias("digest"))
+    rows, of_class = _named(texts, width, threshold)
+    place = F.struct(F.col("id").isNull(), F.col("id").alias("id"), F.col("digest").alias("digest"))
+    one = rows.join(of_class, "cls").groupBy("label").agg(F.min(place).alias("p")).select("p.id", "p.digest", F.lit(False).alias("every"))
+    wordless = rows.where("cls IS NULL").select("id", "digest", F.col("id").isNull().alias("every")).distinct()
+    kept = one.unionByName(wordless).withColumnsRenamed({"id": "__id", "digest": "__digest", "every": "__every"})
+    found = df.withColumn("__of", digest).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & F.col("__of").eqNullSafe(F.col("__digest")))
+    found = found.withColumn("__row", F.when(F.col("__every"), F.monotonically_increasing_id()))
+    # Repeated rows; each task keeps one before they meet.
+    order = Window.partitionBy("__id", "__of", "__row").orderBy(F.xxhash64(*df.columns))
+    return found.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(df.columns)

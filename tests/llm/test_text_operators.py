@@ -307,6 +307,14 @@ def test_mixing_keeps_within_a_block(spark, docs):
     assert len(found) == docs.count() and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_pipeline_mixes_all_documents_of_a_hot_source(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(i, "hot" if i % 2 else f"s{i % 3}") for i in range(1200)], "doc_id long, source string")
+    found = corpus_pipeline.source_mixing(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(1200))
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], brute.SCHEMA)
     assert pieces.encode(none, public_tokenizers.path("piece_bpe_32k.model")).count() == 0

@@ -33,3 +33,10 @@ def share_of_hash(*cols: str) -> Column:
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tasks(df: DataFrame, each: int = 64 << 20) -> int:
+    """Partitions for a shuffle of ``df``: as set for the session, and more where Catalyst's size says that a partition
+    would hold over ``each`` bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df), min(size // each, 200_000))

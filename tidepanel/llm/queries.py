@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import common, compressq, langid, mixing, neardup, pieces, rules, secretscan, suffixes, tokenfile, topk
+from . import (common, compressq, langid, merkle, mixing, neardup, pieces, rules, secretscan, spelling, suffixes, tokenfile,
+               topk)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,16 @@ def op4(spark, sf_dir):
     """Place of every document in a mix in which no source has more than a third."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs).select("doc_id", "source", *mixing.ADDED)
+
+
+@query("op12_spelling_variants")
+def op12(spark, sf_dir):
+    """Form and root of every word of six letters that occurs five times, with planted deletions."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.occurrences(docs).where("n >= 5"))
+
+
+@query("op13_merkle_manifest", merkle.sql())
+def op13(spark, sf_dir):
+    """Proof of every document under its source's and the corpus' root, and the fate of tampered texts."""
+    return merkle.audit(common.table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import run_dir
-from . import (common, compressq, langid, merkle, mixing, neardup, pieces, rules, secretscan, spelling, suffixes, tokenfile,
+from . import (common, compressq, grulm, langid, merkle, mixing, neardup, pieces, rules, secretscan, spelling, suffixes, tokenfile,
                topk)
 
 QUERIES: dict = {}
@@ -112,6 +112,15 @@ def op4(spark, sf_dir):
     return mixing.mix(docs).select("doc_id", "source", *mixing.ADDED)
 
 
+@query("op11_gru_scores")
+def op11(spark, sf_dir):
+    """Log-probability of every document; a seventh of the ids is held out of counts and weights."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = common.crc_of("doc_id") % 7 == 2
+    return grulm.fit_and_score(docs, held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
+                                                     "base_score", "score")
+
+
 @query("op12_spelling_variants")
 def op12(spark, sf_dir):
     """Form and root of every word of six letters that occurs five times, with planted deletions."""

@@ -34,6 +34,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import common
 
@@ -139,9 +140,8 @@ def vocabulary(lexicon: Lexicon, settings: Settings) -> tuple[np.ndarray, np.nda
 
 
 def encode(docs: DataFrame, lexicon: Lexicon, settings: Settings, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Kept columns, row (a key of this table), n_tokens, n_listed (tokens of known count), log_listed and log_out (sums
+    """kept (a struct of the kept columns), row (a key of this table), n_tokens, n_listed (tokens of known count), log_listed and log_out (sums
     of log10(c + 1) over those, and over those that the network does not know), n_out, ids, and rare (all other words)."""
-    keep = [c for c in keep if c not in RESULTS]
     known_ids, _, end_id, unknown = vocabulary(lexicon, settings)
     words, counts, k = lexicon.words, lexicon.counts, lexicon.network_size(settings)
     ends = lexicon.ends
@@ -154,7 +154,7 @@ def encode(docs: DataFrame, lexicon: Lexicon, settings: Settings, keep: list[str
         logs = np.log10(np.append(counts, 0) + 1.0)
         to_id = np.full(len(words) + 1, unknown, np.int16)
         to_id[:k] = known_ids
-        for part, texts in _texts(batches, len(keep)):
+        for part, texts in _texts(batches, 1):
             found, sizes = [], np.empty(len(texts), np.int64)
             for i, t in enumerate(texts):
                 split = t.lower().split()
@@ -171,19 +171,20 @@ def encode(docs: DataFrame, lexicon: Lexicon, settings: Settings, keep: list[str
             rare = np.flatnonzero(~listed)
             borders = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
             yield pa.RecordBatch.from_arrays([
-                *part.columns[:len(keep)], pa.array(row + np.arange(d), pa.int64()), pa.array(sizes + 1),
+                part.column(0), pa.array(row + np.arange(d), pa.int64()), pa.array(sizes + 1),
                 pa.array(total(listed).astype(np.int64) + (ends > 0)), pa.array(total(log) + np.log10(ends + 1.0)),
                 pa.array(total(np.where(inside, 0.0, log))), pa.array(total(~inside).astype(np.int64)),
                 pa.ListArray.from_arrays(borders(sizes + 1), pa.array(ids)),
                 pa.ListArray.from_arrays(borders(total(~listed)), pa.array([found[i] for i in rare.tolist()], pa.binary()))],
-                names=[*keep, "row", "n_tokens", "n_listed", "log_listed", "log_out", "n_out", "ids", "rare"])
+                names=["kept", "row", "n_tokens", "n_listed", "log_listed", "log_out", "n_out", "ids", "rare"])
             row += d
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    made = ("row long, n_tokens long, n_listed long, log_listed double, log_out double, n_out long, ids array<short>, "
-            "rare array<binary>")
-    return common.stored(rows.mapInArrow(run, f"{kinds}, {made}" if keep else made), "encoded")
+    # A struct, so that no kept name meets one of these; it is never empty.
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep if c not in RESULTS], F.lit(None).cast("boolean").alias("_none"))
+    rows = docs.select(kept.alias("kept"), F.col(f"`{text_col}`").alias("text"))
+    made = StructType.fromDDL("row long, n_tokens long, n_listed long, log_listed double, log_out double, n_out long, "
+                              "ids array<short>, rare array<binary>")
+    return common.stored(rows.mapInArrow(run, StructType([rows.schema["kept"], *made.fields])), "encoded")
 
 
 class Network:
@@ -436,13 +437,13 @@ def train(coded: DataFrame, lexicon: Lexicon, settings: Settings = Settings()) -
 def score(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray, settings: Settings = Settings()) -> DataFrame:
     """Kept columns, n_tokens, n_known, train_tokens, base_score (smoothed word counts) and score (the model's log10
     probability of the whole text)."""
-    keep = coded.columns[:coded.columns.index("row")]
+    plain = coded.columns[:7]
     _, counts, end_id, unknown = vocabulary(lexicon, settings)
 
     def run(batches):
         net = Network(counts, end_id, unknown, settings)
         net.set(weights)
-        for held, ids, sizes in _grouped(batches, len(keep) + 6):
+        for held, ids, sizes in _grouped(batches, 7):
             tokens, doc = packed(ids, sizes, 2 * settings.slots)
             h = np.zeros((tokens.shape[1], net.hidden), np.float32)
             total = np.zeros(len(sizes))
@@ -458,8 +459,8 @@ def score(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray, settings: Set
             total /= np.log(10)
             at = 0
             for batch in held:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep) + 6], pa.array(total[at:at + batch.num_rows])],
-                                                 names=[*coded.columns[:len(keep) + 6], "model"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(total[at:at + batch.num_rows])],
+                                                 names=[*plain, "model"])
                 at += batch.num_rows
 
     # Words that are not listed: their counts by a join, summed for each row.
@@ -467,16 +468,15 @@ def score(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray, settings: Set
     known = lexicon.table.where("word IS NOT NULL")
     rare = rare.join(known, "word", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("log_rare"), F.count("c").alias("n_rare"))
-    plain = coded.columns[:len(keep) + 6]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields[:len(plain)])
-    made = coded.select(*plain, "ids").mapInArrow(run, f"{shape}, model double").join(rare, "row", "left")
+    shape = StructType([*coded.schema.fields[:7], StructField("model", DoubleType())])
+    made = coded.select(*plain, "ids").mapInArrow(run, shape).join(rare, "row", "left")
     log_rare, n_rare = F.coalesce("log_rare", F.lit(0.0)), F.coalesce("n_rare", F.lit(0).cast("long"))
     out_tokens, out_words = lexicon.outside(settings)
     all_log, out_log = (float(np.log10(x + 1.0)) for x in (lexicon.tokens + lexicon.distinct, out_tokens + out_words))
-    return made.select(*[F.col(f"`{c}`") for c in keep], "n_tokens", (F.col("n_listed") + n_rare).alias("n_known"),
+    return made.select("kept.*", "n_tokens", (F.col("n_listed") + n_rare).alias("n_known"),
                        F.lit(lexicon.tokens).cast("long").alias("train_tokens"),
                        (F.col("log_listed") + log_rare - F.col("n_tokens") * all_log).alias("base_score"),
-                       (F.col("model") + F.col("log_out") + log_rare - F.col("n_out") * out_log).alias("score"))
+                       (F.col("model") + F.col("log_out") + log_rare - F.col("n_out") * out_log).alias("score")).drop("_none")
 
 
 def fit_and_score(docs: DataFrame, held_out: Column, settings: Settings = Settings()) -> DataFrame:
@@ -486,5 +486,5 @@ def fit_and_score(docs: DataFrame, held_out: Column, settings: Settings = Settin
     keep = [c for c in docs.columns if c not in (*RESULTS, "text", "held_out")]
     coded = encode(marked.select(*[F.col(f"`{c}`") for c in keep], F.col("_held_out").alias("held_out"), "text"), lexicon,
                    settings, [*keep, "held_out"])
-    weights = train(coded.where(~F.col("held_out")), lexicon, settings)
+    weights = train(coded.where(~F.col("kept.held_out")), lexicon, settings)
     return score(coded, lexicon, weights, settings)

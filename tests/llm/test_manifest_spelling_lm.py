@@ -211,9 +211,9 @@ def test_scores_do_not_depend_on_how_texts_lie_together(docs):
     known = set(lexicon.words[:lexicon.network_size(settings)])
     tokens, words = lexicon.outside(settings)
     for r in coded.where("kept.doc_id IN (4, 200, 204, 207)").select("kept.doc_id", "ids").collect():
-        h, total = np.zeros((1, 6), np.float32), 0.0
+        h, total = np.zeros((6, 1), np.float32), 0.0
         for i in r["ids"]:
-            total += float(net.outputs(h, np.array([i]))[0][0]) / math.log(10)
+            total += float(net.outputs(h.T, np.array([i]))[0][0]) / math.log(10)
             h = net.states(np.array([[i]]), h)[0][-1]
         text = docs.where(F.col("doc_id") == r["doc_id"]).first()["text"]
         total += sum(math.log10((c.get(w, 0) + 1) / (tokens + words + 1))
@@ -227,20 +227,20 @@ def test_gradients_and_sum_of_probabilities():
     rng = np.random.default_rng(0)
     ids, valid = rng.integers(0, 12, (6, 3)), np.ones((6, 3), bool)
     valid[4:, 2] = False
-    h = rng.normal(0, .5, (3, 5)).astype(np.float32)
+    h = rng.normal(0, .5, (5, 3)).astype(np.float32)
     grad, _, n, _ = net.gradients(ids, valid, h)
     start = net.flat.copy()
 
     def loss(flat):
         net.set(flat)
-        return -net.outputs(net.states(ids, h)[0][:-1][valid], ids[valid])[0].sum(dtype=np.float64) / n
+        return -net.outputs(net.states(ids, h)[0][:-1].transpose(0, 2, 1)[valid], ids[valid])[0].sum(dtype=np.float64) / n
 
     for k in rng.choice(len(start), 80, replace=False):
         step = np.zeros_like(start)
         step[k] = 1e-2
         assert abs((loss(start + step) - loss(start - step)) / 2e-2 - grad[k]) < 1e-4
     net.set(start)
-    assert abs(np.exp(net.outputs(np.repeat(h[:1], 12, 0), np.arange(12))[0]).sum() - 1) < 1e-5
+    assert abs(np.exp(net.outputs(np.repeat(h.T[:1], 12, 0), np.arange(12))[0]).sum() - 1) < 1e-5
 
 
 def test_registered_queries_on_sample_tables(spark):

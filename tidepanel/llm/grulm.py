@@ -39,9 +39,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from . import common
 
 #: Words whose counts every worker knows, and their greatest size in bytes.
-LISTED, LONGEST = 65_536, 64
+LISTED, LONGEST = 262_144, 64
 #: Bytes of text and tokens that a worker handles at a time (a longer text is taken whole).
-STEP_BYTES, STEP_TOKENS = 1 << 22, 1_500_000
+STEP_BYTES, STEP_TOKENS = 1 << 22, 4_000_000
 #: Distinct words that a worker counts before it hands them on.
 HELD_WORDS = 400_000
 RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -49,12 +49,12 @@ RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 @dataclass(frozen=True)
 class Settings:
-    words: int = 2048       # vocabulary of the network, end and unknown included
-    classes: int = 32
+    words: int = 1024       # vocabulary of the network, end and unknown included
+    classes: int = 24
     hidden: int = 16
     window: int = 16        # tokens of truncated backpropagation
-    slots: int = 256        # documents that run side by side
-    rounds: int = 6         # averages of weights
+    slots: int = 512        # documents that run side by side
+    rounds: int = 4         # averages of weights
     rate: float = 0.01
     seed: int = 11
 
@@ -192,6 +192,7 @@ class Network:
 
     def __init__(self, counts: np.ndarray, end_id: int, unknown: int, settings: Settings):
         k, h = len(counts), settings.hidden
+        self.held: dict[str, np.ndarray] = {}
         mass = np.cumsum(np.sqrt(counts + 1.0))
         cls = np.minimum((mass / mass[-1] * settings.classes * (1 - 1e-12)).astype(np.int64), settings.classes - 1)
         self.class_of = np.unique(cls, return_inverse=True)[1].reshape(-1)          # only classes that have a word
@@ -217,53 +218,69 @@ class Network:
             at += size
         return out
 
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that the next call of the same name may overwrite: fresh memory for every window costs more than
+        what is done there."""
+        size = int(np.prod(shape))
+        if len(self.held.get(name, ())) < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
     def set(self, flat: np.ndarray) -> None:
         self.flat = np.ascontiguousarray(flat, np.float32)
         self.__dict__.update(self.views(self.flat))
 
     def states(self, ids: np.ndarray, h: np.ndarray, trace: bool = False):
-        """States before each token of ids (window, slots) and after the last one; with ``trace`` what gradients need."""
+        """States (units, slots) before each token of ids (window, slots) and after the last one; with ``trace`` what
+        gradients need. Slots are the inner axis, so that the parts of a gate lie together."""
         steps, slots, n = *ids.shape, self.hidden
-        hs = np.empty((steps + 1, slots, n), np.float32)
+        hs = self.room("hs", steps + 1, n, slots)
         hs[0] = h
-        hu = np.empty((steps if trace else 1, slots, 3 * n), np.float32)
-        zr = np.empty((steps if trace else 1, slots, 2 * n), np.float32)
-        new = np.empty((steps if trace else 1, slots, n), np.float32)
-        xs = self.x[ids]
-        live = (ids != self.end_id).astype(np.float32)[..., None]
+        held = steps if trace else 1
+        hu, zr, new = (self.room(f"gate{k}", held, k * n, slots) for k in (3, 2, 1))
+        rows = self.room("rows", steps, slots, 3 * n)
+        np.take(self.x, ids, axis=0, out=rows, mode="clip")
+        xs = self.room("xs", steps, 3 * n, slots)
+        xs[...] = rows.transpose(0, 2, 1)
+        live = (ids != self.end_id).astype(np.float32)
+        ut = np.ascontiguousarray(self.u.T)
         for t in range(steps):
             i = t if trace else 0
-            before, x = hs[t], xs[t]
-            np.dot(before, self.u, out=hu[i])
-            gate = np.add(x[:, :2 * n], hu[i][:, :2 * n], out=zr[i])
+            before, x, after, gate, made = hs[t], xs[t], hs[t + 1], zr[i], new[i]
+            np.dot(ut, before, out=hu[i])
+            np.add(x[:2 * n], hu[i, :2 * n], out=gate)
             np.negative(gate, out=gate)
             np.exp(gate, out=gate)
             gate += 1
             np.reciprocal(gate, out=gate)
-            made = np.multiply(gate[:, n:], hu[i][:, 2 * n:], out=new[i])
-            made += x[:, 2 * n:]
+            np.multiply(gate[n:], hu[i, 2 * n:], out=made)
+            made += x[2 * n:]
             np.tanh(made, out=made)
-            after = np.subtract(before, made, out=hs[t + 1])
-            after *= gate[:, :n]
+            np.subtract(before, made, out=after)
+            after *= gate[:n]
             after += made
             after *= live[t]
         return hs, (hu, zr, new, live)
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log-probability of each token y after state h; with ``grads`` the gradients of their negative sum are added
-        there, and those for h are returned."""
+        """Log-probability of each token y after the state in the row of h; with ``grads`` the gradients of their
+        negative sum are added there, and those for h are returned."""
         def softmax(logits, pick):
             rows = np.arange(len(pick))
-            logits -= logits.max(1, keepdims=True)
+            np.minimum(logits, 80, out=logits)        # states lie in (-1, 1): no more than a guard
             chosen = logits[rows, pick]
             np.exp(logits, out=logits)
             total = logits.sum(1)
             if grads is not None:
-                logits /= total[:, None]
+                logits *= np.reciprocal(total)[:, None]
                 logits[rows, pick] -= 1
             return chosen - np.log(total)
 
+        # Tokens of one class lie together, so that each class is a slice.
         cls = self.class_of[y]
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cls, h, y = cls[order], h[order], y[order]
+        bounds = np.searchsorted(cls, np.arange(len(self.borders)))
         logits = h @ self.c
         logits += self.cb
         found, dh = softmax(logits, cls), None
@@ -271,22 +288,20 @@ class Network:
             grads["c"] += h.T @ logits
             grads["cb"] += logits.sum(0)
             dh = logits @ self.c.T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(len(self.borders)))
         for c in range(len(self.borders) - 1):
-            a, b = self.borders[c:c + 2]
-            rows = order[bounds[c]:bounds[c + 1]]
-            if b - a == 1 or not len(rows):
+            (a, b), (i, j) = self.borders[c:c + 2], bounds[c:c + 2]
+            if b - a == 1 or i == j:
                 continue
-            hc = h[rows]
-            logits = hc @ self.w[a:b].T
+            logits = h[i:j] @ self.w[a:b].T
             logits += self.wb[a:b]
-            found[rows] += softmax(logits, y[rows] - a)
+            found[i:j] += softmax(logits, y[i:j] - a)
             if grads is not None:
-                grads["w"][a:b] += logits.T @ hc
+                grads["w"][a:b] += logits.T @ h[i:j]
                 grads["wb"][a:b] += logits.sum(0)
-                dh[rows] += logits @ self.w[a:b]
-        return found, dh
+                dh[i:j] += logits @ self.w[a:b]
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return found[back], None if dh is None else dh[back]
 
     def gradients(self, ids: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, float]:
         """Gradient of the mean loss over a window, the state behind it, its tokens and the sum of their log-likelihoods."""
@@ -294,32 +309,52 @@ class Network:
         hs, (hu, zr, new, live) = self.states(ids, h, trace=True)
         flat = np.zeros_like(self.flat)
         grads = self.views(flat)
-        found, dout = self.outputs(hs[:-1][valid], ids[valid], grads)
-        dh_out = np.zeros((steps, slots, n), np.float32)
-        dh_out[valid] = dout
-        dx, dhu = np.empty((steps, slots, 3 * n), np.float32), np.empty((steps, slots, 3 * n), np.float32)
-        carried = np.zeros((slots, n), np.float32)
+        rows = self.room("states", steps, slots, n)
+        rows[...] = hs[:-1].transpose(0, 2, 1)
+        rows = rows.reshape(-1, n)
+        there = valid.reshape(-1)
+        full = bool(there.all())
+        found, dout = self.outputs(rows if full else rows[there], ids.reshape(-1) if full else ids[valid], grads)
+        if not full:
+            dout, some = np.zeros((steps * slots, n), np.float32), dout
+            dout[there] = some
+        behind = self.room("behind", steps, n, slots)
+        behind[...] = dout.reshape(steps, slots, n).transpose(0, 2, 1)
+        dx, dhu = (self.room(name, steps, 3 * n, slots) for name in ("dx", "dhu"))
+        carried, work = np.zeros((n, slots), np.float32), np.empty((n, slots), np.float32)
         for t in range(steps - 1, -1, -1):
-            z, r, made = zr[t][:, :n], zr[t][:, n:], new[t]
+            z, r, made = zr[t, :n], zr[t, n:], new[t]
+            dz, dr, dn = dx[t, :n], dx[t, n:2 * n], dx[t, 2 * n:]
             carried *= live[t]
-            dn = carried * (1 - z)
-            dn *= 1 - made * made
-            dx[t][:, 2 * n:] = dn
-            dx[t][:, :n] = carried * (hs[t] - made) * z * (1 - z)
-            dx[t][:, n:2 * n] = dn * hu[t][:, 2 * n:] * r * (1 - r)
-            dhu[t][:, :2 * n] = dx[t][:, :2 * n]
-            dhu[t][:, 2 * n:] = dn * r
-            carried = carried * z
-            carried += dhu[t] @ self.u.T
-            carried += dh_out[t]
-        grads["u"] += hs[:-1].reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
+            np.subtract(hs[t], made, out=dz)
+            dz *= carried
+            dz *= z
+            np.subtract(1, z, out=work)
+            dz *= work
+            np.multiply(carried, work, out=dn)
+            np.multiply(made, made, out=work)
+            np.subtract(1, work, out=work)
+            dn *= work
+            np.multiply(dn, hu[t, 2 * n:], out=dr)
+            dr *= r
+            np.subtract(1, r, out=work)
+            dr *= work
+            dhu[t, :2 * n] = dx[t, :2 * n]
+            np.multiply(dn, r, out=dhu[t, 2 * n:])
+            carried *= z
+            carried += self.u @ dhu[t]
+            carried += behind[t]
+        by_row = self.room("by row", steps, slots, 3 * n)
+        by_row[...] = dhu.transpose(0, 2, 1)
+        grads["u"] += rows.T @ by_row.reshape(-1, 3 * n)
+        by_row[...] = dx.transpose(0, 2, 1)
         seen = ids.reshape(-1)
-        order = np.argsort(seen, kind="stable")
+        order = np.argsort(seen.astype(np.int16), kind="stable")
         starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
-        grads["x"][seen[order][starts]] = np.add.reduceat(dx.reshape(-1, 3 * n)[order], starts)
-        tokens = int(valid.sum())
+        grads["x"][seen[order[starts]]] = np.add.reduceat(by_row.reshape(-1, 3 * n)[order], starts)
+        tokens = int(there.sum())
         flat /= max(tokens, 1)
-        return flat, hs[-1], tokens, float(found.sum(dtype=np.float64))
+        return flat, hs[-1].copy(), tokens, float(found.sum(dtype=np.float64))
 
 
 def packed(ids: np.ndarray, sizes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
@@ -390,13 +425,13 @@ def train(coded: DataFrame, lexicon: Lexicon, settings: Settings = Settings()) -
             total, steps = 0, 0
             for _, ids, sizes in _grouped(batches, 0):
                 tokens, _ = packed(ids, sizes, settings.slots)
-                h = np.zeros((tokens.shape[1], net.hidden), np.float32)
+                h = np.zeros((net.hidden, tokens.shape[1]), np.float32)
                 for a, b, running in _windows(tokens, settings.window):
-                    part = tokens[a:b, :running].astype(np.int64)
+                    part = tokens[a:b, :running].astype(np.int32)
                     valid = part >= 0
                     part[~valid] = net.unknown
                     with np.errstate(over="ignore"):
-                        grad, h, n, _ = net.gradients(part, valid, h[:running])
+                        grad, h, n, _ = net.gradients(part, valid, h[:, :running])
                     steps += 1
                     total += n
                     size = float(np.sqrt(np.dot(grad, grad)))
@@ -444,18 +479,18 @@ def score(coded: DataFrame, lexicon: Lexicon, weights: np.ndarray, settings: Set
         net = Network(counts, end_id, unknown, settings)
         net.set(weights)
         for held, ids, sizes in _grouped(batches, 7):
-            tokens, doc = packed(ids, sizes, 2 * settings.slots)
-            h = np.zeros((tokens.shape[1], net.hidden), np.float32)
+            tokens, doc = packed(ids, sizes, settings.slots)
+            h = np.zeros((net.hidden, tokens.shape[1]), np.float32)
             total = np.zeros(len(sizes))
             for a, b, running in _windows(tokens, 4 * settings.window):
-                part = tokens[a:b, :running].astype(np.int64)
+                part = tokens[a:b, :running].astype(np.int32)
                 valid = part >= 0
                 part[~valid] = net.unknown
                 with np.errstate(over="ignore"):
-                    hs, _ = net.states(part, h[:running])
-                found, _ = net.outputs(hs[:-1][valid], part[valid])
+                    hs, _ = net.states(part, h[:, :running])
+                found, _ = net.outputs(hs[:-1].transpose(0, 2, 1)[valid], part[valid])
                 total += np.bincount(doc[a:b, :running][valid], weights=found, minlength=len(sizes))
-                h = hs[-1]
+                h = hs[-1].copy()
             total /= np.log(10)
             at = 0
             for batch in held:

@@ -7,8 +7,10 @@ tasks of one range partitioning by id, so that no document list meets anywhere;
 is a sum over one small row per shard. The files are Parquet folders written by Spark, hence readable from any
 store, and a lost task writes its shard again.
 
-Null and empty texts hold the end id alone. Rows with equal ids keep their own entry, in the order of their text.
-Null ids come first. An empty table writes an empty folder with the schema.
+Null and empty texts hold the end id alone. Rows with equal ids keep their own entry, in the order of the first 32
+characters of their text (and of the whole text inside a shard); an id of very many rows is dealt over shards. Null ids
+come first. Very long texts are taken whole. An empty table writes an empty folder with the schema. Other columns take
+no part.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import common
 from .wordcache import ChunkCache
 
 #: UTF-8 of white space beyond ASCII, and of separators that regular expressions disagree on.
@@ -47,22 +50,35 @@ class WordTokens:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)     # bytes of each id: one character each
         for piece, i in vocab.items():
             self.width[i] = len(piece)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile(b"|".join([OTHER_WHITE, *(re.escape(a.encode()) for a in added)])).search
+        added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.odd_at = re.compile(b"|".join([OTHER_WHITE, *map(re.escape, added)])).match
+        self.may_begin = np.zeros(256, bool)                         # first bytes of what is odd
+        self.may_begin[[*range(0x1c, 0x20), 0xc2, 0xe1, 0xe2, 0xe3, 0xef, *(a[0] for a in added if a)]] = True
+        self.white = np.zeros(256, bool)
+        self.white[list(b" \t\n\x0b\x0c\r")] = True
         self.cache = ChunkCache(b" \t\n\x0b\x0c\r", self.learn, (LETTERS, b",.!?;:"), most=3_000_000)
 
+    def odd(self, data: bytes) -> bool:
+        """Does the text hold a special token or white space beyond ASCII?"""
+        places = np.flatnonzero(self.may_begin[np.frombuffer(data, np.uint8)])
+        return any(self.odd_at(data, p) for p in places.tolist())
+
     def learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chunks that begin with white space and end otherwise go as one text, the others one by one."""
         ids, counts = [], []
-        row = [c[:1].isspace() and not c[-1:].isspace() for c in chunks]
-        order = np.argsort(~np.array(row), kind="stable")            # the row first
-        for i in range(0, sum(row), 50_000):
-            part = [chunks[k] for k in order[i:min(i + 50_000, sum(row))]]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        raw, upto = np.frombuffer(b"".join(chunks), np.uint8), np.cumsum(sizes)
+        row = self.white[raw[upto - sizes]] & ~self.white[raw[upto - 1]]
+        order = np.argsort(~row, kind="stable")                      # the row first
+        many = int(row.sum())
+        for i in range(0, many, 50_000):
+            some = order[i:min(i + 50_000, many)]
+            part = [chunks[k] for k in some.tolist()]
             made = self.library.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids
             ids.append(np.array(made, np.int64))
-            ends = np.searchsorted(np.cumsum(self.width[ids[-1]]), np.cumsum(list(map(len, part)))) + 1
+            ends = np.searchsorted(np.cumsum(self.width[ids[-1]]), np.cumsum(sizes[some])) + 1
             counts.append(np.diff(ends, prepend=0))
-        alone = [chunks[k].decode() for k in order[sum(row):]]
+        alone = [chunks[k].decode() for k in order[many:].tolist()]
         for found in self.library.encode_batch_fast(alone, add_special_tokens=False):
             ids.append(np.array(found.ids, np.int64))
             counts.append([len(found)])
@@ -74,17 +90,17 @@ class WordTokens:
         flat = flat[np.repeat(firsts - upto + counts, counts) + np.arange(len(flat))]
         return flat, self.width[flat], counts
 
-    def encode(self, data: bytes, text_at: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text; text k is data[text_at[k]:text_at[k + 1]] in UTF-8."""
+    def encode(self, data: bytes, text_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and their number in each; text k is data[text_at[k]:text_at[k + 1]] in UTF-8."""
         if not self.odd(data):
             ids, _, borders = self.cache.encode(data, text_at)
-            return np.split(ids, borders[1:-1])
+            return ids, np.diff(borders)
         out = []
         for a, b in zip(text_at[:-1].tolist(), text_at[1:].tolist()):
             text = data[a:b]
             out.append(np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
                        if self.odd(text) else self.cache.encode(text, np.array([0, b - a]))[0])
-        return out
+        return np.concatenate(out), np.array([len(x) for x in out])
 
 
 def pack(ids: np.ndarray, planes: str, level: int) -> tuple[list[int], bytes]:
@@ -132,58 +148,63 @@ def write(df: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id",
         if tokenizer_path not in _CACHES:
             _CACHES[tokenizer_path] = WordTokens(tokenizer_path)
         cache = _CACHES[tokenizer_path]
-        pending: list[np.ndarray] = []
-        closing = np.array([end_id], np.uint32)
-        docs: list[dict] = []
+        pending: list[np.ndarray] = []                # ids that are in no block yet
+        docs: list[tuple] = []                        # keys, whether null, starts and sizes of the documents of a step
         held = block = done = 0                       # ids pending, blocks and ids written
-        schema = pa.schema([
-            ("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int32()),
-            ("planes", pa.string()), ("plane_sizes", pa.list_(pa.int32())), ("payload", pa.binary()),
-            ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
-                                         ("at", pa.int32()), ("size", pa.int32())])))])
 
         def blocks(last: bool):
             """Full blocks of what is pending, and with ``last`` the rest."""
             nonlocal pending, docs, held, block, done
-            ids = np.concatenate(pending) if pending else np.zeros(0, np.uint32)
-            ends = [d["start"] + d["n_tokens"] for d in docs]
+            if not (held >= block_ids or last and held):
+                return
+            ids = np.concatenate(pending)
+            keys, null, starts, sizes = (np.concatenate(x) for x in zip(*docs))
             while held >= block_ids or last and held:
                 size = min(block_ids, held)
                 lo, hi = done, done + size
-                inside, k = [], 0
-                while k < len(docs) and docs[k]["start"] < hi:
-                    a, b = max(docs[k]["start"], lo), min(ends[k], hi)
-                    inside.append(docs[k] | {"at": a - lo, "size": b - a})
-                    k += 1
-                k -= bool(inside) and ends[k - 1] > hi
-                docs, ends = docs[k:], ends[k:]
-                sizes, payload = pack(ids[:size], planes, level)
-                yield pa.RecordBatch.from_pylist([{
-                    "shard": shard, "block": block, "first": lo, "n_ids": size, "planes": planes,
-                    "plane_sizes": sizes, "payload": payload, "docs": inside}], schema)
+                a, b = np.searchsorted(starts + sizes, lo, "right"), np.searchsorted(starts, hi)
+                here = slice(a, b)
+                at = np.maximum(starts[here], lo)
+                entries = pa.StructArray.from_arrays([
+                    pa.array(keys[here], mask=null[here]), pa.array(starts[here]), pa.array(sizes[here]),
+                    pa.array((at - lo).astype(np.int32)),
+                    pa.array((np.minimum(starts[here] + sizes[here], hi) - at).astype(np.int32))],
+                    ["doc_id", "start", "n_tokens", "at", "size"])
+                planes_of, payload = pack(ids[:size], planes, level)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([shard], pa.int32()), pa.array([block], pa.int64()), pa.array([lo], pa.int64()),
+                    pa.array([size], pa.int32()), pa.array([planes]), pa.array([planes_of], pa.list_(pa.int32())),
+                    pa.array([payload], pa.binary()), pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), entries)],
+                    names=["shard", "block", "first", "n_ids", "planes", "plane_sizes", "payload", "docs"])
                 ids, held, done, block = ids[size:], held - size, hi, block + 1
-            pending = [ids]
+            left = starts + sizes > done
+            pending, docs = [ids], [(keys[left], null[left], starts[left], sizes[left])]
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            texts = pc.fill_null(texts, "").cast(pa.string())
+            keys, null = (batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null().to_numpy(zero_copy_only=False))
+            texts = pc.fill_null(batch.column(1), "").cast(pa.string())
             raw = memoryview(texts.buffers()[2] or b"")
             ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
             at = 0
             while at < len(keys):
                 end = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP_BYTES, "right")) - 1)
-                made = cache.encode(bytes(raw[ends[at]:ends[end]]), ends[at:end + 1] - ends[at])
-                for key, ids in zip(keys[at:end], made):
-                    docs.append({"doc_id": key, "start": done + held, "n_tokens": len(ids) + 1})
-                    pending += [ids, closing]
-                    held += len(ids) + 1
+                ids, sizes = cache.encode(bytes(raw[ends[at]:ends[end]]), ends[at:end + 1] - ends[at])
+                n = end - at
+                closed = np.full(len(ids) + n, end_id, np.uint32)
+                closed[np.arange(len(ids)) + np.repeat(np.arange(n), sizes)] = ids
+                sizes = sizes.astype(np.int64) + 1
+                docs.append((keys[at:end], null[at:end], done + held + np.cumsum(sizes) - sizes, sizes))
+                pending.append(closed)
+                held += len(closed)
                 yield from blocks(False)
                 at = end
         yield from blocks(True)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text") \
+    # Equal ids go by their text; the last key deals out rows that are alike.
+    rows.withColumns({"_begin": F.substring("text", 1, 32), "_tie": F.monotonically_increasing_id()}) \
+        .repartitionByRange(common.tasks(rows), "doc_id", "_begin", "_tie") \
+        .sortWithinPartitions("doc_id", "_begin", "text").select("doc_id", "text") \
         .mapInArrow(run, BLOCK).write.parquet(path)
 
 

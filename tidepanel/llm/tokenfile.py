@@ -215,7 +215,8 @@ def read(spark: SparkSession, path: str, as_bytes: bool = False) -> DataFrame:
     in several blocks are shuffled to put their pieces together.
     """
     stored = spark.read.schema(BLOCK).parquet(path)
-    # One row per shard; no document data passes this window.
+    # One row of two numbers per shard, and a writer has at most 200,000 tasks: small enough to send to all.
+    # No document data passes this window.
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
     before = totals.select("shard", (F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")).alias("before"))
 
@@ -243,7 +244,7 @@ def read(spark: SparkSession, path: str, as_bytes: bool = False) -> DataFrame:
     joined = split.select("shard", "doc_id", "start", "n_tokens", F.expr(
         "aggregate(parts, X'', (a, p) -> concat(a, p.raw))").alias("raw"))
     found = pieces(True).drop("block").unionByName(joined)
-    out = found.join(before, "shard").withColumn("start", F.col("start") + F.col("before"))
+    out = found.join(F.broadcast(before), "shard").withColumn("start", F.col("start") + F.col("before"))
     if as_bytes:
         return out.select("doc_id", "start", "n_tokens", F.col("raw").alias("ids"))
 

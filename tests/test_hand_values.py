@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions import features as ft, scalar as m, timeseries as ts
 from tidepanel.functions.clean import normalize_code
-from tidepanel.operators import (cluster, compose as cp, cross, evaluate as ev, portfolio as pf, screens, stateful)
+from tidepanel.operators import (cluster, compose as cp, cross, evaluate as ev, pairs, portfolio as pf, screens, stateful)
 from tidepanel.sources import ingest
 
 
@@ -57,7 +57,7 @@ def test_single_member_groups(panel):
 def test_null_group_gives_null(table):
     df = table([("2024-01-01", "a", 1.0, None), ("2024-01-01", "b", 3.0, 1)], "date string, code string, x double, g int")
     assert values(cross.group_neutralize(df, "x", "g", "z"), "z") == [None, 0.0]
-    assert values(cross.rank(df, "x", "z", by=("date", "g"), max_group=10), "z") == [None, 1.0]
+    assert values(cross.rank(df, "x", "z", by=("date", "g")), "z") == [None, 1.0]
     assert values(cross.rank(df, "x", "z", by=("date", "g")), "z") == [None, 1.0]
 
 
@@ -136,7 +136,7 @@ def test_weighted_windows(table):
 def test_daily_ic_of_a_perfect_factor(table):
     rows = [(f"2024-01-0{d}", str(c), "f", float(c), c / 100) for d in range(1, 6) for c in (1, 2, 3)]
     df = table(rows, "date string, code string, factor_id string, value double, target double")
-    got = ev.daily_ic(df, max_group=3, horizon=20).orderBy("date").first()
+    got = ev.daily_ic(df, horizon=20).orderBy("date").first()
     assert got.ic == pytest.approx(1) and got.rank_ic == pytest.approx(1) and got.slope == pytest.approx(0.01)
     assert str(got.label_available_date)[:10] == "2024-01-21"
 
@@ -166,11 +166,11 @@ def test_category_score_and_catalog_fallback(table):
 def test_correlated_factor_is_rejected(table):
     wide = table([(f"2024-01-0{d}", str(c), float(c * d), 2.0 * c * d, float((c * 7 + d * 3) % 5)) for d in (1, 2) for c in (1, 2, 3)],
                  "date string, code string, f1 double, f2 double, f3 double")
-    pairs = cp.conflicts(ev.pooled_spearman(wide, ("f1", "f2", "f3")), "spearman", 0.95)
+    found = cp.conflicts(pairs.pooled_spearman(wide, ("f1", "f2", "f3")), "spearman", 0.95)
     cands = table([("bull", "f1", 0.9), ("bull", "f2", 0.8), ("bull", "f3", 0.7)], "state_id string, factor_id string, s double")
-    got = {r.factor_id: (r.selected, r.reason, r.with_factor) for r in cp.greedy_pick(cands, pairs, ("state_id",), "s", 2).collect()}
+    got = {r.factor_id: (r.selected, r.reason, r.with_factor) for r in cp.greedy_pick(cands, found, ("state_id",), "s", 2).collect()}
     assert got == {"f1": (True, "", None), "f2": (False, "mutual_correlation", "f1"), "f3": (True, "", None)}
-    full = {r.factor_id: r.reason for r in cp.greedy_pick(cands, pairs, ("state_id",), "s", 1).collect()}
+    full = {r.factor_id: r.reason for r in cp.greedy_pick(cands, found, ("state_id",), "s", 1).collect()}
     assert full == {"f1": "", "f2": "top_n_limit", "f3": "top_n_limit"}
 
 
@@ -244,7 +244,7 @@ def test_raw_rows_to_panel(table):
 def test_a_missing_score_is_admitted_last(table):
     cands = table([("s", "f1", None), ("s", "f2", 0.5)], "state_id string, factor_id string, s double")
     pairs = table([("f1", "f2"), ("f2", "f1")], "factor_id string, other string")
-    got = {r.factor_id: (r.selected, r.reason) for r in cp.greedy_pick(cands, pairs, ("state_id",), "s", 2).collect()}
+    got = {r.factor_id: (r.selected, r.reason) for r in cp.greedy_pick(cands, found, ("state_id",), "s", 2).collect()}
     assert got == {"f2": (True, ""), "f1": (False, "mutual_correlation")}
 
 

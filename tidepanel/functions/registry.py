@@ -18,23 +18,31 @@ RESERVED = ("date", "code")
 
 @dataclass(frozen=True)
 class Operator:
-    """``kind`` is 'column' (Columns to Column) or 'frame' (a DataFrame operator)."""
+    """``kind`` says what ``make`` takes and gives: 'column' (inputs to a Column), 'cross' (inputs, and a group, to a
+    statistic of the row's group), 'history' and 'frame' (a DataFrame, inputs and the name of the result to a
+    DataFrame, along one code's history or across codes) or 'macro' (inputs to other steps). ``inputs`` counts
+    them with a group; ``past`` gives the rows before the current one that a value needs, by the inputs (None: all)."""
     name: str
     category: str
     kind: str
     inputs: int
     make: Callable
     description: str = ""
+    past: Callable = lambda *inputs: 0
 
 
 _OPERATORS: dict[str, Operator] = {}
+KINDS = ("column", "cross", "history", "frame", "macro")
 
 
 def register_operator(name: str, category: str, make: Callable, inputs: int = 1, kind: str = "column",
-                      description: str = "") -> None:
+                      description: str = "", past: Callable | None = None) -> None:
     if not name.isidentifier() or name in RESERVED:
         raise ValueError(f"invalid operator name: {name}")
-    _OPERATORS[name] = Operator(name, category, kind, inputs, make, description or (make.__doc__ or "").strip())
+    if kind not in KINDS:
+        raise ValueError(f"invalid operator kind: {kind}")
+    _OPERATORS[name] = Operator(name, category, kind, inputs, make, description or (make.__doc__ or "").strip(),
+                                past or (lambda *inputs: 0))
 
 
 def resolve(name: str) -> Operator:
@@ -72,28 +80,42 @@ def _fill() -> None:
             "ts_decay_linear": ts.ts_decay_linear, "ts_wma": ts.ts_wma, "ts_ema": ts.ts_ema, "ts_count_nans": ts.ts_count_nans,
             "last_diff_value": ts.last_diff_value}
     pair = {"ts_corr": ts.ts_corr, "ts_covariance": ts.ts_covariance, "ts_regression": ts.ts_regression}
-    frame = {"rank": cross.rank, "zscore": cross.zscore, "normalize": cross.normalize, "scale": cross.scale,
-             "winsorize": cross.winsorize, "quantile": cross.quantile}
-    group = {"group_rank": lambda df, x, g, out, **how: cross.rank(df, x, out, ("date", g), **how),
-             "group_neutralize": cross.group_neutralize, "group_zscore": lambda df, x, g, out, **how: cross.zscore(df, x, out, ("date", g), **how),
-             "group_scale": cross.group_scale, "group_mean": cross.group_mean, "group_backfill": cross.group_backfill}
+    section = {"zscore": cross.zscore_stat, "normalize": cross.normalize_stat, "scale": cross.scale_stat,
+               "winsorize": cross.winsorize_stat}
+    group = {"group_neutralize": (cross.group_neutralize_stat, 2), "group_scale": (cross.group_scale_stat, 2),
+             "group_zscore": (lambda x, g: cross.zscore_stat(x, ("date", g)), 2),
+             "group_mean": (cross.group_mean_stat, 3), "group_fill": (cross.group_fill_stat, 3)}
+    # A value n rows back needs n rows before the current one, a window of n rows one less.
+    back, window = (lambda x, n: int(n)), (lambda *inputs: int(inputs[-1]) - 1)
+    shifts = ("delay", "delta", "ts_delay", "ts_delta", "ts_backfill")
     for table, category, inputs in ((one, "arithmetic", 1), (two, "arithmetic", 2), (logic1, "logic", 1), (logic2, "logic", 2),
                                     (logic3, "logic", 3), (roll, "time_series", 2), (pair, "time_series", 3)):
         for name, make in table.items():
-            register_operator(name, category, make, inputs)
-    register_operator("kth_element", "time_series", ts.kth_element, 3)
-    register_operator("ts_step", "time_series", ts.ts_step, 0)
+            past = None if category != "time_series" else back if name in shifts else window
+            register_operator(name, category, make, inputs, past=past)
+    whole = lambda *inputs: None
+    register_operator("kth_element", "time_series", ts.kth_element, 3, past=lambda x, n, k: int(n) - 1)
+    register_operator("ts_step", "time_series", ts.ts_step, 0, past=whole)
     register_operator("bucket", "transformational", m.bucket, 2)
-    register_operator("trade_when", "transformational", ts.trade_when, 3)
+    register_operator("trade_when", "transformational", ts.trade_when, 3, past=whole)
     register_operator("vec_avg", "vector", m.vec_scalar, 1)
     register_operator("vec_sum", "vector", m.vec_scalar, 1)
-    for name, make in frame.items():
-        register_operator(name, "cross_section", make, 2, "frame")
-    for name, make in group.items():
-        register_operator(name, "group", make, 3, "frame")
-    register_operator("densify", "arithmetic", cross.densify, 2, "frame")
-    register_operator("hump", "time_series", stateful.hump, 3, "frame")
-    register_operator("days_from_last_change", "time_series", stateful.days_from_last_change, 2, "frame")
+    for name, make in section.items():
+        register_operator(name, "cross_section", make, 1, "cross")
+    for name, (make, inputs) in group.items():
+        register_operator(name, "group", make, inputs, "cross")
+    register_operator("rank", "cross_section", cross.rank, 1, "frame")
+    register_operator("quantile", "cross_section", cross.quantile, 1, "frame")
+    register_operator("group_rank", "group", lambda df, x, g, out: cross.rank(df, x, out, ("date", g)), 2, "frame")
+    register_operator("densify", "arithmetic", cross.densify, 1, "frame")
+    register_operator("hump", "time_series", lambda df, x, limit, out: stateful.hump(df, x, out, limit), 2, "history", past=whole)
+    register_operator("days_from_last_change", "time_series", stateful.days_from_last_change, 1, "history", past=whole)
+
+    def group_backfill(x, d, group, std=4.0):
+        """Group mean of winsorized values for missing ones, then the last value within ``d`` rows."""
+        from ..operators.factors import Step
+        return Step("ts_backfill", (Step("group_fill", (x, Step("winsorize", (x,), how={"std": std})), group), d))
+    register_operator("group_backfill", "group", group_backfill, 3, "macro")
 
 
 _fill()

@@ -55,6 +55,17 @@ def families(x) -> Column:
     return F.array_compact(F.array(*flags))
 
 
+def trending(x) -> Column:
+    """A trend operator, no field of that family, and no volatility operator."""
+    return (c(x).rlike(call_pattern(TREND_OPERATORS)) & ~c(x).rlike(call_pattern(VOLATILITY_OPERATORS))
+            & ~F.array_contains(families(x), "trend"))
+
+
+def all_families(x) -> Column:
+    """Field families of an expression, and trend where its operators make it one."""
+    return F.when(trending(x), F.array_append(families(x), F.lit("trend"))).otherwise(families(x))
+
+
 def infer_category(x) -> Column:
     """Category of an expression from its operators and field families."""
     fam = families(x)

@@ -9,35 +9,34 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clean import c, finite
 from ..session import cut
-from .cross import WIDE_LEVELS, order_sums
+from .order import places
 from .screens import top_k
 
 
 def medians(df: DataFrame, columns) -> DataFrame:
-    """Exact median per column, long (field, median), from ordered value counts; no
-    task holds a whole column."""
+    """Exact median per column, long (field, median): the columns are ordered together,
+    in one shuffle; no task holds a whole column."""
     cells = df.select(*[F.col(x).cast("double").alias(x) for x in columns]).unpivot(
         [], list(columns), "field", "value").filter("value IS NOT NULL")
-    counts = cells.groupBy("field", "value").agg(F.count(F.lit(1)).alias("k"))
-    sizes = counts.groupBy("field").agg(F.sum("k").alias("n"))
-    placed = order_sums(counts, ["field"], "value", "k", "below", WIDE_LEVELS).join(sizes, "field")
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    holds = [(F.col("below") < p) & (p <= F.col("below") + F.col("k")) for p in (low, high)]
+    placed = places(cells, "value", ("field",), place="place", size="n", ties="k")
+    half = (F.col("k") - 1) / 2
+    holds = [F.abs(F.col("place") - p) <= half for p in (F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)]
     return placed.filter(holds[0] | holds[1]).groupBy("field").agg(
         (F.max(F.when(holds[0], F.col("value"))) / 2 + F.max(F.when(holds[1], F.col("value"))) / 2).alias("median"))
 
 
 def behavior_matrix(df: DataFrame, features) -> DataFrame:
     """Infinities to NULL, NULLs to the column median, then population standardization
-    (a constant column keeps deviation 1). Standardized columns get the prefix z_."""
-    df = df.withColumns({x: finite(x) for x in features})
-    center = medians(df, features).groupBy().pivot("field", list(features)).agg(F.first("median"))
-    middle = center.select(F.struct(*features)).scalar()
-    filled = df.withColumns({x: F.coalesce(F.col(x), middle[x], F.lit(0.0)) for x in features})
-    moments = filled.agg(F.struct(*[F.avg(x).alias(f"m_{x}") for x in features],
-                                  *[F.stddev_pop(x).alias(f"s_{x}") for x in features])).scalar()
-    return filled.withColumns({f"z_{x}": (F.col(x) - moments[f"m_{x}"]) / F.coalesce(
-        F.nullif(moments[f"s_{x}"], F.lit(0.0)), F.lit(1.0)) for x in features})
+    (a constant column keeps deviation 1). Standardized columns get the prefix z_.
+
+    The matrix is stored; medians and moments, a number for each column, are read from there."""
+    df = cut(df.withColumns({x: finite(x) for x in features}), "behavior")
+    middle = {r["field"]: r["median"] for r in medians(df, features).collect()}
+    filled = {x: F.coalesce(F.col(x), F.lit(float(middle.get(x) or 0.0))) for x in features}
+    of = df.select(*[v.alias(x) for x, v in filled.items()]).agg(
+        *[F.avg(x).alias(f"m_{x}") for x in features], *[F.stddev_pop(x).alias(f"s_{x}") for x in features]).first()
+    return df.withColumns(filled).withColumns({f"z_{x}": (F.col(x) - F.lit(of[f"m_{x}"])) / F.lit(
+        of[f"s_{x}"] or 1.0) for x in features})
 
 
 def fit_kmeans(matrix: DataFrame, features, k: int, seed: int = 42, starts: int = 20, max_iter: int = 300):

@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import c, ratio
 from ..functions.scalar import add as add_present
-from ..session import cut
 from . import cross, joins, screens
+from .pairs import moments
 
 
 def weighted_alpha(weights: dict[str, float]) -> Column:
@@ -74,7 +75,7 @@ def dated_weights_alpha(df: DataFrame, weights: DataFrame, names) -> DataFrame:
 
 
 def asof_selection(panel_factors: DataFrame, pool: DataFrame, weights: dict[str, float], as_of: Column,
-                   top_n: int, min_coverage: float, pool_size=None) -> DataFrame:
+                   top_n: int, min_coverage: float) -> DataFrame:
     """Rank a pool on its last available date: score, coverage, first reason, rank and
     each factor's contribution. Only the pool's rows enter the z-scores."""
     day = joins.last_available(panel_factors.join(pool.select("code").distinct(), "code", "left_semi"), as_of)
@@ -88,15 +89,22 @@ def asof_selection(panel_factors: DataFrame, pool: DataFrame, weights: dict[str,
     got = pool.join(day, "code", "left").withColumns({
         "score": F.coalesce("_score", F.lit(0.0)), "coverage": F.coalesce("_coverage", F.lit(0.0)),
         **{n: F.coalesce(n, F.lit(0.0)) for n in parts}})
-    reason = screens.first_reason([
-        ("missing_as_of_date", F.col("_seen").isNull()),
-        ("invalid_close", F.col("close").isNull() | (F.col("close") <= 0)),
-        ("suspension_status_unknown", F.col("Ifsuspend").isNull()),
-        ("suspended", F.col("Ifsuspend") != 0), ("all_factors_missing", F.col("coverage") <= 0),
-        ("insufficient_factor_coverage", F.col("coverage") + 1e-12 < min_coverage),
-        ("invalid_score", F.isnan("score") | (F.abs("score") == float("inf")))])
+    reason = screens.selection_reason(F.col("close"), F.col("Ifsuspend"), F.col("coverage"), F.col("score"), min_coverage,
+                                      F.col("_seen").isNotNull())
     got = got.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "")
-    return screens.ranking(got.drop("_score", "_coverage", "_seen"), "score", top_n, max_group=pool_size)
+    return screens.ranking(got.drop("_score", "_coverage", "_seen"), "score", top_n)
+
+
+def asof_scores(stored, pool: DataFrame, factors: dict, weights: dict[str, float], as_of: str, top_n: int,
+                min_coverage: float) -> DataFrame:
+    """``asof_selection`` from a stored panel. How far the factors look back bounds the scan: only the periods of the
+    rows that the pool's last date needs are read."""
+    from .factors import composed, lookback
+    far = [lookback(f) for f in factors.values()]
+    part, day = stored.history(as_of, None if None in far else max(far, default=0), pool)
+    last = F.lit(day or as_of).cast("timestamp")
+    values = composed(part, factors, ("date", "code", "close", "Ifsuspend")).filter(F.col("date") == last)
+    return asof_selection(values, pool, weights, last, top_n, min_coverage)
 
 
 def with_catalog(metrics: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -175,20 +183,37 @@ def marginal_strategies(pool, candidates) -> dict[str, dict[str, float]]:
     return {"base": {p: 1.0 / k for p in pool}, **trial}
 
 
-def l1_weights(zscores: DataFrame, names, target: str, alpha: float):
-    """Sparse factor weights: L1-penalized least squares on daily-normalized samples,
-    every day with the same total weight."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def sample_moments(zscores: DataFrame, names, target: str) -> tuple[np.ndarray, np.ndarray]:
+    """Second moments of the factors, and of each with the daily-normalized target, every day with the same total
+    weight: (K + 1)^2 numbers for the driver, from sums by blocks of factors."""
     days = zscores.filter(F.col(target).isNotNull())
-    days = cross.attach(days, **{"_n": F.count(target), "_mu": F.avg(target), "_sd": F.stddev_pop(target)})
-    rows = days.withColumns({"_y": F.coalesce(ratio(c(target) - F.col("_mu"), "_sd"), F.lit(0.0)),
-                             "_weight": F.lit(1.0) / F.col("_n")})
-    rows = VectorAssembler(inputCols=list(names), outputCol="_x").transform(rows)
-    fit = LinearRegression(featuresCol="_x", labelCol="_y", weightCol="_weight", fitIntercept=False,
-                           standardization=False, elasticNetParam=1.0, regParam=alpha / 2)
-    # The solver reads the sample once per iteration.
-    return fit.fit(cut(rows.select("_x", "_y", "_weight"), "sample"))
+    days = cross.attach(days, _mu=F.avg(target), _sd=F.stddev_pop(target))
+    y = F.coalesce(ratio(c(target) - F.col("_mu"), "_sd"), F.lit(0.0))
+    width = len(names) + 1
+    sums = moments(days.select("date", F.array(*[F.col(n) for n in names], y).alias("x")), "x", width, ("date",))
+    square = lambda v, a, b: F.avg(F.col(v) / F.col("n") + F.col(a) * F.col(b)).alias(v)
+    rows = sums.groupBy("i", "j").agg(square("cxy", "mx", "my"), square("vx", "mx", "mx"), square("vy", "my", "my")).collect()
+    both = np.zeros((width, width))
+    for r in rows:
+        i, j = r["i"], r["j"]
+        both[i, j] = both[j, i] = r["cxy"]
+        both[i, i], both[j, j] = r["vx"], r["vy"]
+    return both[:-1, :-1], both[:-1, -1]
+
+
+def l1_weights(zscores: DataFrame, names, target: str, alpha: float, tolerance: float = 1e-13, sweeps: int = 10_000) -> np.ndarray:
+    """Sparse factor weights: least squares with an L1 penalty, by coordinate descent on the moments of the sample. The
+    sample is read once, whatever the number of sweeps."""
+    m, v = sample_moments(zscores, names, target)
+    weights = np.zeros(len(names))
+    for _ in range(sweeps):
+        before = weights.copy()
+        for k in np.flatnonzero(np.diag(m) > 0):
+            rest = v[k] - m[k] @ weights + m[k, k] * weights[k]
+            weights[k] = np.sign(rest) * max(abs(rest) - alpha / 2, 0.0) / m[k, k]
+        if np.abs(weights - before).max(initial=0.0) < tolerance:
+            break
+    return weights
 
 
 def pick_for_state(candidates: DataFrame, categories: dict[str, str], pairs: DataFrame, state: str,

@@ -1,30 +1,22 @@
 """Cross-sectional operators: per date, or per date and group.
 
-Statistics are aggregated map-side and joined back. Ranks have two exact routes: where
-the caller has measured that no group exceeds ``GROUP_ROWS_LIMIT`` rows, a window per
-group (one shuffle, one sort); otherwise value counts in ordered buckets, so that no
-task ever holds a whole date.
+Statistics are aggregated map-side and joined back. Ranks are places in ranges whose
+number follows the size of the group (``order``), so that no task ever holds a whole date.
 """
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clean import c, ratio
 from ..functions.probit import spread_rank
-from ..session import group_fits
+from .order import _temp, places
 
 DATE = ("date",)
-STRIDE = 16       # every STRIDE-th sampled value of a group is a bucket edge
-LEVELS = 7        # up to 2^7 buckets per date
-WIDE_LEVELS = 10  # up to 2^10 buckets where there are few, larger groups
 
 
-def _temp(name: str) -> str:
-    return f"__{name}_{uuid.uuid4().hex[:6]}"
-
 
 def join_groups(df: DataFrame, stats: DataFrame, by) -> DataFrame:
     """Left join of group statistics. Only a table keyed by the date alone is
@@ -34,109 +26,119 @@ def join_groups(df: DataFrame, stats: DataFrame, by) -> DataFrame:
     return df.join(F.broadcast(stats) if tuple(by) == DATE else stats, list(by), "left")
 
 
-def attach(df: DataFrame, by=DATE, source: DataFrame | None = None, **aggs: Column) -> DataFrame:
+def attach(df: DataFrame, by=DATE, **aggs: Column) -> DataFrame:
     """Add one column per aggregate of the row's group (NULL for a NULL group key).
 
-    ``source`` is a stored table with the same rows from which to aggregate; with it a
-    chain of operators reads the table once for each, instead of doubling its plan.
-
     Statistics combine map-side and come back by a join: no task holds a group, and
     for dates the rows themselves are not shuffled at all.
     """
-    source = df if source is None else source
-    return join_groups(df, source.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
+    return join_groups(df, df.groupBy(*by).agg(*[a.alias(n) for n, a in aggs.items()]), by)
 
 
-def order_sums(values: DataFrame, by, x: str, weight: str, below: str,
-               levels: int = LEVELS) -> DataFrame:
-    """For a table unique on (by, x): the weight of all smaller x in the group.
+@dataclass(frozen=True)
+class Stat:
+    """A value of a row and of statistics of its group: aggregates by (temporary) name and
+    the Column that uses them."""
+    by: tuple
+    aggs: dict[str, Column]
+    value: Column
 
-    Groups are cut into at most 2^levels ordered buckets. The edges come from a sample
-    of one value per hash slot, which is bounded and the same on every re-run; only the
-    small bucket totals are accumulated per group. ``by`` empty is the whole table.
-    """
-    if not by:
-        whole = _temp("whole")
-        return order_sums(values.withColumn(whole, F.lit(0)), [whole], x, weight, below, levels).drop(whole)
-    by, slots = list(by), STRIDE << levels
-    few = F.broadcast if by[0].startswith("__whole") else (lambda t: t)   # a single group
-    edges, bucket, before = _temp("edges"), _temp("bucket"), _temp("before")
-    value = F.col(x)
-    # The filter also makes sample and values need the same columns, so that both read
-    # one shuffle of the value table.
-    values = values.filter(F.col(weight) > 0)
-    sample = (values.groupBy(*by, F.pmod(F.xxhash64(value), F.lit(slots)).alias("slot"))
-              .agg(F.min(value).alias("pick")))
-    cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_list("pick")).alias("picks"))
-    cuts = cuts.select(*by, F.filter(
-        "picks", lambda e, i: (i > 0) & (i % STRIDE == 0)).alias(edges))
-    # Binary search for the number of edges at or below the value.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
-    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        F.get(edges, at + step - 1) <= value, at + step).otherwise(at))
-    placed = values.join(few(cuts), by).withColumn(bucket, place).drop(edges)
-    ordered = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (placed.groupBy(*by, bucket).agg(F.sum(weight).alias("w"))
-              .select(*by, bucket, F.coalesce(F.sum("w").over(ordered), F.lit(0)).alias(before)))
-    inside = (Window.partitionBy(*by, bucket).orderBy(x)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (placed.join(few(totals), [*by, bucket])
-            .withColumn(below, F.col(before) + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-            .drop(bucket, before))
-
-
-def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True,
-         max_group: int | None = None, levels: int = LEVELS, source: DataFrame | None = None) -> DataFrame:
-    """Rank with ties averaged over the non-NULL values of the group; ``source`` as in
-    ``attach``."""
-    by = tuple(by)
-    if group_fits(max_group):
-        # One sort serves all three: peers are the rows in range of the current value.
-        line = Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last())
-        peers = F.count(x).over(line.rangeBetween(Window.currentRow, Window.currentRow))
-        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        place = F.rank().over(line) + (peers - 1) / F.lit(2.0)
-        value = place / F.count(x).over(whole) if pct else place
-        known = F.col(x).isNotNull()
-        for key in by:
-            known = known & F.col(key).isNotNull()
-        return df.withColumn(out, F.when(known, value))
-    ties, below, n = _temp("ties"), _temp("below"), _temp("n")
-    values = ((df if source is None else source).filter(F.col(x).isNotNull()).groupBy(*by, x)
-              .agg(F.count(F.lit(1)).alias(ties)))
-    placed = order_sums(values, by, x, ties, below, levels)
-    place = F.col(below) + (F.col(ties) + 1) / F.lit(2.0)
-    if pct:
-        sizes = values.groupBy(*by).agg(F.sum(ties).alias(n))
-        placed = join_groups(placed, sizes, by)
-        place = place / F.col(n)
-    return df.join(placed.select(*by, x, place.alias(out)), [*by, x], "left")
+
+def with_stats(df: DataFrame, stats: dict[str, Stat]) -> DataFrame:
+    """Add a column for each ``Stat``. Those with the same key share one aggregate."""
+    base = df
+    for by in dict.fromkeys(s.by for s in stats.values()):
+        aggs = [a.alias(n) for s in stats.values() if s.by == by for n, a in s.aggs.items()]
+        df = join_groups(df, base.groupBy(*by).agg(*aggs), by)
+    return df.withColumns({out: s.value for out, s in stats.items()}).drop(
+        *[n for s in stats.values() for n in s.aggs])
+
+
+def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True) -> DataFrame:
+    """Rank with ties averaged over the non-NULL values of the group."""
+    place, size = _temp("place"), _temp("size")
+    df = places(df, x, by, place=place, **({"size": size} if pct else {}))
+    return df.withColumn(out, F.col(place) / F.col(size) if pct else F.col(place)).drop(place, size)
 
 
 def densify(df: DataFrame, x: str, out: str) -> DataFrame:
-    """Label number 0..k-1 in sorted order over the whole panel."""
-    below = _temp("below")
-    labels = df.select(x).filter(F.col(x).isNotNull()).distinct().withColumn("one", F.lit(1))
-    codes = order_sums(labels, (), x, "one", below, WIDE_LEVELS)
-    return df.join(codes.select(x, F.col(below).cast("double").alias(out)), x, "left")
+    """Label number 0..k-1 in sorted order over the whole panel. Rows without a label are spread over the join's tasks."""
+    spread, code = _temp("spread"), _temp("code")
+    labels = df.select(x).filter(F.col(x).isNotNull()).distinct()
+    codes = places(labels, x, place=code).select(x, (F.col(code) - 1).alias(out), F.lit(-1).alias(spread))
+    df = df.withColumn(spread, F.when(F.col(x).isNull(), F.spark_partition_id()).otherwise(-1))
+    return df.join(codes, [x, spread], "left").drop(spread)
 
 
-def _moments(df, x, by, source=None):
+def _moments(x, by=DATE) -> tuple[Column, Column, dict[str, Column]]:
     mu, sd = _temp("mu"), _temp("sd")
-    out = attach(df, by, source, **{mu: F.avg(x), sd: F.stddev_pop(x)})
-    return out, F.col(mu), F.col(sd), [mu, sd]
+    return F.col(mu), F.col(sd), {mu: F.avg(c(x)), sd: F.stddev_pop(c(x))}
+
+
+def zscore_stat(x, by=DATE) -> Stat:
+    mu, sd, aggs = _moments(x)
+    return Stat(tuple(by), aggs, ratio(c(x) - mu, sd))
+
+
+def normalize_stat(x, use_std=False, limit=0.0, by=DATE) -> Stat:
+    mu, sd, aggs = _moments(x)
+    value = ratio(c(x) - mu, sd) if use_std else c(x) - mu
+    if limit > 0:
+        value = F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(limit)), F.lit(-limit)))
+    return Stat(tuple(by), aggs, value)
+
+
+def scale_stat(x, size=1.0, long_size=1.0, short_size=1.0, by=DATE) -> Stat:
+    gross, longs, shorts = _temp("gross"), _temp("longs"), _temp("shorts")
+    x = c(x)
+    aggs = {gross: F.sum(F.abs(x)), longs: F.sum(F.greatest(x, F.lit(0.0))), shorts: F.sum(F.abs(F.least(x, F.lit(0.0))))}
+    if long_size != 1 or short_size != 1:
+        up = ratio(F.greatest(x, F.lit(0.0)), longs) * F.lit(long_size)
+        down = ratio(F.least(x, F.lit(0.0)), shorts) * F.lit(short_size)
+        both = F.coalesce(up, F.lit(0.0)) + F.coalesce(down, F.lit(0.0))
+        # With both sides present a missing value is an empty position.
+        return Stat(tuple(by), aggs, F.when(F.coalesce(shorts, F.lit(0.0)) == 0, up).otherwise(both))
+    return Stat(tuple(by), aggs, ratio(x, gross) * F.lit(size))
+
+
+def winsorize_stat(x, std=4.0, by=DATE) -> Stat:
+    mu, sd, aggs = _moments(x)
+    low, high = mu - F.lit(std) * sd, mu + F.lit(std) * sd
+    return Stat(tuple(by), aggs, F.when(c(x).isNotNull(), F.greatest(F.least(c(x), high), low)))
+
+
+def group_neutralize_stat(x, group) -> Stat:
+    mu = _temp("mu")
+    return Stat(("date", group), {mu: F.avg(c(x))}, c(x) - F.col(mu))
 
 
-def zscore(df, x, out, by=DATE, source=None) -> DataFrame:
+def group_scale_stat(x, group, size=1.0) -> Stat:
+    gross = _temp("gross")
+    return Stat(("date", group), {gross: F.sum(F.abs(c(x)))}, ratio(x, gross) * F.lit(size))
+
+
+def group_mean_stat(x, weight, group) -> Stat:
+    top, bottom = _temp("top"), _temp("bottom")
+    value = ratio(F.coalesce(F.col(top), F.lit(0.0)), bottom)
+    return Stat(("date", group), {top: F.sum(c(x) * c(weight)), bottom: F.sum(c(weight))},
+                F.when(F.col(group).isNotNull(), value))
+
+
+def group_fill_stat(x, tamed, group) -> Stat:
+    """Missing values take their group's mean of ``tamed``."""
+    mu = _temp("mu")
+    return Stat(("date", group), {mu: F.avg(c(tamed))}, F.coalesce(c(x), F.col(mu)))
+
+
+def zscore(df, x, out, by=DATE) -> DataFrame:
     """(x - mean) / population deviation; NULL where the group does not vary."""
-    df, mu, sd, temp = _moments(df, x, by, source)
-    return df.withColumn(out, ratio(c(x) - mu, sd)).drop(*temp)
+    return with_stats(df, {out: zscore_stat(x, by)})
 
 
 def zscore_filled(df, x, out, by=DATE) -> DataFrame:
     """z-score used in composition: no variation or a missing value gives 0."""
-    df, mu, sd, temp = _moments(df, x, by)
-    return df.withColumn(out, F.coalesce(ratio(c(x) - mu, sd), F.lit(0.0))).drop(*temp)
+    stat = zscore_stat(x, by)
+    return with_stats(df, {out: Stat(stat.by, stat.aggs, F.coalesce(stat.value, F.lit(0.0)))})
 
 
 def zscores_filled(df, names, by=DATE) -> DataFrame:
@@ -152,91 +154,54 @@ def zscore_scored(df, x, out, missing, eligible="eligible", eps=1e-12, by=DATE)
     """z-score over eligible rows with a floor on the deviation, and a missing flag."""
     kept = _temp("kept")
     df = df.withColumn(kept, F.when(F.col(eligible), c(x)))
-    df, mu, sd, temp = _moments(df, kept, by)
+    mu, sd, aggs = _moments(kept)
     z = (F.col(kept) - mu) / F.greatest(sd, F.lit(eps))
-    return df.withColumns({out: F.coalesce(z, F.lit(0.0)),
-                           missing: F.col(kept).isNull()}).drop(kept, *temp)
+    df = with_stats(df, {out: Stat(tuple(by), aggs, F.coalesce(z, F.lit(0.0)))})
+    return df.withColumn(missing, F.col(kept).isNull()).drop(kept)
 
 
-def eligible_rank(df, x, out, eligible="eligible", by=DATE, max_group=None) -> DataFrame:
+def eligible_rank(df, x, out, eligible="eligible", by=DATE) -> DataFrame:
     kept = _temp("kept")
     df = df.withColumn(kept, F.when(F.col(eligible), c(x)))
-    return rank(df, kept, out, by, True, max_group).drop(kept)
+    return rank(df, kept, out, by).drop(kept)
 
 
-def normalize(df, x, out, use_std=False, limit=0.0, by=DATE, source=None) -> DataFrame:
-    df, mu, sd, temp = _moments(df, x, by, source)
-    value = ratio(c(x) - mu, sd) if use_std else c(x) - mu
-    if limit > 0:
-        value = F.when(value.isNotNull(),
-                       F.greatest(F.least(value, F.lit(limit)), F.lit(-limit)))
-    return df.withColumn(out, value).drop(*temp)
+def normalize(df, x, out, use_std=False, limit=0.0, by=DATE) -> DataFrame:
+    return with_stats(df, {out: normalize_stat(x, use_std, limit, by)})
 
 
-def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE, source=None) -> DataFrame:
+def scale(df, x, out, size=1.0, long_size=1.0, short_size=1.0, by=DATE) -> DataFrame:
     """Scale the group to a book of ``size``, or the two sides separately."""
-    gross, longs, shorts = _temp("gross"), _temp("longs"), _temp("shorts")
-    x = c(x)
-    df = attach(df, by, source, **{
-        gross: F.sum(F.abs(x)), longs: F.sum(F.greatest(x, F.lit(0.0))),
-        shorts: F.sum(F.abs(F.least(x, F.lit(0.0))))})
-    if long_size != 1 or short_size != 1:
-        up = ratio(F.greatest(x, F.lit(0.0)), longs) * F.lit(long_size)
-        down = ratio(F.least(x, F.lit(0.0)), shorts) * F.lit(short_size)
-        both = F.coalesce(up, F.lit(0.0)) + F.coalesce(down, F.lit(0.0))
-        # With both sides present a missing value is an empty position.
-        value = F.when(F.coalesce(shorts, F.lit(0.0)) == 0, up).otherwise(both)
-    else:
-        value = ratio(x, gross) * F.lit(size)
-    return df.withColumn(out, value).drop(gross, longs, shorts)
+    return with_stats(df, {out: scale_stat(x, size, long_size, short_size, by)})
 
 
-def winsorize(df, x, out, std=4.0, by=DATE, source=None) -> DataFrame:
-    df, mu, sd, temp = _moments(df, x, by, source)
-    low, high = mu - F.lit(std) * sd, mu + F.lit(std) * sd
-    value = F.when(c(x).isNotNull(), F.greatest(F.least(c(x), high), low))
-    return df.withColumn(out, value).drop(*temp)
+def winsorize(df, x, out, std=4.0, by=DATE) -> DataFrame:
+    return with_stats(df, {out: winsorize_stat(x, std, by)})
 
 
-def quantile(df, x, out, driver="gaussian", sigma=1.0, by=DATE, max_group=None, source=None) -> DataFrame:
+def quantile(df, x, out, driver="gaussian", sigma=1.0, by=DATE) -> DataFrame:
     r = _temp("r")
-    df = rank(df, x, r, by, True, max_group, source=source)
+    df = rank(df, x, r, by)
     return df.withColumn(out, spread_rank(r, driver, sigma)).drop(r)
 
 
-def group_neutralize(df, x, group, out, source=None) -> DataFrame:
-    mu = _temp("mu")
-    df = attach(df, ("date", group), source, **{mu: F.avg(x)})
-    return df.withColumn(out, c(x) - F.col(mu)).drop(mu)
+def group_neutralize(df, x, group, out) -> DataFrame:
+    return with_stats(df, {out: group_neutralize_stat(x, group)})
 
 
-def group_scale(df, x, group, out, size=1.0, source=None) -> DataFrame:
-    gross = _temp("gross")
-    df = attach(df, ("date", group), source, **{gross: F.sum(F.abs(c(x)))})
-    return df.withColumn(out, ratio(x, gross) * F.lit(size)).drop(gross)
+def group_scale(df, x, group, out, size=1.0) -> DataFrame:
+    return with_stats(df, {out: group_scale_stat(x, group, size)})
 
 
-def group_mean(df, x, weight, group, out, source=None) -> DataFrame:
+def group_mean(df, x, weight, group, out) -> DataFrame:
     """Weighted mean of the group; the weights of missing values count too."""
-    top, bottom = _temp("top"), _temp("bottom")
-    df = attach(df, ("date", group), source, **{
-        top: F.sum(c(x) * c(weight)), bottom: F.sum(c(weight))})
-    value = ratio(F.coalesce(F.col(top), F.lit(0.0)), bottom)
-    return df.withColumn(out, F.when(F.col(group).isNotNull(), value)).drop(top, bottom)
+    return with_stats(df, {out: group_mean_stat(x, weight, group)})
 
 
-def group_backfill(df, x, group, out, d, std=4.0, source=None) -> DataFrame:
+def group_backfill(df, x, group, out, d, std=4.0) -> DataFrame:
     """Missing values take the mean of their group's winsorized values, then the last
     value of their code within ``d`` rows."""
     from ..functions import timeseries as ts
-    filled = _temp("filled")
-    df = group_filled(df, x, group, filled, std, source)
-    return df.withColumn(out, ts.ts_backfill(filled, d)).drop(filled)
-
-
-def group_filled(df, x, group, out, std=4.0, source=None) -> DataFrame:
-    """Missing values take the mean of their group's winsorized values."""
-    w, mu = _temp("w"), _temp("mu")
-    df = winsorize(df, x, w, std, source=source)
-    df = attach(df, ("date", group), **{mu: F.avg(w)})
-    return df.withColumn(out, F.coalesce(c(x), F.col(mu))).drop(w, mu)
+    tamed, filled = _temp("tamed"), _temp("filled")
+    df = with_stats(winsorize(df, x, tamed, std), {filled: group_fill_stat(x, tamed, group)})
+    return df.withColumn(out, ts.ts_backfill(filled, d)).drop(tamed, filled)

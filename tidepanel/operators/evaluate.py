@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import stats
 from ..functions.clean import c, ratio
 from . import cross
 from .joins import every_session
+from .order import placed, places
 
 
 def day_quality(df: DataFrame, x: str, eligible: str = "eligible", eps: float = 1e-12,
@@ -38,18 +37,17 @@ def unpivot(wide: DataFrame, factors, keep=("date", "code"), value: str = "value
     return wide.unpivot(list(keep), list(factors), "factor_id", value)
 
 
-def with_pair_ranks(df: DataFrame, x: str, y: str, by, max_group=None, levels=cross.LEVELS) -> DataFrame:
+def with_pair_ranks(df: DataFrame, x: str, y: str, by) -> DataFrame:
     """Ranks of both sides among the complete pairs of each group."""
     px, py = stats.paired(x, y)
     df = df.withColumns({"_px": px, "_py": py})
-    df = cross.rank(df, "_px", "_rx", by, False, max_group, levels)
-    return cross.rank(df, "_py", "_ry", by, False, max_group, levels).drop("_px", "_py")
+    return placed(df, {"_px": {"place": "_rx"}, "_py": {"place": "_ry"}}, by).drop("_px", "_py")
 
 
 def daily_ic(values: DataFrame, by=("date", "factor_id"), x="value", y="target",
-             min_pairs: int = 3, max_group=None, horizon: int | None = None) -> DataFrame:
+             min_pairs: int = 3, horizon: int | None = None) -> DataFrame:
     """IC, rank IC, slope and pair count per date and factor."""
-    ranked = with_pair_ranks(values, x, y, by, max_group)
+    ranked = with_pair_ranks(values, x, y, by)
     daily = ranked.groupBy(*by).agg(
         stats.pearson(x, y, min_pairs).alias("ic"),
         stats.pearson("_rx", "_ry", min_pairs).alias("rank_ic"),
@@ -79,13 +77,13 @@ def conditional_metrics(daily: DataFrame, by) -> DataFrame:
         ratio(F.abs(F.avg(ic)), F.avg(F.abs(ic))).alias("stability"))
 
 
-def composite_metrics(scored: DataFrame, x="alpha", y="target", by=(), max_group=None) -> DataFrame:
+def composite_metrics(scored: DataFrame, x="alpha", y="target", by=()) -> DataFrame:
     """Mean daily IC / rank IC, their ratios to a floored deviation, coverage, days.
 
     ``scored`` keeps label rows without a score, which lower the coverage.
     """
     by = list(by)
-    ranked = with_pair_ranks(scored, x, y, [*by, "date"], max_group)
+    ranked = with_pair_ranks(scored, x, y, [*by, "date"])
     daily = ranked.groupBy(*by, "date").agg(
         F.count(F.lit(1)).alias("rows"), stats.pair_count(x, y).alias("pairs"),
         stats.pearson_floored(x, y).alias("ic"),
@@ -152,51 +150,6 @@ def rolling_behavior(daily: DataFrame, as_of_dates: DataFrame, horizon: int, win
         F.col("at").alias("as_of_date"), "factor_id", "row.*")
 
 
-def pair_daily(wide: DataFrame, factors, by=("date",), floor: float | None = None) -> DataFrame:
-    """Daily correlation of every pair of factors, long (by, f1, f2, ic, pairs).
-
-    One aggregate per pair over the wide table: partial sums combine map-side and no
-    pair of rows is ever built.
-    """
-    pairs = list(combinations(factors, 2))
-    corr = stats.pearson if floor is None else stats.pearson_floored
-    packed = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), corr(a, b).alias("ic"),
-                       stats.pair_count(a, b).alias("pairs")) for a, b in pairs]
-    daily = wide.groupBy(*by).agg(*[p.alias(f"p{i}") for i, p in enumerate(packed)])
-    rows = F.explode(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])).alias("p")
-    return daily.select(*by, rows).select(*by, "p.*")
-
-
-def mutual_ic(zscores: DataFrame, factors, floor: float = 1e-3) -> DataFrame:
-    """Mean daily correlation of each pair of filled z-scores (no NULLs): one mean and
-    deviation per factor and one product per pair, all combined map-side."""
-    pairs = list(combinations(factors, 2))
-    daily = zscores.groupBy("date").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(f).alias(f"m_{f}") for f in factors],
-        *[F.stddev_pop(f).alias(f"s_{f}") for f in factors],
-        *[F.avg(F.col(a) * F.col(b)).alias(f"x_{a}_{b}") for a, b in pairs])
-
-    def corr(a, b):
-        sa, sb = F.col(f"s_{a}"), F.col(f"s_{b}")
-        value = (F.col(f"x_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) / (sa * sb)
-        return F.when(F.col("n") >= 2, F.when((sa < floor) | (sb < floor), 0.0).otherwise(value))
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), corr(a, b).alias("ic"))
-                               for a, b in pairs])).alias("p")
-    return daily.select(rows).select("p.*").groupBy("f1", "f2").agg(
-        F.avg("ic").alias("mutual_ic"), F.count("ic").alias("usable_dates"))
-
-
-def pooled_spearman(wide: DataFrame, factors, max_group=None) -> DataFrame:
-    """Pooled rank correlation per factor pair over the rows where both are present."""
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for a, b in combinations(factors, 2)])).alias("p")
-    rows = wide.select(pairs).select("p.*").filter("x IS NOT NULL AND y IS NOT NULL")
-    ranked = with_pair_ranks(rows, "x", "y", ("f1", "f2"), max_group, cross.WIDE_LEVELS)
-    return ranked.groupBy("f1", "f2").agg(stats.pearson("_rx", "_ry", 3).alias("spearman"),
-                                          F.count(F.lit(1)).alias("pairs"))
-
-
 def parity(a: DataFrame, b: DataFrame, keys, columns) -> DataFrame:
     """Per column: rows on one side only, missing-flag differences, largest error."""
     left = a.select(*keys, *[F.col(x).alias(f"a_{x}") for x in columns], F.lit(True).alias("_a"))
@@ -212,10 +165,14 @@ def parity(a: DataFrame, b: DataFrame, keys, columns) -> DataFrame:
         F.coalesce(F.max(F.abs(F.col("x") - F.col("y"))), F.lit(0.0)).alias("max_error"))
 
 
-def ranking_parity(a: DataFrame, b: DataFrame, score: str, k: int) -> DataFrame:
-    """Per date: do both score tables select the same top k in the same order?"""
-    from .screens import top_k
-    left = top_k(a, score, k).select("date", "rank", F.col("code").alias("x"))
-    right = top_k(b, score, k).select("date", "rank", F.col("code").alias("y"))
-    return left.join(right, ["date", "rank"], "full").groupBy("date").agg(
-        F.every(F.col("x").eqNullSafe(F.col("y"))).alias("same_ranking"))
+def ranking_parity(a: DataFrame, b: DataFrame, score: str) -> DataFrame:
+    """Per date: do both score tables order the same codes in the same way (by score, ties by code)? ``same_ranking``,
+    the number of codes, and how many stand at another place or on one side only."""
+    sides = []
+    for df, name in ((a, "_a"), (b, "_b")):
+        key = F.when(F.col(score).isNotNull(), F.struct((-F.col(score)).alias("s"), F.col("code").alias("t")))
+        sides.append(places(df.select("date", "code", key.alias("_key")), "_key", ("date",), place=name)
+                     .filter(F.col(name).isNotNull()).select("date", "code", name))
+    both = sides[0].join(sides[1], ["date", "code"], "full")
+    moved = F.count_if(~F.col("_a").eqNullSafe(F.col("_b")))
+    return both.groupBy("date").agg(F.count(F.lit(1)).alias("codes"), moved.alias("moved"), (moved == 0).alias("same_ranking"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import timeseries as ts
 from ..functions.clean import ratio
-from ..session import cut
+from ..session import cut_by_code
 
 
 def wide(panel: DataFrame, factors: dict[str, Column], keep=("date", "code")) -> DataFrame:
@@ -23,7 +24,7 @@ class Step:
 
     Steps compose freely: a rolling mean of a rank of a difference is
     ``Step("ts_mean", (Step("rank", (ts.delta("close", 5),)), 4))``. ``group`` names the
-    group column of group operators, ``how`` holds further arguments.
+    group column of group operators (their last input), ``how`` holds further arguments.
     """
     operator: str
     inputs: tuple
@@ -31,71 +32,148 @@ class Step:
     how: dict = field(default_factory=dict)
 
 
-def _depth(x) -> int:
-    return 1 + max(map(_depth, x.inputs)) if isinstance(x, Step) else 0
+def _expanded(x, seen: dict | None = None):
+    """Macros replaced by their steps; a step that is used several times stays one step."""
+    from ..functions.registry import resolve
+    seen = {} if seen is None else seen
+    if not isinstance(x, Step):
+        return x
+    if id(x) not in seen:
+        made = Step(x.operator, tuple(_expanded(y, seen) for y in x.inputs), x.group, x.how)
+        op = resolve(x.operator)
+        seen[id(x)] = x, _expanded(op.make(*made.inputs, *_group(x), **x.how), seen) if op.kind == "macro" else made
+    return seen[id(x)][1]
+
+
+def _group(x: Step) -> tuple:
+    return () if x.group is None else (x.group,)
+
+
+def lookback(x: Column | Step | str | float) -> int | None:
+    """Rows of a code before the current one that a value needs: what the operator itself looks back, added to the most
+    that one of its inputs does. None means all of them, as for a Column, which does not tell."""
+    from ..functions.registry import resolve
+    if not isinstance(x, Step):
+        return None if isinstance(x, Column) else 0
+    x = _expanded(x)
+    own = resolve(x.operator).past(*x.inputs)
+    below = [lookback(y) for y in x.inputs]
+    return None if own is None or None in below else own + max(below, default=0)
 
 
-def composed(panel: DataFrame, factors: dict[str, Column | Step], keep=("date", "code")) -> DataFrame:
+def composed(panel: DataFrame, factors: dict[str, Column | Step], keep=("date", "code"), buckets: int | None = None) -> DataFrame:
     """A factor set whose members may nest cross-sections and rolling operators.
 
-    Works level by level: all rolling operators of a level are one projection, every
-    cross-section takes its statistics from the stored table of the level before, and the
-    level is stored. So the plan of a level grows with its number of steps, and the whole
-    with the depth.
+    Operators along a code's history are projections and windows of one pass. Each cross-section closes a level: the
+    statistics of a level are one aggregate for each kind of group, its ranks follow, and what later steps need (keys
+    and steps only) is stored once, bucketed by code, so that the windows of the next level are not shuffled. What the
+    last level adds is not stored. The plan of a level grows with its number of steps.
     """
     from ..functions.registry import resolve
-    found: dict[int, tuple[Step, str]] = {}
-
-    def collect(x) -> None:
-        if isinstance(x, Step) and id(x) not in found:
-            for y in x.inputs:
-                collect(y)
-            found[id(x)] = x, f"_step{len(found)}"
+    from . import cross
+    shared: dict = {}
+    factors = {k: _expanded(v, shared) for k, v in factors.items()}
+    found: dict[int, tuple[Step, str, object, int, int]] = {}
+
+    def collect(x) -> tuple[int, int]:
+        """Level and depth of a value; fields and Columns are made before all levels."""
+        if not isinstance(x, Step):
+            return 0, 0
+        if id(x) not in found:
+            below = [collect(y) for y in x.inputs]
+            op = resolve(x.operator)
+            level = max((b[0] for b in below), default=0) + (op.kind in ("cross", "frame"))
+            depth = 1 + max((b[1] for b in below), default=0)
+            found[id(x)] = x, f"_step{len(found)}", op, level, depth
+        return found[id(x)][3:]
 
     for x in factors.values():
         collect(x)
+    steps = sorted(found.values(), key=lambda s: s[3:])
+    last = max((s[3] for s in steps), default=0)
+    # Columns that are read by name, or in a later level, are made first.
+    leaves = {f"{name}_in{k}": y for s, name, op, level, _ in steps for k, y in enumerate(s.inputs)
+              if isinstance(y, Column) and (level or op.kind != "column")}
     plain = {k: v for k, v in factors.items() if not isinstance(v, Step)}
-    steps = sorted(found.values(), key=lambda s: _depth(s[0]))
-    # Columns below frame operators are made by name before the first level.
-    leaves = {}
-    for s, name in steps:
-        for k, y in enumerate(s.inputs):
-            if isinstance(y, Column) and resolve(s.operator).kind == "frame":
-                leaves[f"{name}_in{k}"] = y
-    df = panel.select("*", *[v.alias(k) for k, v in {**leaves, **plain}.items()])
-    named = lambda s, name, k, y: (found[id(y)][1] if isinstance(y, Step) else f"{name}_in{k}"
-                                   if isinstance(y, Column) and f"{name}_in{k}" in leaves else y)
-    for level in range(1, 1 + max((_depth(s) for s, _ in steps), default=0)):
-        here = [(s, name, resolve(s.operator)) for s, name in steps if _depth(s) == level]
-        df = df.withColumns({name: op.make(*[named(s, name, k, y) for k, y in enumerate(s.inputs)], **s.how)
-                             for s, name, op in here if op.kind == "column"})
-        base = df = cut(df, "level")
-        for s, name, op in here:
-            if op.kind == "frame":
-                groups = () if s.group is None else (s.group,)
-                df = op.make(df, *[named(s, name, k, y) for k, y in enumerate(s.inputs)], *groups, name, source=base, **s.how)
-        if any(op.kind == "frame" for _, _, op in here):
-            df = cut(df, "level")
-    return df.select(*keep, *[F.col(found[id(v)][1] if isinstance(v, Step) else k).alias(k) for k, v in factors.items()])
+    fields = set(panel.columns)
+
+    def inputs(s: Step, name: str) -> list:
+        return [found[id(y)][1] if isinstance(y, Step) else f"{name}_in{k}" if f"{name}_in{k}" in leaves else y
+                for k, y in enumerate(s.inputs)]
+
+    def reads(s: Step, name: str) -> set:
+        known = fields | leaves.keys() | {f[1] for f in found.values()}
+        return {y for y in (*inputs(s, name), *_group(s)) if isinstance(y, str) and y in known}
+
+    kept = dict.fromkeys((*keep, "date", "code"))
+    outputs = [found[id(v)][1] if isinstance(v, Step) else k for k, v in factors.items()]
+    wanted = set().union(*[reads(s, n) for s, n, *_ in steps], kept) & fields
+    df = panel.select(*sorted(wanted), *[v.alias(k) for k, v in {**leaves, **plain}.items()])
+    for level in range(last + 1):
+        here = [s for s in steps if s[3] == level]
+        if level:
+            df = cross.with_stats(df, {name: op.make(*inputs(s, name), *_group(s), **s.how)
+                                       for s, name, op, *_ in here if op.kind == "cross"})
+            ranks = [(s, name, op) for s, name, op, *_ in here if op.kind == "frame"]
+            for s, name, op in ranks:
+                df = op.make(df, *inputs(s, name), *_group(s), name, **s.how)
+            later = [s for s in steps if s[3] > level or s[3] == level and s[2].kind in ("column", "history")]
+            if later:
+                needed = set().union(*[reads(s, n) for s, n, *_ in later], outputs, kept)
+                df = cut_by_code(df.select(*[x for x in df.columns if x in needed]), "level", buckets)
+        along = [s for s in here if s[2].kind in ("column", "history")]
+        for depth in sorted({s[4] for s in along}):
+            now = [s for s in along if s[4] == depth]
+            df = df.withColumns({name: op.make(*inputs(s, name), **s.how) for s, name, op, *_ in now if op.kind == "column"})
+            for s, name, op, *_ in now:
+                if op.kind == "history":
+                    df = op.make(df, *inputs(s, name), name, **s.how)
+    return df.select(*keep, *[F.col(n).alias(k) for n, k in zip(outputs, factors)])
 
 
 def resolvable(panel: DataFrame, factors: dict[str, Column | Step]) -> tuple[dict[str, Column | Step], dict[str, str]]:
-    """Split a factor set into those that the panel can compute and errors by name.
-    Only the analyzer runs here; no data is read."""
-    good, bad = {}, {}
-    def columns(x):
-        return [c for y in x.inputs for c in columns(y)] if isinstance(x, Step) else [
-            F.col(x) if isinstance(x, str) else x] if isinstance(x, (Column, str)) else []
+    """Split a factor set into those that the panel can compute and errors by name: unknown fields and operators, a
+    wrong number of inputs, or arguments that an operator does not take. Only the analyzer runs here; no data is read."""
+    from ..functions.registry import resolve
 
+    def check(x) -> None:
+        if isinstance(x, Column):
+            panel.select(x).schema
+        elif isinstance(x, Step):
+            op = resolve(x.operator)
+            if len(x.inputs) + len(_group(x)) != op.inputs and not _variadic(op.make):
+                raise TypeError(f"{x.operator} takes {op.inputs} inputs")
+            panel.select(*_group(x)).schema
+            for y in x.inputs:
+                check(y)
+            values = [y if isinstance(y, (int, float)) or isinstance(y, str) and y not in panel.columns and op.name == "bucket"
+                      else F.lit(1.0) if isinstance(y, Step) else F.col(y) if isinstance(y, str) else y for y in x.inputs]
+            if op.kind == "column":
+                panel.select(op.make(*values, **x.how)).schema
+            elif op.kind in ("cross", "macro"):
+                op.make(*values, *_group(x), **x.how)
+            else:
+                inspect.signature(op.make).bind(panel, *x.inputs, *_group(x), "out", **x.how)
+                panel.select(*[y for y in x.inputs if isinstance(y, str)]).schema
+
+    good, bad = {}, {}
     for name, expr in factors.items():
         try:
-            panel.select(*columns(expr)).schema
+            check(expr)
             good[name] = expr
         except AnalysisException as error:
             bad[name] = error.getCondition() or "ANALYSIS_ERROR"
+        except KeyError as error:
+            bad[name] = f"UNKNOWN_OPERATOR {error.args[0]}"
+        except (TypeError, ValueError) as error:
+            bad[name] = f"INVALID_ARGUMENTS {error}"
     return good, bad
 
 
+def _variadic(make) -> bool:
+    return any(p.kind is p.VAR_POSITIONAL for p in inspect.signature(make).parameters.values())
+
+
 def factor_status(values: DataFrame) -> DataFrame:
     """Rows, valid rows and coverage per factor of a long value table."""
     return values.groupBy("factor_id").agg(
@@ -120,6 +198,20 @@ def demo_cross_sections() -> dict[str, Step]:
             "z_mean_rank": Step("zscore", (Step("ts_mean", (change, 3)),))}
 
 
+def more_cross_sections() -> dict[str, Step]:
+    """Operators over the whole panel, along a code's history and in groups, in one set with others."""
+    return {"label": Step("densify", ("volume",)), "damped": Step("hump", (Step("rank", ("close",)), 0.05)),
+            "unchanged": Step("days_from_last_change", ("category_number",)),
+            "sector_filled": Step("group_backfill", (ts.delta("close", 4), 3), "sector")}
+
+
+def scoring_factors() -> dict[str, Step]:
+    """Momentum, reversal and range as steps, which tell how far they look back."""
+    return {"mom4": Step("sub", (Step("div", ("close", Step("delay", ("close", 4)))), 1.0)),
+            "rev1": Step("sub", (Step("div", (Step("delay", ("close", 1)), "close")), 1.0)),
+            "rng": Step("div", (Step("sub", ("high", "low")), "open"))}
+
+
 GRID_OPERATORS = {
     "delta": lambda x, n: ratio(ts.delta(x, n), ts.delay(x, n)),
     "ts_zscore": ts.ts_zscore,

@@ -66,6 +66,20 @@ def last_available(panel: DataFrame, as_of: Column) -> DataFrame:
     return panel.filter(F.col("date") == day)
 
 
+def many_to_one(left: DataFrame, right: DataFrame, keys, repeated: str | None = None) -> DataFrame:
+    """Inner join in which each key may stand on the right once. A key that repeats there fails the job, or with
+    ``repeated`` its rows are kept once and marked in a column of that name. The right side is counted by key on the
+    exchange that the join needs anyway."""
+    keys = list(keys)
+    rest = [n for n in right.columns if n not in keys]
+    once = right.groupBy(*keys).agg(*[F.first(n).alias(n) for n in rest], F.count(F.lit(1)).alias("_times"))
+    if repeated is not None:
+        return left.join(once.withColumn(repeated, F.col("_times") > 1).drop("_times"), keys)
+    text = F.concat(F.lit(f"the right side repeats a key of {', '.join(keys)}: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    return left.join(once.withColumn("_times", F.when(F.col("_times") > 1, F.raise_error(text)).otherwise(F.col("_times"))), keys) \
+        .filter("_times = 1").drop("_times")
+
+
 def mask_by_publication(value, published: Column, date: Column) -> Column:
     """NULL once the publication lies after the row; unknown publication keeps it."""
     return F.when(published.isNull() | (published <= date), c(value))

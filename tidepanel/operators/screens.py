@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import c
-from ..session import group_fits
+from .order import places
 
 
 def universe(panel: DataFrame, category: str | None = None, min_amount: float | None = None,
@@ -65,6 +65,18 @@ def first_reason(checks: list[tuple[str, Column]]) -> Column:
     return value.otherwise("")
 
 
+def selection_reason(close: Column, suspended: Column, coverage: Column, score: Column, min_coverage: float,
+                     seen: Column | None = None) -> Column:
+    """Why a code cannot be selected on a day: the first of seven reasons, '' if none holds. ``seen`` says whether the
+    day has a row of the code at all (else a missing close says that it has none)."""
+    return first_reason([
+        ("missing_as_of_date", close.isNull() if seen is None else ~seen),
+        ("invalid_close", close.isNull() | (close <= 0)), ("suspension_status_unknown", suspended.isNull()),
+        ("suspended", suspended != 0), ("all_factors_missing", coverage <= 0),
+        ("insufficient_factor_coverage", coverage + 1e-12 < min_coverage),
+        ("invalid_score", score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")))])
+
+
 def pass_minima(minima: dict[str, float]) -> Column:
     """All metrics at or above their minimum; a missing metric fails."""
     keep = F.lit(True)
@@ -94,24 +106,15 @@ def top_k(df: DataFrame, score: str, k: int, by=("date",), tie: str = "code", pl
             .filter(F.col(place) <= k))
 
 
-def ranking(df: DataFrame, score: str, top_n: int, by=(), tie: str = "code",
-            max_group: int | None = None) -> DataFrame:
+def ranking(df: DataFrame, score: str, top_n: int, by=(), tie: str = "code") -> DataFrame:
     """Eligible rows first by score, with rank, selected flag and outside_top_n reason.
 
-    ``eligible`` and ``reason`` are columns of ``df``. Groups of unknown or large size
-    are ranked through bucketed positions: a date with a very large universe is no
-    single task.
+    ``eligible`` and ``reason`` are columns of ``df``. A date with a very large universe is
+    ranked in ranges and is no single task.
     """
-    by = list(by)
-    if group_fits(max_group):
-        w = Window.partitionBy(*by, "eligible").orderBy(F.col(score).desc(), F.col(tie).asc())
-        return _selected(df.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(w))), top_n)
-    from .cross import LEVELS, WIDE_LEVELS, order_sums
-    good = df.filter("eligible").select(*by, F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")).alias("_key"),
-                                        F.col(tie).alias("_t")).withColumn("_one", F.lit(1))
-    placed = order_sums(good, by, "_key", "_one", "_below", LEVELS if by else WIDE_LEVELS).select(
-        *by, F.col("_t").alias(tie), (F.col("_below") + 1).cast("int").alias("rank"))
-    return _selected(df.join(placed, [*by, tie], "left"), top_n)
+    key = F.when(F.col("eligible"), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t")))
+    df = places(df.withColumn("_key", key), "_key", by, place="rank").drop("_key")
+    return _selected(df.withColumn("rank", F.col("rank").cast("int")), top_n)
 
 
 def _selected(out: DataFrame, top_n: int) -> DataFrame:
@@ -140,10 +143,13 @@ def top_pool(stats: DataFrame, n: int) -> DataFrame:
 
 
 def best_checkpoint(df: DataFrame, objective: str, batch: str, by=()) -> DataFrame:
-    """Row of the largest objective, the earliest batch on ties."""
-    key = F.struct(F.col(objective), (-F.col(batch)).alias("early"))
-    row = F.max_by(F.struct(*[F.col(x) for x in df.columns]), key)
-    return df.filter(F.col(objective).isNotNull()).groupBy(*by).agg(row.alias("_best")).select("_best.*")
+    """Row of the largest objective, the earliest batch on ties: first the earliest row of each objective, then the
+    largest objective of those. Both keys are numbers, so that numeric columns stay in hash aggregation."""
+    rest = [x for x in df.columns if x not in (*by, objective, batch)]
+    first = df.filter(F.col(objective).isNotNull()).groupBy(*by, objective).agg(
+        F.min(batch).alias(batch), *[F.min_by(x, batch).alias(x) for x in rest])
+    return first.groupBy(*by).agg(F.max(objective).alias("_best"), *[
+        F.max_by(x, objective).alias(x) for x in (batch, *rest)]).withColumnRenamed("_best", objective).select(*df.columns)
 
 
 def keep_incumbent(df: DataFrame, utility: str, incumbent: Column, delta: float, by) -> DataFrame:

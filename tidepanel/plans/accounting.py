@@ -47,12 +47,12 @@ ACM = f"WITH {FW}, {MULTI}, {accounts_sql()}"
 
 
 def signals(spark, sf):
-    df, _ = wide(spark, sf)
+    df = wide(spark, sf)
     return df.select(F.lit("mom4").alias("strategy_id"), *KEYS, F.col("mom4").alias("score"))
 
 
 def all_signals(spark, sf):
-    df, _ = wide(spark, sf)
+    df = wide(spark, sf)
     return ev.unpivot(df, NAMES, value="score").withColumnRenamed("factor_id", "strategy_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import features as ft, timeseries as ts
 from ..functions.clean import zero_pad
-from ..operators import compose as cp, evaluate as ev, factors as fs, portfolio as pf
+from ..operators import compose as cp, evaluate as ev, factors as fs, pairs as pr, portfolio as pf
 from ..sources.panel import read, weekly_panel
 from . import query
 from .accounting import FEE, K, OBJ, SUM_SQL, accounts_sql, market
@@ -25,13 +25,13 @@ def dot(weights, names=None, fmt="{n}"):
 
 @query("X1", f"""WITH {FW} SELECT date, code, {rd("CASE WHEN coalesce(mom4, rev1, vol8) IS NOT NULL THEN coalesce(mom4 * 0.5::DOUBLE, 0) + coalesce(rev1 * -0.3::DOUBLE, 0) + coalesce(vol8 * 0.2::DOUBLE, 0) END")} AS alpha FROM fw""")
 def x1(spark, sf):
-    df, _ = wide(spark, sf)
+    df = wide(spark, sf)
     return out(df, *KEYS, alpha=cp.weighted_alpha({"mom4": 0.5, "rev1": -0.3, "vol8": 0.2}))
 
 
 @query("X2", f"WITH {Z} SELECT date, code, {rd(dot(WEIGHTS))} AS alpha FROM zw")
 def x2(spark, sf):
-    df, _ = zscores(spark, sf)
+    df = zscores(spark, sf)
     return out(df, *KEYS, alpha=cp.weighted_sum(WEIGHTS))
 
 
@@ -43,7 +43,7 @@ ZE = ", ".join(f"coalesce((k_{n} - avg(k_{n}) OVER d) / greatest(stddev_pop(k_{n
  SELECT date, code, {rd(dot(WEIGHTS, fmt='z_{n}'))} AS score, {rd('z_mom4 * 0.5')} AS mom4_part, k_mom4 IS NULL AS mom4_missing, 3::INT AS parts,
  eligible AND k_mom4 IS NULL AND k_rev1 IS NULL AND k_rng IS NULL AS violation FROM z""")
 def x3(spark, sf):
-    df, _ = wide(spark, sf)
+    df = wide(spark, sf)
     got = cp.frozen_score(df, WEIGHTS)
     first = F.col("contributions")[0]
     return out(got.withColumns({"mom4_missing": first["missing"], "parts": F.size("contributions")}),
@@ -57,7 +57,7 @@ ZN = "(({n} - avg({n}) OVER d) / nullif(stddev_pop({n}) OVER d, 0))"
  w AS (SELECT z.*, up_ratio AS wa, 1 - up_ratio AS wb, 0.5::DOUBLE AS wc FROM z JOIN days USING (date))
  SELECT date, code, {rd('CASE WHEN coalesce(mom4, rev1, rng) IS NOT NULL THEN (coalesce(mom4 * wa, 0) + coalesce(rev1 * wb, 0) + coalesce(rng * wc, 0)) / nullif((CASE WHEN mom4 IS NOT NULL THEN wa ELSE 0 END) + (CASE WHEN rev1 IS NOT NULL THEN wb ELSE 0 END) + (CASE WHEN rng IS NOT NULL THEN wc ELSE 0 END), 0) END')} AS alpha FROM w""")
 def x4(spark, sf):
-    df, _ = wide(spark, sf)
+    df = wide(spark, sf)
     days = ft.market_features(weekly_panel(spark, sf).df)
     weights = days.select("date", F.explode(F.array(
         F.struct(F.lit("mom4").alias("factor_id"), F.col("up_ratio").alias("weight")),
@@ -78,25 +78,29 @@ def x4(spark, sf):
  k AS (SELECT *, reason = '' AS eligible, CASE WHEN reason = '' THEN row_number() OVER (PARTITION BY reason = '' ORDER BY score DESC, code) END AS rank FROM j)
  SELECT code, {', '.join(f"{rd(f'contribution_{n}')} AS contribution_{n}" for n in WEIGHTS)}, {rd('score')} AS score, {rd('coverage')} AS coverage, eligible, rank, coalesce(rank <= 10, false) AS selected, CASE WHEN rank > 10 THEN 'outside_top_n' ELSE reason END AS reason FROM k""")
 def x5(spark, sf):
-    df, _ = wide(spark, sf)
     pool = read(spark, sf, "supplier").select(zero_pad((F.col("s_suppkey") * 2).cast("string")).alias("code"))
-    got = cp.asof_selection(df, pool, WEIGHTS, F.lit("2001-06-07").cast("timestamp"), 10, 0.5, pool.count())
+    got = cp.asof_scores(weekly_panel(spark, sf), pool, fs.scoring_factors(), WEIGHTS, "2001-06-07", 10, 0.5)
     return out(got.withColumn("rank", F.col("rank").cast("bigint")), "code", "eligible", "rank", "selected", "reason", score="score", coverage="coverage",
                **{f"contribution_{n}": f"contribution_{n}" for n in WEIGHTS})
 
 
 @query("X6", f"""WITH {FL}, dl AS (SELECT *, close - lag(close, 4) OVER {WC} AS d4, {full_sql(f'avg(close) OVER {wn(4)}', 'close', 4)} AS m4 FROM pw),
  rk AS (SELECT *, {rank_sql('d4')} AS rank_delta, (m4 - avg(m4) OVER (PARTITION BY date)) / nullif(stddev_pop(m4) OVER (PARTITION BY date), 0) AS z_mean,
-  d4 - avg(d4) OVER (PARTITION BY date, sector) AS sector_gap FROM dl),
+  d4 - avg(d4) OVER (PARTITION BY date, sector) AS sector_gap, avg(d4) OVER (PARTITION BY date, sector) AS sector_mean FROM dl),
  r3 AS (SELECT *, {full_sql(f'avg(rank_delta) OVER {wn(3)}', 'rank_delta', 3)} AS mr FROM rk),
  xs AS (SELECT *, (mr - avg(mr) OVER (PARTITION BY date)) / nullif(stddev_pop(mr) OVER (PARTITION BY date), 0) AS z_mean_rank FROM r3),
- al AS (SELECT factor_id, value FROM fl UNION ALL SELECT unnest(['rank_delta', 'z_mean', 'sector_gap', 'z_mean_rank']), unnest([rank_delta, z_mean, sector_gap, z_mean_rank]) FROM xs)
+ al AS (SELECT factor_id, value FROM fl UNION ALL SELECT unnest(['rank_delta', 'z_mean', 'sector_gap', 'z_mean_rank', 'label', 'damped', 'unchanged', 'sector_filled']),
+  unnest([rank_delta, z_mean, sector_gap, z_mean_rank, volume, close, 1, last_value(coalesce(d4, sector_mean) IGNORE NULLS) OVER {wn(4)}]) FROM xs)
  SELECT factor_id, 'ok' AS status, count(*) AS row_count, count(value) AS valid_count, {rd('count(value)::DOUBLE / count(*)')} AS coverage FROM al GROUP BY factor_id
- UNION ALL SELECT 'unknown_field', 'error', 0, 0, NULL""")
+ UNION ALL SELECT unnest(['unknown_field', 'unknown_operator', 'too_few_inputs', 'wrong_argument']), 'error', 0, 0, NULL""")
 def x6(spark, sf):
     from ..sources.sinks import materialize_factors
-    panel = weekly_panel(spark, sf).df
-    status = materialize_factors(panel, {**fs.demo_factors(), **fs.demo_cross_sections(), "unknown_field": ts.ts_mean("no_such_field", 4)})
+    stored = weekly_panel(spark, sf)
+    panel = stored.df.withColumn("category_number", F.ascii("category").cast("double"))
+    status = materialize_factors(panel, {**fs.demo_factors(), **fs.demo_cross_sections(), **fs.more_cross_sections(),
+                                         "unknown_field": ts.ts_mean("no_such_field", 4), "unknown_operator": fs.Step("no_such_operator", ("close",)),
+                                         "too_few_inputs": fs.Step("ts_mean", ("close",)),
+                                         "wrong_argument": fs.Step("densify", ("close",), how={"levels": 3})}, stored.buckets)
     return out(status, "factor_id", "status", "row_count", "valid_count", coverage="coverage")
 
 
@@ -105,7 +109,8 @@ def x6(spark, sf):
  SELECT date, code, {rd('rank_delta')} AS rank_delta, {rd('sector_gap')} AS sector_gap, {rd('(mr - avg(mr) OVER (PARTITION BY date)) / nullif(stddev_pop(mr) OVER (PARTITION BY date), 0)', 4)} AS z_mean_rank FROM r3""")
 def x16(spark, sf):
     """Values of nested cross-sections (composition across X6's operators)."""
-    got = fs.composed(weekly_panel(spark, sf).df, fs.demo_cross_sections())
+    stored = weekly_panel(spark, sf)
+    got = fs.composed(stored.df, fs.demo_cross_sections(), buckets=stored.buckets)
     return got.select(*KEYS, r("rank_delta").alias("rank_delta"), r("sector_gap").alias("sector_gap"), r("z_mean_rank", 4).alias("z_mean_rank"))
 
 
@@ -159,8 +164,8 @@ def state_candidates(spark, sf):
 
 
 def rivals(spark, sf):
-    df, _ = wide(spark, sf)
-    return cp.conflicts(ev.pooled_spearman(df, SPEAR_NAMES, weekly_panel(spark, sf).rows), "spearman", 0.2)
+    df = wide(spark, sf)
+    return cp.conflicts(pr.pooled_spearman(df, SPEAR_NAMES), "spearman", 0.2)
 
 
 def x8_picks(spark, sf):
@@ -188,17 +193,29 @@ MUTUAL = f"""zl AS (SELECT date, code, unnest([{', '.join(f"'{n}'" for n in NAME
 def x10(spark, sf):
     daily = performance(spark, sf)
     cands = daily.groupBy("factor_id").agg(F.avg("ic").alias("ic")).withColumn("pool_id", F.lit("pool"))
-    df, _ = zscores(spark, sf)
-    pairs = cp.conflicts(ev.mutual_ic(df, NAMES), "mutual_ic", 0.02, signed=True)
+    df = zscores(spark, sf)
+    pairs = cp.conflicts(pr.mutual_ic(df, NAMES), "mutual_ic", 0.02, signed=True)
     return out(cp.greedy_pick(cands, pairs, ("pool_id",), "ic", 100), "factor_id", "selected", "reason", score="score")
 
 
-@query("X11")
+def descent_sql(names, alpha: float, sweeps: int) -> str:
+    """Coordinate descent in SQL: a row for each step, which changes one weight."""
+    k = len(names)
+    sums = ", ".join([f"sum(w * {a} * {b}) / sum(w) AS m{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names)]
+                     + [f"sum(w * {a} * yy) / sum(w) AS c{i}" for i, a in enumerate(names)])
+    rest = {i: f"(c{i} - ({' + '.join(f'm{i}_{j} * b{j}' for j in range(k) if j != i)}))" for i in range(k)}
+    moved = ", ".join(f"CASE WHEN step % {k} = {i} THEN sign({r}) * greatest(abs({r}) - {alpha / 2}::DOUBLE, 0) / m{i}_{i} ELSE b{i} END"
+                      for i, r in rest.items())
+    return f"""WITH RECURSIVE {Z}, y AS (SELECT *, coalesce((target - avg(target) OVER d) / nullif(stddev_pop(target) OVER d, 0), 0) AS yy, 1.0::DOUBLE / count(*) OVER d AS w
+  FROM zw WHERE target IS NOT NULL WINDOW d AS (PARTITION BY date)), m AS MATERIALIZED (SELECT {sums} FROM y),
+ it AS (SELECT 0 AS step, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(k))} UNION ALL SELECT step + 1, {moved} FROM it, m WHERE step < {k * sweeps})
+ SELECT unnest([{', '.join(f"'{n}'" for n in names)}]) AS factor_id, unnest([{', '.join(rd(f'b{i}') for i in range(k))}]) AS weight FROM it WHERE step = {k * sweeps}"""
+
+
+@query("X11", descent_sql(NAMES, 0.001, 60))
 def x11(spark, sf):
-    df, _ = zscores(spark, sf)
-    model = cp.l1_weights(df, NAMES, "target", 0.001)
-    # One number per factor comes back from the fit.
-    return spark.createDataFrame([(n, float(w)) for n, w in zip(NAMES, model.coefficients)], "factor_id string, weight double")
+    weights = cp.l1_weights(zscores(spark, sf), NAMES, "target", 0.001)
+    return out(spark.createDataFrame([(n, float(w)) for n, w in zip(NAMES, weights)], "factor_id string, weight double"), "factor_id", weight="weight")
 
 
 def composite_sql(strategies):
@@ -213,8 +230,8 @@ def composite_sql(strategies):
 
 
 def scored(spark, sf, strategies):
-    df, size = zscores(spark, sf)
-    return cp.strategy_scores(df, strategies, keep=(*KEYS, "target")), size
+    df = zscores(spark, sf)
+    return cp.strategy_scores(df, strategies, keep=(*KEYS, "target"))
 
 
 POOL, TRIALS = ("mom4", "rev1"), ("vol8", "liq4", "rng")
@@ -224,8 +241,8 @@ MARGINAL = cp.marginal_strategies(POOL, TRIALS)
 @query("X12", f"""WITH {Z}, {composite_sql(MARGINAL)} SELECT c.strategy_id AS factor_id, {', '.join(f'{rd(f"c.{m} - b.{m}")} AS {m}' for m in ('ic', 'rank_ic', 'icir', 'coverage'))},
  c.ic - b.ic >= 0 AND c.rank_ic - b.rank_ic >= 0.001 AS passed FROM cmx c, cmx b WHERE b.strategy_id = 'base' AND c.strategy_id <> 'base'""")
 def x12(spark, sf):
-    rows, size = scored(spark, sf, MARGINAL)
-    m = ev.composite_metrics(rows, "score", "target", ("strategy_id",), size)
+    rows = scored(spark, sf, MARGINAL)
+    m = ev.composite_metrics(rows, "score", "target", ("strategy_id",))
     whole = Window.partitionBy()      # one row per trial
     names = ("ic", "rank_ic", "icir", "coverage")
     base = {n: F.max(F.when(F.col("strategy_id") == "base", F.col(n))).over(whole) for n in names}
@@ -240,8 +257,8 @@ ACCOUNTS = accounts_sql().replace("FROM sg JOIN", "FROM sg JOIN")
 @query("X13", f"""WITH {Z}, {composite_sql(SWEEP)}, sg AS (SELECT strategy_id, date, code, score FROM ss), {ACCOUNTS}, {SUM_SQL}
  SELECT su.strategy_id, {rd('ic')} AS ic, {rd('rank_ic')} AS rank_ic, {rd('icir')} AS icir, {rd('total_return')} AS total_return, {rd('su.sharpe')} AS sharpe FROM su JOIN cmx USING (strategy_id)""")
 def x13(spark, sf):
-    rows, size = scored(spark, sf, SWEEP)
-    m = ev.composite_metrics(rows, "score", "target", ("strategy_id",), size).drop("coverage")
+    rows = scored(spark, sf, SWEEP)
+    m = ev.composite_metrics(rows, "score", "target", ("strategy_id",)).drop("coverage")
     perf = pf.summary(pf.account(rows.select("strategy_id", *KEYS, "score"), market(spark, sf), K, FEE))
     return out(m.join(perf, "strategy_id"), "strategy_id", **{n: n for n in ("ic", "rank_ic", "icir", "total_return", "sharpe")})
 
@@ -252,7 +269,7 @@ GRID = {f"w{i}{j}": {"mom4": i / 4, "rev1": j / 4, "rng": (4 - i - j) / 4} for i
 @query("X14", f"""WITH {Z}, {composite_sql(GRID)}, sg AS (SELECT strategy_id, date, code, score FROM ss), {ACCOUNTS}, ob AS (SELECT strategy_id, {OBJ} AS objective FROM ac GROUP BY strategy_id)
  SELECT strategy_id, {rd('objective')} AS objective, row_number() OVER (ORDER BY {rd('objective')} DESC, strategy_id) = 1 AS best FROM ob""")
 def x14(spark, sf):
-    rows, _ = scored(spark, sf, GRID)
+    rows = scored(spark, sf, GRID)
     daily = pf.account(rows.select("strategy_id", *KEYS, "score"), market(spark, sf), K, FEE)
     ob = daily.groupBy("strategy_id").agg(pf.growth_objective("net_return").alias("objective"))
     place = F.row_number().over(Window.orderBy(r("objective").desc(), "strategy_id"))   # one row per vector; ties on the grid
@@ -261,7 +278,7 @@ def x14(spark, sf):
 
 @query("J13", f"""WITH {Z}, {composite_sql(GRID)} SELECT strategy_id, date, count(*) AS n, {rd('max(score)')} AS hi, {rd('min(score)')} AS lo FROM ss GROUP BY ALL""")
 def j13(spark, sf):
-    rows, _ = scored(spark, sf, GRID)
+    rows = scored(spark, sf, GRID)
     got = rows.groupBy("strategy_id", "date").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("hi"), F.min("score").alias("lo"))
     return out(got, "strategy_id", "date", "n", hi="hi", lo="lo")
 

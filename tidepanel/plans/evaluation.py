@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..functions import features as ft, stats, timeseries as ts
-from ..operators import cross, evaluate as ev, factors as fs, joins
+from ..operators import cross, evaluate as ev, factors as fs, joins, pairs
 from ..sources.panel import weekly_panel
 from . import query
 from .common import KEYS, PW, WC, full_sql, out, rank_sql, rd, wn
@@ -46,43 +46,47 @@ def wide(spark, sf, *more):
     p = weekly_panel(spark, sf)
     df = fs.wide(p.df, {**fs.demo_factors(), "target": ts.forward_return("close", 4)},
                  keep=(*KEYS, "Ifsuspend", "industry", "sector", "close"))
-    return df.withColumn("eligible", F.col("Ifsuspend") == 0), p.max_group
+    return df.withColumn("eligible", F.col("Ifsuspend") == 0)
 
 
 def long(spark, sf):
-    df, size = wide(spark, sf)
-    return ev.unpivot(df, NAMES, keep=(*KEYS, "eligible", "sector", "target")), size
+    df = wide(spark, sf)
+    return ev.unpivot(df, NAMES, keep=(*KEYS, "eligible", "sector", "target"))
 
 
 def performance(spark, sf):
-    values, size = long(spark, sf)
-    return ev.daily_ic(values, max_group=size, horizon=HORIZON)
+    values = long(spark, sf)
+    return ev.daily_ic(values, horizon=HORIZON)
 
 
 @query("V1", f"WITH {DP} SELECT date, factor_id, {rd('ic')} AS ic, {rd('rank_ic')} AS rank_ic, sample_count FROM dp")
 def v1(spark, sf):
-    values, size = long(spark, sf)
-    return out(ev.daily_ic(values, max_group=size), "date", "factor_id", "sample_count", ic="ic", rank_ic="rank_ic")
+    values = long(spark, sf)
+    return out(ev.daily_ic(values), "date", "factor_id", "sample_count", ic="ic", rank_ic="rank_ic")
 
 
 @query("V2", f"WITH {FL}, pr AS (SELECT *, {PAIRS.format(v='value')} FROM fl) SELECT date, factor_id, count(px) AS valid_count, {rd(corr_sql('px', 'py'))} AS correlation FROM pr GROUP BY ALL")
 def v2(spark, sf):
-    return out(ev.ic_only(long(spark, sf)[0]), "date", "factor_id", "valid_count", correlation="correlation")
+    return out(ev.ic_only(long(spark, sf)), "date", "factor_id", "valid_count", correlation="correlation")
 
 
 @query("A11", f"WITH {FL}, pr AS (SELECT *, {PAIRS.format(v='value')} FROM fl) SELECT sector, factor_id, count(px) AS valid_count, {rd(corr_sql('px', 'py'))} AS correlation FROM pr GROUP BY ALL")
 def a11(spark, sf):
-    return out(ev.ic_only(long(spark, sf)[0], by=("sector", "factor_id")), "sector", "factor_id", "valid_count", correlation="correlation")
+    return out(ev.ic_only(long(spark, sf), by=("sector", "factor_id")), "sector", "factor_id", "valid_count", correlation="correlation")
 
 
-@query("J1", f"""WITH {FL} SELECT date, factor_id, count(*) AS n, count(target) AS labelled, {rd('avg(value)', 3)} AS mean_value FROM fl WHERE target IS NOT NULL GROUP BY ALL""")
+@query("J1", f"""WITH {FL} SELECT date, factor_id, count(*) AS n, count(target) AS labelled, count(*) FILTER (copies > 1) AS repeated, {rd('avg(value)', 3)} AS mean_value
+ FROM fl JOIN (SELECT date, code, count(*) AS copies FROM (SELECT date, code FROM fw WHERE target IS NOT NULL UNION ALL SELECT date, code FROM fw WHERE target > 2) GROUP BY ALL) USING (date, code) GROUP BY ALL""")
 def j1(spark, sf):
-    df, _ = wide(spark, sf)
+    df = wide(spark, sf)
     values = ev.unpivot(df, NAMES)
     labels = df.filter(F.col("target").isNotNull()).select(*KEYS, "target")
-    joined = values.join(labels, list(KEYS))
-    got = joined.groupBy("date", "factor_id").agg(F.count(F.lit(1)).alias("n"), F.count("target").alias("labelled"), F.avg("value").alias("mean_value"))
-    return out(got, "date", "factor_id", "n", "labelled", digits=3, mean_value="mean_value")
+    # A delivery that repeats the labels of large moves: their rows are kept once and reported.
+    labels = labels.unionByName(labels.filter(F.col("target") > 2))
+    joined = joins.many_to_one(values, labels, KEYS, repeated="again")
+    got = joined.groupBy("date", "factor_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("target").alias("labelled"), F.count_if("again").alias("repeated"), F.avg("value").alias("mean_value"))
+    return out(got, "date", "factor_id", "n", "labelled", "repeated", digits=3, mean_value="mean_value")
 
 
 @query("V3", f"WITH {DP} SELECT date, factor_id, {rd('slope')} AS slope, sample_count, label_available_date FROM dp")
@@ -101,10 +105,10 @@ METRICS = ("ic", "rank_ic", "icir", "rank_icir", "coverage")
 
 @query("V4", f"WITH {FW}, {COMPOSITE} SELECT {COMPOSITE_OUT} FROM sd")
 def v4(spark, sf):
-    df, size = wide(spark, sf)
+    df = wide(spark, sf)
     scored = df.filter(F.col("target").isNotNull()).select(
         *KEYS, "target", F.when(F.col("eligible"), F.col("mom4")).alias("alpha"))
-    return out(ev.composite_metrics(scored, max_group=size), "valid_days", **{m: m for m in METRICS})
+    return out(ev.composite_metrics(scored), "valid_days", **{m: m for m in METRICS})
 
 
 SPLITS = """dn AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pw)),
@@ -118,10 +122,10 @@ SPLITS = """dn AS (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*)
  m AS (SELECT factor_id, split, avg(ic) AS ic, avg(rank_ic) AS rank_ic, avg(ic) / greatest(stddev_pop(ic), 1e-6) AS icir FROM d GROUP BY ALL)
  SELECT factor_id, split, {rd('ic')} AS ic, {rd('coalesce(0.4 * abs(ic) + 0.4 * abs(rank_ic) + 0.2 * tanh(abs(icir)), 0)')} AS score FROM m""")
 def v5(spark, sf):
-    values, size = long(spark, sf)
+    values = long(spark, sf)
     splits = ft.time_splits(weekly_panel(spark, sf).df)
     tagged = values.join(F.broadcast(splits), "date")
-    got = ev.factor_score(ev.composite_metrics(tagged, "value", "target", ("factor_id", "split"), size))
+    got = ev.factor_score(ev.composite_metrics(tagged, "value", "target", ("factor_id", "split")))
     return out(got, "factor_id", "split", ic="ic", score="score")
 
 
@@ -178,7 +182,7 @@ def a12(spark, sf):
 
 @query("V7", f"WITH {FL} SELECT factor_id, count(*) AS row_count, count(value) AS valid_count, {rd('count(value)::DOUBLE / count(*)')} AS coverage FROM fl GROUP BY factor_id")
 def v7(spark, sf):
-    return out(fs.factor_status(long(spark, sf)[0]), "factor_id", "row_count", "valid_count", coverage="coverage")
+    return out(fs.factor_status(long(spark, sf)), "factor_id", "row_count", "valid_count", coverage="coverage")
 
 
 def _behavior_sql(name):
@@ -232,7 +236,7 @@ def t34(spark, sf):
  g AS (SELECT factor_id, avg(CASE WHEN coverage < 0.9 THEN 1.0::DOUBLE ELSE 0.0 END) AS low, avg(CASE WHEN degenerate THEN 1.0::DOUBLE ELSE 0.0 END) AS bad FROM d GROUP BY factor_id)
  SELECT factor_id, {rd('low')} AS low_coverage_fraction, {rd('bad')} AS degenerate_fraction, low <= 0.02 AND bad <= 0.02 AS passed FROM g""")
 def v9(spark, sf):
-    values, _ = long(spark, sf)
+    values = long(spark, sf)
     got = ev.quality_gate(ev.day_quality(values, "value", by=("factor_id", "date")), 0.9, 0.02, 0.02, by=("factor_id",))
     return out(got, "factor_id", "passed", low_coverage_fraction="low_coverage_fraction", degenerate_fraction="degenerate_fraction")
 
@@ -243,16 +247,16 @@ Z = f"{FW}, zw AS (SELECT date, code, target, eligible, " + ", ".join(
 
 def zscores(spark, sf, names=NAMES):
     """Composition z-scores of the factor set, one statistics pass for all factors."""
-    df, size = wide(spark, sf)
-    return cross.zscores_filled(df, names), size
+    df = wide(spark, sf)
+    return cross.zscores_filled(df, names)
 
 
 @query("V10", f"""WITH {Z}, l AS (SELECT date, code, unnest([{', '.join(f"'{n}'" for n in NAMES)}]) AS f, unnest([{', '.join(NAMES)}]) AS z FROM zw),
  d AS (SELECT a.f AS f1, b.f AS f2, a.date, {floored_sql('a.z', 'b.z')} AS ic FROM l a JOIN l b ON a.date = b.date AND a.code = b.code AND a.f <> b.f GROUP BY ALL)
  SELECT f1, f2, {rd('avg(ic)')} AS mutual_ic, count(ic) AS usable_dates FROM d WHERE list_position([{', '.join(f"'{n}'" for n in NAMES)}], f1) < list_position([{', '.join(f"'{n}'" for n in NAMES)}], f2) GROUP BY f1, f2""")
 def v10(spark, sf):
-    df, _ = zscores(spark, sf)
-    return out(ev.mutual_ic(df, NAMES), "f1", "f2", "usable_dates", mutual_ic="mutual_ic")
+    df = zscores(spark, sf)
+    return out(pairs.mutual_ic(df, NAMES), "f1", "f2", "usable_dates", mutual_ic="mutual_ic")
 
 
 SPEAR_NAMES = NAMES
@@ -263,8 +267,8 @@ SPEAR = f"""prs AS ({' UNION ALL '.join(f"SELECT '{a}' AS f1, '{b}' AS f2, {a} A
 
 @query("V11", f"WITH {FW}, {SPEAR} SELECT f1, f2, {rd('spearman')} AS spearman, pairs FROM spear")
 def v11(spark, sf):
-    df, _ = wide(spark, sf)
-    return out(ev.pooled_spearman(df, SPEAR_NAMES, weekly_panel(spark, sf).rows), "f1", "f2", "pairs", spearman="spearman")
+    df = wide(spark, sf)
+    return out(pairs.pooled_spearman(df, SPEAR_NAMES), "f1", "f2", "pairs", spearman="spearman")
 
 
 @query("V12", f"""{LABEL}, s AS (SELECT date, code, (high - low) / open AS x, label FROM lab WHERE Ifsuspend = 0),
@@ -284,13 +288,26 @@ COARSE = {n: f"floor({n} * 1000) / 1000" for n in NAMES} | {"mom4": "CASE WHEN I
 
 
 @query("V13", f"""WITH {FW}, b AS (SELECT date, code, {', '.join(f'{e} AS {n}' for n, e in COARSE.items())} FROM fw),
- j AS (SELECT {', '.join(f'a.{n} AS x_{n}, b.{n} AS y_{n}' for n in NAMES)} FROM fw a JOIN b USING (date, code))
- {' UNION ALL '.join(f"SELECT '{n}' AS field, 0::BIGINT AS unmatched, count(*) FILTER ((x_{n} IS NULL) <> (y_{n} IS NULL)) AS missing_differs, {rd(f'coalesce(max(abs(x_{n} - y_{n})), 0)')} AS max_error FROM j" for n in NAMES)}""")
+ b2 AS (SELECT * FROM b WHERE code NOT LIKE '%7'), j AS (SELECT a.code IS NULL OR b2.code IS NULL AS alone, {', '.join(f'a.{n} AS x_{n}, b2.{n} AS y_{n}' for n in NAMES)} FROM fw a FULL JOIN b2 ON a.date = b2.date AND a.code = b2.code)
+ {' UNION ALL '.join(f"SELECT '{n}' AS field, count(*) FILTER (alone) AS unmatched, count(*) FILTER (NOT alone AND (x_{n} IS NULL) <> (y_{n} IS NULL)) AS missing_differs, {rd(f'coalesce(max(abs(x_{n} - y_{n})), 0)')} AS max_error FROM j" for n in NAMES)}""")
 def v13(spark, sf):
-    df, _ = wide(spark, sf)
+    df = wide(spark, sf)
     coarse = df.select(*KEYS, *[(F.when(F.col("eligible"), F.floor(F.col(n) * 1000) / 1000) if n == "mom4"
                                  else F.floor(F.col(n) * 1000) / 1000).alias(n) for n in NAMES])
-    return out(ev.parity(df, coarse, KEYS, NAMES), "field", "unmatched", "missing_differs", max_error="max_error")
+    part = coarse.filter(~F.col("code").endswith("7"))
+    return out(ev.parity(df, part, KEYS, NAMES), "field", "unmatched", "missing_differs", max_error="max_error")
+
+
+@query("V13_ranking", f"""WITH {FW}, b AS (SELECT date, code, CASE WHEN code NOT LIKE '%7' THEN floor(rng * 100) / 100 END AS rng FROM fw),
+ x AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY rng DESC, code) AS p FROM fw WHERE rng IS NOT NULL),
+ y AS (SELECT date, code, row_number() OVER (PARTITION BY date ORDER BY rng DESC, code) AS p FROM b WHERE rng IS NOT NULL)
+ SELECT coalesce(x.date, y.date) AS date, count(*) AS codes, count(*) FILTER (x.p IS DISTINCT FROM y.p) AS moved, count(*) FILTER (x.p IS DISTINCT FROM y.p) = 0 AS same_ranking
+ FROM x FULL JOIN y ON x.date = y.date AND x.code = y.code GROUP BY 1""")
+def v13_ranking(spark, sf):
+    """Per date, whether a score that was cut to two digits and lost some codes still ranks like the first one."""
+    df = wide(spark, sf).select(*KEYS, "rng")
+    other = df.withColumn("rng", F.when(~F.col("code").endswith("7"), F.floor(F.col("rng") * 100) / 100))
+    return ev.ranking_parity(df, other, "rng")
 
 
 def _grid_sql():

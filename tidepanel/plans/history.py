@@ -222,7 +222,7 @@ def t31(spark, sf):
 
 @query("T32", f"{P} SELECT date, code, close FROM pw WHERE date IN (SELECT DISTINCT date FROM pw WHERE date <= '2001-06-04' ORDER BY date DESC LIMIT 21)")
 def t32(spark, sf):
-    return joins.warm_up(panel(spark, sf), 20, F.lit("2001-06-04").cast("timestamp")).select(*KEYS, "close")
+    return weekly_panel(spark, sf).last_sessions("2001-06-04", 21).select(*KEYS, "close")
 
 
 @query("E1", f"""{TIED}, m AS (SELECT *, CASE WHEN row_number() OVER {WC} = 1 OR q IS DISTINCT FROM lag(q) OVER {WC} THEN 1 ELSE 0 END AS moved FROM g),

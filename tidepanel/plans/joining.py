@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import timeseries as ts
-from ..functions.clean import first_text
+from ..functions.clean import first_text, ratio, zero_pad
 from ..operators import joins, screens
 from ..sources.panel import daily_panel, read, weekly_panel
 from . import query
@@ -108,16 +108,18 @@ def p8(spark, sf):
     return df.filter(keep).select(*KEYS, "amount")
 
 
-@query("P9", f"""{PADD}, s AS (SELECT *, CASE WHEN volume > 1 THEN Ifsuspend END AS known, CASE WHEN close > 2 THEN close END AS f1 FROM padded)
+@query("P9", f"""{PADD}, s AS (SELECT *, CASE WHEN volume > 1 THEN Ifsuspend END AS known, CASE WHEN close > 2 THEN close END AS f1, CASE WHEN open > 4 THEN open END AS f2,
+  CASE WHEN high > low THEN (close - open) / (high - low) END AS score FROM padded)
  SELECT date, code, CASE WHEN close IS NULL THEN 'missing_as_of_date' WHEN close <= 0 THEN 'invalid_close'
- WHEN known IS NULL THEN 'suspension_status_unknown' WHEN known <> 0 THEN 'suspended' WHEN f1 IS NULL THEN 'all_factors_missing' ELSE '' END AS reason FROM s""")
+ WHEN known IS NULL THEN 'suspension_status_unknown' WHEN known <> 0 THEN 'suspended' WHEN f1 IS NULL AND f2 IS NULL THEN 'all_factors_missing'
+ WHEN f1 IS NULL OR f2 IS NULL THEN 'insufficient_factor_coverage' WHEN score IS NULL THEN 'invalid_score' ELSE '' END AS reason FROM s""")
 def p9(spark, sf):
     df = joins.pad(daily(spark, sf)).withColumns({
-        "known": F.when(F.col("volume") > 1, F.col("Ifsuspend")), "f1": F.when(F.col("close") > 2, F.col("close"))})
-    reason = screens.first_reason([
-        ("missing_as_of_date", F.col("close").isNull()), ("invalid_close", F.col("close") <= 0),
-        ("suspension_status_unknown", F.col("known").isNull()), ("suspended", F.col("known") != 0),
-        ("all_factors_missing", F.col("f1").isNull())])
+        "known": F.when(F.col("volume") > 1, F.col("Ifsuspend")), "f1": F.when(F.col("close") > 2, F.col("close")),
+        "f2": F.when(F.col("open") > 4, F.col("open")), "score": F.when(F.col("high") > F.col("low"), ratio(
+            F.col("close") - F.col("open"), F.col("high") - F.col("low")))})
+    coverage = (F.col("f1").isNotNull().cast("double") + F.col("f2").isNotNull().cast("double")) / 2
+    reason = screens.selection_reason(F.col("close"), F.col("known"), coverage, F.col("score"), 1.0)
     return df.select(*KEYS, reason.alias("reason"))
 
 
@@ -251,7 +253,7 @@ def j6(spark, sf):
 
 @query("J7", f"{P} SELECT date, code, close FROM pw WHERE date = (SELECT max(date) FROM pw WHERE date <= TIMESTAMP '2000-07-08')")
 def j7(spark, sf):
-    return joins.last_available(weekly(spark, sf), day("2000-07-08")).select(*KEYS, "close")
+    return weekly_panel(spark, sf).last_sessions("2000-07-08", 1).select(*KEYS, "close")
 
 
 @query("J8", f"""{PADD} SELECT date, code, last_value(CASE WHEN close > 0 THEN close END IGNORE NULLS) OVER (PARTITION BY code ORDER BY date ROWS UNBOUNDED PRECEDING) AS exec_close,
@@ -307,14 +309,16 @@ def j10(spark, sf):
     return with_catalog(m, cat.drop("own")).select("factor_id", "state_id", "split", "category", "sample_count")
 
 
-@query("J12", f"""{P}, l AS (SELECT date, code, unnest(['close','open','volume']) AS factor_id, unnest([close, open, volume]) AS value FROM pw)
+PAIRED = ("amount", "close", "high", "low", "open", "volume")
+
+
+@query("J12", f"""{P}, l AS (SELECT date, code, unnest([{', '.join(f"'{n}'" for n in PAIRED)}]) AS factor_id, unnest([{', '.join(PAIRED)}]) AS value FROM pw)
  SELECT a.factor_id AS f1, b.factor_id AS f2, count(*) AS pairs, {rd('corr(a.value, b.value)')} AS corr FROM l a JOIN l b
  ON a.date = b.date AND a.code = b.code AND a.factor_id < b.factor_id GROUP BY 1, 2""")
 def j12(spark, sf):
-    from ..operators.evaluate import pair_daily
+    from ..operators.pairs import correlations
     df = weekly(spark, sf).withColumn("whole", F.lit(1))
-    got = pair_daily(df, ["close", "open", "volume"], by=("whole",))
-    return out(got, "f1", "f2", "pairs", corr="ic")
+    return out(correlations(df, PAIRED, ("whole",)), "f1", "f2", "pairs", corr="ic")
 
 
 @query("J14", f"""WITH {CAND}, c AS (SELECT factor_id, k, 'e' || p_size AS expression, ic FROM candp),
@@ -367,7 +371,7 @@ def k2(spark, sf):
 def k3(spark, sf):
     df = weekly(spark, sf).withColumns({"eligible": F.col("Ifsuspend") == 0, "score": F.round(F.col("close") / F.col("open"), 2)})
     df = df.withColumn("reason", F.when(F.col("eligible"), "").otherwise("suspended"))
-    got = screens.ranking(df, "score", 10, by=("date",), max_group=weekly_panel(spark, sf).max_group)
+    got = screens.ranking(df, "score", 10, by=("date",))
     return got.select(*KEYS, "eligible", F.col("rank").cast("bigint").alias("rank"), "selected", "reason")
 
 
@@ -424,8 +428,8 @@ def u3(spark, sf):
     return universe_check(df.filter("volume > 3"), df.filter("if_up = 1 AND close > 5"), required=("close", "turnover"))
 
 
-@query("U4", f"""{P}, a AS (SELECT DISTINCT code FROM pw WHERE date >= TIMESTAMP '2001-01-01'), b AS (SELECT DISTINCT code FROM pw WHERE date >= TIMESTAMP '2001-01-01' AND volume > 140)
- SELECT code FROM a EXCEPT SELECT code FROM b""")
+@query("U4", f"{P} SELECT lpad((s_suppkey * 2)::VARCHAR, 6, '0') AS code FROM supplier EXCEPT SELECT code FROM pw")
 def u4(spark, sf):
-    df = weekly(spark, sf).filter(F.col("date") >= day("2001-01-01"))
-    return df.select("code").subtract(df.filter(F.col("volume") > 140).select("code"))
+    # Pool codes that the store has no row of.
+    pool = read(spark, sf, "supplier").select(zero_pad((F.col("s_suppkey") * 2).cast("string")).alias("code"))
+    return pool.subtract(weekly(spark, sf).select("code"))

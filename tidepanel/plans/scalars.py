@@ -167,21 +167,34 @@ def m16(spark, sf):
     return catalog(spark, sf).withColumn("canonical", text.normalize_expression("expression"))
 
 
-def _category_sql(x: str) -> str:
+def _fam_sql(x: str) -> str:
     flags = ", ".join(f"CASE WHEN regexp_matches({x}, '{text.word_pattern(names)}') THEN '{family}' END"
                       for family, names in text.FIELD_FAMILIES.items())
-    fam = f"list_filter([{flags}], lambda e: e IS NOT NULL)"
+    return f"list_filter([{flags}], lambda e: e IS NOT NULL)"
+
+
+def _families_sql(x: str) -> str:
+    fam, calls = _fam_sql(x), "regexp_matches({x}, '{p}')"
+    trend = calls.format(x=x, p=text.call_pattern(text.TREND_OPERATORS))
+    moves = calls.format(x=x, p=text.call_pattern(text.VOLATILITY_OPERATORS))
+    return (f"array_to_string(CASE WHEN {trend} AND NOT {moves} AND NOT list_contains({fam}, 'trend') "
+            f"THEN list_append({fam}, 'trend') ELSE {fam} END, ',')")
+
+
+def _category_sql(x: str) -> str:
+    fam = _fam_sql(x)
     return f"""CASE WHEN regexp_matches({x}, '{text.call_pattern(text.VOLATILITY_OPERATORS)}') THEN 'volatility'
  WHEN regexp_matches({x}, '{text.call_pattern(text.TREND_OPERATORS)}') AND NOT list_contains({fam}, 'trend') THEN 'trend'
  WHEN len({fam}) = 0 THEN 'other' WHEN len({fam}) = 1 THEN {fam}[1] ELSE 'mixed' END"""
 
 
-@query("M17", f"""WITH {CATALOG} SELECT k, expression, {_category_sql('expression')} AS category,
+@query("M17", f"""WITH {CATALOG} SELECT k, expression, {_category_sql('expression')} AS category, {_families_sql('expression')} AS families,
  array_to_string(list_sort(list_distinct(regexp_extract_all(expression, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1))), ',') AS operators
  FROM cat""")
 def m17(spark, sf):
     return catalog(spark, sf).select(
         "k", "expression", text.infer_category("expression").alias("category"),
+        F.array_join(text.all_families("expression"), ",").alias("families"),
         F.array_join(text.operators_used("expression"), ",").alias("operators"))
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import registry as reg, timeseries as ts
+from ..functions import registry as reg, text, timeseries as ts
 from ..operators import factors as fs, joins, screens
 from ..session import run_dir
 from ..sources import ingest, sinks
-from ..sources.panel import daily_panel, read, weekly_panel
+from ..sources.panel import daily_panel, order_number, read, weekly_panel
 from . import query
 from .accounting import accounts, AC
 from .common import KEYS, PD, PW, WC, full_sql, out, rd, wn
 from .evaluation import FL, long
 from .history import SEG_SQL, segments
 from .joining import CAND, PADD, candidates, day, pool_stats
+from .scalars import CATALOG, _normalized_sql, catalog
 
 P, D = f"WITH {PW}", f"WITH {PD}"
 
@@ -85,7 +86,9 @@ def s6(spark, sf):
 @query("S7", """SELECT l_orderkey, l_linenumber, arg_max(l_quantity, row(l_shipdate, l_partkey, l_suppkey, l_extendedprice)) AS l_quantity,
  arg_max(l_extendedprice, row(l_shipdate, l_partkey, l_suppkey, l_extendedprice)) AS l_extendedprice FROM lineitem GROUP BY ALL""")
 def s7(spark, sf):
-    item = read(spark, sf, "lineitem").withColumn("seq", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"))
+    item = read(spark, sf, "lineitem").withColumn("seq", order_number(
+        (F.datediff("l_shipdate", F.lit("1900-01-01")), 6), (F.col("l_partkey"), 11), (F.col("l_suppkey"), 11),
+        (F.round(F.col("l_extendedprice") * 100).cast("bigint"), 10)))
     return screens.keep_last(item.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "seq"),
                              ["l_orderkey", "l_linenumber"], "seq").drop("seq")
 
@@ -96,7 +99,7 @@ def s7(spark, sf):
  SELECT count(*) AS row_count, min(date) AS first_date, max(date) AS last_date, count(DISTINCT code) AS codes, 3::INT AS column_count FROM x""")
 def s8(spark, sf):
     pool = screens.top_pool(pool_stats(spark, sf), 30).select("code")
-    rows = weekly_panel(spark, sf).df.filter(F.col("date") >= day("1997-01-01")).join(F.broadcast(pool), "code", "left_semi")
+    rows = weekly_panel(spark, sf).between("1997-01-01").join(F.broadcast(pool), "code", "left_semi")
     return sinks.export_panel(rows.select(*KEYS, "close"))
 
 
@@ -116,7 +119,7 @@ def s10(spark, sf):
 
 @query("S11", f"WITH {FL} SELECT factor_id, count(*) AS row_count, count(value) AS valid_count, {rd('count(value)::DOUBLE / count(*)')} AS coverage FROM fl GROUP BY factor_id")
 def s11(spark, sf):
-    values, _ = long(spark, sf)
+    values = long(spark, sf)
     path = sinks.write_factors(values.select(*KEYS, "factor_id", "value"))
     return out(fs.factor_status(spark.read.parquet(path)), "factor_id", "row_count", "valid_count", coverage="coverage")
 
@@ -153,16 +156,30 @@ def s14(spark, sf):
     return ingest.audit_import(raw, universe).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S15", f"""WITH {FL}, {CAND} SELECT 'market' AS table_name, count(*) AS row_count FROM pw UNION ALL SELECT 'universe', count(DISTINCT code) FROM pw UNION ALL SELECT 'factor_catalog', count(*) FROM candp
- UNION ALL SELECT 'factor_metrics', count(*) FROM candp UNION ALL SELECT 'factor_values', count(*) FROM fl""")
+def runs(spark, sf):
+    """Summaries of two runs with other columns, in folders of their own."""
+    path, c = run_dir(spark, "runs"), candidates(spark, sf)
+    c.select("factor_id", "pool_id", F.col("p_size").alias("backtest_sharpe")).write.option("header", True).csv(f"{path}/run_a")
+    c.select("factor_id", F.col("n").alias("sharpe"), F.lit(0).alias("backtest_sharpe"), F.col("p_size").alias("backtest_calmar")).write.option("header", True).csv(f"{path}/run_b")
+    pool = read(spark, sf, "part").agg(F.min("p_brand")).first()[0]
+    return ingest.union_runs(spark, [path], pool)
+
+
+RUNS = """runs AS (SELECT factor_id, 'run_a' AS run_id, p_size::VARCHAR AS sharpe, NULL::VARCHAR AS calmar FROM candp WHERE pool_id = (SELECT min(p_brand) FROM part)
+ UNION ALL SELECT factor_id, 'run_b', n::VARCHAR, p_size::VARCHAR FROM candp)"""
+
+
+@query("S15", f"""WITH {FL}, {CAND}, {RUNS} SELECT 'market' AS table_name, count(*) AS row_count FROM pw UNION ALL SELECT 'universe', count(DISTINCT code) FROM pw UNION ALL SELECT 'factor_catalog', count(*) FROM candp
+ UNION ALL SELECT 'factor_metrics', count(*) FROM candp UNION ALL SELECT 'factor_values', count(*) FROM fl
+ UNION ALL SELECT 'backtest_metrics', count(*) FROM runs""")
 def s15(spark, sf):
     panel = weekly_panel(spark, sf).df
     cands = candidates(spark, sf)
-    values, _ = long(spark, sf)
+    values = long(spark, sf)
     return sinks.export_snapshot(spark, {
         "market": panel, "universe": panel.select("code").distinct(), "factor_catalog": cands.select("factor_id", "pool_id"),
         "factor_metrics": cands.select("factor_id", "ic", "rank_ic", "coverage", "score"),
-        "factor_values": values.select(*KEYS, "factor_id", "value")})
+        "factor_values": values.select(*KEYS, "factor_id", "value"), "backtest_metrics": ingest.backtest_metrics(runs(spark, sf))})
 
 
 @query("S16", f"""WITH {CAND} SELECT factor_id, (CASE WHEN k % 2 = 0 THEN n ELSE p_size END)::DOUBLE AS score, CASE WHEN k % 2 = 0 THEN p_size::DOUBLE END AS ic FROM candp""")
@@ -174,14 +191,9 @@ def s16(spark, sf):
     return ingest.nested_metrics(rows, "payload", ("score", "ic")).select("factor_id", "score", "ic")
 
 
-@query("S17", f"""WITH {CAND} SELECT factor_id, 'run_a' AS run_id, p_size::VARCHAR AS sharpe, NULL::VARCHAR AS calmar FROM candp WHERE pool_id = (SELECT min(p_brand) FROM part)
- UNION ALL SELECT factor_id, 'run_b', n::VARCHAR, p_size::VARCHAR FROM candp""")
+@query("S17", f"WITH {CAND}, {RUNS} SELECT factor_id, run_id, sharpe, calmar FROM runs")
 def s17(spark, sf):
-    path, c = run_dir(spark, "runs"), candidates(spark, sf)
-    c.select("factor_id", "pool_id", F.col("p_size").alias("backtest_sharpe")).write.option("header", True).csv(f"{path}/run_a")
-    c.select("factor_id", F.col("n").alias("sharpe"), F.lit(0).alias("backtest_sharpe"), F.col("p_size").alias("backtest_calmar")).write.option("header", True).csv(f"{path}/run_b")
-    pool = read(spark, sf, "part").agg(F.min("p_brand")).first()[0]
-    return ingest.union_runs(spark, [f"{path}/run_a", f"{path}/run_b"], pool).select("factor_id", "run_id", "sharpe", "calmar")
+    return runs(spark, sf).select("factor_id", "run_id", "sharpe", "calmar")
 
 
 # ---- operator registry ---------------------------------------------------------------
@@ -194,18 +206,55 @@ def f1(spark, sf):
     return out(weekly_panel(spark, sf).df, *KEYS, z=op.make("high", "low", "close", 2))
 
 
-LISTED = ("abs", "log", "sqrt", "sign", "reverse", "inverse")
-
-
-@query("F2", "WITH " + PW + " " + " UNION ALL ".join(
-    f"SELECT 'arithmetic' AS category, '{n}' AS name, count({e}) AS defined FROM pw" for n, e in (
-        ("abs", "amount"), ("log", "CASE WHEN close > open THEN 1 END"), ("sqrt", "CASE WHEN close >= open THEN 1 END"), ("sign", "amount"), ("reverse", "amount"), ("inverse", "CASE WHEN close <> open THEN 1 END"))))
+# What the registry must list: names by (category, kind, inputs).
+LISTED = {
+    ("arithmetic", "column", 1): "abs inverse log reverse sign sqrt",
+    ("arithmetic", "column", 2): "add div divide max min mul multiply power signed_power sub subtract",
+    ("arithmetic", "frame", 1): "densify",
+    ("cross_section", "cross", 1): "normalize scale winsorize zscore",
+    ("cross_section", "frame", 1): "quantile rank",
+    ("group", "cross", 2): "group_neutralize group_scale group_zscore",
+    ("group", "cross", 3): "group_fill group_mean",
+    ("group", "frame", 2): "group_rank",
+    ("group", "macro", 3): "group_backfill",
+    ("logic", "column", 1): "is_nan not_",
+    ("logic", "column", 2): "and_ equal greater greater_equal less less_equal not_equal or_",
+    ("logic", "column", 3): "if_else where",
+    ("time_series", "column", 0): "ts_step",
+    ("time_series", "column", 2): (
+        "delay delta last_diff_value ts_arg_max ts_arg_min ts_av_diff ts_backfill ts_count_nans "
+        "ts_decay_linear ts_delay ts_delta ts_ema ts_mad ts_max ts_mean ts_median ts_min ts_product "
+        "ts_quantile ts_rank ts_scale ts_std ts_std_dev ts_sum ts_var ts_wma ts_zscore"),
+    ("time_series", "column", 3): "kth_element ts_corr ts_covariance ts_regression",
+    ("time_series", "history", 1): "days_from_last_change",
+    ("time_series", "history", 2): "hump",
+    ("transformational", "column", 2): "bucket",
+    ("transformational", "column", 3): "trade_when",
+    ("vector", "column", 1): "vec_avg vec_sum",
+}
+
+
+def _catalog_values() -> str:
+    rows = []
+    for (category, kind, inputs), names in LISTED.items():
+        for name in names.split():
+            spelled = ",".join(sorted(a for a, n in text.ALIASES.items() if n == name))
+            rows.append(f"('{name}', '{category}', '{kind}', {inputs}, '{spelled}')")
+    return ", ".join(rows)
+
+
+@query("F2", f"""WITH {CATALOG}, e AS (SELECT DISTINCT k, unnest(regexp_extract_all({_normalized_sql('expression')}, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1)) AS name FROM cat),
+ o(name, category, kind, inputs, aliases) AS (VALUES {_catalog_values()})
+ SELECT name, category, kind, inputs, aliases, count(k) AS used_by FROM o LEFT JOIN e USING (name) GROUP BY ALL""")
 def f2(spark, sf):
-    # Rows on which each listed unary operator is defined for the price change.
-    ops = [o for o in reg.list_operators("arithmetic") if o.kind == "column" and o.inputs == 1]
-    df = weekly_panel(spark, sf).df.withColumn("x", F.col("close") - F.col("open"))
-    counts = df.agg(*[F.count(o.make("x")).alias(o.name) for o in ops])
-    return counts.unpivot([], [o.name for o in ops], "name", "defined").select(F.lit("arithmetic").alias("category"), "name", "defined")
+    """All operators with category, kind, inputs and other spellings, and the number of catalog expressions that call
+    them. Operators of users are left out, as other queries register some."""
+    listed = spark.createDataFrame([(o.name, o.category, o.kind, o.inputs, ",".join(reg.aliases_of(o.name)))
+                                    for o in reg.list_operators() if o.category != "custom"],
+                                   "name string, category string, kind string, inputs int, aliases string")
+    calls = catalog(spark, sf).select("k", F.explode(text.operators_used(text.normalize_expression("expression"))).alias("name"))
+    used = calls.groupBy("name").agg(F.count("k").alias("used_by"))
+    return listed.join(used, "name", "left").withColumn("used_by", F.coalesce("used_by", F.lit(0)))
 
 
 @query("F3", f"{P} SELECT date, code, {rd(full_sql(f'avg(close) OVER {wn(4)}', 'close', 4))} AS mean4, lag(close, 2) OVER {WC} AS ref2, greatest(open, close) AS top FROM pw")

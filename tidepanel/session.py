@@ -7,15 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A group (one date, one date x industry, one pair of factors ...) of at most this
-# many rows may be handled by one window task. Callers prove the size by passing a
-# measured ``max_group``; anything larger or unknown takes the bucketed route.
-GROUP_ROWS_LIMIT = 1_000_000
-
-
-def group_fits(max_group: int | None) -> bool:
-    return max_group is not None and max_group <= GROUP_ROWS_LIMIT
-
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the cluster.
@@ -48,11 +39,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this application has stored by code, with the application's id.
+_BY_CODE: list[tuple[str, str]] = []
+
+
+def cut_by_code(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+    """``cut`` into a table that is bucketed by code: windows along a code's history then read it without a shuffle. A
+    stored panel says into how many ``buckets``; the default is that of the session's shuffles."""
+    spark = df.sparkSession
+    if buckets is None:
+        buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = run_dir(spark, name)
+    table = "tidepanel_" + path.rsplit("-", 1)[1]
+    df.repartition(buckets, "code").write.bucketBy(buckets, "code").sortBy("code", "date").option("path", path).saveAsTable(table)
+    _BY_CODE.append((spark.sparkContext.applicationId, table))
+    return spark.table(table)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete what this application has stored: its folder and its panel tables. Call it
     when no result is read any more."""
     from .sources import panel
-    for key in [k for k in panel._STORED if k[0] == spark.sparkContext.applicationId]:
-        spark.sql(f"DROP TABLE IF EXISTS {panel._STORED.pop(key).table}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidepanel-{spark.sparkContext.applicationId}")
+    app = spark.sparkContext.applicationId
+    for key in [k for k in panel._STORED if k[0] == app]:
+        _BY_CODE.append((app, panel._STORED.pop(key).table))
+    for entry in [t for t in _BY_CODE if t[0] == app]:
+        spark.sql(f"DROP TABLE IF EXISTS {entry[1]}")
+        _BY_CODE.remove(entry)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidepanel-{app}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

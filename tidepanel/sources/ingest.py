@@ -78,23 +78,50 @@ def nested_metrics(records: DataFrame, payload: str, names) -> DataFrame:
     return df.withColumns({n: F.coalesce(F.col(f"_p.generation_metrics.{n}"), F.col(f"_p.{n}")) for n in names}).drop("_p")
 
 
+def _headers(spark: SparkSession, paths) -> dict[str, list[str]]:
+    """Files below ``paths`` by their first line, from one text scan that takes the first line of each file."""
+    lines = spark.read.option("recursiveFileLookup", True).text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"))
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("value", "place").alias("header"))
+    found: dict[str, list[str]] = {}
+    for r in first.orderBy("path").toLocalIterator():
+        found.setdefault(r["header"], []).append(r["path"])
+    return found
+
+
 def union_runs(spark: SparkSession, paths, pool_id: str | None = None, prefix: str = "backtest_") -> DataFrame:
-    """Summary tables of several runs: strip the prefix (the plain column wins where a
-    table has both), tag the run, align columns."""
+    """Summary tables of runs in scattered folders: strip the prefix (the plain column wins where a table has both), tag
+    the run by its folder, align columns. Files of the same header are one scan, so that jobs and plan follow
+    the number of different headers, not of files."""
     parts = []
-    for path in paths:
-        df = spark.read.option("header", True).csv(path)
-        if pool_id is not None and "pool_id" in df.columns:
+    for header, files in _headers(spark, paths).items():
+        names = [n.strip().strip('"') for n in header.split(",")]
+        df = spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("header", True).csv(files)
+        run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        if pool_id is not None and "pool_id" in names:
             df = df.filter(F.col("pool_id") == pool_id)
-        keep = [x for x in df.columns if not (x.startswith(prefix) and x[len(prefix):] in df.columns)]
-        df = df.select(*[F.col(x).alias(x.removeprefix(prefix)) for x in keep])
-        parts.append(df.withColumn("run_id", F.element_at(F.split(F.input_file_name(), "/"), -2)))
+        keep = [x for x in names if not (x.startswith(prefix) and x[len(prefix):] in names)]
+        parts.append(df.select(*[F.col(f"`{x}`").alias(x.removeprefix(prefix)) for x in keep], run.alias("run_id")))
+    if not parts:
+        return spark.createDataFrame([], "factor_id string, run_id string")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def backtest_metrics(runs: DataFrame) -> DataFrame:
+    """Runs' summaries as metric rows: a missing split is ``unknown``, missing dates are NULL."""
+    for name in ("split", "start_date", "end_date"):
+        if name not in runs.columns:
+            runs = runs.withColumn(name, F.lit(None).cast("string"))
+    fixed = ("factor_id", "run_id", "split", "start_date", "end_date", "pool_id")
+    metrics = [n for n in runs.columns if n not in fixed]
+    return runs.select("factor_id", F.col("run_id").alias("backtest_run_id"), F.coalesce("split", F.lit("unknown")).alias("split"),
+                       "start_date", "end_date", *[to_number(n).alias(n) for n in metrics])
+
+
 def with_warm_up(panel: DataFrame, segments: DataFrame, lookback: int) -> DataFrame:
     """Rows per segment with the ``lookback`` sessions before its first one as warm-up.
     Resolved on the calendar; a date may serve several segments."""

@@ -1,12 +1,14 @@
 """Daily and weekly panels built once from fact tables and stored for all queries.
 
 The panel is the reused asset, so it is written to the cluster's shared folder,
-bucketed and sorted by code: rolling windows then need no shuffle, cross-sections read
-only the columns they use, and a lost executor costs a re-read instead of a rebuild.
+in periods of time that are bucketed by code: rolling windows need no shuffle, cross-sections
+read only the columns they use, a span of dates reads only its periods, and a lost executor
+costs a re-read instead of a rebuild.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -15,15 +17,65 @@ from ..functions.clean import ratio, session_day, zero_pad
 from ..session import run_dir
 
 
+#: For each of these numbers of rows the panel holds the date that lies so many rows back in a code's history.
+LADDER = (4, 16, 64, 256)
+
+
 @dataclass(frozen=True)
 class Panel:
-    """A stored panel, unique on (date, code), with its measured size."""
+    """A stored panel, unique on (date, code): partitioned by period, and bucketed by code within a period. Its
+    sessions (texts, in order) are bounded by the calendar and known to the driver, so that spans of dates become
+    literals and prune periods."""
     df: DataFrame
-    max_group: int      # rows of the largest date
     rows: int
     table: str
-
-
+    buckets: int
+    months: int             # of a period
+    sessions: tuple[str, ...]
+
+    def between(self, start: str | None = None, stop: str | None = None, back: bool = False) -> DataFrame:
+        """Rows of the dates from ``start`` to ``stop``; only the periods of these dates are read."""
+        rows = self.df.sparkSession.table(self.table)
+        for limit, keeps in ((start, lambda x, y: x >= y), (stop, lambda x, y: x <= y)):
+            if limit is not None:
+                rows = rows.filter(keeps(F.col("date"), F.lit(limit).cast("timestamp"))
+                                   & keeps(F.col("period"), F.lit(self.period(limit))))
+        return rows if back else rows.select(*self.df.columns)
+
+    def period(self, day: str) -> int:
+        return (int(day[:4]) * 12 + int(day[5:7]) - 1) // self.months
+
+    def session(self, as_of: str, back: int = 0) -> str | None:
+        """The last session that is not after ``as_of``, or the one so many sessions before it."""
+        at = bisect_right(self.sessions, as_of if len(as_of) > 10 else f"{as_of} 00:00:00") - 1 - back
+        return self.sessions[at] if at >= 0 else None
+
+    def last_sessions(self, as_of: str, count: int) -> DataFrame:
+        """Rows of the last ``count`` sessions up to the as-of date."""
+        stop = self.session(as_of)
+        return self.between(self.session(as_of, count - 1) or self.sessions[0], stop) if stop else self.df.limit(0)
+
+    def history(self, as_of: str, lookback: int | None, codes: DataFrame) -> tuple[DataFrame, str | None]:
+        """What a value of ``codes`` on their last date up to ``as_of`` needs, and that date: the rows from the earliest
+        date that lies ``lookback`` rows back for one of the codes on that day. A code may miss sessions, so the
+        rows of the day say where to begin."""
+        codes = codes.select("code").distinct()
+        stop = self.session(as_of)
+        periods = sorted({self.period(s) for s in self.sessions if stop and s <= stop}, reverse=True)
+        for period in periods:       # almost always one
+            part = self.df.sparkSession.table(self.table).filter(F.col("period") == period)
+            part = part.filter(F.col("date") <= F.lit(stop).cast("timestamp")).join(codes, "code", "left_semi")
+            steps = [n for n in LADDER if lookback is not None and n >= lookback]
+            start = F.min(F.col(f"back_{steps[0]}") if steps else F.lit(None).cast("timestamp"))
+            found = part.groupBy("date").agg(start.alias("start")).orderBy(F.col("date").desc()).select(
+                F.date_format("date", DAY).alias("date"), F.date_format("start", DAY).alias("start")).first()
+            if found is not None:
+                start = found["date"] if lookback == 0 else found["start"]
+                return self.between(start, found["date"]).join(codes, "code", "left_semi"), found["date"]
+        return self.df.limit(0), None
+
+
+DAY = "yyyy-MM-dd HH:mm:ss"
 _STORED: dict[tuple[str, str, str], Panel] = {}
 
 
@@ -37,27 +89,39 @@ def bucket_count(spark: SparkSession, fact_rows: int) -> int:
     return max(1, by_size, by_cores)
 
 
+def period_months(fact_rows: int) -> int:
+    """Longer periods for small inputs, whose files would be too small."""
+    return 12 if fact_rows < 50_000_000 else 3 if fact_rows < 1_000_000_000 else 1
+
+
 def store(spark: SparkSession, name: str, key: str, facts: DataFrame, build, finish=None) -> Panel:
     """Write the panel on first use in this application, then reuse the table.
 
     ``finish`` adds columns that need a code's whole history, after the shuffle by code.
     """
-    slot = (spark.sparkContext.applicationId, name, key)
+    # A changed input has another size or other files, and is another panel.
+    files = [f for f in facts.inputFiles()]
+    fact_rows = facts.count()       # reads file footers only
+    slot = (spark.sparkContext.applicationId, name, f"{key} {fact_rows} {hash(tuple(sorted(files)))}")
     if slot not in _STORED:
-        # Counting Parquet rows reads file footers only.
-        fact_rows = facts.count()
-        buckets = bucket_count(spark, fact_rows)
+        buckets, months = bucket_count(spark, fact_rows), period_months(fact_rows)
         if fact_rows < ROWS_PER_BUCKET:
             # A small file may be a single split: spread it over the cores.
             facts = facts.repartition(buckets, *facts.columns[:2])
         path = run_dir(spark, name)
         table = "tidepanel_" + path.rsplit("-", 1)[1]
         rows = build(facts).repartition(buckets, "code")
-        (rows if finish is None else finish(rows)).write.bucketBy(buckets, "code").sortBy(
-            "code", "date").option("path", path).saveAsTable(table)
-        df = spark.table(table)
-        widest, total = df.groupBy("date").count().agg(F.max("count"), F.sum("count")).first()
-        _STORED[slot] = Panel(df, int(widest or 0), int(total or 0), table)
+        rows = rows if finish is None else finish(rows)
+        line, first = Window.partitionBy("code").orderBy("date"), F.min("date").over(Window.partitionBy("code"))
+        shown = rows.columns
+        rows = rows.withColumns({f"back_{n}": F.coalesce(F.lag("date", n).over(line), first) for n in LADDER} | {
+            "period": F.floor((F.year("date") * 12 + F.month("date") - 1) / months).cast("int")})
+        rows.write.partitionBy("period").bucketBy(buckets, "code").sortBy("code", "date").option("path", path).saveAsTable(table)
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS NOSCAN")      # else its size counts as unknown
+        df = spark.table(table).select(*shown)
+        # At most MAX_SESSIONS rows.
+        days = df.groupBy("date").count().select(F.date_format("date", DAY).alias("day"), "count").collect()
+        _STORED[slot] = Panel(df, sum(d["count"] for d in days), table, buckets, months, tuple(sorted(d["day"] for d in days)))
     return _STORED[slot]
 
 

@@ -20,14 +20,14 @@ def write_factors(values: DataFrame) -> str:
     return write_partitioned(values, ["factor_id"], "factor_values")
 
 
-def materialize_factors(panel: DataFrame, factors: dict[str, Column | fs.Step]) -> DataFrame:
+def materialize_factors(panel: DataFrame, factors: dict[str, Column | fs.Step], buckets: int | None = None) -> DataFrame:
     """Compute a factor set (Columns, or Steps for nested cross-sections), store it by
     factor, and report per factor.
 
     Factors that the panel cannot compute become ``error`` rows and do not stop the rest.
     """
     good, bad = fs.resolvable(panel, factors)
-    path = write_factors(ev.unpivot(fs.composed(panel, good), list(good)))
+    path = write_factors(ev.unpivot(fs.composed(panel, good, buckets=buckets), list(good)))
     spark = panel.sparkSession
     status = fs.factor_status(spark.read.parquet(path)).withColumn("status", F.lit("ok"))
     errors = spark.createDataFrame([(n, 0, 0, None, "error") for n in bad],

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -79,7 +81,8 @@ DAY = "yyyy-MM-dd HH:mm:ss"
 _STORED: dict[tuple[str, str, str], Panel] = {}
 
 
-ROWS_PER_BUCKET = 4_000_000     # a few hundred MB of panel columns per task
+ROWS_PER_BUCKET = 1_500_000     # facts that a task sorts, a few hundred MB
+MOST_OF_CODE = ROWS_PER_BUCKET  # facts of one code that are sorted in one task
 
 
 def bucket_count(spark: SparkSession, fact_rows: int) -> int:
@@ -91,13 +94,15 @@ def bucket_count(spark: SparkSession, fact_rows: int) -> int:
 
 def period_months(fact_rows: int) -> int:
     """Longer periods for small inputs, whose files would be too small."""
-    return 12 if fact_rows < 50_000_000 else 3 if fact_rows < 1_000_000_000 else 1
+    return 12 if fact_rows < 250_000_000 else 3 if fact_rows < 1_000_000_000 else 1
 
 
-def store(spark: SparkSession, name: str, key: str, facts: DataFrame, build, finish=None) -> Panel:
+def store(spark: SparkSession, name: str, key: str, facts: DataFrame, code: str, build, finish=None) -> Panel:
     """Write the panel on first use in this application, then reuse the table.
 
-    ``finish`` adds columns that need a code's whole history, after the shuffle by code.
+    ``build`` takes the facts and the number of buckets they are dealt into by code, or None where a code (a column of
+    the facts) has more of them than a task should sort; ``finish`` adds columns that need a code's whole history, after
+    the shuffle by code.
     """
     # A changed input has another size or other files, and is another panel.
     files = [f for f in facts.inputFiles()]
@@ -105,12 +110,13 @@ def store(spark: SparkSession, name: str, key: str, facts: DataFrame, build, fin
     slot = (spark.sparkContext.applicationId, name, f"{key} {fact_rows} {hash(tuple(sorted(files)))}")
     if slot not in _STORED:
         buckets, months = bucket_count(spark, fact_rows), period_months(fact_rows)
-        if fact_rows < ROWS_PER_BUCKET:
-            # A small file may be a single split: spread it over the cores.
-            facts = facts.repartition(buckets, *facts.columns[:2])
         path = run_dir(spark, name)
         table = "tidepanel_" + path.rsplit("-", 1)[1]
-        rows = build(facts).repartition(buckets, "code")
+        most = facts.groupBy(code).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()[0] or 0
+        if most > MOST_OF_CODE:
+            rows = build(facts, None).repartition(buckets, "code")
+        else:
+            rows = build(facts, buckets)
         rows = rows if finish is None else finish(rows)
         line, first = Window.partitionBy("code").orderBy("date"), F.min("date").over(Window.partitionBy("code"))
         shown = rows.columns
@@ -147,65 +153,72 @@ def order_number(*parts: tuple[Column, int]) -> Column:
     return total
 
 
-def price_panel(facts: DataFrame, day: Column, code: Column, price: Column, order: Column,
-                last: dict[str, Column], aggs: dict[str, Column]) -> DataFrame:
-    """Open, high, low and close per (date, code) from ordered facts.
+def price_panel(facts: DataFrame, day: Column, code: Column, price: Column, order: tuple[tuple[Column, int], ...],
+                last: dict[str, Column], aggs: dict[str, Column], buckets: int | None) -> DataFrame:
+    """Open, high, low and close per (date, code) from ordered facts; ``order`` is as for ``order_number``.
 
-    All aggregates have numeric buffers and combine map-side, so a code with a large
-    share of the facts is reduced to one row per date before anything is shuffled.
+    With ``buckets`` the facts' own columns are shuffled once, by code, and a task sorts its codes' facts: most groups
+    have few facts, so that combining them map-side would shuffle more than the facts and spill. Without, all aggregates
+    have numeric buffers and combine map-side, so a code with a large share of the facts is reduced to one row per
+    date before anything is shuffled.
     """
-    rows = facts.select("*", day.alias("date"), code.alias("code"), price.alias("_price"),
-                        order.alias("_order"), *[v.alias(f"_{k}") for k, v in last.items()])
-    return rows.filter("date IS NOT NULL").groupBy("date", "code").agg(
+    rows = facts.select("*", day.alias("date"), code.alias("code")).filter("date IS NOT NULL")
+    if buckets is None:
+        place = order_number(*order)
+    else:
+        rows = rows.repartition(buckets, "code")
+        known = reduce(and_, [v.isNotNull() for v, _ in order])
+        place = F.when(known, F.struct(*[v.alias(f"o{i}") for i, (v, _) in enumerate(order)]))
+    rows = rows.select("*", price.alias("_price"), place.alias("_order"), *[v.alias(f"_{k}") for k, v in last.items()])
+    made = rows.groupBy("code", "date").agg(
         F.min_by("_price", "_order").alias("open"), F.max_by("_price", "_order").alias("close"),
         F.max("_price").alias("high"), F.min("_price").alias("low"),
         *[F.max_by(f"_{k}", "_order").alias(k) for k in last], *[v.alias(k) for k, v in aggs.items()])
+    return made.select("date", "code", *made.columns[2:])
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str) -> Panel:
     """Weekly supplier panel from line items."""
     item = read(spark, sf_dir, "lineitem")
 
-    def build(item):
+    def build(item, buckets):
         supplier = read(spark, sf_dir, "supplier")
         nation = read(spark, sf_dir, "nation")
         week = F.date_trunc("week", session_day("l_shipdate"))
         # Ship dates are whole days; the digits leave room for a trillion orders.
-        key = order_number(
-            (F.datediff("l_shipdate", week), 1), (F.col("l_orderkey"), 12), (F.col("l_linenumber"), 1),
-            (F.col("l_partkey"), 12), (F.round(F.col("l_extendedprice") * 100).cast("bigint"), 10))
+        order = ((F.datediff("l_shipdate", week), 1), (F.col("l_orderkey"), 12), (F.col("l_linenumber"), 1),
+                 (F.col("l_partkey"), 12), (F.round(F.col("l_extendedprice") * 100).cast("bigint"), 10))
         panel = price_panel(
-            item, week, F.col("l_suppkey"), ratio("l_extendedprice", "l_quantity"), key,
+            item, week, zero_pad(F.col("l_suppkey").cast("string")), ratio("l_extendedprice", "l_quantity"), order,
             {"Ifsuspend": F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0),
              "status": F.ascii("l_linestatus")},
             {"volume": F.sum("l_quantity"),
              "amount": F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"),
-             "first_ship": F.min("l_shipdate")})
+             "first_ship": F.min("l_shipdate")}, buckets)
         groups = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
-            F.col("s_suppkey").alias("code"), F.col("s_nationkey").cast("int").alias("industry"),
+            zero_pad(F.col("s_suppkey").cast("string")).alias("code"), F.col("s_nationkey").cast("int").alias("industry"),
             F.col("n_regionkey").cast("int").alias("sector"))
-        return (panel.withColumn("category", F.char("status")).drop("status").join(groups, "code", "left")
-                .withColumn("code", zero_pad(F.col("code").cast("string"))))
+        return panel.withColumn("category", F.char("status")).drop("status").join(groups, "code", "left")
 
     def listed(panel):
         first = F.min("first_ship").over(Window.partitionBy("code"))
         return panel.withColumn("ListedDate", first).drop("first_ship")
-    return store(spark, "weekly", sf_dir, item, build, listed)
+    return store(spark, "weekly", sf_dir, item, "l_suppkey", build, listed)
 
 
 def daily_panel(spark: SparkSession, sf_dir: str) -> Panel:
     """Daily user panel from events."""
     events = read(spark, sf_dir, "events")
 
-    def build(events):
+    def build(events, buckets):
         def seen(kind):
             return F.max(F.when(F.col("event_type") == kind, 1.0).otherwise(0.0))
         ts = F.col("ts").cast("timestamp")
         return price_panel(
             events, session_day("ts"),
             zero_pad(F.col("user_id").cast("string")), F.col("value"),
-            order_number((F.unix_micros(ts) - F.unix_micros(F.date_trunc("day", ts)), 11), (F.col("event_id"), 18)), {},
+            ((F.unix_micros(ts) - F.unix_micros(F.date_trunc("day", ts)), 11), (F.col("event_id"), 18)), {},
             {"volume": F.count(F.lit(1)).cast("double"),
              "amount": F.sum(F.col("value").cast("decimal(18,2)")).cast("double"),
-             "Ifsuspend": seen("error"), "if_up": seen("purchase"), "if_down": seen("signup")})
-    return store(spark, "daily", sf_dir, events, build)
+             "Ifsuspend": seen("error"), "if_up": seen("purchase"), "if_down": seen("signup")}, buckets)
+    return store(spark, "daily", sf_dir, events, "user_id", build)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tidepanel.functions.clean import ratio
+from tidepanel.operators import evaluate as ev, order, pairs
 from tidepanel.sources.panel import price_panel
 
 SCHEMA = "day string, who string, price double, n long, m int, flag double"
@@ -39,3 +40,37 @@ def test_panels_by_code_equal_combined_ones(table):
 
 def test_panels_shuffle_facts_once(table):
     assert shuffles(made(facts(table), 4)) == 1
+
+
+def test_pair_ranks_share_a_shuffle(table):
+    df = table([("2024-01-01", float(i % 7), float(i % 5)) for i in range(40)], "date string, value double, target double")
+    assert shuffles(ev.with_pair_ranks(df, "value", "target", ("date",))) == 1
+
+
+def test_ranges_are_found_without_copies_of_the_cuts(spark):
+    """Cuts of a group are searched by compiled steps, whose number follows the cuts and not their limit."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 > 0, F.pmod(F.hash("id"), F.lit(900))).otherwise(5).alias("x"))
+    got = order.places(df, "x", ("g",), 100, place="p")
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.collect()
+    for g in (0, 1):
+        values = sorted(r["x"] for r in rows if r["g"] == g)
+        for r in rows:
+            if r["g"] == g:
+                assert r["p"] == values.index(r["x"]) + (values.count(r["x"]) + 1) / 2
+
+
+def test_frequent_values_are_told_from_counts_by_hash(spark):
+    df = spark.range(5000).select(F.lit(1).alias("g"), F.when(F.col("id") < 2000, 7).otherwise(F.col("id").cast("int")).alias("x"))
+    large = order.large_groups(df, ["g"], 200)
+    cuts = order.ranges(df, ["g"], "x", large, dense=False).first()["cuts"]
+    assert [(c["x"], c["ties"]) for c in cuts if c["ties"]] == [(7, 2000)] and len(cuts) > 5
+
+
+def test_few_factors_are_not_shuffled_by_row(spark):
+    rows = spark.range(500).select(F.lit(1).alias("g"), F.array(*[F.when(F.col("id") % (k + 2) > 0, F.sin(F.col("id") * (k + 1))) for k in range(3)]).alias("x"))
+    few = pairs._moments_of_few(rows, "x", 3, ("g",))
+    assert "MapInArrow" not in few._jdf.queryExecution().optimizedPlan().toString()
+    same = pairs.moments(rows, "x", 3, ("g",))
+    for a, b in zip(few.orderBy("i", "j").collect(), same.orderBy("i", "j").collect(), strict=True):
+        assert all(abs(a[k] - b[k]) < 1e-9 for k in ("i", "j", *pairs.SUMS))

@@ -38,10 +38,10 @@ def unpivot(wide: DataFrame, factors, keep=("date", "code"), value: str = "value
 
 
 def with_pair_ranks(df: DataFrame, x: str, y: str, by) -> DataFrame:
-    """Ranks of both sides among the complete pairs of each group."""
+    """Both sides of the complete pairs of each group (_px, _py) and their ranks (_rx, _ry)."""
     px, py = stats.paired(x, y)
     df = df.withColumns({"_px": px, "_py": py})
-    return placed(df, {"_px": {"place": "_rx"}, "_py": {"place": "_ry"}}, by).drop("_px", "_py")
+    return placed(df, {"_px": {"place": "_rx"}, "_py": {"place": "_ry"}}, by, alike=True)
 
 
 def daily_ic(values: DataFrame, by=("date", "factor_id"), x="value", y="target",
@@ -49,9 +49,9 @@ def daily_ic(values: DataFrame, by=("date", "factor_id"), x="value", y="target",
     """IC, rank IC, slope and pair count per date and factor."""
     ranked = with_pair_ranks(values, x, y, by)
     daily = ranked.groupBy(*by).agg(
-        stats.pearson(x, y, min_pairs).alias("ic"),
+        stats.pearson("_px", "_py", min_pairs).alias("ic"),
         stats.pearson("_rx", "_ry", min_pairs).alias("rank_ic"),
-        stats.slope(x, y).alias("slope"), stats.pair_count(x, y).alias("sample_count"))
+        stats.slope("_px", "_py").alias("slope"), stats.pair_count("_px", "_py").alias("sample_count"))
     if horizon is not None:
         daily = daily.withColumn("label_available_date",
                                  F.col("date") + F.make_dt_interval(F.lit(horizon)))
@@ -85,8 +85,8 @@ def composite_metrics(scored: DataFrame, x="alpha", y="target", by=()) -> DataFr
     by = list(by)
     ranked = with_pair_ranks(scored, x, y, [*by, "date"])
     daily = ranked.groupBy(*by, "date").agg(
-        F.count(F.lit(1)).alias("rows"), stats.pair_count(x, y).alias("pairs"),
-        stats.pearson_floored(x, y).alias("ic"),
+        F.count(F.lit(1)).alias("rows"), stats.pair_count("_px", "_py").alias("pairs"),
+        stats.pearson_floored("_px", "_py").alias("ic"),
         stats.pearson_floored("_rx", "_ry").alias("rank_ic"))
     return daily.groupBy(*by).agg(
         F.avg("ic").alias("ic"), F.avg("rank_ic").alias("rank_ic"),

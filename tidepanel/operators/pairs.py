@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clean import ratio
+from ..functions.stats import paired
 from ..session import cut
 from .order import places
 
 BLOCK = 256
 ROWS_PER_TASK = 200_000
+NARROW = 8                # entries whose sums are plain aggregates, which combine map-side
 SUMS = ("n", "mx", "my", "vx", "vy", "cxy")
 
 
@@ -127,6 +129,21 @@ def moments(df: DataFrame, x: str, width: int, by) -> DataFrame:
     return found.withColumn("n", F.col("n").cast("bigint"))
 
 
+def _moments_of_few(df: DataFrame, x: str, width: int, by) -> DataFrame:
+    """``moments``; of few entries by aggregates of each pair, so that rows are not shuffled."""
+    by = list(by)
+    if not 2 <= width <= NARROW:
+        return moments(df, x, width, by)
+    held = df.select(*by, *[F.get(F.col(x), F.lit(i)).alias(f"_{i}") for i in range(width)])
+    cells = []
+    for i, j in combinations(range(width), 2):
+        px, py = paired(f"_{i}", f"_{j}")
+        n = F.count(px)
+        cells.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), n.alias("n"), F.avg(px).alias("mx"), F.avg(py).alias("my"),
+                              (F.var_pop(px) * n).alias("vx"), (F.var_pop(py) * n).alias("vy"), (F.covar_pop(px, py) * n).alias("cxy")))
+    return held.groupBy(*by).agg(F.array(*cells).alias("m")).select(*by, F.inline("m")).filter("n > 0")
+
+
 def pearson(min_pairs: int, floor: float | None = None) -> Column:
     """Correlation from ``moments``: NULL for too few rows; without variation NULL, or with a floor of the deviations 0."""
     sx, sy = (F.sqrt(F.col(v) / F.col("n")) for v in ("vx", "vy"))
@@ -143,7 +160,7 @@ def _named(df: DataFrame, names) -> DataFrame:
 def correlations(wide: DataFrame, factors, by=("date",), min_pairs: int = 3, floor: float | None = None) -> DataFrame:
     """(by, f1, f2, ic, pairs) of every pair of factors in each group, f1 before f2 as listed."""
     rows = wide.select(*by, F.array(*[F.col(f).cast("double") for f in factors]).alias("x"))
-    found = moments(rows, "x", len(factors), by).withColumn("ic", pearson(min_pairs, floor))
+    found = _moments_of_few(rows, "x", len(factors), by).withColumn("ic", pearson(min_pairs, floor))
     return _named(found, factors).select(*by, "f1", "f2", "ic", F.col("n").alias("pairs"))
 
 
@@ -165,7 +182,7 @@ def _presence(rows: DataFrame, width: int) -> tuple[list, dict]:
     common = {(i, i): m[0] for m, i in order.items()}
     if len(first) > 1:
         chosen = rows.select(F.transform(F.lit(first), lambda k: F.get(F.col("x"), k)).alias("x"), F.lit(0).alias("whole"))
-        common |= {(r["i"], r["j"]): r["n"] for r in moments(chosen, "x", len(first), ("whole",)).collect()}
+        common |= {(r["i"], r["j"]): r["n"] for r in _moments_of_few(chosen, "x", len(first), ("whole",)).collect()}
     return sets, common
 
 
@@ -198,7 +215,7 @@ def pooled_spearman(wide: DataFrame, factors) -> DataFrame:
         "row", "c.span", "c.f", F.get(F.col("x"), F.col("c.f")).alias("v"))
     ranks = places(long, "v", ("span", "f"), place="r").groupBy("row", "span").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("f", "r"))), lambda e: e["r"]).alias("x"))
-    found = moments(ranks, "x", max(map(len, members.values())), ("span",)).withColumn("spearman", pearson(3))
+    found = _moments_of_few(ranks, "x", max(map(len, members.values())), ("span",)).withColumn("spearman", pearson(3))
     asked = wide.sparkSession.createDataFrame([(s, place[s, a], place[s, b], factors[a], factors[b]) for s, a, b in pairs],
                                               "span int, i int, j int, f1 string, f2 string")
     return found.join(asked, ["span", "i", "j"]).select("f1", "f2", "spearman", F.col("n").alias("pairs"))

@@ -132,10 +132,11 @@ def manifest(rows: DataFrame, id_col: str = "doc_id", group_col: str = "source",
 
 
 def _descend(frontier: DataFrame, records: DataFrame, fan: int) -> DataFrame:
-    """The children of a frontier (at, digest, path and more), each with a segment of what was not picked."""
+    """The children of a frontier (at, digest, path and more), each with a segment of what was not picked. Neither side
+    is broadcast: paths of one prefix are small when compressed, but not on the driver."""
     known = records.groupBy("digest").agg(F.first("children").alias("children"))
     rest = [c for c in frontier.columns if c not in ("at", "digest", "path")]
-    found = frontier.join(known, "digest").select(*rest, "at", "path", "children", F.posexplode("children"))
+    found = frontier.join(known.hint("merge"), "digest").select(*rest, "at", "path", "children", F.posexplode("children"))
     return found.select(*rest, (F.col("at") * fan + F.col("pos")).alias("at"), F.col("col").alias("digest"),
                         F.array_append("path", _segment("children", F.col("pos"))).alias("path"))
 
@@ -167,9 +168,9 @@ def prove(tree: Manifest) -> DataFrame:
     low = low if active is None else low.unionByName(active)
     # The parents of leaves: their children come from the records, the rows that asked from the blocks.
     known = tree.records[0].groupBy("digest").agg(F.first("children").alias("children"))
-    low = low.join(known, "digest").drop("digest").unionByName(
+    low = low.join(known.hint("merge"), "digest").drop("digest").unionByName(
         begun.where("height = 0").select("slot", "at", "path", "subroot", F.array("digest").alias("children")))
-    rows = low.join(tree.leaves.select("slot", "at", "n", "rows"), ["slot", "at"]) \
+    rows = low.join(tree.leaves.select("slot", "at", "n", "rows").hint("merge"), ["slot", "at"]) \
         .select("slot", "subroot", "path", "children", "n", F.posexplode("rows").alias("pos", "row"))
     segment = F.when(F.col("n") > 1, F.array(_segment("children", F.col("pos")))).otherwise(start)
     return rows.select("slot", "row.*", "subroot", F.reverse(F.concat("path", segment)).alias("path"))

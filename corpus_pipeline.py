@@ -8,7 +8,8 @@ operators in ``tidepanel.llm`` say.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidepanel.llm import common, mixing, neardup, pieces, rules, secretscan
 
@@ -40,9 +41,23 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         .select(docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Add position: the place of a row (from 0) in the order in which the stage before stored the rows. Reading does not
+    keep that order; file names and places in files tell it. Rows that are not stored keep the order they have."""
+    try:
+        rows = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return docs.withColumn("position", F.monotonically_increasing_id())
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    past = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)     # one row per file
+    files = files.select("_file", F.coalesce(F.sum("_rows").over(past), F.lit(0)).alias("_before"))
+    return rows.join(files, "_file").withColumn("position", F.col("_before") + F.col("_row")).select(*docs.columns, "position")
+
+
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and their byte spans of every document."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("decoded")
+    """Piece ids and their byte spans of every document, and its position in the mixture: whoever takes documents by
+    position meets the sources in their target shares."""
+    return pieces.encode(_numbered(docs), public_tokenizers.path("piece_bpe_32k.model")).drop("decoded")
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scan", secret_scan),

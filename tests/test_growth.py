@@ -2,6 +2,9 @@
 
 import random
 
+import pandas as pd
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidepanel.functions.clean import ratio
@@ -74,3 +77,35 @@ def test_few_factors_are_not_shuffled_by_row(spark):
     same = pairs.moments(rows, "x", 3, ("g",))
     for a, b in zip(few.orderBy("i", "j").collect(), same.orderBy("i", "j").collect(), strict=True):
         assert all(abs(a[k] - b[k]) < 1e-9 for k in ("i", "j", *pairs.SUMS))
+
+
+@pytest.mark.parametrize("rows_per_range, rows_per_chunk", [(500_000, 65_536), (90, 200), (40, 70)])
+def test_pooled_ranks_from_one_sort_of_each_factor(spark, rows_per_range, rows_per_chunk):
+    """Nested and crossing gaps, ties, and values that fill ranges of their own, in ranges and chunks of any size."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(400):
+        gap = draw.random()
+        a, b = draw.gauss(0, 1), float(draw.randrange(6))
+        rows.append((a, a + draw.gauss(0, 1) if gap > 0.2 else None, 0.0 if i % 3 else b if gap > 0.1 else None,
+                     b if draw.random() > 0.3 else None, None, 7.0))
+    names = [*"abcdef"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {(r.f1, r.f2): (r.spearman, r.pairs) for r in pairs.pooled_spearman(df, names, rows_per_range, rows_per_chunk).collect()}
+    cells, seen = pd.DataFrame(rows, columns=names, dtype=float), 0
+    for i, x in enumerate(names):
+        for y in names[i + 1:]:
+            both = cells[[x, y]].dropna()
+            assert ((x, y) in got) == (len(both) > 0)
+            if len(both):
+                seen += 1
+                assert got[x, y][1] == len(both)
+                assert got[x, y][0] is None if "f" in (x, y) else got[x, y][0] == pytest.approx(both[x].rank().corr(both[y].rank()), abs=1e-12)
+    assert seen == 10
+
+
+def test_pooled_ranks_deal_each_value_once(spark):
+    """A factor is shuffled once for all sets of rows it is ranked in, not once for each."""
+    df = spark.range(300).select(*[F.when(F.col("id") >= 20 * k, F.sin(F.col("id") * (k + 1))).alias(f"f{k}") for k in range(5)])
+    plan = pairs.pooled_spearman(df, [f"f{k}" for k in range(5)])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate explode" not in plan

@@ -109,3 +109,11 @@ def test_pooled_ranks_deal_each_value_once(spark):
     df = spark.range(300).select(*[F.when(F.col("id") >= 20 * k, F.sin(F.col("id") * (k + 1))).alias(f"f{k}") for k in range(5)])
     plan = pairs.pooled_spearman(df, [f"f{k}" for k in range(5)])._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate explode" not in plan
+
+
+def test_strategies_make_their_scores_once(spark):
+    """Metrics and accounts of the sweep read stored z-scores instead of making the factors twice."""
+    from tidepanel import plans
+    plans.load()
+    plan = plans.QUERIES["X13"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev_samp(close" not in plan

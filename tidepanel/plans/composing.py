@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import features as ft, timeseries as ts
 from ..functions.clean import zero_pad
 from ..operators import compose as cp, evaluate as ev, factors as fs, pairs as pr, portfolio as pf
+from ..session import cut
 from ..sources.panel import read, weekly_panel
 from . import query
 from .accounting import FEE, K, OBJ, SUM_SQL, accounts_sql, market
@@ -257,7 +258,9 @@ ACCOUNTS = accounts_sql().replace("FROM sg JOIN", "FROM sg JOIN")
 @query("X13", f"""WITH {Z}, {composite_sql(SWEEP)}, sg AS (SELECT strategy_id, date, code, score FROM ss), {ACCOUNTS}, {SUM_SQL}
  SELECT su.strategy_id, {rd('ic')} AS ic, {rd('rank_ic')} AS rank_ic, {rd('icir')} AS icir, {rd('total_return')} AS total_return, {rd('su.sharpe')} AS sharpe FROM su JOIN cmx USING (strategy_id)""")
 def x13(spark, sf):
-    rows = scored(spark, sf, SWEEP)
+    # Metrics and accounts read the same z-scores, which are stored once.
+    df = cut(zscores(spark, sf).select(*KEYS, "target", *NAMES), "zscores")
+    rows = cp.strategy_scores(df, SWEEP, keep=(*KEYS, "target"))
     m = ev.composite_metrics(rows, "score", "target", ("strategy_id",)).drop("coverage")
     perf = pf.summary(pf.account(rows.select("strategy_id", *KEYS, "score"), market(spark, sf), K, FEE))
     return out(m.join(perf, "strategy_id"), "strategy_id", **{n: n for n in ("ic", "rank_ic", "icir", "total_return", "sharpe")})

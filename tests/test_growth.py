@@ -117,3 +117,34 @@ def test_strategies_make_their_scores_once(spark):
     plans.load()
     plan = plans.QUERIES["X13"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "stddev_samp(close" not in plan
+
+
+def test_ranks_shuffle_no_columns_of_other_factors(spark, monkeypatch):
+    """Stored levels hold what later steps read, and rows dealt by code are not dealt again by factor."""
+    from tidepanel import session
+    from tidepanel.operators import factors as fs
+    from tidepanel.sources import sinks
+    from tidepanel.sources.panel import weekly_panel
+    stored, written = weekly_panel(spark, "/root/testdata/sf0.001"), []
+    panel = stored.df.withColumn("category_number", F.ascii("category").cast("double"))
+    keep = session.cut_by_code
+    monkeypatch.setattr(fs, "cut_by_code", lambda df, *a: written.append(df.columns) or keep(df, *a))
+    monkeypatch.setattr(sinks, "write_partitioned", lambda *a: pytest.fail("values are shuffled by factor"))
+    sets = {**fs.demo_factors(), **fs.demo_cross_sections(), **fs.more_cross_sections()}
+    status = {r.factor_id: r for r in sinks.materialize_factors(panel, sets, stored.buckets).collect()}
+    assert status.keys() == sets.keys() and {r.row_count for r in status.values()} == {stored.rows}
+    assert written and all(len(w) <= 6 and not {"mom4", "liq4"} & set(w) for w in written)
+    assert sorted(map(sorted, fs.parts(sets))) == sorted(map(sorted, [
+        [*fs.demo_factors(), "unchanged"], ["z_mean", "sector_gap"], ["sector_filled"], ["rank_delta", "z_mean_rank"], ["damped"], ["label"]]))
+
+
+def test_small_statistics_and_labels_leave_the_rows_in_place(spark):
+    """Statistics of (date, sector) and labels are stored, so that the join knows that they are small."""
+    from tidepanel.operators import cross, factors as fs
+    from tidepanel.sources.panel import weekly_panel
+    panel = weekly_panel(spark, "/root/testdata/sf0.001").df
+    gap = fs.composed(panel, {"z": fs.Step("group_neutralize", ("close",), "sector")})
+    for df in (gap, cross.densify(panel, "volume", "level")):
+        assert shuffles(df) == 0 and "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    filled = fs.composed(panel, {"z": fs.Step("group_backfill", ("close", 3), "sector")})
+    assert shuffles(filled) == 0

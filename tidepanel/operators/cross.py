@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.clean import c, ratio
 from ..functions.probit import spread_rank
+from ..session import cut
 from .order import _temp, places
 
 DATE = ("date",)
@@ -44,12 +45,15 @@ class Stat:
     value: Column
 
 
-def with_stats(df: DataFrame, stats: dict[str, Stat]) -> DataFrame:
-    """Add a column for each ``Stat``. Those with the same key share one aggregate."""
+def with_stats(df: DataFrame, stats: dict[str, Stat], stored: bool = False) -> DataFrame:
+    """Add a column for each ``Stat``. Those with the same key share one aggregate. With ``stored`` the statistics of wider
+    keys are written first: their size is then known when the join is planned, so that small ones are broadcast
+    and the rows stay where they are. Adaptive execution measures only after the rows are shuffled."""
     base = df
     for by in dict.fromkeys(s.by for s in stats.values()):
         aggs = [a.alias(n) for s in stats.values() if s.by == by for n, a in s.aggs.items()]
-        df = join_groups(df, base.groupBy(*by).agg(*aggs), by)
+        made = base.groupBy(*by).agg(*aggs)
+        df = join_groups(df, cut(made, "stats") if stored and tuple(by) != DATE else made, by)
     return df.withColumns({out: s.value for out, s in stats.items()}).drop(
         *[n for s in stats.values() for n in s.aggs])
 
@@ -62,12 +66,13 @@ def rank(df: DataFrame, x: str, out: str, by=DATE, pct: bool = True) -> DataFram
 
 
 def densify(df: DataFrame, x: str, out: str) -> DataFrame:
-    """Label number 0..k-1 in sorted order over the whole panel. Rows without a label are spread over the join's tasks."""
+    """Label number 0..k-1 in sorted order over the whole panel. The labels are stored first, so that the join knows their size:
+    few are broadcast. Otherwise rows without a label are spread over the join's tasks."""
     spread, code = _temp("spread"), _temp("code")
     labels = df.select(x).filter(F.col(x).isNotNull()).distinct()
     codes = places(labels, x, place=code).select(x, (F.col(code) - 1).alias(out), F.lit(-1).alias(spread))
     df = df.withColumn(spread, F.when(F.col(x).isNull(), F.spark_partition_id()).otherwise(-1))
-    return df.join(codes, [x, spread], "left").drop(spread)
+    return df.join(cut(codes, "labels"), [x, spread], "left").drop(spread)
 
 
 def _moments(x, by=DATE) -> tuple[Column, Column, dict[str, Column]]:

@@ -113,7 +113,7 @@ def composed(panel: DataFrame, factors: dict[str, Column | Step], keep=("date",
         here = [s for s in steps if s[3] == level]
         if level:
             df = cross.with_stats(df, {name: op.make(*inputs(s, name), *_group(s), **s.how)
-                                       for s, name, op, *_ in here if op.kind == "cross"})
+                                       for s, name, op, *_ in here if op.kind == "cross"}, stored=True)
             ranks = [(s, name, op) for s, name, op, *_ in here if op.kind == "frame"]
             for s, name, op in ranks:
                 df = op.make(df, *inputs(s, name), *_group(s), name, **s.how)
@@ -131,6 +131,33 @@ def composed(panel: DataFrame, factors: dict[str, Column | Step], keep=("date",
     return df.select(*keep, *[F.col(n).alias(k) for n, k in zip(outputs, factors)])
 
 
+def parts(factors: dict[str, Column | Step]) -> list[dict[str, Column | Step]]:
+    """A factor set as sets that can be made apart, each with the columns that it needs alone: ranks and labels shuffle
+    rows, so that a factor that uses one goes with those that share it, and the others by their number of levels."""
+    from ..functions.registry import resolve
+    shared: dict = {}
+
+    def reach(x) -> tuple[int, set]:
+        """Levels of a value, and the steps in it that shuffle rows."""
+        if not isinstance(x, Step):
+            return 0, set()
+        below, kind = [reach(y) for y in x.inputs], resolve(x.operator).kind
+        moved = set().union(*[m for _, m in below], {id(x)} if kind == "frame" else ())
+        return max((n for n, _ in below), default=0) + (kind in ("cross", "frame")), moved
+
+    kept: dict[int, dict] = {}
+    groups: list[tuple[set, dict]] = []
+    for name, x in factors.items():
+        level, moved = reach(_expanded(x, shared))
+        if not moved:
+            kept.setdefault(level, {})[name] = x
+            continue
+        alike = [g for g in groups if g[0] & moved]
+        groups = [g for g in groups if not g[0] & moved]
+        groups.append((moved.union(*[g[0] for g in alike]), {k: v for g in alike for k, v in g[1].items()} | {name: x}))
+    return [*kept.values(), *[g[1] for g in groups]]
+
+
 def resolvable(panel: DataFrame, factors: dict[str, Column | Step]) -> tuple[dict[str, Column | Step], dict[str, str]]:
     """Split a factor set into those that the panel can compute and errors by name: unknown fields and operators, a
     wrong number of inputs, or arguments that an operator does not take. Only the analyzer runs here; no data is read."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import evaluate as ev, factors as fs
@@ -24,12 +26,23 @@ def materialize_factors(panel: DataFrame, factors: dict[str, Column | fs.Step],
     """Compute a factor set (Columns, or Steps for nested cross-sections), store it by
     factor, and report per factor.
 
-    Factors that the panel cannot compute become ``error`` rows and do not stop the rest.
+    Factors that the panel cannot compute become ``error`` rows and do not stop the rest. Those that shuffle different
+    rows are made apart, so that no shuffle carries the columns of the others. The rows of a panel in ``buckets`` are
+    dealt by code already, and are written where they are made.
     """
     good, bad = fs.resolvable(panel, factors)
-    path = write_factors(ev.unpivot(fs.composed(panel, good, buckets=buckets), list(good)))
     spark = panel.sparkSession
-    status = fs.factor_status(spark.read.parquet(path)).withColumn("status", F.lit("ok"))
+    if good:
+        values = reduce(DataFrame.unionByName, [ev.unpivot(fs.composed(panel, part, buckets=buckets), list(part)) for part in fs.parts(good)])
+        if buckets is None:
+            path = write_factors(values)
+        else:
+            path = run_dir(spark, "factor_values")
+            values.write.partitionBy("factor_id").parquet(path)
+        rows = spark.read.parquet(path)
+    else:
+        rows = spark.createDataFrame([], "factor_id string, value double")
+    status = fs.factor_status(rows).withColumn("status", F.lit("ok"))
     errors = spark.createDataFrame([(n, 0, 0, None, "error") for n in bad],
                                    "factor_id string, row_count long, valid_count long, coverage double, status string")
     return status.unionByName(errors)
